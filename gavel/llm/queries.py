@@ -35,5 +35,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import language
+    from .common import remainder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
+    profiles = language.learn(docs.where(~F.col("held_out")))
+    return language.identify(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {"op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
 ORACLES: dict[str, str] = {}
