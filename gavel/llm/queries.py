@@ -35,6 +35,12 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fingerprints
+
+    return fingerprints.edits(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
     from .common import remainder
@@ -44,5 +50,5 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
 ORACLES: dict[str, str] = {}
