@@ -84,8 +84,9 @@ class Terms:
         cache, hashes, weights, sizes = self.cache, [], [], []
         for text in texts:
             found = Counter(text.encode().lower().split())
-            for word in found.keys() - cache.keys():
-                cache[word] = xxhash.xxh3_64_intdigest(word)
+            for word in found:
+                if word not in cache:
+                    cache[word] = xxhash.xxh3_64_intdigest(word)
             hashes += map(cache.__getitem__, found)
             weights += found.values()
             sizes.append(len(found))
