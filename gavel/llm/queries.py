@@ -13,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    from .common import remainder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    model = toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    return model.score(docs).select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,5 +60,5 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {"op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op6_toxicity": op6_toxicity, "op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
 ORACLES: dict[str, str] = {}
