@@ -119,26 +119,26 @@ def contamination(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     """
     from .common import saved
 
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), words(F.col(text)).alias("w")).withColumn("n_words", F.size("w"))
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("w")).withColumn("n_words", F.size("w"))
     anchors, sizes = rarest(windows(items, item_id, item_text, window), documents, text)
     anchors = saved(anchors)
     n = anchors.count()
     if not n:
-        found = rows.select("row", "doc_id", "n_words", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("many"), F.lit(None).cast("string").alias("item_id"))
+        found = rows.select("row", "doc_id", "text_hash", "n_words", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("many"), F.lit(None).cast("string").alias("item_id"))
     else:
         flags, mask = _flags(anchors, n)
         reach = window - 1
-        spread = rows.select("row", "doc_id", "n_words", "w", F.explode_outer(candidates(F.col("w"), sizes, flags, mask)).alias("p"))
+        spread = rows.select("row", "doc_id", "text_hash", "n_words", "w", F.explode_outer(candidates(F.col("w"), sizes, flags, mask)).alias("p"))
         low = F.greatest(F.col("p.at") - reach, F.lit(0))
-        spread = spread.select("row", "doc_id", "n_words", F.col("p.k").alias("doc_k"), F.col("p.at").alias("doc_at"), _hash_at(F.col("w"), "p", sizes).alias("doc_h"), low.alias("low"), F.slice("w", low + 1, F.lit(2 * window)).alias("near"))
+        spread = spread.select("row", "doc_id", "text_hash", "n_words", F.col("p.k").alias("doc_k"), F.col("p.at").alias("doc_at"), _hash_at(F.col("w"), "p", sizes).alias("doc_h"), low.alias("low"), F.slice("w", low + 1, F.lit(2 * window)).alias("near"))
         small = n * 8 * window * 6 <= BROADCAST_BYTES
         first, many = F.col("doc_at") - F.col("at"), F.size("words")
         fits = (F.col("doc_h") == F.col("h")) & (F.col("doc_k") == F.col("k")) & (first >= 0) & (first + many <= F.col("n_words"))
         # Compared as text: words hold no blanks.
         fits = fits & (F.concat_ws(" ", F.slice("near", F.greatest(first - F.col("low"), F.lit(0)) + 1, many)) == F.concat_ws(" ", "words"))
-        found = spread.join(F.broadcast(anchors) if small else anchors, fits, "left").select("row", "doc_id", "n_words", F.when(many > 0, first).alias("first"), F.when(many > 0, many).alias("many"), "item_id")
+        found = spread.join(F.broadcast(anchors) if small else anchors, fits, "left").select("row", "doc_id", "text_hash", "n_words", F.when(many > 0, first).alias("first"), F.when(many > 0, many).alias("many"), "item_id")
     spans = F.collect_set(F.when(F.col("first").isNotNull(), F.struct("first", "many")))
-    grouped = found.groupBy("row", "doc_id", "n_words").agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+    grouped = found.groupBy("row", "doc_id", "text_hash", "n_words").agg(spans.alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["many"] - 1)))))
-    out = grouped.select("doc_id", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "items", "row")
+    out = grouped.select("doc_id", F.col("n_words").cast("long").alias("n_words"), hit.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "items", "text_hash")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

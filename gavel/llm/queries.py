@@ -13,6 +13,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Vocabulary and end-of-document id of the token files.
+FILE_RANKS, END = "byte_bpe_multi_50k.tiktoken", 50_256
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents as flat token files, then counts from the files alone; the order in
+    which they were written names the documents."""
+    import public_tokenizers
+
+    from . import token_counts
+    from .common import shared_dir
+
+    folder = shared_dir(spark)
+    order = token_counts.write_tokens(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(FILE_RANKS), END)
+    if not order.limit(1).count():
+        return order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
+    counts = token_counts.scan(spark, folder, END, order)
+    return order.join(counts.where("closed"), ["file", "ordinal"]).select("doc_id", "n_tokens")
+
+
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm_scoring
     from .common import remainder
@@ -72,7 +92,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontamination
 
-    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "row")
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "text_hash")
 
 
 #: The contract's rule word by word, without any index.
@@ -115,5 +135,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
 FROM d LEFT JOIN lists USING (doc_id)
 """
 
-QUERIES = {"op5_lm_scoring": op5_lm_scoring, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup, "op8_decontamination": op8_decontamination, "op6_toxicity": op6_toxicity, "op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
+QUERIES = {"op4_token_counts": op4_token_counts, "op5_lm_scoring": op5_lm_scoring, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup, "op8_decontamination": op8_decontamination, "op6_toxicity": op6_toxicity, "op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
 ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL, "op8_decontamination": OP8_SQL}
