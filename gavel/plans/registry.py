@@ -2,5 +2,49 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+class Tables:
+    """The tables below a folder, read when named."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    def sql(self, text: str) -> DataFrame:
+        """A SELECT over the tables, for inputs that the queries derive from them."""
+        used = [n for n in NAMES if re.search(rf"\b{n}\b", text)]
+        return self.spark.sql(re.sub(rf"\b({'|'.join(used)})\b", r"{\1}", text.replace("{", "{{").replace("}", "}}")), **{n: getattr(self, n) for n in used})
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function from Tables to a DataFrame under a name, with its SQL if it has one."""
+
+    def add(f: Callable[[Tables], DataFrame]):
+        QUERIES[name] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    from . import cases, corpus, ledgers, quality, scalars  # noqa: F401
+
+
+load()
