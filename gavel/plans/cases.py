@@ -1 +1,225 @@
-"""Queries."""
+"""Queries of rule evaluation and resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import rules as logic
+from ..operators import evaluate, resolution
+from . import demo_rules as demo
+from .fixtures import SQL_FACTS, evidence, facts
+from .registry import query
+
+
+def cases(t):
+    return evaluate.by_case(facts(t), evidence(t))
+
+
+def traces(t, rules=None):
+    return evaluate.evaluate_expressions(cases(t), rules or demo.RULES)
+
+
+def _leaf_query(name):
+    node = demo.of(name)
+
+    @query(name, f"{demo.wide_sql()} SELECT case_id, truth, reason FROM x_{name}")
+    def run(t):
+        rule = {"rule_id": "R", "applies_when": node, "satisfied_when": {"op": "truth", "b": True}}
+        return traces(t, [rule]).where("section = 'applies_when'").select("case_id", "truth", "reason")
+
+
+for _name in demo.LEAVES:
+    _leaf_query(_name)
+
+AREA = demo.leaf("same_visual_area", fact_keys=["order.total", "line.max_discount"], gap=0.1)
+
+
+@query("p15_same_visual_area", f"""WITH {SQL_FACTS}, e AS (SELECT k.case_id, k.fact_key, e.* EXCLUDE (case_id) FROM (SELECT case_id, fact_key, unnest(evidence_ids) AS evidence_id FROM known) k JOIN evidence e USING (case_id, evidence_id)),
+hit AS (SELECT DISTINCT a.case_id FROM e a JOIN e b USING (case_id, document_id, document_hash, page) WHERE a.fact_key = 'order.total' AND b.fact_key = 'line.max_discount' AND sqrt(pow(greatest(0, a.x - b.x - b.width, b.x - a.x - a.width), 2) + pow(greatest(0, a.y - b.y - b.height, b.y - a.y - a.height), 2)) / sqrt(2.0) <= 0.1)
+SELECT case_id, CASE WHEN reason = 'EVALUATED' THEN hit.case_id IS NOT NULL END AS truth, reason FROM (SELECT cases.case_id, CASE WHEN b.fact_key IS NULL THEN 'MISSING_FACT' WHEN NOT a.complete OR NOT b.complete THEN 'MISSING_EVIDENCE' ELSE 'EVALUATED' END AS reason FROM cases JOIN known a ON a.case_id = cases.case_id AND a.fact_key = 'order.total' LEFT JOIN known b ON b.case_id = cases.case_id AND b.fact_key = 'line.max_discount') LEFT JOIN hit USING (case_id)""")
+def p15(t):
+    rule = {"rule_id": "R", "applies_when": AREA, "satisfied_when": {"op": "truth", "b": True}}
+    return traces(t, [rule]).where("section = 'applies_when'").select("case_id", "truth", "reason")
+
+
+def _inner_query(name, node):
+    @query(name, f"{demo.wide_sql()} SELECT case_id, {demo.node_sql(node)} AS truth FROM wide")
+    def run(t):
+        rule = {"rule_id": "R", "applies_when": node, "satisfied_when": {"op": "truth", "b": True}}
+        return traces(t, [rule]).where("section = 'applies_when' and path = '$'").select("case_id", "truth")
+
+
+_inner_query("p16_all", demo.all_(demo.of("p8_greater_than"), demo.of("p10_between"), demo.of("p12_date_after")))
+_inner_query("p17_any", demo.any_(demo.of("p3_eq"), demo.of("p2_present"), demo.of("p9_less_than")))
+_inner_query("p18_not", demo.not_(demo.any_(demo.of("p13_date_between"), demo.not_(demo.of("p5_contains")))))
+
+
+def _trace_sql():
+    rows = []
+    for r in demo.RULES:
+        sections = [("applies_when", r["applies_when"])] + [(f"exception:{k}", v) for k, v in (r.get("exceptions") or {}).items()] + [("satisfied_when", r["satisfied_when"])] + [(f"override:{k}", v) for k, v in (r.get("overrides") or {}).items()]
+
+        def walk(section, node, path):
+            reason = "'EVALUATED'" if node["op"] in evaluate.INNER else f"r_{demo.NAME_OF[id(node)]}"
+            rows.append(f"SELECT case_id, '{r['rule_id']}' AS rule_id, '{section}' AS section, '{path}' AS path, '{node['op']}' AS op, {demo.node_sql(node)} AS truth, {reason} AS reason FROM wide")
+            for i, a in enumerate(node.get("args", [])):
+                walk(section, a, f"{path}.{i}")
+
+        for section, node in sections:
+            walk(section, node, "$")
+    return demo.wide_sql() + " " + " UNION ALL ".join(rows)
+
+
+@query("ev1_evaluate_expression", _trace_sql())
+def ev1(t):
+    return traces(t).select("case_id", "rule_id", "section", "path", "op", "truth", "reason")
+
+
+def found(t):
+    return evaluate.findings(traces(t))
+
+
+@query("ev2_evaluate_rules", demo.findings_sql() + " SELECT case_id, rule_id, applies, exception, satisfied, outcome FROM findings")
+def ev2(t):
+    return found(t).select("case_id", "rule_id", "applies", "exception", "satisfied", "outcome")
+
+
+@query("ev3_check_inputs", "SELECT l_orderkey AS case_id, 'DUPLICATE_EVIDENCE_ID' AS code, l_orderkey || '-' || l_linenumber AS key, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def ev3(t):
+    e = t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("evidence_id"))
+    return evaluate.check_inputs(facts(t), e)
+
+
+def pack_edges(t):
+    return t.spark.createDataFrame([(r["rule_id"], target) for r in demo.RULES for target in (r.get("overrides") or {})], "source string, target string")
+
+
+def edges(t, findings):
+    """Override edges of rules whose last section was reached."""
+    return findings.where("reached").select("case_id", F.col("rule_id").alias("source"), F.explode("override_truths").alias("target", "truth"))
+
+
+@query("gr1_override_cycles", """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey % 4 AS a, n_nationkey % 7 + 2 AS b FROM nation UNION SELECT DISTINCT n_nationkey % 7 + 2, n_nationkey % 3 FROM nation WHERE n_nationkey > 10), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT DISTINCT CAST(a AS VARCHAR) AS rule_id FROM p WHERE a = b""")
+def gr1(t):
+    return resolution.override_cycles(nation_edges(t))
+
+
+def nation_edges(t, acyclic=False):
+    n = t.nation
+    cast = lambda c: c.cast("string")
+    one = n.select(cast(F.col("n_regionkey") % 4).alias("source"), cast(F.col("n_nationkey") % 7 + (20 if acyclic else 2)).alias("target"))
+    two = n.where("n_nationkey > 10").select(cast(F.col("n_nationkey") % 7 + (20 if acyclic else 2)).alias("source"), cast(F.col("n_nationkey") % 3 + (40 if acyclic else 0)).alias("target"))
+    return one.union(two).distinct()
+
+
+@query("gr2_override_components", """WITH RECURSIVE e AS (SELECT c_custkey % 40 AS a, (c_custkey % 40) + 40 * (1 + c_custkey % 3) AS b FROM customer UNION SELECT c_custkey % 40 + 40, c_custkey % 10 FROM customer), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), p AS (SELECT a, a AS r FROM b UNION SELECT b.b, p.r FROM p JOIN b USING (a)) SELECT CAST(a AS VARCHAR) AS rule_id, min(CAST(r AS VARCHAR)) AS component FROM p GROUP BY a""")
+def gr2(t):
+    k = F.col("c_custkey")
+    e = t.customer.select((k % 40).cast("string").alias("source"), (k % 40 + 40 * (1 + k % 3)).cast("string").alias("target")).union(t.customer.select((k % 40 + 40).cast("string"), (k % 10).cast("string"))).distinct()
+    return resolution.override_components(e)
+
+
+@query("gr3_override_levels", """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey % 4 AS a, n_nationkey % 7 + 20 AS b FROM nation UNION SELECT DISTINCT n_nationkey % 7 + 20, n_nationkey % 3 + 40 FROM nation WHERE n_nationkey > 10), p AS (SELECT a AS n, 0 AS l FROM e UNION SELECT b, 0 FROM e UNION SELECT e.b, p.l + 1 FROM p JOIN e ON e.a = p.n) SELECT CAST(n AS VARCHAR) AS rule_id, CAST(max(l) AS INTEGER) AS level FROM p GROUP BY n""")
+def gr3(t):
+    return resolution.override_levels(nation_edges(t, acyclic=True))
+
+
+#: Overrides of the demo pack: R3 over R2 over R1, R5 over R4; R7 and R8 are invalid.
+RS_SQL = demo.findings_sql() + """, f AS (SELECT * FROM findings), act3 AS (SELECT case_id, truth FROM edges JOIN f ON f.case_id = edges.case_id AND f.rule_id = source WHERE source = 'R3' AND reached AND applies AND outcome <> 'NOT_APPLICABLE' AND (truth IS NULL OR truth)),
+e2 AS (SELECT f.case_id, CASE WHEN a.case_id IS NULL THEN outcome WHEN a.truth IS NULL THEN 'REVIEW' ELSE 'NOT_APPLICABLE' END AS eff FROM f LEFT JOIN act3 a ON a.case_id = f.case_id WHERE f.rule_id = 'R2'),
+act2 AS (SELECT f.case_id, truth FROM edges JOIN f ON f.case_id = edges.case_id AND f.rule_id = source JOIN e2 ON e2.case_id = f.case_id WHERE source = 'R2' AND reached AND applies AND eff <> 'NOT_APPLICABLE' AND (truth IS NULL OR truth)),
+act5 AS (SELECT f.case_id, truth FROM edges JOIN f ON f.case_id = edges.case_id AND f.rule_id = source WHERE source = 'R5' AND reached AND applies AND outcome <> 'NOT_APPLICABLE' AND (truth IS NULL OR truth)),
+acts AS (SELECT case_id, 'R3' AS s, 'R2' AS t, truth FROM act3 UNION ALL SELECT case_id, 'R2', 'R1', truth FROM act2 UNION ALL SELECT case_id, 'R5', 'R4', truth FROM act5),
+ends AS (SELECT case_id, t AS rule_id, s AS other, truth IS NULL AS unsure FROM acts UNION ALL SELECT case_id, s, t, true FROM acts WHERE truth IS NULL),
+met AS (SELECT case_id, rule_id, bool_or(unsure) AS unsure, string_agg(other, ',' ORDER BY other) FILTER (unsure) AS us, string_agg(other, ',' ORDER BY other) FILTER (NOT unsure) AS ts FROM ends GROUP BY ALL),
+rs3 AS MATERIALIZED (SELECT f.case_id, f.rule_id, applies, outcome, CASE WHEN f.rule_id IN ('R7', 'R8') THEN 'INVALID' WHEN unsure THEN 'UNCERTAIN_OVERRIDE' WHEN unsure = false THEN 'OVERRIDDEN' ELSE 'UNCHANGED' END AS resolution,
+ CASE WHEN f.rule_id IN ('R7', 'R8') OR unsure THEN 'REVIEW' WHEN unsure = false THEN 'NOT_APPLICABLE' ELSE outcome END AS effective, CASE f.rule_id WHEN 'R7' THEN 'R8' WHEN 'R8' THEN 'R7' ELSE coalesce(CASE WHEN unsure THEN us ELSE ts END, '') END AS related FROM f LEFT JOIN met USING (case_id, rule_id)),
+fine AS (SELECT case_id, rule_id FROM rs3 WHERE effective <> 'NOT_APPLICABLE' AND resolution NOT IN ('INVALID', 'UNCERTAIN_OVERRIDE')),
+said AS (SELECT a.case_id, a.rule_id AS a, b.rule_id AS b FROM fine a JOIN fine b USING (case_id) WHERE (a.rule_id, b.rule_id) IN (('R2', 'R6'), ('R4', 'R6'))),
+norm AS (SELECT a.case_id, a.rule_id AS a, b.rule_id AS b FROM fine a JOIN fine b USING (case_id) JOIN rs3 x ON x.case_id = a.case_id AND x.rule_id = 'R1' JOIN rs3 y ON y.case_id = a.case_id AND y.rule_id = 'R6' WHERE a.rule_id = 'R1' AND b.rule_id = 'R6' AND x.applies AND y.applies)"""
+
+
+def _conflicts_sql(links):
+    return RS_SQL + f""", l AS (SELECT case_id, a AS rule_id, b AS other FROM ({links}) UNION SELECT case_id, b, a FROM ({links})), g AS (SELECT case_id, rule_id, list(other) AS others FROM l GROUP BY ALL),
+rs AS MATERIALIZED (SELECT case_id, rule_id, CASE WHEN others IS NULL THEN resolution ELSE 'CONFLICT_REVIEW' END AS resolution, CASE WHEN others IS NULL THEN effective ELSE 'REVIEW' END AS effective, CASE WHEN others IS NULL THEN related ELSE array_to_string(list_sort(list_distinct(list_concat(others, list_filter(string_split(related, ','), lambda x: x <> '')))), ',') END AS related FROM rs3 LEFT JOIN g USING (case_id, rule_id))"""
+
+
+def shown(df):
+    return df.select("case_id", "rule_id", "resolution", "effective", F.concat_ws(",", "related").alias("related"))
+
+
+def tables(t):
+    declared = t.spark.createDataFrame(demo.CONFLICTS, "a string, b string")
+    norms = t.spark.createDataFrame([(r, n, c) for r, (n, c) in demo.NORMS.items()], "rule_id string, norm string, category string")
+    return declared, norms
+
+
+def overridden(t):
+    f = found(t)
+    return resolution.apply_overrides(f, edges(t, f), pack_edges(t))
+
+
+@query("rs1_check_finding_map", "SELECT l_orderkey AS case_id, count(*) = 7 AND count(DISTINCT l_linenumber) = 7 AND min(l_linenumber) = 1 AND max(l_linenumber) = 7 AS valid FROM lineitem GROUP BY l_orderkey")
+def rs1(t):
+    rules = t.spark.createDataFrame([(str(i),) for i in range(1, 8)], "rule_id string")
+    return resolution.check_finding_map(t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").cast("string").alias("rule_id")), rules)
+
+
+@query("rs2_validate_override_edges", demo.findings_sql() + """, e AS (SELECT case_id, source, target, case_id % 5 <> 0 AS traced FROM edges WHERE case_id % 3 = 0)
+SELECT case_id, source, target, CASE WHEN target = 'R4' THEN 'VALIDITY_MISMATCH' WHEN reached AND NOT traced THEN 'TRACE_REQUIRED' WHEN NOT reached AND traced THEN 'TRACE_UNEXPECTED' END AS code FROM e JOIN findings f ON f.case_id = e.case_id AND f.rule_id = e.source WHERE target = 'R4' OR reached <> traced""".replace("SELECT case_id, source, target, CASE", "SELECT e.case_id, source, target, CASE"))
+def rs2(t):
+    f = found(t)
+    e = f.where("case_id % 3 = 0").join(F.broadcast(pack_edges(t)), F.col("rule_id") == F.col("source")).select("case_id", "source", "target", (F.col("case_id") % 5 != 0).alias("traced"))
+    rules = t.spark.createDataFrame([(r["rule_id"], "2020-01-01", "2021-01-01" if r["rule_id"] == "R5" else None) if r["rule_id"] != "R4" else ("R4", "2022-01-01", None) for r in demo.RULES], "rule_id string, valid_from string, valid_to string")
+    return resolution.validate_override_edges(e, f, rules)
+
+
+@query("rs3_apply_overrides", RS_SQL + " SELECT case_id, rule_id, resolution, effective, related FROM rs3")
+def rs3(t):
+    return shown(overridden(t))
+
+
+@query("rs4_apply_declared_conflicts", _conflicts_sql("SELECT * FROM said") + " SELECT case_id, rule_id, resolution, effective, related FROM rs")
+def rs4(t):
+    base = overridden(t)
+    return shown(resolution.apply_conflicts(base, resolution.conflict_links(base, *tables(t))[0]))
+
+
+@query("rs5_apply_deontic_conflicts", _conflicts_sql("SELECT * FROM norm") + " SELECT case_id, rule_id, resolution, effective, related FROM rs")
+def rs5(t):
+    base = overridden(t)
+    return shown(resolution.apply_conflicts(base, resolution.conflict_links(base, *tables(t))[1]))
+
+
+def resolved(t):
+    f = found(t)
+    return resolution.resolve_findings(f, edges(t, f), pack_edges(t), *tables(t))
+
+
+ALL_LINKS = "SELECT * FROM said UNION SELECT * FROM norm"
+
+
+@query("rs6_resolve_findings", _conflicts_sql(ALL_LINKS) + " SELECT case_id, rule_id, resolution, effective, related FROM rs")
+def rs6(t):
+    return shown(resolved(t))
+
+
+RANKED = "max_by({0}, CASE {0} WHEN 'FAIL' THEN 3 WHEN 'REVIEW' THEN 2 WHEN 'PASS' THEN 1 ELSE 0 END)"
+
+
+@query("rs7_aggregate_outcomes", demo.findings_sql() + f" SELECT case_id, {RANKED.format('outcome')} AS outcome FROM findings GROUP BY case_id")
+def rs7(t):
+    return evaluate.aggregate_outcomes(found(t), "outcome", "case_id")
+
+
+@query("ev7_evaluate_pack", _conflicts_sql(ALL_LINKS) + f" SELECT case_id, {RANKED.format('effective')} AS outcome FROM rs GROUP BY case_id")
+def ev7(t):
+    return evaluate.aggregate_outcomes(resolved(t), "effective", "case_id")
+
+
+ENTRY_RULES = demo.RULES[:6]
+
+
+@query("entry_order_compliance", demo.findings_sql() + f" SELECT case_id, {RANKED.format('outcome')} AS outcome FROM findings WHERE rule_id < 'R7' GROUP BY case_id")
+def entry(t):
+    return evaluate.aggregate_outcomes(evaluate.findings(traces(t, ENTRY_RULES)), "outcome", "case_id")
