@@ -183,7 +183,8 @@ def _clique(regions: pd.Series, gap: pd.Series) -> pd.Series:
 
         return go([])
 
-    return pd.Series([None if s is None or any(x is None or any(y is None for y in x) for x in s) else search([list(x) for x in s], g) for s, g in zip(regions, gap)], dtype="Int32")
+    found = (None if t is None else json.loads(t) for t in regions)
+    return pd.Series([None if s is None or any(x is None or any(y is None for y in x) for x in s) else search(s, g) for s, g in zip(found, gap)], dtype="Int32")
 
 
 def leaf_truth(leaf: Column, facts: Column, evidence: Column, clique: Column | None = None) -> Column:
@@ -239,6 +240,7 @@ def evaluate_expressions(cases: DataFrame, rules: list[dict], case: str = "case_
     clique = None
     if any(n["op"] == "same_visual_area" for n in nodes):
         regions = F.when(F.col("leaf.op") == "same_visual_area", F.transform("leaf.fact_keys", lambda k: _regions(F.col("facts")[k], F.col("evidence"))))
+        regions = F.to_json(regions, {"ignoreNullFields": "false"})
         rows = rows.withColumn("clique", _clique(regions, F.col("leaf.gap")))
         clique = F.col("clique")
     got = leaf_truth(F.col("leaf"), F.col("facts"), F.col("evidence"), clique)

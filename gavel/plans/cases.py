@@ -125,7 +125,7 @@ def gr3(t):
 
 
 #: Overrides of the demo pack: R3 over R2 over R1, R5 over R4; R7 and R8 are invalid.
-RS_SQL = demo.findings_sql() + """, f AS (SELECT * FROM findings), act3 AS (SELECT case_id, truth FROM edges JOIN f ON f.case_id = edges.case_id AND f.rule_id = source WHERE source = 'R3' AND reached AND applies AND outcome <> 'NOT_APPLICABLE' AND (truth IS NULL OR truth)),
+RS_SQL = demo.findings_sql() + """, f AS (SELECT * FROM findings), act3 AS (SELECT f.case_id, truth FROM edges JOIN f ON f.case_id = edges.case_id AND f.rule_id = source WHERE source = 'R3' AND reached AND applies AND outcome <> 'NOT_APPLICABLE' AND (truth IS NULL OR truth)),
 e2 AS (SELECT f.case_id, CASE WHEN a.case_id IS NULL THEN outcome WHEN a.truth IS NULL THEN 'REVIEW' ELSE 'NOT_APPLICABLE' END AS eff FROM f LEFT JOIN act3 a ON a.case_id = f.case_id WHERE f.rule_id = 'R2'),
 act2 AS (SELECT f.case_id, truth FROM edges JOIN f ON f.case_id = edges.case_id AND f.rule_id = source JOIN e2 ON e2.case_id = f.case_id WHERE source = 'R2' AND reached AND applies AND eff <> 'NOT_APPLICABLE' AND (truth IS NULL OR truth)),
 act5 AS (SELECT f.case_id, truth FROM edges JOIN f ON f.case_id = edges.case_id AND f.rule_id = source WHERE source = 'R5' AND reached AND applies AND outcome <> 'NOT_APPLICABLE' AND (truth IS NULL OR truth)),
@@ -155,7 +155,7 @@ def tables(t):
 
 
 def overridden(t):
-    f = found(t)
+    f = found(t).persist()  # read once for the findings and for every level of overrides
     return resolution.apply_overrides(f, edges(t, f), pack_edges(t))
 
 
@@ -192,7 +192,7 @@ def rs5(t):
 
 
 def resolved(t):
-    f = found(t)
+    f = found(t).persist()
     return resolution.resolve_findings(f, edges(t, f), pack_edges(t), *tables(t))
 
 

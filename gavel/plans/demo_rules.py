@@ -34,7 +34,7 @@ LEAVES = {
     "p11_date_before": (leaf("date_before", "order.date", s="1995-01-01"), "f.v_date < '1995-01-01'", "DATE"),
     "p12_date_after": (leaf("date_after", "line.last_ship", s="1996-06-30"), "f.v_date > '1996-06-30'", "DATE"),
     "p13_date_between": (leaf("date_between", "line.last_ship", date_low="1994-01-01", date_high="1997-01-01"), "f.v_date BETWEEN '1994-01-01' AND '1997-01-01'", "DATE"),
-    "p14_language_present": (leaf("language_present", "order.total", s="EN", mode="PRIMARY"), "list_bool_or(list_transform(f.evidence_ids, lambda i: list_contains(f.english, i)))", None),
+    "p14_language_present": (leaf("language_present", "order.total", s="EN", mode="PRIMARY"), "len(list_intersect(f.evidence_ids, coalesce(f.english, []))) > 0", None),
 }
 TOTAL, STATUS, PRIORITY, DATE, LARGE, FLAG, DISCOUNT, SHIP, WRONG = (f"{k}" for k in ("order.total", "order.status", "order.priority", "order.date", "order.is_large", "line.returnflag", "line.max_discount", "line.last_ship", "order.typed_wrong"))
 

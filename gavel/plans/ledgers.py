@@ -1 +1,108 @@
-"""Queries."""
+"""Queries of ledgers."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.rules import SOURCE_MOVES
+from ..operators import ledgers
+from .registry import query
+
+STATES = "CASE event_type WHEN 'signup' THEN 'UPLOADED' WHEN 'view' THEN 'REVIEWED' WHEN 'purchase' THEN 'APPROVED' WHEN 'click' THEN 'RETIRED' ELSE 'UPLOADED' END"
+#: Moves by user; sequences have gaps where the event id is divisible by 17.
+MOVES = f"""SELECT user_id AS version_id, n + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END AS sequence, lag(s) OVER (PARTITION BY user_id ORDER BY n) AS from_state, s AS to_state, event_id % 5 AS actor_id,
+ CASE event_id % 3 WHEN 0 THEN 'AUTHOR' WHEN 1 THEN 'REVIEWER' ELSE 'APPROVER' END AS role, n * 10 - CASE WHEN event_id % 19 = 0 THEN 15 ELSE 0 END AS moved_at FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS n, {STATES} AS s FROM events) q"""
+#: Activations by user: numbered, with a version of the nation table.
+ACTIVATIONS = """SELECT user_id AS pack_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS sequence, CASE event_type WHEN 'signup' THEN 'ACTIVATE' WHEN 'purchase' THEN 'ROLLBACK' ELSE 'DEACTIVATE' END AS type, event_id % 25 AS version_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) * 10 + user_id % 7 AS effective_at FROM events WHERE event_type IN ('signup', 'purchase', 'error')"""
+VERSIONS = """SELECT n_nationkey AS version_id, r_name AS domain, n_name AS jurisdiction, CAST(n_nationkey % 4 * 10 AS INT) AS valid_from, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE CAST(n_nationkey % 4 * 10 + 60 AS INT) END AS valid_to FROM nation JOIN region ON n_regionkey = r_regionkey"""
+REQUESTS = """SELECT c_custkey AS request_id, r_name AS domain, n_name AS jurisdiction, CAST(c_custkey % 50 AS INT) AS evaluation_date FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+CHAIN = """SELECT user_id AS run_id, sequence, CASE WHEN event_id % 29 = 0 THEN 'broken' ELSE lag(h) OVER (PARTITION BY user_id ORDER BY sequence) END AS previous_hash, h AS content_hash, event_id, event_type FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS sequence, sha2(concat(CAST(event_id AS STRING), '|', event_type), 256) AS h FROM events) q"""
+CHAIN_SQL = CHAIN.replace("sha2(", "sha256(").replace(", 256)", ")")
+
+
+@query("lg1_latest_state", f"SELECT version_id, max_by(to_state, sequence * 100 + length(to_state)) AS state FROM (SELECT * FROM ({MOVES}) QUALIFY row_number() OVER (PARTITION BY version_id ORDER BY sequence DESC, moved_at DESC) = 1) GROUP BY version_id")
+def lg1(t):
+    return ledgers.latest_state(t.sql(MOVES).withColumn("order", F.struct("sequence", "moved_at")), order="order")
+
+
+@query("lg2_state_as_of", f"""SELECT request_id, version_id, moment, arg_max(to_state, struct_pack(a := moved_at, b := sequence)) AS to_state FROM (SELECT e.user_id AS version_id, e.event_id AS request_id, CAST(e.event_id % 200 AS INT) AS moment FROM events e) r LEFT JOIN ({MOVES}) m USING (version_id) WHERE m.moved_at <= moment GROUP BY ALL
+UNION ALL SELECT e.event_id, e.user_id, CAST(e.event_id % 200 AS INT), NULL FROM events e WHERE NOT EXISTS (SELECT 1 FROM ({MOVES}) m WHERE m.version_id = e.user_id AND m.moved_at <= e.event_id % 200)""")
+def lg2(t):
+    r = t.events.select("event_id", "user_id").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("version_id"), (F.col("event_id") % 200).cast("int").alias("moment"))
+    return ledgers.state_as_of(t.sql(MOVES), r, "version_id", "moved_at", "moment", ["sequence"], ["to_state"]).select("request_id", "version_id", "moment", "to_state")
+
+
+ALLOWED = "((from_state IS NULL AND to_state = 'UPLOADED' AND role = 'AUTHOR') OR (from_state = 'UPLOADED' AND to_state = 'REVIEWED' AND role = 'REVIEWER') OR (from_state = 'REVIEWED' AND to_state = 'APPROVED' AND role = 'APPROVER') OR (from_state = 'APPROVED' AND to_state = 'RETIRED' AND role = 'APPROVER'))"
+
+
+@query("lg3_validate_transitions", f"""SELECT version_id, sequence, code FROM (SELECT version_id, sequence, CASE WHEN sequence <> n THEN 'SEQUENCE_GAP' WHEN from_state IS DISTINCT FROM before THEN 'STATE_MISMATCH' WHEN moved_at < at_before THEN 'TIME_REVERSED' WHEN NOT coalesce({ALLOWED}, false) THEN 'MOVE_NOT_ALLOWED' WHEN seen > 0 THEN 'ACTOR_NOT_INDEPENDENT' END AS code
+ FROM (SELECT *, row_number() OVER w AS n, lag(to_state) OVER w AS before, lag(moved_at) OVER w AS at_before, count(*) OVER (PARTITION BY version_id, actor_id ORDER BY sequence, moved_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ({MOVES}) WINDOW w AS (PARTITION BY version_id ORDER BY sequence, moved_at))) WHERE code IS NOT NULL""")
+def lg3(t):
+    return ledgers.validate_transitions(t.sql(MOVES), SOURCE_MOVES)
+
+
+@query("lg5_resolve_pack", f"""WITH s AS (SELECT * FROM (SELECT *, lead(effective_at) OVER (PARTITION BY pack_id ORDER BY sequence) AS until FROM ({ACTIVATIONS})) WHERE type <> 'DEACTIVATE'), h AS (SELECT r.request_id, s.version_id FROM ({REQUESTS}) r JOIN ({VERSIONS}) v USING (domain, jurisdiction) JOIN s USING (version_id) WHERE effective_at <= evaluation_date AND (until IS NULL OR evaluation_date < until) AND valid_from <= evaluation_date AND (valid_to IS NULL OR evaluation_date < valid_to))
+SELECT request_id, CASE count(h.version_id) WHEN 1 THEN 'FOUND' WHEN 0 THEN 'NOT_FOUND' ELSE 'AMBIGUOUS' END AS status, CASE WHEN count(h.version_id) = 1 THEN max(h.version_id) END AS version_id FROM ({REQUESTS}) r LEFT JOIN h USING (request_id) GROUP BY request_id""")
+def lg5(t):
+    return ledgers.resolve_pack(t.sql(ACTIVATIONS), t.sql(VERSIONS), t.sql(REQUESTS))
+
+
+INTERVALS = f"SELECT * FROM (SELECT pack_id, sequence, version_id, greatest(effective_at, valid_from) AS start, CASE WHEN until IS NULL THEN valid_to WHEN valid_to IS NULL THEN until ELSE least(until, valid_to) END AS end_ FROM (SELECT *, lead(effective_at) OVER (PARTITION BY pack_id ORDER BY sequence) AS until FROM ({ACTIVATIONS})) JOIN ({VERSIONS}) USING (version_id) WHERE type <> 'DEACTIVATE') WHERE end_ IS NULL OR start < end_"
+
+
+@query("lg6_activation_intervals", f"SELECT pack_id, sequence, version_id, start, end_ AS \"end\" FROM ({INTERVALS})")
+def lg6(t):
+    return ledgers.activation_intervals(t.sql(ACTIVATIONS), t.sql(VERSIONS))
+
+
+@query("lg7_scope_overlaps", f"SELECT DISTINCT a.version_id, a.pack_id AS pack_id_a, b.pack_id AS pack_id_b FROM ({INTERVALS}) a JOIN ({INTERVALS}) b USING (version_id) WHERE a.pack_id < b.pack_id AND (a.end_ IS NULL OR b.start < a.end_) AND (b.end_ IS NULL OR a.start < b.end_)")
+def lg7(t):
+    return ledgers.scope_overlaps(ledgers.activation_intervals(t.sql(ACTIVATIONS), t.sql(VERSIONS)), ["version_id"])
+
+
+AUDIT = "SELECT conv_id AS revision_id, turn AS sequence, CASE role WHEN 'user' THEN 'TRANSITION' WHEN 'assistant' THEN 'APPROVAL' ELSE 'REVIEW' END AS kind, CASE WHEN role = 'user' THEN CASE WHEN turn % 2 = 0 THEN 'DRAFT' ELSE 'IN_REVIEW' END WHEN conv_id % 5 = 0 THEN 'REJECTED' WHEN conv_id % 7 = 0 THEN 'CHANGES_REQUESTED' ELSE 'APPROVED' END AS decision FROM conversations"
+
+
+@query("lg8_card_state", f"""SELECT revision_id, max_by(s, o) AS state FROM (SELECT revision_id, (sequence) AS o, CASE WHEN kind = 'TRANSITION' THEN decision WHEN decision IN ('CHANGES_REQUESTED', 'REJECTED') THEN 'CHANGES_REQUESTED' WHEN kind = 'APPROVAL' AND sum(CASE WHEN kind = 'APPROVAL' AND decision = 'APPROVED' THEN 1 ELSE 0 END) OVER (PARTITION BY revision_id ORDER BY sequence ROWS UNBOUNDED PRECEDING) >= 2 THEN 'APPROVED' END AS s FROM (SELECT DISTINCT * FROM ({AUDIT}) QUALIFY row_number() OVER (PARTITION BY revision_id, sequence ORDER BY kind, decision) = 1)) WHERE s IS NOT NULL GROUP BY revision_id UNION ALL SELECT DISTINCT conv_id, NULL FROM conversations WHERE false""")
+def lg8(t):
+    rows = t.sql(AUDIT).groupBy("revision_id", "sequence").agg(F.min(F.struct("kind", "decision")).alias("x")).select("revision_id", "sequence", "x.*")
+    return ledgers.card_state(rows, 2).where("state is not null")
+
+
+@query("lg13_validate_versions", "SELECT pack_id, version_id, code FROM (SELECT pack_id, version_id, CASE WHEN n > 1 THEN 'DUPLICATE_SEMVER' WHEN v <= before THEN 'SEMVER_NOT_INCREASING' END AS code FROM (SELECT *, count(*) OVER (PARTITION BY pack_id, v) AS n, lag(v) OVER (PARTITION BY pack_id ORDER BY published_at, version_id) AS before FROM (SELECT user_id AS pack_id, event_id AS version_id, event_id % 40 AS v, ts AS published_at FROM events))) WHERE code IS NOT NULL")
+def lg13(t):
+    v = t.events.select(F.col("user_id").alias("pack_id"), F.col("event_id").alias("version_id"), F.concat(F.lit("1."), (F.col("event_id") % 40).cast("string"), F.lit(".0")).alias("semver"), F.col("ts").alias("published_at"))
+    return ledgers.validate_versions(v)
+
+
+@query("lg14_verify_hash_chain", f"SELECT run_id, sequence, 'PREVIOUS_HASH_MISMATCH' AS code FROM ({CHAIN_SQL}) WHERE previous_hash = 'broken'")
+def lg14(t):
+    return ledgers.check_chain(t.sql(CHAIN), "run_id", content=["event_id", "event_type"])
+
+
+@query("lg15_source_history", f"SELECT c_custkey AS version_id, coalesce(m, '') AS moves, CAST(coalesce(n, 0) AS INTEGER) AS n FROM customer LEFT JOIN (SELECT version_id, string_agg(to_state, '>' ORDER BY sequence, to_state) AS m, count(*) AS n FROM ({MOVES}) GROUP BY version_id) ON version_id = c_custkey")
+def lg15(t):
+    return ledgers.history(t.customer.select(F.col("c_custkey").alias("version_id")), t.sql(MOVES))
+
+
+@query("lg16_draft_conflicts", "SELECT event_id, user_id, event_id % 4 AS expected FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 4 ORDER BY ts, event_id) > 1")
+def lg16(t):
+    w = t.events.select("event_id", "user_id", "ts", (F.col("event_id") % 4).alias("expected"))
+    return ledgers.draft_conflicts(w, "user_id", "expected", ["ts", "event_id"]).drop("ts")
+
+
+@query("au4_final_decision", "SELECT user_id AS run_id, max_by(d, n) AS decision, CASE WHEN max_by(d, n) <> 'REQUEST_MORE_EVIDENCE' THEN max_by(o, n) END AS target_outcome FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE event_type WHEN 'error' THEN 'REQUEST_MORE_EVIDENCE' WHEN 'view' THEN 'CONFIRM' ELSE 'OVERRIDE' END AS d, CASE WHEN event_id % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS o FROM events) GROUP BY user_id")
+def au4(t):
+    d = t.sql("SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, CASE event_type WHEN 'error' THEN 'REQUEST_MORE_EVIDENCE' WHEN 'view' THEN 'CONFIRM' ELSE 'OVERRIDE' END AS decision, CASE WHEN event_id % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS target_outcome FROM events")
+    return ledgers.final_decision(d)
+
+
+@query("au6_label_completeness", "SELECT l_orderkey AS run_id, 7 - count(DISTINCT l_linenumber) AS missing, count(DISTINCT l_linenumber) FILTER (c > 1) AS repeated, CAST(0 AS BIGINT) AS extra FROM (SELECT l_orderkey, l_linenumber, count(*) AS c FROM lineitem GROUP BY ALL) GROUP BY l_orderkey")
+def au6(t):
+    return ledgers.completeness(t.lineitem.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("int").alias("field_code")), list(range(1, 8)))
+
+
+@query("snk2_append_idempotent", "SELECT event_id, CASE WHEN n = 1 THEN 'CREATED' WHEN event_type = f THEN 'REPLAYED' ELSE 'CONFLICT' END AS status FROM (SELECT event_id, event_type, row_number() OVER w AS n, first(event_type) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts, event_id))")
+def snk2(t):
+    r = t.events.select("event_id", F.col("user_id").alias("scope"), F.get_json_object("props", "$.k").alias("key"), F.sha2("event_type", 256).alias("request_hash"), "ts")
+    return ledgers.append_idempotent(r.limit(0), r, ["scope", "key"], ["ts", "event_id"]).select("event_id", "status")
