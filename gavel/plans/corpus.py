@@ -1 +1,66 @@
-"""Queries."""
+"""Queries of corpus work."""
+
+from __future__ import annotations
+
+import hashlib
+
+from pyspark.sql import functions as F
+
+from ..operators import corpus
+from .registry import query
+
+CHUNKS = "SELECT vec_id AS chunk_id, label % 3 AS domain, CASE WHEN vec_id % 4 = 0 THEN 10 ELSE 0 END AS valid_from, CASE WHEN vec_id % 4 = 1 THEN 5 END AS valid_to, {0} AS embedding FROM embeddings"
+TOKEN = hashlib.sha256(b"license").hexdigest()
+
+
+def vectors(t):
+    name = next(c for c, kind in t.embeddings.dtypes if kind.startswith("array"))
+    return t.sql(CHUNKS.format(name)), t.sql(f"SELECT vec_id AS query_id, label % 3 AS domain, CAST(vec_id % 20 AS INT) AS evaluation_date, {name} AS embedding FROM embeddings WHERE vec_id % 50 = 0")
+
+
+TOPK = """SELECT query_id, chunk_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, round(list_cosine_similarity(CAST(q.{0} AS DOUBLE[]), CAST(c.{0} AS DOUBLE[])), 9) AS score
+FROM embeddings q JOIN embeddings c ON q.label % 3 = c.label % 3 WHERE q.vec_id % 50 = 0 AND (c.vec_id % 4 <> 0 OR q.vec_id % 20 >= 10) AND (c.vec_id % 4 <> 1 OR q.vec_id % 20 < 5))) WHERE rank <= 5""".replace("{0}", "embedding")
+
+
+@query("rg3_check_vectors", "SELECT vec_id AS chunk_id, CASE WHEN vec_id % 9 = 0 THEN 'WRONG_DIMENSION' ELSE 'NOT_FINITE' END AS code FROM embeddings WHERE vec_id % 9 = 0 OR vec_id % 7 = 0")
+def rg3(t):
+    c, _ = vectors(t)
+    v = F.col("embedding").cast("array<double>")
+    v = F.when(F.col("chunk_id") % 9 == 0, F.slice(v, 1, 3)).when(F.col("chunk_id") % 7 == 0, F.concat(F.slice(v, 2, 1000), F.array(F.lit(float("nan"))))).otherwise(v)
+    return corpus.check_vectors(c.withColumn("embedding", v), 64)
+
+
+@query("rg4_retrieve_topk", TOPK.replace("score,", "round(score, 6) AS score,", 1))
+def rg4(t):
+    c, q = vectors(t)
+    return corpus.retrieve_topk(q, c).withColumn("score", F.round("score", 6))
+
+
+@query("rg2_reject_unapproved", "SELECT doc_id, 'NOT_APPROVED' AS code FROM documents WHERE doc_id % 9 = 0")
+def rg2(t):
+    s = t.documents.select("doc_id", F.when(F.col("doc_id") % 9 != 0, "APPROVED").otherwise("DRAFT").alias("state"))
+    return corpus.reject_unapproved(s)[1].select("doc_id", "code")
+
+
+@query("rg5_retrieval_metrics", """SELECT round(avg(CASE WHEN o_orderkey % 4 = 0 THEN 1 WHEN o_orderkey % 3 = 0 THEN 0.5 ELSE 0 END), 6) AS recall, round(count(*) FILTER (o_orderkey % 3 = 0) / count(*), 6) AS citation_accuracy, round(sum(o_orderkey % 3) / sum(o_orderkey % 3 + o_orderkey % 2), 6) AS faithfulness, round(sum(o_orderkey % 2) / sum(o_orderkey % 3 + o_orderkey % 2), 6) AS unsupported_rate FROM orders""")
+def rg5(t):
+    k = F.col("o_orderkey")
+    none = F.array().cast("array<string>")
+    rows = t.orders.select(F.when(k % 4 == 0, none).otherwise(F.array(F.lit("a"), F.lit("b"))).alias("expected"), F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("a"))).otherwise(none).alias("retrieved"), F.array(F.lit("a")).alias("cited"), (k % 3).alias("supported"), (k % 2).alias("unsupported"))
+    out = corpus.retrieval_metrics(rows)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
+@query("rg6_check_citations", "SELECT event_id AS draft_id, 'c' || (event_id % 11) AS chunk_id FROM events WHERE event_id % 11 >= 5")
+def rg6(t):
+    d = t.events.select(F.col("event_id").alias("draft_id"), F.array(F.concat(F.lit("c"), (F.col("event_id") % 11).cast("string"))).alias("a"), F.array(F.lit("c0")).alias("b"))
+    r = t.events.select(F.col("event_id").alias("draft_id"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.concat(F.lit("c"), i.cast("string")))).alias("chunk_id"))
+    return corpus.check_citations(d, r, ["a", "b"])
+
+
+@query("sca_scan_sensitive", f"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(string_split_regex(text, '\\r?\\n')) AS text, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS line FROM documents), h AS (SELECT path, line, 'SECRET' AS kind, 'token' AS rule FROM l WHERE regexp_matches(text, 'token = "[0-9a-f]+"')
+UNION ALL SELECT DISTINCT path, line, 'FORBIDDEN_TOKEN', '{TOKEN[:12]}' FROM l WHERE list_contains(list_transform(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_-]+'), lambda x: lower(x)), 'license'))
+SELECT path, CAST(line AS INTEGER) AS line, kind, rule, substr(sha256(kind || chr(0) || rule || chr(0) || path || chr(0) || line), 1, 16) AS fingerprint FROM h""")
+def sca(t):
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    return corpus.scan_sensitive(docs, patterns={"token": 'token = "[0-9a-f]+"'}, forbidden=[TOKEN])

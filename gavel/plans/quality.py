@@ -1 +1,133 @@
-"""Queries."""
+"""Queries of metrics, calibration, impact and data audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import quality
+from .registry import query
+
+EXPECTED = """SELECT o_orderkey AS case_id, 'status' AS key, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 'large', CASE WHEN o_totalprice > 200000 THEN 'y' ELSE 'n' END FROM orders"""
+PREDICTED = f"""SELECT case_id, key, CASE WHEN case_id % 7 = 0 THEN concat(value, '?') ELSE value END AS value FROM ({EXPECTED}) q WHERE NOT (case_id % 5 = 0 AND key = 'status') UNION ALL SELECT o_orderkey, 'extra', 'x' FROM orders WHERE o_orderkey % 6 = 0"""
+CASES = """SELECT o_orderkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'O' THEN 'PASS' ELSE 'NOT_APPLICABLE' END AS expected, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 9 = 0 THEN 'REVIEW' WHEN o_orderkey % 10 = 3 THEN 'PASS' WHEN o_orderstatus = 'F' THEN 'FAIL' WHEN o_orderstatus = 'O' THEN 'PASS' ELSE 'NOT_APPLICABLE' END AS predicted FROM orders"""
+OBS = """SELECT doc_id, lang, (n_chars % 101) / 100e0 AS score, quality = 1 AS correct, CASE WHEN doc_id % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS proposed_outcome, CASE WHEN toxic = 1 THEN 'HIGH' ELSE 'LOW' END AS risk_level FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL"""
+COUNTS = f"""SELECT count(*) FILTER (e AND p AND want = got) AS tp, count(*) FILTER (p AND NOT coalesce(e AND want = got, false)) AS fp, count(*) FILTER (e AND NOT coalesce(p AND want = got, false)) AS fn, count(*) FILTER (e AND p IS NULL) AS missing, count(*) FILTER (p AND e IS NULL) AS hallucinated, count(*) FILTER (e) AS expected, count(*) FILTER (p) AS predicted
+FROM (SELECT case_id, key, value AS want, true AS e FROM ({EXPECTED})) FULL JOIN (SELECT case_id, key, value AS got, true AS p FROM ({PREDICTED})) USING (case_id, key)"""
+
+
+def rounded(df, *keep):
+    return df.select(*[c if c in keep else F.round(F.col(c).cast("double"), 6).alias(c) for c in df.columns])
+
+
+@query("bm1_extraction_counts", COUNTS)
+def bm1(t):
+    return quality.extraction_counts(t.sql(EXPECTED), t.sql(PREDICTED))
+
+
+@query("bm2_extraction_metrics", f"SELECT round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1, round(missing / expected, 6) AS missing_rate, round(hallucinated / predicted, 6) AS hallucination_rate FROM ({COUNTS})")
+def bm2(t):
+    return rounded(quality.extraction_metrics(bm1(t)))
+
+
+@query("bm3_finding_metrics", f"SELECT round(count(*) FILTER (e AND p) / count(*) FILTER (e), 6) AS sensitivity, round(count(*) FILTER (NOT e AND NOT p) / count(*) FILTER (NOT e), 6) AS specificity, round(count(*) FILTER (e AND NOT p) / count(*) FILTER (e), 6) AS false_negative_rate FROM (SELECT expected = 'FAIL' AS e, coalesce(predicted, 'REVIEW') = 'FAIL' AS p FROM ({CASES}))")
+def bm3(t):
+    return rounded(quality.finding_metrics(t.sql(CASES)))
+
+
+@query("bm4_macro_f1", f"SELECT round(sum(coalesce(2 * tp / nullif(2 * tp + off, 0), 0)) / 4, 6) AS macro_f1 FROM (SELECT o, count(*) FILTER (expected = o AND p = o) AS tp, count(*) FILTER ((expected = o) <> (p = o)) AS off FROM (SELECT expected, coalesce(predicted, 'REVIEW') AS p FROM ({CASES})), (VALUES ('FAIL'), ('REVIEW'), ('PASS'), ('NOT_APPLICABLE')) v(o) GROUP BY o)")
+def bm4(t):
+    return rounded(quality.macro_f1(t.sql(CASES)))
+
+
+@query("bm6_split_cases", "SELECT case_id, CASE WHEN h < 60 THEN 'train' WHEN h < 80 THEN 'calibration' ELSE 'test' END AS split FROM (SELECT o_orderkey AS case_id, CAST('0x' || substr(sha256('42|' || o_orderkey), 1, 8) AS BIGINT) % 100 AS h FROM orders)")
+def bm6(t):
+    return quality.split_cases(t.orders.select(F.col("o_orderkey").alias("case_id")))
+
+
+@query("bm7_latency_summary", "SELECT min(x) AS min, round(avg(x), 6) AS mean, quantile_disc(x, 0.95) AS p95, max(x) AS max FROM (SELECT event_id % 977 AS x FROM events)")
+def bm7(t):
+    return rounded(quality.latency_summary(t.events.select((F.col("event_id") % 977).alias("x")), "x").withColumn("p95", F.col("p95").cast("long")), "min", "p95", "max")
+
+
+@query("bm8_pipeline_report", f"SELECT count(*) FILTER (predicted = 'NOT_APPLICABLE') AS not_applicable, count(*) FILTER (predicted = 'PASS') AS pass, count(*) FILTER (predicted = 'REVIEW') AS review, count(*) FILTER (predicted = 'FAIL') AS fail, count(*) FILTER (expected = predicted) AS matched, round(count(*) FILTER (predicted = 'REVIEW') / count(*), 6) AS review_rate FROM ({CASES})")
+def bm8(t):
+    return rounded(quality.pipeline_report(t.sql(CASES)), "not_applicable", "pass", "review", "fail", "matched")
+
+
+BIN = "CAST(" + " + ".join(f"CASE WHEN score >= {i / 10} THEN 1 ELSE 0 END" for i in range(1, 10)) + " AS INTEGER)"
+
+
+@query("ca2_reliability_bins", f"SELECT lang, bin, coalesce(n, 0) AS n, coalesce(mean_score, 0) AS mean_score, coalesce(accuracy, 0) AS accuracy FROM (SELECT lang, CAST(b AS INTEGER) AS bin FROM (SELECT DISTINCT lang FROM ({OBS})), range(10) r(b)) LEFT JOIN (SELECT lang, {BIN} AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(CAST(correct AS DOUBLE)), 6) AS accuracy FROM ({OBS}) GROUP BY ALL) USING (lang, bin)")
+def ca2(t):
+    return rounded(quality.reliability_bins(t.sql(OBS), 10, "lang"), "lang", "bin", "n")
+
+
+CURVE = f"SELECT lang, score AS threshold, c / max(c) OVER (PARTITION BY lang) AS coverage, bad / c AS risk, CAST(c AS BIGINT) AS count FROM (SELECT lang, score, sum(n) OVER w AS c, sum(wrong) OVER w AS bad FROM (SELECT lang, score, count(*) AS n, count(*) FILTER (NOT correct) AS wrong FROM ({OBS}) GROUP BY ALL) WINDOW w AS (PARTITION BY lang ORDER BY score DESC))"
+
+
+@query("ca3_risk_coverage", f"SELECT lang, threshold, round(coverage, 6) AS coverage, round(risk, 6) AS risk, count FROM ({CURVE})")
+def ca3(t):
+    return rounded(quality.risk_coverage(t.sql(OBS), "lang"), "lang", "threshold", "count")
+
+
+@query("ca4_choose_threshold", f"SELECT lang, arg_max(threshold, struct_pack(a := coverage, b := -threshold)) AS threshold, round(max(coverage), 6) AS coverage FROM ({CURVE}) WHERE count >= 10 AND risk <= 0.2 GROUP BY lang")
+def ca4(t):
+    return rounded(quality.choose_threshold(quality.risk_coverage(t.sql(OBS), "lang"), 0.2, 10, "lang"), "lang", "threshold")
+
+
+@query("ca7_apply_calibration", f"SELECT doc_id, CASE WHEN lang = 'es' THEN 'NO_PROFILE' WHEN lang = 'fr' THEN 'INSUFFICIENT_SAMPLES' WHEN proposed_outcome = 'PASS' AND risk_level = 'HIGH' THEN 'HIGH_RISK_PASS_BLOCKED' WHEN score < 0.4 THEN 'BELOW_THRESHOLD' ELSE 'ALLOW' END AS decision FROM ({OBS})")
+def ca7(t):
+    rows = quality.apply_calibration(t.sql(OBS), F.col("lang") != "es", F.when(F.col("lang") == "fr", 3).otherwise(100), 20, F.lit(0.4))
+    return rows.select("doc_id", "decision")
+
+
+IMPACT = f"SELECT case_id, expected AS before, coalesce(predicted, 'REVIEW') AS after FROM ({CASES})"
+
+
+@query("rt4_impact", f"SELECT case_id, before, after, array_to_string(list_filter([CASE WHEN before <> after THEN 'OUTCOME_CHANGED' END, CASE WHEN after = 'REVIEW' AND before <> 'REVIEW' THEN 'NEW_REVIEW' END, CASE WHEN before IN ('FAIL', 'REVIEW') AND after IN ('PASS', 'NOT_APPLICABLE') THEN 'POSSIBLE_FALSE_CONFORMITY' END, CASE WHEN before = after THEN 'UNCHANGED' END], lambda x: x IS NOT NULL), ',') AS labels FROM ({IMPACT})")
+def rt4(t):
+    return impacts(t).withColumn("labels", F.concat_ws(",", "labels"))
+
+
+def impacts(t):
+    c = t.sql(CASES)
+    return quality.impact(c.select("case_id", F.col("expected").alias("outcome")), c.select("case_id", F.coalesce("predicted", F.lit("REVIEW")).alias("outcome")), "case_id")
+
+
+@query("rt5_impact_summary", f"SELECT count(*) AS total, count(*) FILTER (before <> after) AS changed, count(*) FILTER (after = 'REVIEW' AND before <> 'REVIEW') AS new_review, count(*) FILTER (before IN ('FAIL', 'REVIEW') AND after IN ('PASS', 'NOT_APPLICABLE')) AS possible_false_conformity, count(*) FILTER (before = after) AS unchanged FROM ({IMPACT})")
+def rt5(t):
+    return quality.impact_summary(impacts(t))
+
+
+@query("dq1_collection_counts", "SELECT o_orderkey AS id, o_orderkey % 8 AS expected, coalesce(n, 0) AS found, coalesce(n, 0) = o_orderkey % 8 AS matches FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey")
+def dq1(t):
+    return quality.collection_counts(t.lineitem.select(F.col("l_orderkey").alias("id")), t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 8).alias("expected")), "id")
+
+
+@query("dq2_duplicate_ids", "SELECT l_orderkey, l_linenumber, count(*) - 1 AS issues FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def dq2(t):
+    return quality.duplicate_ids(t.lineitem, "l_orderkey", "l_linenumber")
+
+
+REF = "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN l_partkey + 100000000 ELSE l_partkey END AS ref FROM lineitem"
+
+
+@query("dq3_missing_references", f"SELECT ref, l_orderkey, l_linenumber FROM ({REF}) WHERE ref NOT IN (SELECT p_partkey FROM part)")
+def dq3(t):
+    return quality.missing_references(t.sql(REF), "ref", t.part, "p_partkey")
+
+
+@query("dq4_relationship_check", f"SELECT l_linenumber, count(*) AS total, count(p_partkey) AS resolved, count(*) - count(p_partkey) AS missing FROM ({REF}) LEFT JOIN part ON p_partkey = ref GROUP BY l_linenumber")
+def dq4(t):
+    return quality.relationship_check(t.sql(REF), "ref", t.part, "p_partkey", "l_linenumber")
+
+
+@query("dq5_completeness", """SELECT lang, field, state, count(*) AS n FROM (SELECT lang, 'text' AS field, CASE WHEN text IS NULL THEN 'MISSING' WHEN length(trim(text)) = 0 THEN 'INVALID' ELSE 'COMPLETE' END AS state FROM documents UNION ALL SELECT lang, 'source', CASE WHEN source IS NULL THEN 'MISSING' WHEN source IN ('src0', 'src1') THEN 'INVALID' ELSE 'COMPLETE' END FROM documents UNION ALL SELECT lang, 'n_chars', CASE WHEN n_chars IS NULL THEN 'MISSING' WHEN n_chars <= 500 THEN 'INVALID' ELSE 'COMPLETE' END FROM documents) GROUP BY ALL""")
+def dq5(t):
+    c = F.col
+    return quality.completeness(t.documents, {"text": (c("text").isNotNull(), F.length(F.trim("text")) > 0), "source": (c("source").isNotNull(), ~c("source").isin("src0", "src1")), "n_chars": (c("n_chars").isNotNull(), c("n_chars") > 500)}, "lang")
+
+
+@query("dq6_map_outcomes", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'PASS' WHEN 'error' THEN 'FAIL' ELSE 'REVIEW' END AS outcome, event_type NOT IN ('signup', 'error') AS unmapped FROM events")
+def dq6(t):
+    return quality.map_outcomes(t.events, "event_type", {"signup": "PASS", "error": "FAIL"}).select("event_id", "outcome", "unmapped")
