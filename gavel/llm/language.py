@@ -114,7 +114,7 @@ class Profiles:
         code = lambda g: reduce(lambda a, b: (a << int(self.bits)) | b, [number[c] for c in g])
         ranks = {n: {code(g): r for r, g in enumerate(profiles[n])} for n in self.names}
         self.codes = np.array(sorted({c for r in ranks.values() for c in r} or {0}), np.uint64)
-        self.ranks = np.array([[r.get(int(c), self.size) for c in self.codes] + [self.size] for r in ranks.values()], np.int32).reshape(len(self.names), -1)
+        self.ranks = np.array([[r.get(int(c), self.size) for c in self.codes] + [self.size] for r in ranks.values()], np.int32).reshape(len(self.names), len(self.codes) + 1)
 
     def classify(self, texts: list[str]) -> tuple[list[str], list[float]]:
         points, rows = letters(texts)
