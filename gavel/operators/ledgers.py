@@ -139,3 +139,43 @@ def append_idempotent(history_: DataFrame, records: DataFrame, by: list[str], or
     both = history_.withColumn("_new", F.lit(False)).unionByName(records.withColumn("_new", F.lit(True)))
     rows = both.withColumns({"_n": F.row_number().over(w), "_first": F.first(request).over(w)}).where("_new")
     return rows.withColumn("status", F.when(F.col("_n") == 1, "CREATED").when(F.col(request) == F.col("_first"), "REPLAYED").otherwise("CONFLICT")).drop("_n", "_first", "_new")
+
+
+def upsert(existing: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of both, the new one winning for a key; of several new ones the one of the greatest ``written``."""
+    both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    w = Window.partitionBy(*by).orderBy(F.desc("_new"), F.desc("written"))
+    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
+
+
+def append_decisions(ledger: DataFrame, new: DataFrame, runs: DataFrame, run: str = "run_id") -> DataFrame:
+    """Adds ``status`` to new decisions: ACCEPTED, or why not.  One new decision for a run at a time."""
+    last = ledger.groupBy(run).agg(F.max("sequence").alias("_last"), F.max_by("content_hash", "sequence").alias("_hash"))
+    rows = new.join(runs.select(run, F.col("run_hash").alias("_run_hash")), run, "left").join(last, run, "left")
+    status = (
+        F.when(F.col("_run_hash").isNull(), "RUN_NOT_FOUND").when(F.col("run_hash") != F.col("_run_hash"), "RUN_HASH_MISMATCH")
+        .when(F.col("sequence") != F.coalesce("_last", F.lit(0)) + 1, "SEQUENCE_MISMATCH").when(~F.col("previous_hash").eqNullSafe(F.col("_hash")), "PREVIOUS_HASH_MISMATCH").otherwise("ACCEPTED")
+    )
+    return rows.withColumn("status", status).drop("_run_hash", "_last", "_hash")
+
+
+def review_queue(findings: DataFrame, decisions: DataFrame, by: list[str]) -> DataFrame:
+    """Each finding PENDING or REVIEWED, by its last decision; ``rationale_missing`` where a critical
+    finding was not confirmed and no reason is given."""
+    last = decisions.groupBy(*by).agg(F.max_by(F.struct("decision", "rationale"), "sequence").alias("d"))
+    rows = findings.join(last, by, "left")
+    return rows.select(*findings.columns, F.when(F.col("d").isNull(), "PENDING").otherwise("REVIEWED").alias("status"), F.coalesce((F.col("risk") == "CRITICAL") & (F.col("d.decision") != "CONFIRM") & (F.coalesce(F.trim("d.rationale"), F.lit("")) == ""), F.lit(False)).alias("rationale_missing"))
+
+
+def claimable_jobs(jobs: DataFrame, claims: DataFrame) -> DataFrame:
+    """REPLAY for claims of finished jobs, CLAIMED for the first claim on the expected version, else LOST."""
+    w = Window.partitionBy("job_id", "expected_version").orderBy("at", "claim_id")
+    rows = claims.withColumn("_n", F.row_number().over(w)).join(jobs, "job_id")
+    return rows.select("claim_id", "job_id", F.when(F.col("job_status").isin("SUCCEEDED", "FAILED"), "REPLAY").when((F.col("expected_version") == F.col("version")) & (F.col("_n") == 1), "CLAIMED").otherwise("LOST").alias("status"))
+
+
+def run_source_consistency(runs: DataFrame, packs: DataFrame) -> DataFrame:
+    """``(run_id, code)`` where a run's pack is missing or its source hash is another."""
+    rows = runs.join(packs.select("pack_id", F.col("source_hash").alias("_pack_hash")), "pack_id", "left")
+    code = F.when(F.col("_pack_hash").isNull(), "PACK_MISSING").when(F.col("source_hash") != F.col("_pack_hash"), "SOURCE_HASH_MISMATCH")
+    return rows.select("run_id", code.alias("code")).where("code is not null")

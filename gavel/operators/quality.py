@@ -152,3 +152,69 @@ def map_outcomes(rows: DataFrame, label: str, mapping: dict[str, str]) -> DataFr
     table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
     found = F.try_element_at(table, F.col(label))
     return rows.withColumns({"outcome": F.coalesce(found, F.lit("REVIEW")), "unmapped": found.isNull()})
+
+
+def observations(cases: DataFrame, predictions: DataFrame, case: str = "case_id") -> DataFrame:
+    """Whether each case's prediction is right; a missing prediction proposes REVIEW."""
+    rows = cases.join(predictions, case, "left")
+    proposed = F.coalesce("predicted", F.lit("REVIEW"))
+    return rows.select(case, "split", "score", (proposed == F.col("expected")).alias("correct"), proposed.alias("proposed_outcome"), "risk_level")
+
+
+def fit_profile(observations_: DataFrame, max_risk: float, min_samples: int, *by: str) -> DataFrame:
+    """Samples and threshold of each group, from its calibration split; no threshold under too few samples."""
+    rows = observations_.where("split = 'calibration'")
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("samples"))
+    chosen = choose_threshold(risk_coverage(rows, *by), max_risk, min_samples, *by).select(*by, "threshold")
+    return sizes.join(chosen, list(by), "left")
+
+
+def select_profile(requests: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``(request_id, profile_id)``: the first profile of the request's fact key if it can be used, else
+    the first without a key if that can, else none.  Only the first of each tier counts."""
+    w = Window.partitionBy("model", "fact_key").orderBy("ordinal")
+    first = profiles.withColumn("_n", F.row_number().over(w)).where("_n = 1")
+    own = first.where("fact_key is not null").select("model", "fact_key", F.when(F.col("usable"), F.col("profile_id")).alias("own"))
+    any_ = first.where("fact_key is null").select("model", F.when(F.col("usable"), F.col("profile_id")).alias("any"))
+    return requests.join(own, ["model", "fact_key"], "left").join(any_, "model", "left").select("request_id", F.coalesce("own", "any").alias("profile_id"))
+
+
+def gate(results: DataFrame, missing: DataFrame, *by: str) -> DataFrame:
+    """Whether all tests of a version pass and no coverage is missing, with the numbers of both."""
+    r = results.groupBy(*by).agg(F.count_if(~F.col("passed")).alias("failures"))
+    m = missing.groupBy(*by).agg(F.count("*").alias("missing"))
+    rows = r.join(m, list(by), "full_outer").select(*by, F.coalesce("failures", F.lit(0)).alias("failures"), F.coalesce("missing", F.lit(0)).alias("missing"))
+    return rows.withColumn("ready", (F.col("failures") == 0) & (F.col("missing") == 0))
+
+
+def coverage(rules: DataFrame, required: list[str], results: DataFrame) -> DataFrame:
+    """``(rule_id, tag)`` of required tags that no passed test of the rule has; ``results``: rule_id, tags, passed."""
+    wanted = rules.select("rule_id", F.explode(F.array(*map(F.lit, required))).alias("tag"))
+    seen = results.where("passed").select("rule_id", F.explode("tags").alias("tag")).distinct()
+    return wanted.join(seen, ["rule_id", "tag"], "left_anti")
+
+
+def audit_summary(files: DataFrame) -> DataFrame:
+    """Files, bytes, numbers by severity, and a hash of all content in the order of paths.  Hashes are
+    joined within 256 groups of paths first, so the last step sees 256 rows."""
+    group = F.substring(F.sha2("path", 256), 1, 2)
+    part = files.groupBy(group.alias("g")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "content_sha"))), lambda x: x["content_sha"]), ""), 256).alias("h"))
+    whole = part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ""), 256).alias("corpus_sha"))
+    sums = files.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), *[F.count_if(F.col("severity") == s).alias(s.lower()) for s in ("VALID", "WARNING", "ERROR")])
+    return sums.withColumn("_k", F.lit(1)).join(whole.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def budget_check(files: DataFrame, max_bytes: int, *by: str, max_files: int, max_total: int) -> DataFrame:
+    """``(by, code, n)``: files over their limit, and groups with too many files or bytes."""
+    sums = files.groupBy(*by).agg(F.count_if(F.col("bytes") > max_bytes).alias("large"), F.count("*").alias("files"), F.sum("bytes").alias("total"))
+    codes = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(code).alias("code"), n.cast("long").alias("n"))) for code, c, n in (
+        ("FILE_TOO_LARGE", F.col("large") > 0, F.col("large")), ("TOO_MANY_FILES", F.col("files") > max_files, F.col("files")), ("TOO_MANY_BYTES", F.col("total") > max_total, F.col("total")),
+    )]))
+    return sums.select(*by, F.explode(codes).alias("c")).select(*by, "c.*")
+
+
+def stale_sources(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """``(path, code)`` of sources marked stale, and of those whose file does not exist."""
+    marked = sources.where("stale")
+    gone = marked.join(files.select("path"), "path", "left_anti").select("path", F.lit("STALE_FILE_MISSING").alias("code"))
+    return marked.select("path", F.lit("STALE_SOURCE").alias("code")).unionByName(gone)

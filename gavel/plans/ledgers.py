@@ -106,3 +106,42 @@ def au6(t):
 def snk2(t):
     r = t.events.select("event_id", F.col("user_id").alias("scope"), F.get_json_object("props", "$.k").alias("key"), F.sha2("event_type", 256).alias("request_hash"), "ts")
     return ledgers.append_idempotent(r.limit(0), r, ["scope", "key"], ["ts", "event_id"]).select("event_id", "status")
+
+
+@query("snk1_upsert_chunks", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS content, CASE WHEN doc_id % 3 = 0 THEN 20 ELSE 1 END AS written FROM documents UNION ALL SELECT doc_id + 1000000000, 'new', 20 FROM documents WHERE doc_id % 3 = 0")
+def snk1(t):
+    old = t.documents.select("doc_id", F.lit("old").alias("content"), F.lit(1).alias("written"))
+    third = t.documents.where("doc_id % 3 = 0")
+    new = third.select("doc_id", F.explode(F.array(F.struct(F.lit("mid").alias("content"), F.lit(10).alias("written")), F.struct(F.lit("new").alias("content"), F.lit(20).alias("written")))).alias("x")).select("doc_id", "x.*")
+    return ledgers.upsert(old, new.unionByName(new.withColumn("doc_id", F.col("doc_id") + 1_000_000_000)), ["doc_id"])
+
+
+@query("snk3_append_decisions", f"SELECT user_id AS run_id, CASE WHEN user_id % 7 = 0 THEN 'RUN_NOT_FOUND' WHEN user_id % 5 = 0 THEN 'RUN_HASH_MISMATCH' WHEN user_id % 3 = 0 THEN 'SEQUENCE_MISMATCH' WHEN user_id % 2 = 0 THEN 'PREVIOUS_HASH_MISMATCH' ELSE 'ACCEPTED' END AS status FROM (SELECT DISTINCT user_id FROM events)")
+def snk3(t):
+    ledger = t.sql(CHAIN)
+    last = ledger.groupBy("run_id").agg(F.max("sequence").alias("n"), F.max_by("content_hash", "sequence").alias("h"))
+    u = F.col("run_id")
+    new = last.select("run_id", F.when(u % 5 == 0, "other").otherwise("hash").alias("run_hash"), F.when(u % 3 == 0, F.col("n")).otherwise(F.col("n") + 1).alias("sequence"), F.when(u % 2 == 0, F.lit("x")).otherwise(F.col("h")).alias("previous_hash"))
+    runs = last.where("run_id % 7 <> 0").select("run_id", F.lit("hash").alias("run_hash"))
+    return ledgers.append_decisions(ledger, new, runs).select("run_id", "status")
+
+
+@query("au5_review_queue", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'CRITICAL' ELSE 'LOW' END AS risk, CASE WHEN o_orderkey % 4 = 0 THEN 'PENDING' ELSE 'REVIEWED' END AS status, o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 AS rationale_missing FROM orders")
+def au5(t):
+    k = F.col("o_orderkey")
+    f = t.orders.select("o_orderkey", F.when(k % 3 == 0, "CRITICAL").otherwise("LOW").alias("risk"))
+    d = t.orders.where("o_orderkey % 4 <> 0").select("o_orderkey", F.lit(2).alias("sequence"), F.when(k % 5 == 0, "CONFIRM").otherwise("OVERRIDE").alias("decision"), F.when(k % 2 == 0, " ").otherwise("why").alias("rationale"))
+    return ledgers.review_queue(f, d.unionByName(d.withColumns({"sequence": F.lit(1), "decision": F.lit("CONFIRM")})), ["o_orderkey"])
+
+
+@query("au7_claimable_jobs", "SELECT event_id AS claim_id, user_id AS job_id, CASE WHEN user_id % 4 = 0 THEN 'REPLAY' WHEN event_id % 3 = user_id % 3 AND n = 1 THEN 'CLAIMED' ELSE 'LOST' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) AS n FROM events)")
+def au7(t):
+    claims = t.events.select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("job_id"), (F.col("event_id") % 3).alias("expected_version"), F.col("ts").alias("at"))
+    jobs = claims.select("job_id").distinct().select("job_id", (F.col("job_id") % 3).alias("version"), F.when(F.col("job_id") % 4 == 0, "SUCCEEDED").otherwise("QUEUED").alias("job_status"))
+    return ledgers.claimable_jobs(jobs, claims)
+
+
+@query("au8_run_source_consistency", "SELECT o_orderkey AS run_id, CASE WHEN o_custkey % 11 = 0 THEN 'PACK_MISSING' ELSE 'SOURCE_HASH_MISMATCH' END AS code FROM orders WHERE o_custkey % 11 = 0 OR o_orderkey % 6 = 0")
+def au8(t):
+    runs = t.orders.select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("pack_id"), F.when(F.col("o_orderkey") % 6 == 0, "bad").otherwise("good").alias("source_hash"))
+    return ledgers.run_source_consistency(runs, runs.where("pack_id % 11 <> 0").select("pack_id", F.lit("good").alias("source_hash")).distinct())

@@ -131,3 +131,55 @@ def dq5(t):
 @query("dq6_map_outcomes", "SELECT event_id, CASE event_type WHEN 'signup' THEN 'PASS' WHEN 'error' THEN 'FAIL' ELSE 'REVIEW' END AS outcome, event_type NOT IN ('signup', 'error') AS unmapped FROM events")
 def dq6(t):
     return quality.map_outcomes(t.events, "event_type", {"signup": "PASS", "error": "FAIL"}).select("event_id", "outcome", "unmapped")
+
+
+SPLIT = "CASE WHEN doc_id % 5 < 3 THEN 'calibration' ELSE 'test' END"
+
+
+@query("ca1_observations", f"SELECT case_id, 'test' AS split, 0.5 AS score, coalesce(predicted, 'REVIEW') = expected AS correct, coalesce(predicted, 'REVIEW') AS proposed_outcome, 'LOW' AS risk_level FROM ({CASES})".replace("0.5 AS score", "0.5::DOUBLE AS score"))
+def ca1(t):
+    c = t.sql(CASES)
+    return quality.observations(c.select("case_id", "expected", F.lit("test").alias("split"), F.lit(0.5).alias("score"), F.lit("LOW").alias("risk_level")), c.where("predicted is not null").select("case_id", "predicted"))
+
+
+@query("ca5_fit_profile", "WITH o AS (SELECT * FROM (" + OBS + f") WHERE {SPLIT} = 'calibration'), c AS (" + CURVE.replace(f"({OBS})", "o") + ") SELECT lang, samples, threshold FROM (SELECT lang, count(*) AS samples FROM o GROUP BY lang) LEFT JOIN (SELECT lang, arg_max(threshold, struct_pack(a := coverage, b := -threshold)) AS threshold FROM c WHERE count >= 5 AND risk <= 0.2 GROUP BY lang) USING (lang)")
+def ca5(t):
+    return quality.fit_profile(t.sql(OBS).withColumn("split", F.expr(SPLIT)), 0.2, 5, "lang")
+
+
+PROFILES = "SELECT s_suppkey AS profile_id, s_nationkey % 5 AS model, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey % 7 END AS fact_key, s_suppkey AS ordinal, s_suppkey % 4 <> 0 AS usable FROM supplier"
+
+
+@query("ca6_select_profile", f"WITH f AS (SELECT * FROM ({PROFILES}) QUALIFY row_number() OVER (PARTITION BY model, fact_key ORDER BY ordinal) = 1) SELECT c_custkey AS request_id, coalesce(CASE WHEN a.usable THEN a.profile_id END, CASE WHEN b.usable THEN b.profile_id END) AS profile_id FROM customer LEFT JOIN f a ON a.model = c_nationkey % 5 AND a.fact_key = c_custkey % 9 LEFT JOIN f b ON b.model = c_nationkey % 5 AND b.fact_key IS NULL")
+def ca6(t):
+    r = t.customer.select(F.col("c_custkey").alias("request_id"), (F.col("c_nationkey") % 5).alias("model"), (F.col("c_custkey") % 9).alias("fact_key"))
+    return quality.select_profile(r, t.sql(PROFILES))
+
+
+@query("rt2_coverage", "SELECT CAST(u AS VARCHAR) AS rule_id, t AS tag FROM (SELECT DISTINCT user_id AS u FROM events), (VALUES ('signup'), ('error'), ('view')) v(t) WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u AND e.event_type = t AND event_id % 40 = 1)")
+def rt2(t):
+    r = t.events.select(F.col("user_id").cast("string").alias("rule_id"), F.array("event_type").alias("tags"), (F.col("event_id") % 40 == 1).alias("passed"))
+    return quality.coverage(r.select("rule_id").distinct(), ["signup", "error", "view"], r)
+
+
+@query("rt3_gate", "SELECT coalesce(a.version, b.version) AS version, coalesce(failures, 0) AS failures, coalesce(missing, 0) AS missing, coalesce(failures, 0) = 0 AND coalesce(missing, 0) = 0 AS ready FROM (SELECT user_id AS version, count(*) FILTER (event_id % 40 = 0) AS failures FROM events GROUP BY ALL) a FULL JOIN (SELECT c_custkey AS version, count(*) AS missing FROM customer WHERE c_custkey % 7 = 0 GROUP BY ALL) b ON a.version = b.version")
+def rt3(t):
+    r = t.events.select(F.col("user_id").alias("version"), (F.col("event_id") % 40 != 0).alias("passed"))
+    return quality.gate(r, t.customer.where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("version")), "version")
+
+
+@query("dq7_audit_summary", "WITH f AS (SELECT CAST(doc_id AS VARCHAR) AS path, sha256(coalesce(text, '')) AS c, n_chars, doc_id FROM documents), g AS (SELECT substr(sha256(path), 1, 2) AS g, sha256(string_agg(c, '' ORDER BY path)) AS h FROM f GROUP BY ALL) SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, count(*) FILTER (doc_id % 10 > 1) AS valid, count(*) FILTER (doc_id % 10 = 1) AS warning, count(*) FILTER (doc_id % 10 = 0) AS error, (SELECT sha256(string_agg(h, '' ORDER BY g)) FROM g) AS corpus_sha FROM f")
+def dq7(t):
+    k = F.col("doc_id") % 10
+    return quality.audit_summary(t.documents.select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_sha"), F.col("n_chars").alias("bytes"), F.when(k == 0, "ERROR").when(k == 1, "WARNING").otherwise("VALID").alias("severity")))
+
+
+@query("dq8_stale_sources", "SELECT CAST(doc_id AS VARCHAR) AS path, 'STALE_SOURCE' AS code FROM documents WHERE doc_id % 6 = 0 UNION ALL SELECT CAST(doc_id AS VARCHAR), 'STALE_FILE_MISSING' FROM documents WHERE doc_id % 6 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def dq8(t):
+    s = t.documents.select(F.col("doc_id").cast("string").alias("path"), (F.col("doc_id") % 6 == 0).alias("stale"))
+    return quality.stale_sources(s, t.labels.select(F.col("doc_id").cast("string").alias("path")))
+
+
+@query("dq9_budget_check", "WITH s AS (SELECT source, count(*) FILTER (n_chars > 10000) AS large, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS total FROM documents GROUP BY source) SELECT source, 'FILE_TOO_LARGE' AS code, large AS n FROM s WHERE large > 0 UNION ALL SELECT source, 'TOO_MANY_FILES', files FROM s WHERE files > 45 UNION ALL SELECT source, 'TOO_MANY_BYTES', total FROM s WHERE total > 110000")
+def dq9(t):
+    return quality.budget_check(t.documents.select("source", F.col("n_chars").alias("bytes")), 10_000, "source", max_files=45, max_total=110_000)
