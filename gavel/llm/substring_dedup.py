@@ -40,6 +40,7 @@ assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 BUCKET_BYTES, HELD = 16 << 20, 3_000_000
 DEALT = "bucket int, passed boolean, hashes binary, docs binary, counts binary, ats binary, marks binary"
 FOUND = "doc long, variant long, ats binary"
+PACKED = "bucket int, docs binary, counts binary, ats binary"
 LAST = 2**63 - 1
 
 
@@ -57,7 +58,7 @@ def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-def _send(bucket: np.ndarray, buckets: int, h: np.ndarray, doc: np.ndarray, variant: np.ndarray, at: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+def _send(bucket: np.ndarray, width: int, h: np.ndarray, doc: np.ndarray, variant: np.ndarray, at: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
     """One row for each bucket; within it the records are in document order, and a
     document is written once with its number of records."""
     order = np.lexsort((at, variant, doc, bucket))
@@ -67,16 +68,26 @@ def _send(bucket: np.ndarray, buckets: int, h: np.ndarray, doc: np.ndarray, vari
     first = np.flatnonzero(new)
     used = np.unique(bucket)
     ends, doc_ends = np.searchsorted(bucket, used, "right"), np.searchsorted(bucket[first], used, "right")
-    counts = np.diff(first, append=len(doc)).astype(np.uint32)
+    counts = np.diff(first, append=len(doc)).astype("<u4")
     ids = np.column_stack([doc[first], variant[first]])
     return pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), pa.array(np.zeros(len(used), bool)), _sliced(_packed(h), ends), _sliced(ids.view("V16").ravel(), doc_ends), _sliced(counts, doc_ends), _sliced(at.astype(np.uint32), ends), _sliced(mark.astype(np.uint8), ends)],
+        [pa.array(used, pa.int32()), pa.array(np.zeros(len(used), bool)), _planes(h.astype("<u8"), ends, width), _sliced(ids.view("V16").ravel(), doc_ends), _planes(counts, doc_ends, 4), _planes(at.astype("<u4"), ends, 4), _sliced(mark.astype(np.uint8), ends)],
         names=[c.split()[0] for c in DEALT.split(", ")],
     )
 
 
-def _packed(h: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(h, "<u8")
+def _planes(data: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
+    """The ``width`` low bytes of each number, byte by byte, cut at ``ends``: bytes that are
+    mostly zero stand together, where the shuffle's compression removes them."""
+    low = np.ascontiguousarray(data).view(np.uint8).reshape(len(data), -1)[:, :width]
+    return pa.array([low[a:b].T.tobytes() for a, b in zip([0, *ends[:-1]], ends)], pa.binary())
+
+
+def _unplaned(data: bytes, width: int, dtype: str) -> np.ndarray:
+    n = len(data) // width
+    out = np.zeros((n, np.dtype(dtype).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
+    return out.view(dtype).ravel()
 
 
 def _pass_on(doc: np.ndarray, variant: np.ndarray, at: np.ndarray, buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
@@ -91,21 +102,55 @@ def _pass_on(doc: np.ndarray, variant: np.ndarray, at: np.ndarray, buckets: int,
         )
 
 
-def _by_document(doc: np.ndarray, variant: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Findings as one row for each document."""
-    if not len(doc):
-        return
-    order = np.lexsort((variant, doc))
-    doc, variant, at = doc[order], variant[order], at[order].astype(np.uint32)
+def _runs(doc: np.ndarray, variant: np.ndarray) -> np.ndarray:
+    """Starts of runs of one document."""
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1])
-    first = np.flatnonzero(new)
-    yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(variant[first]), _sliced(at, np.append(first[1:], len(doc)))], names=["doc", "variant", "ats"])
+    return np.flatnonzero(new)
 
 
-def _deal(rows: DataFrame, make, settle, buckets: int) -> DataFrame:
+def _back(doc: np.ndarray, variant: np.ndarray, at: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Findings on their way back to their documents: one row for each bucket of documents."""
+    if not len(doc):
+        return
+    bucket = ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((at, variant, doc, bucket))
+    bucket, doc, variant, at = bucket[order], doc[order], variant[order], at[order].astype("<u4")
+    first = _runs(doc, variant)
+    used = np.unique(bucket)
+    ends, doc_ends = np.searchsorted(bucket, used, "right"), np.searchsorted(bucket[first], used, "right")
+    counts = np.diff(first, append=len(doc)).astype("<u4")
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), _sliced(np.column_stack([doc[first], variant[first]]).view("V16").ravel(), doc_ends), _planes(counts, doc_ends, 4), _planes(at, ends, 4)], names=["bucket", "docs", "counts", "ats"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All findings of a document in one row; a bucket's rows come together."""
+    held: list[tuple[np.ndarray, ...]] = []
+    bucket = None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if held:
+            doc, variant, at = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((variant, doc))
+            doc, variant, at = doc[order], variant[order], at[order]
+            first = _runs(doc, variant)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(variant[first]), _sliced(at, np.append(first[1:], len(doc)))], names=["doc", "variant", "ats"])
+
+    for batch in batches:
+        for b, d, c, a in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if b != bucket:
+                yield from close()
+                bucket = b
+            ids, counts = np.frombuffer(d, "<i8").reshape(-1, 2), _unplaned(c, 4, "<u4")
+            held.append((np.repeat(ids[:, 0], counts), np.repeat(ids[:, 1], counts), _unplaned(a, 4, "<u4")))
+    yield from close()
+
+
+def _deal(rows: DataFrame, make, settle, buckets: int, width: int = 8) -> DataFrame:
     """``make`` turns batches into arrays (hash, doc, variant, at); ``settle`` splits the
-    sorted records of equal hashes into those found already, those to send, and marks."""
+    sorted records of equal hashes into those found already, those to send, and marks.
+    Within a bucket ``width`` bytes of a hash are told apart."""
 
     def outgoing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -121,7 +166,7 @@ def _deal(rows: DataFrame, make, settle, buckets: int) -> DataFrame:
             found, send, mark = settle(h, doc, None)
             yield from _pass_on(doc[found], variant[found], at[found], buckets, turn)
             turn += int(h[0] % np.uint64(buckets)) + 1
-            yield _send((h[send] % np.uint64(buckets)).astype(np.int32), buckets, h[send] // np.uint64(buckets), doc[send], variant[send], at[send], mark[send])
+            yield _send((h[send] % np.uint64(buckets)).astype(np.int32), width, h[send] // np.uint64(buckets), doc[send], variant[send], at[send], mark[send])
 
         for part in make(batches):
             if len(part[0]):
@@ -134,8 +179,14 @@ def _deal(rows: DataFrame, make, settle, buckets: int) -> DataFrame:
 
     def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        done: list[tuple[np.ndarray, ...]] = []  # findings to go back, together
         bucket = None
 
+        def back(least: int) -> Iterator[pa.RecordBatch]:
+            if sum(len(x[0]) for x in done) > least:
+                yield from _back(*(np.concatenate(x) for x in zip(*done)), buckets)
+                done.clear()
+
         def close() -> Iterator[pa.RecordBatch]:
             if held:
                 h, doc, variant, at, mark = (np.concatenate(x) for x in zip(*held))
@@ -143,24 +194,26 @@ def _deal(rows: DataFrame, make, settle, buckets: int) -> DataFrame:
                 h, doc, variant, at, mark = h[order], doc[order], variant[order], at[order], mark[order]
                 found, _, _ = settle(h, doc, mark)
                 found &= mark == 0
-                yield from _by_document(doc[found], variant[found], at[found])
+                done.append((doc[found], variant[found], at[found]))
                 held.clear()
+            yield from back(HELD // 4)
 
         for batch in batches:
             for b, passed, h, d, c, a, m in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 ids = np.frombuffer(d, "<i8").reshape(-1, 2)
-                at = np.frombuffer(a, "<u4")
                 if passed:
-                    yield from _by_document(ids[:, 0], ids[:, 1], at)
+                    done.append((ids[:, 0], ids[:, 1], np.frombuffer(a, "<u4")))
                     continue
                 if b != bucket:
                     yield from close()
                     bucket = b
-                counts = np.frombuffer(c, "<u4")
-                held.append((np.frombuffer(h, "<u8"), np.repeat(ids[:, 0], counts), np.repeat(ids[:, 1], counts), at, np.frombuffer(m, np.uint8)))
+                counts = _unplaned(c, 4, "<u4")
+                held.append((_unplaned(h, width, "<u8"), np.repeat(ids[:, 0], counts), np.repeat(ids[:, 1], counts), _unplaned(a, 4, "<u4"), np.frombuffer(m, np.uint8)))
         yield from close()
+        yield from back(0)
 
-    return rows.mapInArrow(outgoing, DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settled, FOUND)
+    by_bucket = lambda x: x.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return by_bucket(by_bucket(rows.mapInArrow(outgoing, DEALT)).mapInArrow(settled, PACKED)).mapInArrow(_by_document, FOUND)
 
 
 def _shared(h: np.ndarray, doc: np.ndarray, mark: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -224,9 +277,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = df.select(*[F.col(c).alias(inner[c]) for c in df.columns]).withColumns({"doc": F.coalesce(F.col(inner[doc_id]).cast("long"), F.lit(LAST)), "variant": F.xxhash64(inner[text])})
     texts = lambda x: x.withColumnRenamed(inner[text], "text")
 
-    shared = _deal(texts(rows).select("doc", "text"), _anchors, _shared, buckets)
+    shared = _deal(texts(rows).select("doc", "text"), _anchors, _shared, buckets, width=6)  # whole windows are compared next
     per_doc = lambda x: x.groupBy("doc").agg(F.collect_list(F.struct("variant", "ats")).alias("found"))
-    near = texts(rows.join(per_doc(shared), "doc")).select("doc", "variant", "text", "found")
+    # With all columns, so that both joins read one shuffle of the texts.
+    near = texts(rows.join(per_doc(shared), "doc"))
     later = _deal(near, _windows, _later, buckets)
 
     new = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
