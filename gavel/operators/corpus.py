@@ -74,3 +74,12 @@ def scan_sensitive(docs: DataFrame, path: str = "path", content: str = "content"
     banned = words.where(token_hash(F.col("word")).isin(forbidden or [])).select("path", "line", F.lit("FORBIDDEN_TOKEN").alias("kind"), F.substring(token_hash(F.col("word")), 1, 12).alias("rule")).distinct()
     rows = secrets.unionByName(banned)
     return rows.withColumn("fingerprint", finding_fingerprint(F.col("kind"), F.col("rule"), F.col("path"), F.col("line")))
+
+
+def safe_retrieve(queries: DataFrame, retrieved: DataFrame, violations: DataFrame) -> DataFrame:
+    """``(query_id, status, requires_review, n)``: UNAVAILABLE for queries with a violation, whatever was retrieved."""
+    bad = violations.select("query_id").distinct().withColumn("_bad", F.lit(True))
+    n = retrieved.groupBy("query_id").agg(F.count("*").alias("_n"))
+    rows = queries.select("query_id").join(bad, "query_id", "left").join(n, "query_id", "left")
+    failed = F.col("_bad").isNotNull()
+    return rows.select("query_id", F.when(failed, "UNAVAILABLE").otherwise("AVAILABLE").alias("status"), failed.alias("requires_review"), F.when(failed, 0).otherwise(F.coalesce("_n", F.lit(0))).cast("long").alias("n"))

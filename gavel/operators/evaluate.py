@@ -309,3 +309,16 @@ def check_inputs(facts: DataFrame, evidence: DataFrame, rules: DataFrame | None
 
     out = twice(facts, "DUPLICATE_FACT_ID", "fact_id", [case]).unionByName(twice(facts, "DUPLICATE_FACT_KEY", "fact_key", [case])).unionByName(twice(evidence, "DUPLICATE_EVIDENCE_ID", "evidence_id", [case]))
     return out if rules is None else out.unionByName(twice(rules, "DUPLICATE_RULE_ID", "rule_id", []))
+
+
+def check_facts(facts: DataFrame, case: str = "case_id") -> DataFrame:
+    """``(case, fact_id, code)`` of facts whose value, type, evidence or confidence does not suit their status."""
+    n = F.size("evidence_ids")
+    value = F.when(F.col("value_type") == "STRING", F.col("v_string").isNotNull()).when(F.col("value_type") == "NUMBER", F.col("v_number").isNotNull()).when(F.col("value_type") == "BOOLEAN", F.col("v_boolean").isNotNull()).when(F.col("value_type") == "DATE", F.col("v_date").isNotNull()).otherwise(F.col("v_json").isNotNull())
+    any_value = F.coalesce("v_string", F.col("v_number").cast("string"), F.col("v_boolean").cast("string"), "v_date", "v_json").isNotNull()
+    code = (
+        F.when((F.col("status") == "RESOLVED") & ~value, "VALUE_MISSING").when((F.col("status") != "RESOLVED") & any_value, "VALUE_UNEXPECTED")
+        .when((F.col("status") == "CONFLICT") & (n < 2), "EVIDENCE_TOO_FEW").when(F.col("status").isin("RESOLVED", "NULL", "NOT_READABLE") & (n < 1), "EVIDENCE_MISSING")
+        .when((F.col("status") == "CONFLICT") & F.col("raw_confidence").isNotNull(), "CONFIDENCE_UNEXPECTED").when((F.col("raw_confidence") < 0) | (F.col("raw_confidence") > 1), "CONFIDENCE_RANGE")
+    )
+    return facts.select(case, "fact_id", code.alias("code")).where("code is not null")

@@ -223,3 +223,9 @@ ENTRY_RULES = demo.RULES[:6]
 @query("entry_order_compliance", demo.findings_sql() + f" SELECT case_id, {RANKED.format('outcome')} AS outcome FROM findings WHERE rule_id < 'R7' GROUP BY case_id")
 def entry(t):
     return evaluate.aggregate_outcomes(evaluate.findings(traces(t, ENTRY_RULES)), "outcome", "case_id")
+
+
+@query("ev11_check_facts", f"""WITH {SQL_FACTS} SELECT case_id, fact_id, code FROM (SELECT case_id, fact_id, CASE WHEN status = 'RESOLVED' AND v_json IS NULL AND v_string IS NULL AND v_number IS NULL AND v_boolean IS NULL AND v_date IS NULL THEN 'VALUE_MISSING' WHEN status = 'CONFLICT' AND len(evidence_ids) < 2 THEN 'EVIDENCE_TOO_FEW' WHEN status IN ('RESOLVED', 'NULL', 'NOT_READABLE') AND len(evidence_ids) < 1 THEN 'EVIDENCE_MISSING' WHEN status = 'CONFLICT' AND case_id % 10 = 0 THEN 'CONFIDENCE_UNEXPECTED' WHEN case_id % 10 = 0 THEN 'CONFIDENCE_RANGE' END AS code FROM facts) WHERE code IS NOT NULL""")
+def ev11(t):
+    rows = facts(t).withColumn("raw_confidence", F.when(F.col("case_id") % 10 == 0, 1.5))
+    return evaluate.check_facts(rows)

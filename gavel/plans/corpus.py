@@ -64,3 +64,9 @@ SELECT path, CAST(line AS INTEGER) AS line, kind, rule, substr(sha256(kind || ch
 def sca(t):
     docs = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
     return corpus.scan_sensitive(docs, patterns={"token": 'token = "[0-9a-f]+"'}, forbidden=[TOKEN])
+
+
+@query("rg7_safe_retrieve", "SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 9 = 0 THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS status, o_orderkey % 9 = 0 AS requires_review, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE coalesce(n, 0) END AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey")
+def rg7(t):
+    q = t.orders.select(F.col("o_orderkey").alias("query_id"))
+    return corpus.safe_retrieve(q, t.lineitem.select(F.col("l_orderkey").alias("query_id")), q.where("query_id % 9 = 0"))
