@@ -11,8 +11,8 @@ dropped next; the rest are verified by their texts.
 
 Only components are wanted, so not all pairs of a group are formed: first each
 document is verified with one centre of its groups, and the links joined into components; then,
-where a group still holds several components, all pairs between different ones.
-A pair inside a component needs no check, and no other pair is left out.
+where a group (of two documents or more) still holds several components, all pairs between
+different ones.  A pair inside a component needs no check, and no other pair is left out.
 
 Rarity comes from a table of hashed counts over all documents; its size is
 fixed, and any order gives right results.
@@ -268,6 +268,17 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, many).astype(np.int64)), pa.array(doc), pa.array(size), pa.array(at)], names=["gid", "doc", "size", "at"])
 
 
+def _twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of groups of two that the bounds leave, each once for a batch."""
+    for batch in batches:
+        rows = [x for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))) if len(x[0]) == 16]
+        if rows:
+            doc, size, at = (np.frombuffer(b"".join(x), t).astype(np.int64).reshape(-1, 2) for x, t in zip(zip(*rows), ("<i8", "<u4", "<u4")))
+            use = _possible(size[:, 0], size[:, 1], at[:, 0], at[:, 1])
+            pairs = np.unique(np.sort(doc[use], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b"".join(batch.column("docs").to_pylist()), "<i8")))], names=["doc"])
@@ -363,8 +374,11 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         (F.col("doc_x") < F.col("doc_y")) & (F.col("part_x") != F.col("part_y"))
         & (WHOLE * F.least("size_x", "size_y") >= LEAST * F.greatest("size_x", "size_y"))
         & (F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) >= overlap)
-    ).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b")).distinct().join(near, ["a", "b"], "left_anti")
-    more = saved(verified(with_room(cross, sketches), texts))
+    ).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
+    part_a, part_b = (found.select(F.col("u").alias(s), F.col("v").alias(f"part_{s}")) for s in "ab")
+    twos = groups.mapInArrow(_twos, "a long, b long").distinct().join(part_a, "a", "left").join(part_b, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
+    open_pairs = cross.unionByName(twos).distinct().join(near, ["a", "b"], "left_anti")
+    more = saved(verified(with_room(open_pairs, sketches), texts))
     if more.limit(1).count():
         found = components(found.unionByName(more))
     out = facts.join(found.withColumnRenamed("u", "doc"), "doc", "left")

@@ -93,6 +93,20 @@ def test_many_near_copies(spark):
     assert {r.doc_id: r.component_id for r in ngram_jaccard.classes(df).collect()} == brute_classes([(i, t.encode()) for i, t, _ in rows])
 
 
+def test_chains_of_short_texts(spark):
+    """The last of three texts is at exactly 0.8 to both others, which are not linked: groups of two decide.
+    Longer texts repeat the others' own shingle, so that all ends are as rare."""
+    rows = []
+    for f in range(60):
+        own = [f"f{f}w{k}" for k in range(13)]
+        left, right = own[:-1] + [f"f{f}x"], [f"f{f}y"] + own[1:]
+        rows += [(9 * f, " ".join(left)), (9 * f + 1, " ".join(right)), (9 * f + 2, " ".join(own))]
+        rows += [(9 * f + 3 + k, " ".join(part + [f"f{f}z{k}x{j}" for j in range(20)])) for k, part in enumerate((left[-5:], right[:5]))]
+    random.Random(5).shuffle(rows)
+    df = spark.createDataFrame([(i, t, None) for i, t in rows], DOCS)
+    assert {r.doc_id: r.component_id for r in ngram_jaccard.classes(df).collect()} == brute_classes([(i, t.encode()) for i, t in rows])
+
+
 def test_substring_dedup(docs):
     rows = texts_of(docs)
     first = {}
