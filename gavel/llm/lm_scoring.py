@@ -4,12 +4,14 @@ The model is a trie of byte contexts with the counts of the bytes that follow
 them, gathered from all training texts.  A byte that a context has not seen
 costs an escape (method C: as many counts as the context has distinct bytes)
 to the context one byte shorter, where the bytes of the longer one are
-excluded.  Contexts below a share of all positions are left out, which bounds
-the trie whatever the corpus; counts of the others are complete.  Texts begin
-with ``ORDER`` times the byte 0xFF, which UTF-8 never uses, and end with one.
-
-As the trained model does not change, each context's costs are worked out once
-and scoring walks an automaton: state and byte give the cost and next state.
+excluded.  Texts begin with ``ORDER`` times the byte 0xFF, which UTF-8 never
+uses, and end with one.
+
+As the trained model does not change, the costs of frequent contexts (at least
+``KEPT`` of all positions) are worked out once and scoring walks an automaton:
+state and byte give the cost and next state.  Bytes behind other contexts are
+looked up where all counts of their bucket are, so every context counts,
+however rare; ``KEPT`` decides where a cost is worked out, not what it is.
 ``adaptive`` instead starts with an empty trie for each text.
 
 The base adds log10((c + 0.5) / (N + 0.5 (V + 1))) over a text's words and its
@@ -37,7 +39,7 @@ from .word_hashes import word_hashes
 
 ORDER = 5
 EDGE = 0xFF
-#: Least share of all positions of a context of the trie; of all tokens of a word that every task knows.
+#: Least share of all positions of a context of the automaton; of all tokens of a word that every task knows.
 KEPT, COMMON = 2.0**-18, 1e-6
 BUCKET_BYTES, HELD = 16 << 20, 1_000_000
 #: Contexts worked out at a time when an automaton is made.
@@ -45,7 +47,7 @@ CONTEXTS = 4096
 PACKED = "bucket int, kind int, keys binary, rows binary, counts binary"
 NAMES = [c.split()[0] for c in PACKED.split(", ")]
 #: Kinds of packed rows.
-WORDS, GRAMS, WANTED, FACTS = range(4)
+WORDS, GRAMS, WANTED, FACTS, ASKED = range(5)
 
 
 def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -249,6 +251,8 @@ class Automaton:
             above = own, table, q
         offsets = np.cumsum([0] + [len(c) for c in contexts])
         self.width = a + 1
+        # States from here on have all ORDER bytes; shorter ones may hide a rare longer context.
+        self.full = offsets[ORDER] if a and least > 1 else 0
         self.cost = np.concatenate(costs).ravel()
         self.next = np.zeros((offsets[-1], self.width), np.int32)
         symbols = np.append(seen, 0).astype(np.uint64)
@@ -265,8 +269,9 @@ class Automaton:
                 self.next[offsets[order] + low : offsets[order] + low + len(to)] = to
         self.next = self.next.ravel()
 
-    def scores(self, texts: list[bytes], piece: int = 512) -> np.ndarray:
-        """log10 of each text's probability, its end included.
+    def scores(self, texts: list[bytes], piece: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 of each text's probability, its end included, but for positions behind rare
+        contexts; of these the codes, and the text of each.
 
         The stream of texts is cut into pieces that are walked side by side; a
         state depends on ORDER bytes only, so each piece starts that much earlier.
@@ -276,32 +281,95 @@ class Automaton:
         rows = -(-len(data) // piece)
         padded = np.concatenate([np.zeros(ORDER, np.int64), columns, np.zeros(rows * piece - len(data), np.int64)])
         state = np.zeros(rows, np.int64)
-        out = np.empty((piece, rows), np.float32)
+        out, rare = np.empty((piece, rows), np.float32), np.empty((piece, rows), bool)
         start = np.arange(rows) * piece
         for j in range(-ORDER, piece):
             at = state * self.width + padded[start + j + ORDER]
             if j >= 0:
                 out[j] = self.cost[at]
+                rare[j] = state < self.full
             state = self.next[at].astype(np.int64)
-        flat = out.T.ravel()[: len(data)].astype(np.float64)
+        flat, open_ = out.T.ravel()[: len(data)].astype(np.float64), rare.T.ravel()[: len(data)]
+        for j in range(1, ORDER + 1):  # the edge bytes before a text are given, not predicted
+            open_[first - j] = False
+        flat[open_] = 0
         total = np.concatenate([[0.0], np.cumsum(flat)])
-        return total[first + np.array([len(t) for t in texts]) + 1] - total[first]
+        at = np.flatnonzero(open_)
+        codes = np.zeros(len(at), np.uint64)
+        for j in range(ORDER, -1, -1):
+            codes = (codes << np.uint64(8)) | data[at - j]
+        return total[first + np.array([len(t) for t in texts]) + 1] - total[first], codes, np.searchsorted(first, at, "right") - 1
+
+
+def _at(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted number is in sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return i, keys[i] == wanted
+
+
+class Contexts:
+    """All contexts of a bucket, with those of one byte and none; costs as in the automaton."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, short: dict[int, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.levels = []
+        above = None
+        for order in range(ORDER + 1):
+            own, n = short[order] if order < 2 else _merged(keys & np.uint64((1 << 8 * (order + 1)) - 1), counts)
+            context = own >> np.uint64(8)
+            first = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(own) else np.zeros(0, np.int64)
+            total, distinct, shared = np.zeros(0), np.zeros(0), np.zeros(0)
+            if len(own):
+                total, distinct = np.add.reduceat(n, first), np.diff(first, append=len(n))
+                if order:  # what the context one byte shorter has of this one's bytes
+                    shared = np.add.reduceat(above[1][np.searchsorted(above[0], own & np.uint64((1 << 8 * order) - 1))], first)
+            self.levels.append((own, n, context[first], total, distinct, shared))
+            above = own, n
+        self.unseen = max(1, 256 - len(short[0][0]))
+
+    def costs(self, codes: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each code's byte behind its context."""
+        codes, back = np.unique(codes, return_inverse=True)
+        p = np.ones(len(codes))
+        live = np.arange(len(codes))  # codes whose byte has not been found yet
+        begun = np.zeros(len(codes), bool)
+        taken, taken_count = np.zeros(len(codes)), np.zeros(len(codes))  # bytes of the longer context
+        for order in range(ORDER, -1, -1):
+            own, n, contexts, total, distinct, shared = self.levels[order]
+            gram = codes[live] & np.uint64((1 << 8 * (order + 1)) - 1)
+            c, known = _at(contexts, gram >> np.uint64(8))
+            i, c, gram = live[known], c[known], gram[known]
+            g, found = _at(own, gram)
+            more = distinct[c] - taken[i]
+            d = total[c] - taken_count[i] + more
+            # The longest known context escapes with all its bytes, shorter ones with those left.
+            escape = np.where(begun[i], np.where(d > 0, more / np.maximum(1, d), 1), distinct[c] / np.maximum(1, d))
+            p[i] *= np.where(found, n[g] / np.maximum(1, d) if len(n) else 0, escape)
+            begun[i] = True
+            taken[i], taken_count[i] = distinct[c], shared[c] if order else 0
+            done = np.zeros(len(live), bool)
+            done[known] = found
+            live = live[~done]
+        p[live] /= self.unseen
+        return np.log10(np.maximum(p, 1e-30))[back]
 
 
 def _ask(model: dict, common: tuple[np.ndarray, np.ndarray], n: int, v: int, ends: int, buckets: int):
-    """Scores, and the sums over common words; other words are sent to their counts."""
+    """Scores, and the sums over common words; other words and bytes behind rare contexts are sent to their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = Automaton(model["tables"], model["least"])
         keys, counts = common
         logs = np.log10((np.append(counts, ends) + 0.5) / (n + 0.5 * (v + 1)))
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WANTED: [], ASKED: []}
         size = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            h, row = (np.concatenate(x) for x in zip(*held))
-            held.clear()
-            yield _pack(WANTED, (h % np.uint64(buckets)).astype(np.int32), h, row, None)
+            for kind, parts in held.items():
+                h, row = (np.concatenate(x) for x in zip(*parts))
+                parts.clear()
+                yield _pack(kind, (h % np.uint64(buckets)).astype(np.int32) if kind == WANTED else _gram_bucket(h, buckets), h, row, None)
 
         for batch in steps(batches, "text"):
             texts = [t or b"" for t in raw(batch.column("text"))]
@@ -312,12 +380,14 @@ def _ask(model: dict, common: tuple[np.ndarray, np.ndarray], n: int, v: int, end
             known = keys[at] == h if len(keys) else np.zeros(len(h), bool)
             base = np.bincount(owner[known], logs[at[known]], len(texts)) + logs[-1]
             found = np.bincount(owner[known], minlength=len(texts)) + (ends > 0)
-            facts = np.column_stack([base, walk.scores(texts)])
+            sums, codes, asking = walk.scores(texts)
+            facts = np.column_stack([base, sums])
             numbers = np.column_stack([sizes + 1, found])
             bucket = int(ids[0] % buckets)
             yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([FACTS], pa.int32()), pa.array([facts.astype("<f8").tobytes()], pa.binary()), pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([numbers.astype("<i8").tobytes()], pa.binary())], names=NAMES)
-            held.append((h[~known], ids[owner[~known]]))
-            size += int((~known).sum())
+            held[WANTED].append((h[~known], ids[owner[~known]]))
+            held[ASKED].append((codes, ids[asking]))
+            size += int((~known).sum()) + len(codes)
             if size >= HELD:
                 yield from send()
                 size = 0
@@ -327,11 +397,26 @@ def _ask(model: dict, common: tuple[np.ndarray, np.ndarray], n: int, v: int, end
     return run
 
 
-def _answer(n: int, v: int, buckets: int):
-    """Each bucket: counts first, then the words asked for; answers are sums by text."""
+def _answer(n: int, v: int, short: dict, buckets: int):
+    """Each bucket: counts first, then the words and codes asked for; answers are sums by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, keys, counts = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        grams, contexts = none, None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def bytes_asked() -> Iterator[pa.RecordBatch]:
+            nonlocal contexts, size
+            if held:
+                contexts = contexts or Contexts(*grams, short)
+                codes, rows = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                size = 0
+                own, row = np.unique(rows, return_inverse=True)
+                zero = np.zeros(len(own))
+                yield from out(own, zero, np.bincount(row, contexts.costs(codes), len(own)), zero, zero)
 
         def out(rows: np.ndarray, base: np.ndarray, score: np.ndarray, tokens: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
             # Back by blocks of rows, so that a text's answers meet again.
@@ -345,11 +430,22 @@ def _answer(n: int, v: int, buckets: int):
         for batch in batches:
             for b, kind, k, r, c in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if b != at:
+                    yield from bytes_asked()
                     at, keys, counts = b, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                    grams, contexts = none, None
                 if kind == WORDS:
                     keys, counts = np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")
                     continue
+                if kind == GRAMS:
+                    grams = np.frombuffer(k, "<u8"), np.frombuffer(c, "<i8")
+                    continue
                 rows = np.frombuffer(r, "<i8")
+                if kind == ASKED:
+                    held.append((np.frombuffer(k, "<u8"), rows))
+                    size += len(rows)
+                    if size >= HELD // 4:
+                        yield from bytes_asked()
+                    continue
                 if kind == FACTS:
                     facts, numbers = np.frombuffer(k, "<f8").reshape(-1, 2), np.frombuffer(c, "<i8").reshape(-1, 2)
                     yield from out(rows, facts[:, 0], facts[:, 1], numbers[:, 0], numbers[:, 1])
@@ -361,6 +457,7 @@ def _answer(n: int, v: int, buckets: int):
                 base = np.bincount(row, np.log10((count + 0.5) / (n + 0.5 * (v + 1))), len(own))
                 zero = np.zeros(len(own))
                 yield from out(own, base, zero, zero, np.bincount(row[count > 0], minlength=len(own)))
+        yield from bytes_asked()
 
     return run
 
@@ -397,10 +494,13 @@ def train(texts: DataFrame, buckets: int) -> tuple[DataFrame, dict]:
     for row in table.where(F.col("kind") == GRAMS).mapInArrow(_choose(GRAMS, least), "order int, keys binary, counts binary").collect():  # bounded by KEPT
         tables.setdefault(row["order"], []).append((np.frombuffer(row["keys"], "<u8"), np.frombuffer(row["counts"], "<i8")))
     tables = {order: _merged(*(np.concatenate(x) for x in zip(*parts))) for order, parts in tables.items()}
+    short, low = {}, tables.get(2, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    for order in (1, 0):
+        short[order] = low = _merged(low[0] & np.uint64((1 << 8 * (order + 1)) - 1), low[1])
     n, v = words + ends, distinct + (ends > 0)
     common = [(np.frombuffer(r["keys"], "<u8"), np.frombuffer(r["counts"], "<i8")) for r in table.where(F.col("kind") == WORDS).mapInArrow(_choose(WORDS, max(1, COMMON * n)), "order int, keys binary, counts binary").collect()]  # at most 1 / COMMON words
     common = _merged(*(np.concatenate(x) for x in zip(*common))) if common else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return table, {"tables": tables, "least": least, "n": n, "v": v, "ends": ends, "common": common}
+    return table, {"tables": tables, "short": short, "least": least, "n": n, "v": v, "ends": ends, "common": common}
 
 
 def score(df: DataFrame, train_rows: DataFrame, text: str = "text") -> DataFrame:
@@ -413,8 +513,8 @@ def score(df: DataFrame, train_rows: DataFrame, text: str = "text") -> DataFrame
     # Rows are numbered and asked for in one stage; nothing else depends on the numbers.
     numbered = df.withColumn("row", F.monotonically_increasing_id())
     asked = numbered.select("row", F.col(text).alias("text")).mapInArrow(_ask({k: model[k] for k in ("tables", "least")}, model["common"], model["n"], model["v"], model["ends"], buckets), PACKED)
-    both = asked.unionByName(table.where(F.col("kind") == WORDS))
-    answers = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(model["n"], model["v"], buckets), "bucket int, rows binary, base binary, score binary, tokens binary, known binary")
+    both = asked.unionByName(table.where(F.col("kind").isin(WORDS, GRAMS)))
+    answers = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(model["n"], model["v"], model["short"], buckets), "bucket int, rows binary, base binary, score binary, tokens binary, known binary")
     sums = answers.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "row long, n_tokens long, n_known long, base_score double, score double")
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     keep = [c for c in df.columns if c != text and c not in new]

@@ -183,6 +183,42 @@ def test_lm_scoring(spark, docs):
     assert lm_scoring.score(rows, rows.limit(0)).where("n_known > 0 or train_tokens > 0").count() == 0
 
 
+def test_lm_scoring_knows_rare_contexts(spark, docs, monkeypatch):
+    """Every context counts, also where the automaton keeps only the most frequent ones."""
+    from collections import Counter, defaultdict
+
+    rows = docs.where("doc_id not in (11, 12)")
+    seen, order = defaultdict(Counter), lm_scoring.ORDER
+    ngrams = lambda t: [(x[i - k : i], x[i]) for x in [b"\xff" * order + t + b"\xff"] for i in range(order, len(x)) for k in range(order, -1, -1)]
+    for i, t in texts_of(rows):
+        if i < 20:
+            for context, symbol in ngrams(t):
+                seen[context][symbol] += 1
+
+    def brute(t):
+        total, parts = 0.0, ngrams(t)
+        for at in range(0, len(parts), order + 1):
+            p, gone = 1.0, set()
+            for context, symbol in parts[at : at + order + 1]:
+                left = {s: c for s, c in seen.get(context, {}).items() if s not in gone}
+                size = sum(left.values()) + len(left)
+                if not gone and seen.get(context) or left:
+                    p *= (left[symbol] if symbol in left else len(left)) / size
+                    if symbol in left:
+                        break
+                    gone |= left.keys()
+            else:
+                p /= 256 - len(gone)
+            total += np.log10(p)
+        return total
+
+    want = {i: brute(t) for i, t in texts_of(rows)}
+    for kept in (2.0**-18, 0.002):
+        monkeypatch.setattr(lm_scoring, "KEPT", kept)
+        got = {r.doc_id: r.score for r in lm_scoring.score(rows, rows.where("doc_id < 20")).collect()}
+        assert all(abs(got[i] - x) < 1e-4 * max(1, -x) for i, x in want.items())
+
+
 def test_model_sums_to_one():
     codes = lm_scoring._codes([b"the cat sat on the mat", b"the dog", b""])
     keys, counts = np.unique(codes, return_counts=True)
