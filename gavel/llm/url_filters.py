@@ -56,7 +56,7 @@ def tokens(url: Column, host_: Column, path_: Column) -> Column:
     return F.when(host_ != "", F.array_distinct(parts)).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, longest: int = 3) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5) -> DataFrame:
     """Rules ``(antecedent, label, confidence, support)`` from rows ``(tokens, label)``.
 
     Support is that of the tokens with the label, over all labelled rows.
@@ -66,7 +66,7 @@ def mine(labelled: DataFrame, min_support: float = 0.005, min_confidence: float
     n = rows.count()
     if not n:
         return labelled.sparkSession.createDataFrame([], "antecedent array<string>, label string, confidence double, support double, rarest string")
-    sets = FPGrowth(itemsCol="items", minSupport=min_support).fit(rows).freqItemsets.where(F.size("items") <= longest + 1)
+    sets = FPGrowth(itemsCol="items", minSupport=min_support).fit(rows).freqItemsets
     sets = sets.select(F.array_sort("items").alias("items"), "freq")
     labels = F.filter("items", lambda x: x.startswith("label:"))
     marked = sets.where((F.size(labels) == 1) & (F.size("items") > 1)).select(F.filter("items", lambda x: ~x.startswith("label:")).alias("antecedent"), F.substring(labels[0], 7, 1 << 20).alias("label"), F.col("freq").alias("both"))

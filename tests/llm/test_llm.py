@@ -255,6 +255,14 @@ def test_url_filters(spark):
     assert url_filters.judge(pages, labels.limit(0), rules).where(F.col("rule").isNull() & (F.col("verdict") != "allow")).count() == 0
 
 
+def test_url_rules_of_four_tokens(spark):
+    """Four tokens together are surer than any three of them."""
+    four = ["a", "b", "c", "d"]
+    rows = [(four, "block")] * 10 + [([t for t in four if t != x], "allow") for x in four for _ in range(4)]
+    rules = url_filters.mine(spark.createDataFrame(rows, "tokens array<string>, label string"))
+    assert [sorted(r.antecedent) for r in rules.collect() if r.label == "block" and r.confidence == 1] == [four]
+
+
 def test_pipeline(spark):
     """run() against the stages' brute-force versions at the smallest scale."""
     import corpus_pipeline
