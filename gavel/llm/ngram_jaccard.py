@@ -1,24 +1,32 @@
 """Near-duplicate documents: a Jaccard join on word shingles, filtered under several token orders.
 
 A document's set holds its distinct runs of ``SHINGLE`` words (A-Z lower-cased);
-with fewer words the whole sequence is the one member.  Two sets of a Jaccard
-similarity of at least 80 / 100 share a member among the first
-n - ceil(0.8 n) + 1 of each, whatever the order of all members.  Three orders
-are used: by rarity, and two by hashes.  The prefixes under the first are dealt
-by member to make groups of documents; length and positional bounds apply
-there.  Candidates whose prefixes under the other orders do not meet are
-dropped next; the rest are verified by their texts.
-
-Only components are wanted, so not all pairs of a group are formed: first each
-document is verified with one centre of its groups, and the links joined into components; then,
-where a group (of two documents or more) still holds several components, all pairs between
-different ones.  A pair inside a component needs no check, and no other pair is left out.
-
-Rarity comes from a table of hashed counts over all documents; its size is
-fixed, and any order gives right results.
-
-A null text or one without words has an empty set and no links.  Rows of one
-id are one node; null ids are nodes of their own and get no component.
+with fewer words the whole sequence is the one member.  Two sets are linked when
+100 times their intersection is at least 80 times their union.  A member is
+known by a 64-bit hash of its words.  Prefixes under three global orders filter:
+
+1. By hash.  The first ``reach(n)`` members of every set are dealt by member, and
+   counted.  A document that is linked to another shares ``extra(n)`` members
+   of its prefix at least; those with fewer shared ones are done.
+2. By rarity.  The members of all remaining documents are counted exactly.  Linked
+   sets share one of their first n - ceil(0.8 n) + 1 members, rarest first,
+   at positions that leave room for the overlap; this makes the candidates.
+3. By another hash.  Both hash prefixes of a candidate pair must meet in as many
+   members as a link needs; only then the sets themselves are joined and compared.
+
+Only components are wanted, so not all candidates are verified: first each
+document with one centre of its candidates, and the links are joined into
+components; then all candidates between different components, in blocks of
+``BLOCK`` by ``BLOCK`` documents.  A pair inside a component needs no check.
+
+Members in cells that hold more than ``HOT_SHARE`` of all documents are never
+dealt or counted by document; they count as shared and come last by rarity.
+
+A null text or one without words has an empty set and no links.  A row is known
+by a 64-bit hash of its id and text (chance of any two alike: N^2 / 2^65); rows of
+one id are linked; equal sets by two further 64-bit sums.  A component's id is its least id that is
+not null.  A document joins a component by its links alone, whatever its id.  An
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,28 +35,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import mix, raw, saved, steps
 from .components import components
+from .packing import planes, runs, sliced, unplaned
 from .word_hashes import places, run_hashes, word_hashes
 
 SHINGLE = 5
 #: Least similarity, as a fraction of whole numbers.
 LEAST, WHOLE = 80, 100
-#: Cells of the table of counts (one byte each when it is sent to the tasks).
-CELLS, CHUNKS = 1 << 20, 64
-BUCKET_BYTES, HELD = 16 << 20, 700_000
-#: Documents whose ids are broadcast to fetch their texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Bins of a document's sketch.
-BINS = 256
-DEALT = "bucket int, kind int, hashes binary, docs binary, sizes binary, counts binary, ats binary"
-GROUPS = "kind int, docs binary, sizes binary, ats binary"
-
-
-def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+#: Cells of the table of counts, in chunks; share of all documents, and least number, above which a cell is hot.
+CELLS, CHUNKS = 1 << 18, 64
+HOT_SHARE, HOT_LEAST = 1 / 128, 1000
+#: Bytes of a bucket, members that a task holds before it sends them.
+BUCKET_BYTES, HELD = 16 << 20, 400_000
+#: Bytes of a member within its bucket and of a row's key, where a false match only keeps a document.
+SHORT = 5
+#: Row keys that are broadcast to fetch texts or sets; more are joined by a shuffle.
+BROADCAST_NODES = 1_000_000
+#: Documents of a block of candidates.
+BLOCK = 256
+OTHER = 0x2545F4914F6CDD1D
+DEALT = "bucket int, kind int, tokens binary, nodes binary, counts binary"
+TALLY = "kind int, node long, doc long, n long, same long, shared long"
+SETS = "node long, n long, key_a long, key_b long, first binary, second binary, tokens binary"
+RANKED = "bucket int, kind int, tokens binary, nodes binary, counts binary, ranks binary"
+POSTINGS = "h long, node long, n int, at int"
+#: Width of a rank; hot members rank from here on.
+RANK_BYTES, HOT = 5, 1 << 32
+
+
+def names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def needed(a, b):
     """Least overlap of two sets of these sizes that links them."""
     return -(-LEAST * (a + b) // (WHOLE + LEAST))
 
@@ -57,10 +80,34 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
     return n - -(-LEAST * n // WHOLE) + 1
 
 
+def extra(n: np.ndarray) -> np.ndarray:
+    """Members of a hash prefix that a linked document shares at least."""
+    return np.where(n < 100, 1, n // 10)
+
+
+def reach(n: np.ndarray) -> np.ndarray:
+    """Size of a hash prefix."""
+    return np.minimum(n, prefix_size(n) - 1 + extra(n))
+
+
+def meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Members that the hash prefixes of two linked sets of these sizes share at least."""
+    t = needed(a, b)
+    return np.minimum(reach(a) - a, reach(b) - b) + t
+
+
+def node_key(doc_id: Column, text: Column) -> Column:
+    """What a row is known by."""
+    return F.xxhash64(doc_id.cast("long"), text)
+
+
 def sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Members of all texts' sets (text by text, ascending, distinct), and the texts' indices."""
     words, counts = word_hashes(texts, lower=True)
     h = run_hashes(words, SHINGLE)
+    if len(texts) == 1 and counts[0] >= SHINGLE:
+        h = np.unique(h)
+        return h, np.zeros(len(h), np.int64)
     text, at = places(counts)
     full = at[: len(h)] + SHINGLE <= counts[text[: len(h)]]
     h, owner = h[full], text[: len(h)][full]
@@ -71,19 +118,23 @@ def sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h, owner = np.concatenate([h, whole]), np.concatenate([owner, short])
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[new], owner[new]
+    first = runs(owner, h)
+    return h[first], owner[first]
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h % np.uint64(CELLS)).astype(np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(CELLS, np.int64)
+    table, docs = np.zeros(CELLS, np.int64), 0
     for batch in steps(batches, "text"):
         h, _ = sets([t or b"" for t in raw(batch.column("text"))])
-        table += np.bincount((h % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-    if table.any():
-        parts = table.reshape(CHUNKS, -1).astype("<u4" if table.max() < 2**32 else "<u8").astype("<u8")
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
+        table += np.bincount(_cell(h), minlength=CELLS)
+        docs += batch.num_rows
+    if docs:
+        parts = list(table.reshape(CHUNKS, -1).astype("<u8")) + [np.array([docs], "<u8")]
+        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS + 1), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["chunk", "counts"])
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,75 +146,77 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """A level for each cell of the table: 0 up to twice the mean count, one more for each doubling."""
+def hot_cells(docs: DataFrame) -> np.ndarray:
+    """For each cell of the table 0, or the power of two of its count where it is hot."""
     kind = "chunk int, counts binary"
     rows = docs.select("text").mapInArrow(_count, kind).repartition(CHUNKS, "chunk").mapInArrow(_sum, kind).collect()  # CELLS numbers
-    table = np.zeros((CHUNKS, CELLS // CHUNKS), np.uint64)
+    table, total = np.zeros((CHUNKS, CELLS // CHUNKS), np.uint64), 0
     for row in rows:
-        table[row["chunk"]] = np.frombuffer(row["counts"], "<u8")
+        if row["chunk"] == CHUNKS:
+            total = int(np.frombuffer(row["counts"], "<u8")[0])
+        else:
+            table[row["chunk"]] = np.frombuffer(row["counts"], "<u8")
     table = table.ravel()
-    return np.maximum(0, np.log2(np.maximum(1, table / max(1, table.mean())))).astype(np.uint8)
+    return np.where(table > max(HOT_LEAST, total * HOT_SHARE), np.log2(np.maximum(1, table)), 0).astype(np.uint8)
 
 
-def _cut(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], ends]) * data.dtype.itemsize
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+def _deal(kind: int, bucket: np.ndarray, h: np.ndarray, node: np.ndarray, width: int, node_width: int) -> pa.RecordBatch:
+    """One row for each bucket; a document is written once with its number of members there."""
+    order = np.lexsort((node, bucket))
+    bucket, h, node = bucket[order], h[order], node[order]
+    first = runs(bucket, node)
+    used = np.unique(bucket)
+    ends, node_ends = np.searchsorted(bucket, used, "right"), np.searchsorted(bucket[first], used, "right")
+    counts = np.diff(first, append=len(node)).astype("<u4")
+    return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.full(len(used), kind, np.int32)), planes(h.astype("<u8"), ends, width), planes(node[first].astype("<i8"), node_ends, node_width), planes(counts, node_ends, 4)], names=names(DEALT))
 
 
-def _row(*values: object) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 5
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[c.split()[0] for c in DEALT.split(", ")])
+def _dealt(rows: zip, width: int, node_width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members and documents of packed rows."""
+    h, node = [], []
+    for tokens, nodes, counts in rows:
+        h.append(unplaned(tokens, width, "<u8"))
+        node.append(np.repeat(unplaned(nodes, node_width, "<i8"), unplaned(counts, 4, "<u4")))
+    return np.concatenate(h), np.concatenate(node)
 
 
-def _prefixes(levels: np.ndarray, buckets: int):
-    """A task's documents as prefix records by bucket; equal sets of a task are one document."""
+def _prefixes(level: np.ndarray, buckets: int):
+    """A task's hash prefixes by bucket; equal sets of a task are one document.  Kind 1: facts of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[int, int], int] = {}  # set -> first document, within what is held
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         n, turn = 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal n
-            h, doc, size, at = (np.concatenate(x) for x in zip(*held))
+            h, node = (np.concatenate(x) for x in zip(*held))
             held.clear()
             known.clear()
             n = 0
-            bucket = (h % np.uint64(buckets)).astype(np.int32)
-            order = np.lexsort((at, doc, bucket))
-            bucket, h, doc, size, at = bucket[order], (h // np.uint64(buckets))[order], doc[order], size[order], at[order]
-            new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (bucket[1:] != bucket[:-1]) | (size[1:] != size[:-1])
-            first = np.flatnonzero(new)
-            used = np.unique(bucket)
-            ends, doc_ends = np.searchsorted(bucket, used, "right"), np.searchsorted(bucket[first], used, "right")
-            counts = np.diff(first, append=len(doc)).astype("<u4")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array(np.zeros(len(used), np.int32)), _cut(h.astype("<u8"), ends), _cut(doc[first].astype("<i8"), doc_ends), _cut(size[first].astype("<u4"), doc_ends), _cut(counts, doc_ends), _cut(at.astype("<u4"), ends)],
-                names=[c.split()[0] for c in DEALT.split(", ")],
-            )
+            yield _deal(0, (h % np.uint64(buckets)).astype(np.int32), h // np.uint64(buckets), node, SHORT, SHORT)
 
         for batch in steps(batches, "text"):
-            docs = batch.column("doc").to_numpy()
+            nodes = batch.column("node").to_numpy()
             h, owner = sets([t or b"" for t in raw(batch.column("text"))])
-            sizes = np.bincount(owner, minlength=len(docs))
-            # The set as two sums of mixed members: equal for equal sets.
-            key_a, key_b = np.zeros(len(docs), np.uint64), np.zeros(len(docs), np.uint64)
-            np.add.at(key_a, owner, mix(h))
-            np.add.at(key_b, owner, mix(h ^ np.uint64(0x5851F42D4C957F2D)))
-            same = docs.copy()
+            sizes = np.bincount(owner, minlength=len(nodes))
+            key_a, key_b = _keys(h, owner, len(nodes))
+            same, fresh = nodes.copy(), np.zeros(len(nodes), bool)
             for i in np.flatnonzero(sizes):
-                same[i] = known.setdefault((int(key_a[i]), int(key_b[i])), int(docs[i]))
+                key = int(key_a[i]), int(key_b[i])
+                fresh[i] = key not in known
+                same[i] = known.setdefault(key, int(nodes[i]))
+            use = (np.arange(len(h)) - np.searchsorted(owner, owner) < reach(sizes)[owner]) & fresh[owner]
+            h, owner = h[use], owner[use]
+            hot = level[_cell(h)] > 0
+            need = extra(sizes) - np.bincount(owner[hot], minlength=len(nodes))
+            doc = batch.column("doc")
+            facts = np.column_stack([nodes, doc.fill_null(0).to_numpy(), sizes, same, need, doc.is_null().to_numpy(zero_copy_only=False)])
             turn += 1
-            yield _row(int(docs[0] % buckets + turn) % buckets, 1, b"", docs.astype("<i8").tobytes(), sizes.astype("<u4").tobytes(), b"", same.astype("<i8").tobytes())
-            order = np.lexsort((h, levels[(h % np.uint64(CELLS)).astype(np.int64)], owner))
-            h, owner = h[order], owner[order]
-            at = np.arange(len(h)) - np.searchsorted(owner, owner)
-            use = (at < prefix_size(sizes)[owner]) & (same == docs)[owner]
-            if use.any():
-                held.append((h[use], docs[owner[use]], sizes[owner[use]], at[use]))
-                n += int(use.sum())
+            yield pa.RecordBatch.from_arrays([pa.array([int(nodes[0] % buckets + turn) % buckets], pa.int32()), pa.array([1], pa.int32()), pa.array([b""], pa.binary()), pa.array([facts.astype("<i8").tobytes()], pa.binary()), pa.array([b""], pa.binary())], names=names(DEALT))
+            if not hot.all():
+                held.append((h[~hot], nodes[owner[~hot]]))
+                n += len(held[-1][0])
             if n >= HELD:
                 yield from flush()
         if n:
@@ -172,215 +225,310 @@ def _prefixes(levels: np.ndarray, buckets: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: documents that share a prefix member, by size; kind 1: facts of documents."""
-    names = [c.split()[0] for c in GROUPS.split(", ")]
-    held: list[tuple[np.ndarray, ...]] = []
-    bucket = None
+def _keys(h: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
+    """Each set as two sums of mixed members: equal for equal sets."""
+    out = [np.zeros(n, np.uint64), np.zeros(n, np.uint64)]
+    first = runs(owner)
+    if len(first):
+        for key, seed in zip(out, (0, 0x5851F42D4C957F2D)):
+            key[owner[first]] = np.add.reduceat(mix(h ^ np.uint64(seed)), first)
+    return out
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kind 0: documents (by the low bytes of their keys) and how many members of the bucket they
+    share; kind 1: facts."""
+    held: list[tuple[bytes, bytes, bytes]] = []
+    at = None
+    long = lambda x: pa.array(x, pa.int64())
 
     def close() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        h, doc, size, at = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        order = np.lexsort((doc, at, size, h))
-        h, doc, size, at = h[order], doc[order], size[order], at[order]
-        # Rows of one id with one member are one entry.
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        h, doc, size, at = h[new], doc[new], size[new], at[new]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        start = np.flatnonzero(new)
-        many = np.diff(start, append=len(h))
-        # The shorter of two linked documents has their first shared member in a shorter prefix
-        # yet; where no document of a group has it there, the group holds no such pair.
-        early = np.add.reduceat(size - at >= needed(size, size), start) > 0
-        use = (many >= 2) & early
-        member = np.repeat(use, many)
-        doc, size, at, many = doc[member], size[member], at[member], many[use]
-        if not len(many):
-            return
-        start = np.cumsum(many) - many
-        # Groups of the same documents become one, with each document's least place.
-        key = np.add.reduceat(mix(doc.astype(np.uint64)) * (mix(np.arange(len(doc)).astype(np.uint64) - np.repeat(start, many).astype(np.uint64)) | np.uint64(1)), start)
-        order = np.argsort(key, kind="stable")
-        lists: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for i in order.tolist():
-            part = slice(start[i], start[i] + many[i])
-            was = lists.get((int(key[i]), int(many[i])))
-            lists[int(key[i]), int(many[i])] = (doc[part], size[part], at[part] if was is None else np.minimum(was[2], at[part]))
-        found = list(lists.values())
-        ends = np.cumsum([len(x[0]) for x in found])
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), np.int32))] + [_cut(np.concatenate([x[k] for x in found]).astype(t), ends) for k, t in enumerate(("<i8", "<u4", "<u4"))], names=names)
+        if held:
+            h, node = _dealt(held, SHORT, SHORT)
+            held.clear()
+            order = np.argsort(h, kind="stable")
+            h, node = h[order], node[order]
+            first = runs(h)
+            many = np.diff(first, append=len(h))
+            node = np.sort(node[np.repeat(many > 1, many)])
+            first = runs(node)
+            none = pa.nulls(len(first), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), np.int32)), long(node[first]), none, none, none, long(np.diff(first, append=len(node)))], names=names(TALLY))
 
     for batch in batches:
-        for b, kind, h, d, s, c, a in zip(*(batch.column(i).to_pylist() for i in range(7))):
+        for b, kind, t, d, c in zip(*(batch.column(i).to_pylist() for i in range(5))):
             if kind:
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([d], pa.binary()), pa.array([s], pa.binary()), pa.array([a], pa.binary())], names=names)
+                x = np.frombuffer(d, "<i8").reshape(-1, 6)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(x), np.int32)), long(x[:, 0]), pa.array(x[:, 1], pa.int64(), mask=x[:, 5] > 0), long(x[:, 2]), long(x[:, 3]), long(x[:, 4])], names=names(TALLY))
                 continue
-            if b != bucket:
+            if b != at:
                 yield from close()
-                bucket = b
-            counts = np.frombuffer(c, "<u4")
-            held.append((np.frombuffer(h, "<u8"), np.repeat(np.frombuffer(d, "<i8"), counts), np.repeat(np.frombuffer(s, "<u4"), counts).astype(np.int64), np.frombuffer(a, "<u4").astype(np.int64)))
+                at = b
+            held.append((t, d, c))
     yield from close()
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for d, s, a in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(d, "<i8")), pa.array(np.frombuffer(s, "<u4").astype(np.int64)), pa.array(np.frombuffer(a, "<i8"))], names=["doc", "n", "same"])
+def _low(node: Column) -> Column:
+    return node.bitwiseAND(F.lit((1 << 8 * SHORT) - 1))
 
 
-def _possible(a_size, b_size, a_at, b_at):
-    """Length and positional bounds; for numpy arrays."""
-    most = 1 + np.minimum(a_size - a_at, b_size - b_at) - 1
-    return (WHOLE * np.minimum(a_size, b_size) >= LEAST * np.maximum(a_size, b_size)) & (most >= needed(a_size, b_size))
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row's set, with its prefixes under both hash orders cut to four bytes a member."""
+    for batch in steps(batches, "text"):
+        h, owner = sets([t or b"" for t in raw(batch.column("text"))])
+        n = batch.num_rows
+        sizes = np.bincount(owner, minlength=n)
+        size = reach(sizes)
+        keys = _keys(h, owner, n)
+        other = mix(h ^ np.uint64(OTHER))
+        other = other[np.lexsort((other, owner))]
+        use = np.arange(len(h)) - np.searchsorted(owner, owner) < size[owner]
+        ends = np.cumsum(size)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("node"), pa.array(sizes)] + [pa.array(k.view(np.int64)) for k in keys] + [sliced(x[use].astype("<u4"), ends) for x in (h, other)] + [sliced(h.astype("<u8"), np.cumsum(sizes))],
+            names=names(SETS),
+        )
 
 
-def _centred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document of a group with the group's centre, and in how many groups.
+def _all_members(level: np.ndarray, buckets: int):
+    """The members of sets by bucket, but for hot ones."""
 
-    The centre is the document that has the shared member first: it has the
-    fewest rare members of its own, so it is the likeliest to link to the rest.
-    """
-    for batch in batches:
-        columns = batch.column("docs").to_pylist(), batch.column("sizes").to_pylist(), batch.column("ats").to_pylist()
-        doc, size, at = (np.concatenate([np.frombuffer(x, t) for x in column]).astype(np.int64) for column, t in zip(columns, ("<i8", "<u4", "<u4")))
-        many = np.array([len(x) // 8 for x in columns[0]])
-        group = np.repeat(np.arange(len(many)), many)
-        order = np.lexsort((doc, at, group))
-        centre = order[np.cumsum(many) - many][group]
-        use = _possible(size, size[centre], at, at[centre]) & (doc != doc[centre])
-        pairs, times = np.unique(np.column_stack([doc[use], doc[centre][use]]), axis=0, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(times)], names=["doc", "centre", "times"])
-
-
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of three or more, a row for each document."""
-    for batch in batches:
-        rows = [x for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))) if len(x[0]) >= 24]
-        if rows:
-            doc, size, at = (np.frombuffer(b"".join(x), t).astype(np.int64) for x, t in zip(zip(*rows), ("<i8", "<u4", "<u4")))
-            many = np.array([len(x[0]) // 8 for x in rows])
-            key = np.add.reduceat(mix(doc.astype(np.uint64)), np.cumsum(many) - many) >> np.uint64(1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(key, many).astype(np.int64)), pa.array(doc), pa.array(size), pa.array(at)], names=["gid", "doc", "size", "at"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal n
+            h, node = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            n = 0
+            yield _deal(0, (h % np.uint64(buckets)).astype(np.int32), h // np.uint64(buckets), node, 8, 8)
+
+        for batch in batches:
+            for node, t in zip(batch.column("node").to_pylist(), batch.column("tokens").to_pylist()):
+                h = np.frombuffer(t, "<u8")
+                h = h[level[_cell(h)] == 0]
+                if len(h):
+                    held.append((h, np.full(len(h), node, np.int64)))
+                    n += len(h)
+                if n >= HELD:
+                    yield from flush()
+        if n:
+            yield from flush()
+
+    return run
+
+
+def _back(h: np.ndarray, node: np.ndarray, rank: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Members with their ranks on their way back to their documents."""
+    bucket = (mix(node.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    order = np.lexsort((node, bucket))
+    bucket, h, node, rank = bucket[order], h[order], node[order], rank[order]
+    first, used = runs(bucket, node), np.unique(bucket)
+    ends, node_ends = np.searchsorted(bucket, used, "right"), np.searchsorted(bucket[first], used, "right")
+    return pa.RecordBatch.from_arrays(
+        [pa.array(used, pa.int32()), pa.array(np.zeros(len(used), np.int32)), planes(h, ends, 8), planes(node[first], node_ends, 8), planes(np.diff(first, append=len(node)).astype("<u4"), node_ends, 4), planes(rank.astype("<u8"), ends, RANK_BYTES)],
+        names=names(RANKED),
+    )
 
-def _twos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of groups of two that the bounds leave, each once for a batch."""
-    for batch in batches:
-        rows = [x for x in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))) if len(x[0]) == 16]
-        if rows:
-            doc, size, at = (np.frombuffer(b"".join(x), t).astype(np.int64).reshape(-1, 2) for x, t in zip(zip(*rows), ("<i8", "<u4", "<u4")))
-            use = _possible(size[:, 0], size[:, 1], at[:, 0], at[:, 1])
-            pairs = np.unique(np.sort(doc[use], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+def _ranks(buckets: int):
+    """How many documents have each member, for those of several."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[bytes, bytes, bytes]] = []
+        done: list[tuple[np.ndarray, ...]] = []
+        at = None
+
+        def close() -> None:
+            if held:
+                h, node = _dealt(held, 8, 8)
+                held.clear()
+                order = np.argsort(h, kind="stable")
+                h, node = h[order], node[order]
+                first = runs(h)
+                many = np.diff(first, append=len(h))
+                rank = np.repeat(many, many)
+                use = rank > 1
+                done.append((h[use] * np.uint64(buckets) + np.uint64(at), node[use], rank[use]))
+
+        def send(least: int) -> Iterator[pa.RecordBatch]:
+            if sum(len(x[0]) for x in done) > least:
+                yield _back(*(np.concatenate(x) for x in zip(*done)), buckets)
+                done.clear()
+
+        for batch in batches:
+            for b, t, d, c in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                if b != at:
+                    close()
+                    yield from send(HELD)
+                    at = b
+                held.append((t, d, c))
+        close()
+        yield from send(0)
+
+    return run
+
+
+def _hot_members(level: np.ndarray, buckets: int):
+    """Kind 0: the hot members of sets with their ranks; kind 1: the sets' sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
+            tokens = batch.column("tokens").to_pylist()
+            bucket = (mix(node.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            used = np.unique(bucket)
+            ends = np.searchsorted(bucket[order], used, "right")
+            empty = pa.array([b""] * len(used), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(np.ones(len(used), np.int32)), empty, planes(node[order], ends, 8), planes(n[order].astype("<u4"), ends, 4), empty], names=names(RANKED))
+            h = np.frombuffer(b"".join(tokens), "<u8")
+            owner = np.repeat(node, n)
+            cell = level[_cell(h)]
+            if cell.any():
+                yield _back(h[cell > 0], owner[cell > 0], cell[cell > 0].astype(np.int64) + HOT, buckets)
+
+    return run
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shared members of each rarity prefix, with their positions."""
+    held: list[tuple[np.ndarray, ...]] = []
+    facts: list[tuple[np.ndarray, np.ndarray]] = []
+    at = None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        if held:
+            h, node, rank = (np.concatenate(x) for x in zip(*held))
+            nodes, sizes = (np.concatenate(x) for x in zip(*facts))
+            first = np.unique(nodes, return_index=True)[1]
+            nodes, sizes = nodes[first], sizes[first]
+            order = np.lexsort((h, rank, node))
+            h, node, rank = h[order], node[order], rank[order]
+            new = runs(node, rank, h)
+            h, node = h[new], node[new]
+            row = np.searchsorted(nodes, node)
+            n = sizes[row]
+            place = np.arange(len(h)) - np.searchsorted(row, row) + n - np.bincount(row, minlength=len(nodes))[row]
+            use = place < prefix_size(n)
+            yield pa.RecordBatch.from_arrays([pa.array(h[use].view(np.int64)), pa.array(node[use]), pa.array(n[use].astype(np.int32)), pa.array(place[use].astype(np.int32))], names=names(POSTINGS))
+        held.clear()
+        facts.clear()
 
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(b"".join(batch.column("docs").to_pylist()), "<i8")))], names=["doc"])
+        for b, kind, t, d, c, r in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            if b != at:
+                yield from close()
+                at = b
+            nodes, counts = unplaned(d, 8, "<i8"), unplaned(c, 4, "<u4").astype(np.int64)
+            if kind:
+                facts.append((nodes, counts))
+            else:
+                held.append((unplaned(t, 8, "<u8"), np.repeat(nodes, counts), unplaned(r, RANK_BYTES, "<i8")))
+    yield from close()
 
 
-def _meet(a: np.ndarray, b: np.ndarray, seed: int) -> bool:
-    """Whether two sets' prefixes under one more order share a member."""
-    x, y = (np.sort(mix(s ^ np.uint64(seed)))[: int(prefix_size(np.int64(len(s))))] for s in (a, b))
-    return len(np.intersect1d(x, y, assume_unique=True)) > 0
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose prefixes meet under both hash orders; cut members that match by chance only keep a pair."""
+    for batch in batches:
+        a, b, n_a, n_b = (batch.column(c).to_numpy() for c in ("a", "b", "n_a", "n_b"))
+        keep = np.ones(len(a), bool)
+        for order in ("first", "second"):
+            for i, (x, y, least) in enumerate(zip(batch.column(f"{order}_a").to_pylist(), batch.column(f"{order}_b").to_pylist(), meeting(n_a, n_b).tolist())):
+                keep[i] = keep[i] and np.isin(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")).sum() >= least
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in steps(batches, "text_a"):
-        split = []
-        for side in ("text_a", "text_b"):
-            h, owner = sets([t or b"" for t in raw(batch.column(side))])
-            split.append(np.split(h, np.searchsorted(owner, np.arange(1, batch.num_rows))))
-        linked = []
-        for x, y in zip(*split):
-            if not len(x) or not len(y) or not _meet(x, y, 0x2545F4914F6CDD1D) or not _meet(x, y, 0x9FB21C651E98DF25):
-                linked.append(False)
-                continue
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            linked.append(WHOLE * both >= LEAST * (len(x) + len(y) - both))
-        keep = pa.array(linked, pa.bool_())
+    for batch in batches:
+        keep = []
+        for x, y in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()):
+            both = len(np.intersect1d(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), assume_unique=True))
+            keep.append(WHOLE * both >= LEAST * (len(x) // 8 + len(y) // 8 - both))
+        keep = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["u", "v"])
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document the number of its members in each of BINS bins of hashes (at most 255)."""
-    for batch in steps(batches, "text"):
-        h, owner = sets([t or b"" for t in raw(batch.column("text"))])
-        n = batch.num_rows
-        bins = np.bincount(owner * BINS + (mix(h) % np.uint64(BINS)).astype(np.int64), minlength=n * BINS).reshape(n, BINS)
-        sizes = np.bincount(owner, minlength=n)
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sizes), pa.array([x.tobytes() for x in np.minimum(bins, 255).astype(np.uint8)], pa.binary())], names=["doc", "n", "bins"])
+def verified(pairs: DataFrame, sets_: DataFrame) -> DataFrame:
+    """Those of the pairs ``(a, b)`` that are linked, as ``(u, v)``."""
 
+    def with_sets(pairs: DataFrame, *columns: str) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(sets_.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        return pairs
 
-def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose bins leave room for the overlap that a link needs; no link is lost: a common
-    member counts in both documents' bin, and where a bin is full the pair stays."""
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bins_a", "bins_b"))
-        most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-        full = (x == 255).any(axis=1) | (y == 255).any(axis=1)
-        keep = pa.array(full | (most >= needed(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())))
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+    met = with_sets(pairs, "n", "first", "second").mapInArrow(_meet, "a long, b long")
+    return with_sets(met, "tokens").mapInArrow(_verify, "u long, v long")
 
 
-def with_room(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those of the pairs that can be linked by their members' numbers in bins."""
-    a, b = (sketches.select(F.col("doc").alias(s), F.col("n").alias(f"n_{s}"), F.col("bins").alias(f"bins_{s}")) for s in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "bins_a", "bins_b").mapInArrow(_enough, "a long, b long")
+def _bounds(n_x: Column, at_x: Column, n_y: Column, at_y: Column) -> Column:
+    """Length and positional bounds of two documents with a common member at these positions."""
+    overlap = F.ceil(LEAST * (n_x + n_y) / (WHOLE + LEAST))
+    return (WHOLE * F.least(n_x, n_y) >= LEAST * F.greatest(n_x, n_y)) & (F.least(n_x - at_x, n_y - at_y) >= overlap)
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs ``(a, b)`` that are linked, as ``(u, v)``."""
-    a = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify, "u long, v long")
+def centre_pairs(postings: DataFrame) -> DataFrame:
+    """Each document with one other, ``(a, b)``: of the documents that have a shared member first,
+    which are the likeliest to link to the rest, the one it shares most members with."""
+    c = postings.groupBy("h").agg(F.min(F.struct("at", "node", "n")).alias("c"), F.count("*").alias("many")).where("many > 1").drop("many")
+    near = postings.join(c, "h").where((F.col("node") != F.col("c.node")) & _bounds(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at")))
+    times = near.groupBy("node", F.col("c.node").alias("centre")).agg(F.count("*").alias("times"))
+    best = times.groupBy("node").agg(F.max_by("centre", F.struct("times", -F.col("centre"))).alias("centre"))
+    return best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
+def open_pairs(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """All candidates ``(a, b)`` of different components: a member's documents in blocks against blocks."""
+    named = saved(postings.join(found.select(F.col("u").alias("node"), "v"), "node", "left").select("h", "node", "n", "at", F.coalesce("v", "node").alias("part")))
+    mixed = named.groupBy("h").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("low < high").select("h", "blocks")
+    own = named.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    x = own.withColumn("other", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    y = own.withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0), "other")))
+    side = lambda d, s: d.select("h", "block", "other", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "at", "part")])
+    near = (F.col("part_x") != F.col("part_y")) & ((F.col("block") < F.col("other")) | (F.col("node_x") < F.col("node_y")))
+    both = side(x, "x").join(side(y, "y"), ["h", "block", "other"]).where(near & _bounds(F.col("n_x"), F.col("at_x"), F.col("n_y"), F.col("at_y")))
+    return both.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def only(df: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``df`` whose ``node`` is among ``keys``, or is not."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_NODES else keys, "node", how)
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id`` (the least id reachable by links) of every row."""
+    """For every row ``doc_id``, ``n_shingles``, ``component_id`` (the least id reachable by links),
+    ``node`` (what the row is known by) and ``stays`` (whether it is the first of its component)."""
     spark = df.sparkSession
-    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), -F.lit(2**62) - F.monotonically_increasing_id()).alias("doc"), F.col(text).alias("text"))
+    docs = df.select(node_key(F.col(doc_id), F.col(text)).alias("node"), F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
-    levels = rarity(docs)
-    dealt = docs.mapInArrow(_prefixes(levels, buckets), DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, GROUPS)
-    dealt = saved(dealt)
-    groups, facts = dealt.where("kind = 0"), dealt.where("kind = 1").mapInArrow(_facts, "doc long, n long, same long")
-
-    ids = groups.mapInArrow(_ids, "doc long").distinct()
-    few = ids.count() <= BROADCAST_IDS
-    texts = saved(docs.join(F.broadcast(ids) if few else ids, "doc", "left_semi").dropDuplicates(["doc"]) if not few else docs.join(F.broadcast(ids), "doc", "left_semi"))
-    copies = facts.where("doc <> same").select(F.col("doc").alias("u"), F.col("same").alias("v"))
-    # Each document with the one centre that it shares most groups with: at most one pair for each document.
-    centred = groups.mapInArrow(_centred, "doc long, centre long, times long").groupBy("doc", "centre").agg(F.sum("times").alias("times"))
-    best = centred.groupBy("doc").agg(F.max_by("centre", F.struct("times", -F.col("centre"))).alias("centre"))
-    near = saved(best.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct())
-    sketches = saved(texts.mapInArrow(_sketch, "doc long, n long, bins binary").dropDuplicates(["doc"]))
-    found = components(copies.unionByName(verified(with_room(near, sketches), texts)))
-
-    members = groups.mapInArrow(_members, "gid long, doc long, size long, at long")
-    named = members.groupBy("gid", "doc").agg(F.first("size").alias("size"), F.min("at").alias("at")).join(found.withColumnRenamed("u", "doc"), "doc", "left").select("gid", "doc", "size", "at", F.coalesce("v", "doc").alias("part"))
-    named = saved(named)
-    mixed = named.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("gid")
-    open_ = named.join(mixed, "gid", "left_semi")
-    x, y = (open_.select("gid", *[F.col(c).alias(f"{c}_{s}") for c in ("doc", "size", "at", "part")]) for s in ("x", "y"))
-    overlap = F.ceil(LEAST * (F.col("size_x") + F.col("size_y")) / (WHOLE + LEAST))
-    cross = x.join(y, "gid").where(
-        (F.col("doc_x") < F.col("doc_y")) & (F.col("part_x") != F.col("part_y"))
-        & (WHOLE * F.least("size_x", "size_y") >= LEAST * F.greatest("size_x", "size_y"))
-        & (F.least(F.col("size_x") - F.col("at_x"), F.col("size_y") - F.col("at_y")) >= overlap)
-    ).select(F.col("doc_x").alias("a"), F.col("doc_y").alias("b"))
-    part_a, part_b = (found.select(F.col("u").alias(s), F.col("v").alias(f"part_{s}")) for s in "ab")
-    twos = groups.mapInArrow(_twos, "a long, b long").distinct().join(part_a, "a", "left").join(part_b, "b", "left").where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
-    open_pairs = cross.unionByName(twos).distinct().join(near, ["a", "b"], "left_anti")
-    more = saved(verified(with_room(open_pairs, sketches), texts))
+    buckets = max(partitions, -(-total // BUCKET_BYTES))
+    level = hot_cells(docs)
+    tally = saved(docs.mapInArrow(_prefixes(level, buckets), DEALT).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_tally, TALLY))
+    facts = tally.where("kind = 1").select("node", "doc", "n", "same", F.col("shared").alias("need"))
+
+    shared = tally.where("kind = 0").groupBy(F.col("node").alias("low")).agg(F.sum("shared").alias("shared"))
+    open_ = facts.where("n > 0 AND node = same").withColumn("low", _low(F.col("node"))).join(shared, "low", "left").where("coalesce(shared, 0) >= need")
+    sets_ = saved(only(docs, saved(open_.select("node").distinct()), "left_semi").mapInArrow(_sets, SETS).dropDuplicates(["node"]))
+    first = sets_.groupBy("key_a", "key_b").agg(F.min("node").alias("v"))
+    equal = saved(sets_.select("key_a", "key_b", F.col("node").alias("u")).join(first, ["key_a", "key_b"]).where("u <> v").select("u", "v").distinct())
+    own = only(sets_, equal.select(F.col("u").alias("node")), "left_anti")
+
+    members = own.agg(F.sum("n")).first()[0] or 0
+    parts = max(partitions, -(-8 * members // BUCKET_BYTES))
+    by_bucket = lambda x: x.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    ranked = by_bucket(own.select("node", "tokens").mapInArrow(_all_members(level, parts), DEALT)).mapInArrow(_ranks(parts), RANKED)
+    ranked = ranked.unionByName(own.select("node", "n", "tokens").mapInArrow(_hot_members(level, parts), RANKED))
+    postings = saved(by_bucket(ranked).mapInArrow(_postings, POSTINGS))
+
+    several = facts.where("doc IS NOT NULL").groupBy("doc").agg(F.min("node").alias("v"), F.max("node").alias("high")).where("v < high")
+    alike = facts.where("node <> same").select(F.col("node").alias("u"), F.col("same").alias("v")).unionByName(facts.join(several, "doc").where("node <> v").select(F.col("node").alias("u"), "v")).unionByName(equal)
+    found = components(alike.unionByName(verified(centre_pairs(postings), sets_)))
+    more = saved(verified(open_pairs(postings, found), sets_))
     if more.limit(1).count():
         found = components(found.unionByName(more))
-    out = facts.join(found.withColumnRenamed("u", "doc"), "doc", "left")
-    null = F.col("doc") <= -(2**62)
-    return out.select(F.when(~null, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(~null, F.coalesce("v", "doc")).alias("component_id"))
+
+    named = facts.join(found.select(F.col("u").alias("node"), "v"), "node", "left").select("node", "doc", "n", F.coalesce("v", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
+    stays = F.col("doc").eqNullSafe(F.col("component_id")) & (F.col("doc").isNotNull() | (F.col("node") == F.col("root")))
+    return named.join(least, "root").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", "node", stays.alias("stays"))

@@ -113,7 +113,7 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_jaccard
 
-    return ngram_jaccard.classes(table(spark, sf_dir, "documents"))
+    return ngram_jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

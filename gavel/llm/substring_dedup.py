@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import raw, replace_columns, steps
+from .packing import planes, sliced, unplaned
 from .word_hashes import places, run_hashes, word_hashes
 
 WINDOW, ANCHOR, PERIOD, COVER = 13, 7, 7, (0, 1, 3)
@@ -44,13 +45,6 @@ PACKED = "bucket int, docs binary, counts binary, ats binary"
 LAST = 2**63 - 1
 
 
-def _sliced(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A binary array of ``data`` cut at ``ends`` (in elements)."""
-    offsets = np.concatenate([[0], ends]).astype(np.int64) * data.dtype.itemsize
-    assert offsets[-1] < 2**31
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
-
-
 def _groups(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts of equal runs, and the run of every element."""
     new = np.ones(len(sorted_keys), bool)
@@ -71,25 +65,11 @@ def _send(bucket: np.ndarray, width: int, h: np.ndarray, doc: np.ndarray, varian
     counts = np.diff(first, append=len(doc)).astype("<u4")
     ids = np.column_stack([doc[first], variant[first]])
     return pa.RecordBatch.from_arrays(
-        [pa.array(used, pa.int32()), pa.array(np.zeros(len(used), bool)), _planes(h.astype("<u8"), ends, width), _sliced(ids.view("V16").ravel(), doc_ends), _planes(counts, doc_ends, 4), _planes(at.astype("<u4"), ends, 4), _sliced(mark.astype(np.uint8), ends)],
+        [pa.array(used, pa.int32()), pa.array(np.zeros(len(used), bool)), planes(h.astype("<u8"), ends, width), sliced(ids.view("V16").ravel(), doc_ends), planes(counts, doc_ends, 4), planes(at.astype("<u4"), ends, 4), sliced(mark.astype(np.uint8), ends)],
         names=[c.split()[0] for c in DEALT.split(", ")],
     )
 
 
-def _planes(data: np.ndarray, ends: np.ndarray, width: int) -> pa.Array:
-    """The ``width`` low bytes of each number, byte by byte, cut at ``ends``: bytes that are
-    mostly zero stand together, where the shuffle's compression removes them."""
-    low = np.ascontiguousarray(data).view(np.uint8).reshape(len(data), -1)[:, :width]
-    return pa.array([low[a:b].T.tobytes() for a, b in zip([0, *ends[:-1]], ends)], pa.binary())
-
-
-def _unplaned(data: bytes, width: int, dtype: str) -> np.ndarray:
-    n = len(data) // width
-    out = np.zeros((n, np.dtype(dtype).itemsize), np.uint8)
-    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, n).T
-    return out.view(dtype).ravel()
-
-
 def _pass_on(doc: np.ndarray, variant: np.ndarray, at: np.ndarray, buckets: int, turn: int) -> Iterator[pa.RecordBatch]:
     """Findings that need no bucket, in small rows over all buckets."""
     size = max(256, -(-len(doc) // buckets))
@@ -120,7 +100,7 @@ def _back(doc: np.ndarray, variant: np.ndarray, at: np.ndarray, buckets: int) ->
     used = np.unique(bucket)
     ends, doc_ends = np.searchsorted(bucket, used, "right"), np.searchsorted(bucket[first], used, "right")
     counts = np.diff(first, append=len(doc)).astype("<u4")
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), _sliced(np.column_stack([doc[first], variant[first]]).view("V16").ravel(), doc_ends), _planes(counts, doc_ends, 4), _planes(at, ends, 4)], names=["bucket", "docs", "counts", "ats"])
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), sliced(np.column_stack([doc[first], variant[first]]).view("V16").ravel(), doc_ends), planes(counts, doc_ends, 4), planes(at, ends, 4)], names=["bucket", "docs", "counts", "ats"])
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,15 +115,15 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((variant, doc))
             doc, variant, at = doc[order], variant[order], at[order]
             first = _runs(doc, variant)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(variant[first]), _sliced(at, np.append(first[1:], len(doc)))], names=["doc", "variant", "ats"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(variant[first]), sliced(at, np.append(first[1:], len(doc)))], names=["doc", "variant", "ats"])
 
     for batch in batches:
         for b, d, c, a in zip(*(batch.column(i).to_pylist() for i in range(4))):
             if b != bucket:
                 yield from close()
                 bucket = b
-            ids, counts = np.frombuffer(d, "<i8").reshape(-1, 2), _unplaned(c, 4, "<u4")
-            held.append((np.repeat(ids[:, 0], counts), np.repeat(ids[:, 1], counts), _unplaned(a, 4, "<u4")))
+            ids, counts = np.frombuffer(d, "<i8").reshape(-1, 2), unplaned(c, 4, "<u4")
+            held.append((np.repeat(ids[:, 0], counts), np.repeat(ids[:, 1], counts), unplaned(a, 4, "<u4")))
     yield from close()
 
 
@@ -207,8 +187,8 @@ def _deal(rows: DataFrame, make, settle, buckets: int, width: int = 8) -> DataFr
                 if b != bucket:
                     yield from close()
                     bucket = b
-                counts = _unplaned(c, 4, "<u4")
-                held.append((_unplaned(h, width, "<u8"), np.repeat(ids[:, 0], counts), np.repeat(ids[:, 1], counts), _unplaned(a, 4, "<u4"), np.frombuffer(m, np.uint8)))
+                counts = unplaned(c, 4, "<u4")
+                held.append((unplaned(h, width, "<u8"), np.repeat(ids[:, 0], counts), np.repeat(ids[:, 1], counts), unplaned(a, 4, "<u4"), np.frombuffer(m, np.uint8)))
         yield from close()
         yield from back(0)
 
