@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import replace_columns, steps
+from .common import replace_columns, small_batches, steps
 
 #: Code points that count as white space (Unicode White_Space); fixed values.
 WHITE = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -311,6 +311,7 @@ def _schema(df: DataFrame, new: list[T.StructField], drop: tuple[str, ...] = ())
 def encode(df: DataFrame, ranks_path: str, text: str = "text", offsets: bool = True) -> DataFrame:
     """Adds ``n_tokens``, ``token_ids`` (little-endian 32-bit ids) and, with ``offsets``,
     ``token_ends`` (for each token the end of its bytes in the text, little-endian 32-bit)."""
+    small_batches(df.sparkSession)
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("token_ids", T.BinaryType())] + [T.StructField("token_ends", T.BinaryType())] * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,9 +327,34 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", offsets: bool = T
     return df.mapInArrow(run, _schema(df, new))
 
 
+def round_trip(df: DataFrame, ranks_path: str, text: str = "text") -> DataFrame:
+    """``encode`` with offsets, and ``decoded`` as in ``decode``, in one pass: what the ids of a text
+    stand for, written to the places that their offsets name."""
+    small_batches(df.sparkSession)
+    new = [T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("token_ids", T.BinaryType()), ("token_ends", T.BinaryType()), ("decoded", T.BinaryType()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(ranks_path)
+        words, lengths = vocabulary(ranks_path)
+        get = words.__getitem__
+        for batch in steps(batches, text):
+            ids = coder.encode([t or "" for t in batch.column(text).to_pylist()])
+            ends, decoded = [], []
+            for i in ids:
+                own = np.frombuffer(i, "<u4")
+                ends.append(np.cumsum(lengths[own], dtype="<i8"))
+                decoded.append(b"".join(map(get, own.tolist())))
+                assert len(decoded[-1]) == (ends[-1][-1] if len(own) else 0)
+            yield replace_columns(batch, [], n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()), token_ids=pa.array(ids, pa.binary()), token_ends=pa.array([e.astype("<i4").tobytes() for e in ends], pa.binary()), decoded=pa.array(decoded, pa.binary()))
+
+    return df.mapInArrow(run, _schema(df, new))
+
+
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
     """Adds the bytes that ``ids`` stand for; null ids give no bytes."""
 
+    small_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = vocabulary(ranks_path)[0].__getitem__
         for batch in steps(batches, ids):

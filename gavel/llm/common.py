@@ -14,21 +14,40 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task holds unpacked at a time.
 STEP_BYTES = 1 << 20
+#: Bytes of a batch on its way to Python.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set for the session.
+    Where the session names none, a temporary folder is made and set for the
+    session, on one machine only; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/gavel-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Spark send texts to Python ``BATCH_BYTES`` at a time instead of by its default of 64 MB,
+    so that a worker's memory does not follow the lengths of texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def hidden(df: DataFrame, text: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its columns under names that clash with nothing, the text as ``text``; and how
+    to select the old columns again."""
+    inner = {c: "text" if c == text else f"in_{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(inner[c]) for c in df.columns]), [F.col(inner[c]).alias(c) for c in df.columns]
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: its lineage ends there."""
     path = shared_dir(df.sparkSession)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, steps
+from .common import mix, small_batches, steps
 
 SAMPLES = 64
 #: Quantiles of Gamma(2, 1) that a draw may take.
@@ -132,6 +132,7 @@ def ordered_buckets(df: DataFrame, key: str, text: str) -> DataFrame:
     driver holds one number per bucket.  Null keys come last.
     """
     spark = df.sparkSession
+    small_batches(spark)
     low = F.coalesce(F.col(key), F.lit(-(2**63)).cast("long"))
     df = df.withColumn(key, low)
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0

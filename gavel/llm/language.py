@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import LETTER, _tables
-from .common import replace_columns, steps
+from .common import replace_columns, small_batches, steps
 
 LONGEST = 3
 #: Bits of a code point in a packed n-gram of the learning pass.
@@ -91,6 +91,7 @@ def learn(labelled: DataFrame, size: int = 300, text: str = "text", lang: str =
         for name, (codes, counts) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(text, lang)
     counts = rows.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= size)
@@ -144,6 +145,7 @@ class Profiles:
 
 def identify(df: DataFrame, profiles: dict[str, list[tuple[int, ...]]], text: str = "text") -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (1: the profile's very order, 0: nothing in common)."""
+    small_batches(df.sparkSession)
     drop = ("lang_pred", "score")
     schema = T.StructType([f for f in df.schema.fields if f.name not in drop] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, raw, saved, steps
+from .common import mix, raw, saved, small_batches, steps
 from .components import components
 from .packing import planes, runs, sliced, unplaned
 from .word_hashes import places, run_hashes, word_hashes
@@ -499,6 +499,7 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """For every row ``doc_id``, ``n_shingles``, ``component_id`` (the least id reachable by links),
     ``node`` (what the row is known by) and ``stays`` (whether it is the first of its component)."""
     spark = df.sparkSession
+    small_batches(spark)
     docs = df.select(node_key(F.col(doc_id), F.col(text)).alias("node"), F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0

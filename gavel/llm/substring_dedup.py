@@ -16,8 +16,12 @@ merges equal hashes of its own, so a passage that is everywhere reaches a
 bucket once for each task.  Texts are shuffled once.
 
 Null texts have no words, and texts of fewer words than a window lose none.
-Rows with one id do not remove each other's words; null ids count as the
-greatest.  Repeated rows each get their own row.
+Rows with one id do not remove each other's words; null ids count as one id, the
+greatest.  Findings go back by id and 64-bit hash of the text, so that neither
+many rows of one id nor null ids meet in one task.  Repeated rows each get their own
+row.  Windows are known by 64-bit hashes of their words (chance of a false match for
+each window: windows / 2^64).  Columns named as the new ones are replaced.  An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, replace_columns, steps
+from .common import mix, raw, replace_columns, small_batches, steps
 from .packing import planes, sliced, unplaned
 from .word_hashes import places, run_hashes, word_hashes
 
@@ -38,7 +42,7 @@ WINDOW, ANCHOR, PERIOD, COVER = 13, 7, 7, (0, 1, 3)
 assert PERIOD - 1 + ANCHOR <= WINDOW
 assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 #: Text for which there is one bucket, and hashes that a task holds before it sends them.
-BUCKET_BYTES, HELD = 16 << 20, 3_000_000
+BUCKET_BYTES, HELD = 16 << 20, 1_000_000
 DEALT = "bucket int, passed boolean, hashes binary, docs binary, counts binary, ats binary, marks binary"
 FOUND = "doc long, variant long, ats binary"
 PACKED = "bucket int, docs binary, counts binary, ats binary"
@@ -93,7 +97,7 @@ def _back(doc: np.ndarray, variant: np.ndarray, at: np.ndarray, buckets: int) ->
     """Findings on their way back to their documents: one row for each bucket of documents."""
     if not len(doc):
         return
-    bucket = ((doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+    bucket = (mix(doc.astype(np.uint64) ^ mix(variant.astype(np.uint64))) % np.uint64(buckets)).astype(np.int32)
     order = np.lexsort((at, variant, doc, bucket))
     bucket, doc, variant, at = bucket[order], doc[order], variant[order], at[order].astype("<u4")
     first = _runs(doc, variant)
@@ -226,8 +230,8 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         text, at = places(counts)
         text, at = text[: len(h)], at[: len(h)]
         use = cover[at % PERIOD] & (at + ANCHOR <= counts[text]) & (counts[text] >= WINDOW)
-        doc = batch.column("doc").to_numpy()[text[use]]
-        yield h[use], doc, np.zeros(len(doc), np.int64), at[use].astype(np.uint32)
+        row = text[use]
+        yield h[use], batch.column("doc").to_numpy()[row], batch.column("variant").to_numpy()[row], at[use].astype(np.uint32)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -237,7 +241,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
         base = np.cumsum(counts) - counts
         wanted = np.zeros(len(words) + 1, np.int32)
         for i, found in enumerate(batch.column("found").to_pylist()):
-            at = np.frombuffer(b"".join(x["ats"] for x in found), "<u4").astype(np.int64)
+            at = np.frombuffer(found, "<u4").astype(np.int64)
             at = at[at < counts[i]]
             np.add.at(wanted, base[i] + np.maximum(0, at - (WINDOW - ANCHOR)), 1)
             np.add.at(wanted, base[i] + at + 1, -1)
@@ -251,16 +255,16 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ..
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds ``kept_text`` (the words that stay, joined by one space), ``n_words`` and ``n_removed``."""
     spark = df.sparkSession
+    small_batches(spark)
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     inner = {c: f"in_{i}" for i, c in enumerate(df.columns)}
     rows = df.select(*[F.col(c).alias(inner[c]) for c in df.columns]).withColumns({"doc": F.coalesce(F.col(inner[doc_id]).cast("long"), F.lit(LAST)), "variant": F.xxhash64(inner[text])})
     texts = lambda x: x.withColumnRenamed(inner[text], "text")
 
-    shared = _deal(texts(rows).select("doc", "text"), _anchors, _shared, buckets, width=6)  # whole windows are compared next
-    per_doc = lambda x: x.groupBy("doc").agg(F.collect_list(F.struct("variant", "ats")).alias("found"))
+    shared = _deal(texts(rows).select("doc", "variant", "text"), _anchors, _shared, buckets, width=6)  # whole windows are compared next
     # With all columns, so that both joins read one shuffle of the texts.
-    near = texts(rows.join(per_doc(shared), "doc"))
+    near = texts(rows.join(shared.withColumnRenamed("ats", "found"), ["doc", "variant"]))
     later = _deal(near, _windows, _later, buckets)
 
     new = [T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
@@ -270,12 +274,11 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, text_name):
             kept, counts, removed = [], [], []
-            for t, variant, found in zip(raw(batch.column(text_name)), batch.column("variant").to_pylist(), batch.column("found").to_pylist()):
+            for t, found in zip(raw(batch.column(text_name)), batch.column("found").to_pylist()):
                 words = (t or b"").split()
                 counts.append(len(words))
-                ats = [x["ats"] for x in found or () if x["variant"] == variant]
-                if ats:
-                    at = np.frombuffer(b"".join(ats), "<u4").astype(np.int64)
+                if found:
+                    at = np.frombuffer(found, "<u4").astype(np.int64)
                     edge = np.zeros(len(words) + WINDOW + 1, np.int32)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + WINDOW, -1)
@@ -285,6 +288,6 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 kept.append(b" ".join(words))
             yield replace_columns(batch, ["doc", "variant", "found"], kept_text=pa.array(kept, pa.binary()).cast(pa.string()), n_words=pa.array(counts, pa.int64()), n_removed=pa.array(removed, pa.int64()))
 
-    done = rows.join(per_doc(later), "doc", "left").select(*[f.name for f in rows.schema.fields], "found").mapInArrow(cut, out)
+    done = rows.join(later.withColumnRenamed("ats", "found"), ["doc", "variant"], "left").select(*[f.name for f in rows.schema.fields], "found").mapInArrow(cut, out)
     keep = [F.col(inner[c]).alias(c) for c in df.columns if c not in ("kept_text", "n_words", "n_removed")]
     return done.select(*keep, "kept_text", "n_words", "n_removed")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .byte_bpe import encoder
-from .common import saved, steps
+from .common import saved, small_batches, steps
 
 BLOCK_TOKENS = 1 << 21
 BLOCKS = "file string, block long, n_closed long, tail long, lengths binary"
@@ -39,6 +39,7 @@ def write_tokens(df: DataFrame, folder: str, ranks_path: str, end: int, doc_id:
     A repeated task writes a file of another name, and only the rows of the one that
     counts get into the table; ``scan`` ignores files that the table does not name.
     """
+    small_batches(df.sparkSession)
     schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("ordinal", T.LongType()), T.StructField("doc_id", df.schema[doc_id].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import raw, replace_columns, steps
+from .common import hidden, raw, replace_columns, small_batches, steps
 
 #: Bound of the labelled sample that the models are fitted on.
 MAX_LABELLED = 20_000
@@ -133,6 +133,7 @@ def features(texts: list[bytes], words: Words) -> np.ndarray:
 
 def with_features(df: DataFrame, lexicon: dict[str, float], text: str = "text") -> DataFrame:
     """Adds ``features`` (array of doubles, in the order of NAMES) and drops the text."""
+    small_batches(df.sparkSession)
     schema = T.StructType([f for f in df.schema.fields if f.name not in (text, "features")] + [T.StructField("features", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +161,7 @@ def learn_lexicon(labelled: DataFrame, text: str = "text", label: str = "label",
                 for word in (t or "").split():
                     told = plain(word)[0]
                     if told:
-                        seen.update((term, before[:12], y) for term in terms(told))
+                        seen.update((term, before, y) for term in terms(told))
                     before = told
             columns = list(zip(*seen)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32())], names=["term", "before", "y"])
@@ -189,12 +190,14 @@ class Model:
         self.lexicon, self.trees, self.calibration, self.constant = lexicon, trees, calibration, constant
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """Replaces the text by ``score``, 0 to 1."""
+        """Replaces the text by ``score``, 0 to 1; a column of that name is replaced, all others stay."""
+        rows, back = hidden(df, text)
+        keep = [c for c, name in zip(back, df.columns) if name not in (text, "score")]
         if self.trees is None:
-            return df.drop(text).withColumn("score", F.lit(self.constant))
-        rows = with_features(df, self.lexicon, text).withColumn("features", array_to_vector("features"))
+            return rows.select(*keep, F.lit(self.constant).alias("score"))
+        rows = with_features(rows, self.lexicon).withColumn("features", array_to_vector("features"))
         rows = self.calibration.transform(_raw_score(self.trees.transform(rows)))
-        return rows.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "calibrated"))).drop("features", "rawPrediction", "probability", "prediction", "margin", "calibrated")
+        return rows.select(*keep, F.least(F.lit(1.0), F.greatest(F.lit(0.0), "calibrated")).alias("score"))
 
 
 def _raw_score(rows: DataFrame) -> DataFrame:
@@ -212,7 +215,7 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label:
         rows = rows.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
     a, b = SHARES[0], SHARES[0] + SHARES[1]
     lexicon = learn_lexicon(rows.where(part(F.col(doc_id)) < a), text)
-    ready = with_features(rows.select(doc_id, text, "label"), lexicon, text).select(doc_id, "label", array_to_vector("features").alias("features")).where(part(F.col(doc_id)) >= a).coalesce(8).persist()
+    ready = with_features(rows.select(doc_id, text, "label"), lexicon, text).select(doc_id, "label", array_to_vector("features").alias("features")).where(part(F.col(doc_id)) >= a).persist()
     train, rest = ready.where(part(F.col(doc_id)) < b), ready.where(part(F.col(doc_id)) >= b)
     if train.select("label").distinct().count() < 2 or rest.select("label").distinct().count() < 2:
         train = rest = ready
