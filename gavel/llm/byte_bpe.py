@@ -38,7 +38,7 @@ BREAK, SPACE, BLANK, NUMBER, OTHER, QUOTE, LETTER, SHORT, CH_R, CH_V, CH_L, CH_E
 # that starts a token, TICK_x one letter behind it, ENDING a complete ending.
 FRESH, IN_SPACE, IN_BLANK, IN_NUMBER, IN_OTHER, TICK, IN_LETTER, TICK_R, TICK_V, TICK_L, ENDING = range(11)
 N_STATES = 11
-PIECES_KEPT = 120_000
+PIECES_KEPT = 80_000
 NO_PAIR = np.int32(2**31 - 1)
 #: Slices of more bytes are merged one by one.
 WIDEST = 64

@@ -20,7 +20,9 @@ words of at least ``COMMON`` of all tokens (at most 1 / COMMON words) are sent
 to all tasks, the others are looked up where their counts are.
 
 Null texts count as empty: one token, the end.  Repeated rows each get their
-own row.  Without training rows N is 0 and the model is uniform over bytes.
+own row.  A row is known by a 64-bit hash of its columns (chance of
+any two alike: N^2 / 2^64).  Columns named as the new ones are replaced, others
+stay.  Without training rows N is 0 and the model is uniform over bytes.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, saved, steps
+from .common import hidden, raw, saved, small_batches, steps
 from .word_hashes import word_hashes
 
 ORDER = 5
@@ -416,16 +418,16 @@ def _answer(n: int, v: int, short: dict, buckets: int):
                 size = 0
                 own, row = np.unique(rows, return_inverse=True)
                 zero = np.zeros(len(own))
-                yield from out(own, zero, np.bincount(row, contexts.costs(codes), len(own)), zero, zero)
+                yield from out(own, zero, zero, np.bincount(row, contexts.costs(codes), len(own)), zero, zero)
 
-        def out(rows: np.ndarray, base: np.ndarray, score: np.ndarray, tokens: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-            # Back by blocks of rows, so that a text's answers meet again.
-            group = ((rows >> 9) * 2654435761 % buckets).astype(np.int32)
+        def out(rows: np.ndarray, copies: np.ndarray, base: np.ndarray, score: np.ndarray, tokens: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+            # Back by row, so that a text's answers meet again.
+            group = (rows % buckets).astype(np.int32)
             order = np.argsort(group, kind="stable")
             used, first = np.unique(group[order], return_index=True)
             cut = list(zip(first, [*first[1:], len(order)]))
             pick = lambda x, t: pa.array([x[order[a:b]].astype(t).tobytes() for a, b in cut], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pick(rows, "<i8"), pick(base, "<f8"), pick(score, "<f8"), pick(tokens, "<i8"), pick(known, "<i8")], names=["bucket", "rows", "base", "score", "tokens", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pick(rows, "<i8"), pick(copies, "<i8"), pick(base, "<f8"), pick(score, "<f8"), pick(tokens, "<i8"), pick(known, "<i8")], names=["bucket", "rows", "copies", "base", "score", "tokens", "known"])
 
         for batch in batches:
             for b, kind, k, r, c in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -448,7 +450,7 @@ def _answer(n: int, v: int, short: dict, buckets: int):
                     continue
                 if kind == FACTS:
                     facts, numbers = np.frombuffer(k, "<f8").reshape(-1, 2), np.frombuffer(c, "<i8").reshape(-1, 2)
-                    yield from out(rows, facts[:, 0], facts[:, 1], numbers[:, 0], numbers[:, 1])
+                    yield from out(rows, np.ones(len(rows)), facts[:, 0], facts[:, 1], numbers[:, 0], numbers[:, 1])
                     continue
                 h = np.frombuffer(k, "<u8")
                 i = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
@@ -456,7 +458,7 @@ def _answer(n: int, v: int, short: dict, buckets: int):
                 own, row = np.unique(rows, return_inverse=True)
                 base = np.bincount(row, np.log10((count + 0.5) / (n + 0.5 * (v + 1))), len(own))
                 zero = np.zeros(len(own))
-                yield from out(own, base, zero, zero, np.bincount(row[count > 0], minlength=len(own)))
+                yield from out(own, zero, base, zero, zero, np.bincount(row[count > 0], minlength=len(own)))
         yield from bytes_asked()
 
     return run
@@ -468,14 +470,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> Iterator[pa.RecordBatch]:
         if held:
-            rows, base, score, tokens, known = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate(("<i8", "<f8", "<f8", "<i8", "<i8")))
+            rows, copies, base, score, tokens, known = (np.concatenate([np.frombuffer(x[i], t) for x in held]) for i, t in enumerate(("<i8", "<i8", "<f8", "<f8", "<i8", "<i8")))
             own, i = np.unique(rows, return_inverse=True)
-            add = lambda x: np.bincount(i, x, len(own))
+            many = np.bincount(i, copies, len(own))  # rows that are alike in all columns
+            add = lambda x: np.bincount(i, x, len(own)) / many
             held.clear()
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(add(tokens).astype(np.int64)), pa.array(add(known).astype(np.int64)), pa.array(add(base)), pa.array(add(score))], names=["row", "n_tokens", "n_known", "base_score", "score"])
 
     for batch in batches:
-        for x in zip(*(batch.column(i).to_pylist() for i in range(6))):
+        for x in zip(*(batch.column(i).to_pylist() for i in range(7))):
             if x[0] != at:
                 yield from close()
                 at = x[0]
@@ -510,15 +513,18 @@ def score(df: DataFrame, train_rows: DataFrame, text: str = "text") -> DataFrame
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     table, model = train(train_rows, buckets)
-    # Rows are numbered and asked for in one stage; nothing else depends on the numbers.
-    numbered = df.withColumn("row", F.monotonically_increasing_id())
-    asked = numbered.select("row", F.col(text).alias("text")).mapInArrow(_ask({k: model[k] for k in ("tables", "least")}, model["common"], model["n"], model["v"], model["ends"], buckets), PACKED)
+    small_batches(spark)
+    inner, back = hidden(df, text)
+    # A row is known by a hash of its columns that stays the same wherever it is worked out again.
+    known_by = F.xxhash64(*[F.col(f"`{c}`") for c, t in inner.dtypes if "map<" not in t]).bitwiseAND(F.lit(2**63 - 1))
+    numbered = inner.withColumn("row", known_by)
+    asked = numbered.select("row", "text").mapInArrow(_ask({k: model[k] for k in ("tables", "least")}, model["common"], model["n"], model["v"], model["ends"], buckets), PACKED)
     both = asked.unionByName(table.where(F.col("kind").isin(WORDS, GRAMS)))
-    answers = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(model["n"], model["v"], model["short"], buckets), "bucket int, rows binary, base binary, score binary, tokens binary, known binary")
+    answers = both.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer(model["n"], model["v"], model["short"], buckets), "bucket int, rows binary, copies binary, base binary, score binary, tokens binary, known binary")
     sums = answers.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, "row long, n_tokens long, n_known long, base_score double, score double")
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    keep = [c for c in df.columns if c != text and c not in new]
-    return numbered.select("row", *keep).join(sums, "row").select(*keep, "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")
+    keep = [c for c, name in zip(back, df.columns) if name != text and name not in new]
+    return numbered.drop("text").join(sums, "row").select(*keep, "n_tokens", "n_known", F.lit(model["n"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def adaptive_score(text: bytes, order: int = ORDER) -> float:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, raw, saved, small_batches, steps
+from .common import give_back, mix, raw, saved, small_batches, steps
 from .components import components
 from .packing import planes, runs, sliced, unplaned
 from .word_hashes import places, run_hashes, word_hashes
@@ -50,7 +50,7 @@ LEAST, WHOLE = 80, 100
 CELLS, CHUNKS = 1 << 18, 64
 HOT_SHARE, HOT_LEAST = 1 / 128, 1000
 #: Bytes of a bucket, members that a task holds before it sends them.
-BUCKET_BYTES, HELD = 16 << 20, 400_000
+BUCKET_BYTES, HELD = 16 << 20, 300_000
 #: Bytes of a member within its bucket and of a row's key, where a false match only keeps a document.
 SHORT = 5
 #: Row keys that are broadcast to fetch texts or sets; more are joined by a shuffle.
@@ -254,6 +254,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = runs(node)
             none = pa.nulls(len(first), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(first), np.int32)), long(node[first]), none, none, none, long(np.diff(first, append=len(node)))], names=names(TALLY))
+            give_back()
 
     for batch in batches:
         for b, kind, t, d, c in zip(*(batch.column(i).to_pylist() for i in range(5))):
@@ -414,6 +415,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(h[use].view(np.int64)), pa.array(node[use]), pa.array(n[use].astype(np.int32)), pa.array(place[use].astype(np.int32))], names=names(POSTINGS))
         held.clear()
         facts.clear()
+        give_back()
 
     for batch in batches:
         for b, kind, t, d, c, r in zip(*(batch.column(i).to_pylist() for i in range(6))):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, raw, replace_columns, small_batches, steps
+from .common import give_back, mix, raw, replace_columns, small_batches, steps
 from .packing import planes, sliced, unplaned
 from .word_hashes import places, run_hashes, word_hashes
 
@@ -42,7 +42,7 @@ WINDOW, ANCHOR, PERIOD, COVER = 13, 7, 7, (0, 1, 3)
 assert PERIOD - 1 + ANCHOR <= WINDOW
 assert {(a - b) % PERIOD for a in COVER for b in COVER} == set(range(PERIOD))
 #: Text for which there is one bucket, and hashes that a task holds before it sends them.
-BUCKET_BYTES, HELD = 16 << 20, 1_000_000
+BUCKET_BYTES, HELD = 12 << 20, 400_000
 DEALT = "bucket int, passed boolean, hashes binary, docs binary, counts binary, ats binary, marks binary"
 FOUND = "doc long, variant long, ats binary"
 PACKED = "bucket int, docs binary, counts binary, ats binary"
@@ -120,6 +120,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc, variant, at = doc[order], variant[order], at[order]
             first = _runs(doc, variant)
             yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(variant[first]), sliced(at, np.append(first[1:], len(doc)))], names=["doc", "variant", "ats"])
+            give_back()
 
     for batch in batches:
         for b, d, c, a in zip(*(batch.column(i).to_pylist() for i in range(4))):
@@ -180,6 +181,7 @@ def _deal(rows: DataFrame, make, settle, buckets: int, width: int = 8) -> DataFr
                 found &= mark == 0
                 done.append((doc[found], variant[found], at[found]))
                 held.clear()
+                give_back()
             yield from back(HELD // 4)
 
         for batch in batches:
