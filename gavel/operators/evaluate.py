@@ -4,8 +4,8 @@ A rule is a dict with ``rule_id``, ``applies_when``, ``satisfied_when`` and, if
 it has any, ``exceptions`` (name to expression) and ``overrides`` (rule id to
 expression).  An expression is a dict with ``op``; ``all``, ``any`` and ``not``
 have ``args``, the others are leaves with their parameters.  Rules are metadata
-of bounded size: they become one literal, and every case evaluates each of
-their leaves once.
+of bounded size: they become expressions, and every case evaluates each of their
+different leaves once.
 
 All facts and evidence of a case meet in one row, so one shuffle by case
 serves leaves, inner nodes and findings alike.  Unknown is null.
@@ -15,19 +15,16 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import geometry, rules as logic, text as texts
+from ..functions import rules as logic, text as texts
 
-LEAF = (
-    "rule_id string, section string, path string, parent string, depth int, op string, fact_key string, other_key string, fact_keys array<string>, value_type string,"
-    " s string, n double, b boolean, many array<string>, low double, high double, date_low string, date_high string, with_low boolean, with_high boolean,"
-    " pattern string, longest int, mode string, gap double, white boolean, fold boolean, form string"
-)
 #: Comparisons that a search for one region per fact may take.
 MOST_COMPARISONS = 4096
 REASONS = ["MISSING_FACT", "MISSING_EVIDENCE", "UNRESOLVED_FACT", "TYPE_MISMATCH", "RESOURCE_LIMIT", "EVALUATED"]
@@ -98,8 +95,6 @@ def flatten(rules: list[dict]) -> list[dict]:
             if "pattern" in node:
                 more["pattern"] = translate_pattern(node["pattern"], node.get("full", False), node.get("dot_all", False), node.get("multiline", False), node.get("fold_pattern", False))
                 more.pop("fold_pattern", None)
-            if "fact_keys" in node:
-                more["fact_key"], more["other_key"] = node["fact_keys"][0], node["fact_keys"][1]
             row |= {"white": True, "fold": True, "form": "NFC", "with_low": True, "with_high": True, "longest": 20_000, "mode": "EXACT"} | more
         rows.append(row)
 
@@ -113,41 +108,73 @@ def flatten(rules: list[dict]) -> list[dict]:
     return rows
 
 
-def by_case(facts: DataFrame, evidence: DataFrame, case: str = "case_id") -> DataFrame:
+def _firsts(entries: Column) -> Column:
+    """Of sorted ``struct(key, value)`` those that are the first of their key."""
+    return F.filter(entries, lambda x, i: (i == 0) | (x["key"] != F.try_element_at(entries, i)["key"]))
+
+
+def _formed(c: Column, form: str) -> Column:
+    """A Unicode form; only texts beyond ASCII are sent to Python."""
+    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(texts.unicode_form(F.when(~c.rlike(r"^\p{ASCII}*$"), c), form))
+
+
+def by_case(facts: DataFrame, evidence: DataFrame, case: str = "case_id", cases: DataFrame | None = None) -> DataFrame:
     """One row for each case with ``facts`` (by key) and ``evidence`` (by id).
 
     A fact's ``complete`` says whether all its evidence exists and comes from its
-    run.  Of facts of one key the one with the least id counts; see ``check_inputs``.
+    run.  Of facts of one key the one with the least id counts, of evidence of one id
+    the least; see ``check_inputs``.  ``cases`` names all cases, so that those without
+    facts are judged too; else the cases are those of the facts.
     """
-    f = facts.groupBy(case).agg(F.map_from_entries(F.collect_list(F.struct("fact_key", F.struct("fact_id", "value_type", "status", "v_string", "v_number", "v_boolean", "v_date", "v_json", "evidence_ids", "provider_run_id")))).alias("facts"))
-    e = evidence.groupBy(case).agg(F.map_from_entries(F.collect_list(F.struct("evidence_id", F.struct("provider_run_id", "language", "document_id", "document_hash", "page", F.struct("x", "y", "width", "height").alias("box"))))).alias("evidence"))
-    none = F.from_json(F.lit("{}"), e.schema["evidence"].dataType)
-    rows = f.join(e, case, "left").withColumn("evidence", F.coalesce("evidence", none))
+    facts = facts.withColumns({"v_nfc": _formed(F.col("v_string"), "NFC"), "v_nfkc": _formed(F.col("v_string"), "NFKC")})
+    value = F.struct("fact_id", "value_type", "status", "v_string", "v_nfc", "v_nfkc", "v_number", "v_boolean", "v_date", "v_json", "evidence_ids", "provider_run_id")
+    f = facts.groupBy(case).agg(F.array_sort(F.collect_list(F.struct(F.col("fact_key").alias("key"), value.alias("value")))).alias("facts"))
+    seen = F.struct("provider_run_id", "language", "document_id", "document_hash", "page", F.struct("x", "y", "width", "height").alias("box"))
+    e = evidence.groupBy(case).agg(F.array_sort(F.collect_list(F.struct(F.col("evidence_id").alias("key"), seen.alias("value")))).alias("evidence"))
+    rows = f.join(e, case, "left")
+    if cases is not None:
+        rows = cases.select(case).distinct().join(rows, case, "left")
+    empty = lambda c, kind: F.coalesce(c, F.from_json(F.lit("{}"), kind))
+    maps = rows.select(case, F.map_from_entries(_firsts(F.col("facts"))).alias("facts"), F.map_from_entries(_firsts(F.col("evidence"))).alias("evidence"))
+    maps = maps.select(case, empty(F.col("facts"), maps.schema["facts"].dataType).alias("facts"), empty(F.col("evidence"), maps.schema["evidence"].dataType).alias("evidence"))
     known = lambda ids, run: F.forall(ids, lambda i: F.coalesce(F.try_element_at(F.col("evidence"), i)["provider_run_id"] == run, F.lit(False)))
-    return rows.withColumn("facts", F.transform_values("facts", lambda _, v: v.withField("complete", known(v["evidence_ids"], v["provider_run_id"]))))
+    return maps.withColumn("facts", F.transform_values("facts", lambda _, v: v.withField("complete", known(v["evidence_ids"], v["provider_run_id"]))))
+
+
+def _text(leaf: dict, fact: Column) -> Column:
+    """A fact's text as a comparison asks for: Unicode form, then white space, then case."""
+    c = fact["v_nfkc" if leaf["form"] == "NFKC" else "v_nfc" if leaf["form"] else "v_string"]
+    c = texts.collapse(c) if leaf["white"] else c
+    return F.lower(c) if leaf["fold"] else c
+
 
+def _wanted(leaf: dict, text: str) -> Column:
+    """The same of a parameter."""
+    text = unicodedata.normalize(leaf["form"], text) if leaf["form"] else text
+    c = texts.collapse(F.lit(text)) if leaf["white"] else F.lit(text)
+    return F.lower(c) if leaf["fold"] else c
 
-def _compared(leaf: Column, value: Column) -> Column:
-    """Text values as a comparison asks for; Unicode forms are applied by the caller."""
-    value = F.when(leaf["white"], texts.collapse(value)).otherwise(value)
-    return F.when(leaf["fold"], F.lower(value)).otherwise(value)
 
+def _within(value: Column, low: object, high: object, leaf: dict) -> Column:
+    return (value >= F.lit(low) if leaf["with_low"] else value > F.lit(low)) & (value <= F.lit(high) if leaf["with_high"] else value < F.lit(high))
 
-def _equal(leaf: Column, fact: Column) -> Column:
-    return (
-        F.when(leaf["value_type"] == "STRING", _compared(leaf, fact["v_string"]) == _compared(leaf, leaf["s"]))
-        .when(leaf["value_type"] == "NUMBER", fact["v_number"] == leaf["n"])
-        .when(leaf["value_type"] == "BOOLEAN", fact["v_boolean"] == leaf["b"])
-        .when(leaf["value_type"] == "DATE", fact["v_date"] == leaf["s"])
-    )
 
+def _regions(fact: Column) -> Column:
+    return F.transform(F.array_sort(F.array_distinct(fact["evidence_ids"])), lambda i: F.try_element_at("evidence", i))
 
-def _within(value: Column, low: Column, high: Column, leaf: Column) -> Column:
-    return F.when(leaf["with_low"], value >= low).otherwise(value > low) & F.when(leaf["with_high"], value <= high).otherwise(value < high)
 
+def _pair(a: Column, b: Column, gap: float) -> Column:
+    """1, 0 or -1 as ``_clique`` for two facts: the number of comparisons up to the first match is
+    its place among all pairs."""
+    apart = lambda p, q, at, size: F.greatest(F.lit(0.0), p["box"][at] - q["box"][at] - q["box"][size], q["box"][at] - p["box"][at] - p["box"][size])
 
-def _regions(fact: Column, evidence: Column) -> Column:
-    return F.transform(F.array_sort(F.array_distinct(fact["evidence_ids"])), lambda i: F.try_element_at(evidence, i))
+    def matches(x: Column, y: Column) -> Column:
+        near = F.sqrt(F.pow(apart(x, y, "x", "width"), F.lit(2)) + F.pow(apart(x, y, "y", "height"), F.lit(2))) / F.sqrt(F.lit(2.0)) <= gap
+        return (x["document_id"] == y["document_id"]) & (x["document_hash"] == y["document_hash"]) & (x["page"] == y["page"]) & near
+
+    n = F.size(b)
+    first = F.array_min(F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: F.when(matches(x, y), i * n + j + 1)))))
+    return F.when(first <= MOST_COMPARISONS, 1).when(first.isNull() & (F.size(a) * n <= MOST_COMPARISONS), 0).otherwise(-1)
 
 
 @F.pandas_udf(T.IntegerType())
@@ -187,114 +214,163 @@ def _clique(regions: pd.Series, gap: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or any(x is None or any(y is None for y in x) for x in s) else search(s, g) for s, g in zip(found, gap)], dtype="Int32")
 
 
-def leaf_truth(leaf: Column, facts: Column, evidence: Column, clique: Column | None = None) -> Column:
-    """``struct(truth, reason)`` of a leaf for a case."""
-    fact, other = facts[leaf["fact_key"]], facts[leaf["other_key"]]
-    is_area = leaf["op"] == "same_visual_area"
-    any_of = lambda p: F.when(is_area, F.exists(leaf["fact_keys"], lambda k: p(facts[k]))).otherwise(p(fact))
-    lacks = any_of(lambda f: f.isNull())
-    lacking_evidence = any_of(lambda f: ~f["complete"])
-    unresolved = any_of(lambda f: f["status"] != "RESOLVED")
-    text_ops = leaf["op"].isin("contains", "contains_any", "matches")
-    wanted = F.when(leaf["op"].isin("eq", "not_eq"), leaf["value_type"]).when(text_ops, "STRING").when(leaf["op"].isin("greater_than", "less_than", "between"), "NUMBER").when(leaf["op"].isin("date_before", "date_after", "date_between"), "DATE")
-    reason = (
-        F.when(leaf["op"] == "truth", "EVALUATED").when(lacks, "MISSING_FACT").when(lacking_evidence, "MISSING_EVIDENCE")
-        .when((leaf["op"] == "present") & fact["status"].isin("RESOLVED", "NOT_FOUND") & (F.size(fact["evidence_ids"]) == 0), "MISSING_EVIDENCE")
-        .when((leaf["op"] == "present") & (fact["status"] == "NOT_FOUND"), "EVALUATED")
-        .when(unresolved, "UNRESOLVED_FACT").when(wanted.isNotNull() & (fact["value_type"] != wanted), "TYPE_MISMATCH")
-        .when((leaf["op"] == "matches") & (texts.utf16_length(fact["v_string"]) > leaf["longest"]), "RESOURCE_LIMIT")
-        .when(is_area & (F.coalesce(clique, F.lit(0)) < 0) if clique is not None else F.lit(False), "RESOURCE_LIMIT")
-        .otherwise("EVALUATED")
-    )
-    value = _compared(leaf, fact["v_string"])
-    language = F.exists(fact["evidence_ids"], lambda i: F.when(leaf["mode"] == "PRIMARY", texts.language_matches(evidence[i]["language"], leaf["s"], "PRIMARY")).otherwise(texts.language_matches(evidence[i]["language"], leaf["s"])))
-    truth = (
-        F.when(leaf["op"] == "truth", leaf["b"])
-        .when(leaf["op"] == "present", fact["status"] == "RESOLVED")
-        .when(leaf["op"] == "eq", _equal(leaf, fact))
-        .when(leaf["op"] == "not_eq", ~_equal(leaf, fact))
-        .when(leaf["op"] == "contains", value.contains(_compared(leaf, leaf["s"])))
-        .when(leaf["op"] == "contains_any", F.exists(leaf["many"], lambda m: value.contains(_compared(leaf, m))))
-        .when(leaf["op"] == "matches", F.regexp_like(fact["v_string"], leaf["pattern"]))
-        .when(leaf["op"] == "greater_than", fact["v_number"] > leaf["n"])
-        .when(leaf["op"] == "less_than", fact["v_number"] < leaf["n"])
-        .when(leaf["op"] == "between", _within(fact["v_number"], leaf["low"], leaf["high"], leaf))
-        .when(leaf["op"] == "date_before", fact["v_date"] < leaf["s"])
-        .when(leaf["op"] == "date_after", fact["v_date"] > leaf["s"])
-        .when(leaf["op"] == "date_between", _within(fact["v_date"], leaf["date_low"], leaf["date_high"], leaf))
-        .when(leaf["op"] == "language_present", language)
-        .when(is_area, clique == 1 if clique is not None else F.lit(None).cast("boolean"))
-    )
-    return F.struct(F.when(reason == "EVALUATED", truth).alias("truth"), reason.alias("reason"))
+#: The type of value that an operator asks for.
+ASKS = dict.fromkeys(("contains", "contains_any", "matches"), "STRING") | dict.fromkeys(("greater_than", "less_than", "between"), "NUMBER") | dict.fromkeys(("date_before", "date_after", "date_between"), "DATE")
+
+
+def _fact(key: str) -> Column:
+    return F.try_element_at("facts", F.lit(key))
+
+
+def leaf_result(leaf: dict) -> Column:
+    """``struct(truth, reason, evidence_ids)`` of a leaf (a row of ``flatten``) over a row of ``by_case``."""
+    op = leaf["op"]
+    if op == "truth":
+        return F.struct(F.lit(leaf["b"]).alias("truth"), F.lit("EVALUATED").alias("reason"), F.array().cast("array<string>").alias("evidence_ids"))
+    keys = leaf.get("fact_keys") or [leaf["fact_key"]]
+    facts = [_fact(k) for k in keys]
+    fact = facts[0]
+    some = lambda p: reduce(lambda a, b: a | b, [p(f) for f in facts])
+    reason = F.when(some(lambda f: f.isNull()), "MISSING_FACT").when(some(lambda f: ~f["complete"]), "MISSING_EVIDENCE")
+    if op == "present":
+        reason = reason.when(fact["status"].isin("RESOLVED", "NOT_FOUND") & (F.size(fact["evidence_ids"]) == 0), "MISSING_EVIDENCE").when(fact["status"] == "NOT_FOUND", "EVALUATED")
+    reason = reason.when(some(lambda f: f["status"] != "RESOLVED"), "UNRESOLVED_FACT")
+    if asked := leaf["value_type"] if op in ("eq", "not_eq") else ASKS.get(op):
+        reason = reason.when(fact["value_type"] != asked, "TYPE_MISMATCH")
+    if op == "present":
+        truth = fact["status"] == "RESOLVED"
+    elif op in ("eq", "not_eq"):
+        truth = {"STRING": lambda: _text(leaf, fact) == _wanted(leaf, leaf["s"]), "NUMBER": lambda: fact["v_number"] == leaf["n"], "BOOLEAN": lambda: fact["v_boolean"] == leaf["b"], "DATE": lambda: fact["v_date"] == leaf["s"]}[asked]()
+        truth = ~truth if op == "not_eq" else truth
+    elif op == "contains":
+        truth = _text(leaf, fact).contains(_wanted(leaf, leaf["s"]))
+    elif op == "contains_any":
+        truth = some_of([_text(leaf, fact).contains(_wanted(leaf, m)) for m in leaf["many"]])
+    elif op == "matches":
+        reason = reason.when(texts.utf16_length(_text(leaf, fact)) > leaf["longest"], "RESOURCE_LIMIT")
+        truth = F.regexp_like(_text(leaf, fact), F.lit(leaf["pattern"]))
+    elif op in ("greater_than", "less_than"):
+        truth = fact["v_number"] > leaf["n"] if op == "greater_than" else fact["v_number"] < leaf["n"]
+    elif op in ("date_before", "date_after"):
+        truth = fact["v_date"] < leaf["s"] if op == "date_before" else fact["v_date"] > leaf["s"]
+    elif op == "between":
+        truth = _within(fact["v_number"], leaf["low"], leaf["high"], leaf)
+    elif op == "date_between":
+        truth = _within(fact["v_date"], leaf["date_low"], leaf["date_high"], leaf)
+    elif op == "language_present":
+        truth = F.exists(fact["evidence_ids"], lambda i: texts.language_matches(F.try_element_at("evidence", i)["language"], F.lit(leaf["s"]), leaf["mode"]))
+    elif op == "same_visual_area":
+        found = _pair(*[_regions(f) for f in facts], leaf["gap"]) if len(facts) == 2 else _clique(F.to_json(F.array(*[_regions(f) for f in facts]), {"ignoreNullFields": "false"}), F.lit(leaf["gap"]))
+        reason = reason.when(found < 0, "RESOURCE_LIMIT")
+        truth = found == 1
+    else:
+        raise ValueError(f"unknown operator {op}")
+    reason = reason.otherwise("EVALUATED")
+    none = F.array().cast("array<string>")
+    ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(f["evidence_ids"], none) for f in facts]))))
+    return F.struct(F.when(reason == "EVALUATED", truth).alias("truth"), reason.alias("reason"), ids.alias("evidence_ids"))
+
+
+def some_of(cs: list[Column]) -> Column:
+    """Kleene disjunction, which is SQL's."""
+    return reduce(lambda a, b: a | b, cs)
+
+
+def once(df: DataFrame) -> DataFrame:
+    """The same rows.  An explode of one element keeps Catalyst from writing the columns' expressions
+    out again wherever later ones refer to them."""
+    return df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")
+
+
+class Nodes:
+    """The nodes of rules as expressions: each different leaf is a column of a case's row, and
+    inner nodes are Kleene expressions over those."""
+
+    def __init__(self, cases: DataFrame, rules: list[dict], case: str) -> None:
+        self.nodes = flatten(rules)
+        at = ("rule_id", "section", "path")
+        self.children: dict[tuple, list[dict]] = {}
+        for n in self.nodes:
+            self.children.setdefault((n["rule_id"], n["section"], n["parent"]), []).append(n)
+        unique: dict[str, tuple[int, dict]] = {}
+        self.column: dict[tuple, int] = {}
+        for n in self.nodes:
+            if n["op"] not in INNER:
+                key = json.dumps({k: v for k, v in n.items() if k not in (*at, "parent", "depth")}, sort_keys=True, default=str)
+                self.column[tuple(n[k] for k in at)] = unique.setdefault(key, (len(unique), n))[0]
+        self.rows = once(once(cases).select(case, F.array(*[leaf_result(n) for _, n in unique.values()]).alias("_leaves")))
+
+    def leaf(self, i: int) -> Column:
+        return F.col("_leaves")[i]
+
+    def below(self, n: dict) -> list[dict]:
+        return self.children.get((n["rule_id"], n["section"], n["path"]), [])
+
+    def truth(self, n: dict) -> Column:
+        if n["op"] not in INNER:
+            return self.leaf(self.column[n["rule_id"], n["section"], n["path"]])["truth"]
+        parts = [self.truth(c) for c in self.below(n)]
+        return ~parts[0] if n["op"] == "not" else reduce(lambda a, b: a & b, parts) if n["op"] == "all" else some_of(parts)
+
+    def reason(self, n: dict) -> Column:
+        return F.lit("EVALUATED") if n["op"] in INNER else self.leaf(self.column[n["rule_id"], n["section"], n["path"]])["reason"]
+
+    def leaves(self, n: dict) -> list[int]:
+        if n["op"] not in INNER:
+            return [self.column[n["rule_id"], n["section"], n["path"]]]
+        return list(dict.fromkeys(x for c in self.below(n) for x in self.leaves(c)))
+
+    def evidence(self, *ns: dict) -> Column:
+        names = list(dict.fromkeys(x for n in ns for x in self.leaves(n)))
+        return F.array_sort(F.array_distinct(F.flatten(F.array(*[self.leaf(x)["evidence_ids"] for x in names]))))
+
+    def roots(self, rule_id: str) -> dict[str, dict]:
+        return {n["section"]: n for n in self.nodes if n["rule_id"] == rule_id and n["parent"] is None}
 
 
 def evaluate_expressions(cases: DataFrame, rules: list[dict], case: str = "case_id") -> DataFrame:
     """A row for each case and node: truth (null: unknown), reason, and the evidence it rests on.
 
-    ``cases`` comes from ``by_case``.  Inner nodes are worked out level by level
-    from the leaves up; no level needs another shuffle.
+    ``cases`` comes from ``by_case``.  All nodes are worked out in a case's row, without
+    a shuffle, and then exploded.
     """
-    nodes = flatten(rules)
-    literal = F.from_json(F.lit(json.dumps([n for n in nodes if n["op"] not in INNER])), _array_of(LEAF))
-    rows = cases.select(case, "facts", "evidence", F.explode(literal).alias("leaf"))
-    clique = None
-    if any(n["op"] == "same_visual_area" for n in nodes):
-        regions = F.when(F.col("leaf.op") == "same_visual_area", F.transform("leaf.fact_keys", lambda k: _regions(F.col("facts")[k], F.col("evidence"))))
-        regions = F.to_json(regions, {"ignoreNullFields": "false"})
-        rows = rows.withColumn("clique", _clique(regions, F.col("leaf.gap")))
-        clique = F.col("clique")
-    got = leaf_truth(F.col("leaf"), F.col("facts"), F.col("evidence"), clique)
-    used = F.when(F.col("leaf.op").isin("truth"), F.array().cast("array<string>")).otherwise(F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.filter(F.transform(F.coalesce("leaf.fact_keys", F.array("leaf.fact_key")), lambda k: F.col("facts")[k]["evidence_ids"]), lambda x: x.isNotNull())))), F.array().cast("array<string>")))
-    out = rows.withColumn("got", got).select(case, "leaf.rule_id", "leaf.section", "leaf.path", "leaf.parent", "leaf.depth", "leaf.op", "got.truth", "got.reason", used.alias("evidence_ids"))
-    inner = [n for n in nodes if n["op"] in INNER]
-    if not inner:
-        return out
-    ops = F.from_json(F.lit(json.dumps({f"{n['rule_id']}|{n['section']}|{n['path']}": f"{n['op']}|{n['parent'] or ''}" for n in inner})), "map<string,string>")
-    level, done = out, out
-    for depth in range(max(n["depth"] for n in nodes), 0, -1):
-        below = level.where(F.col("depth") == depth)
-        label = ops[F.concat_ws("|", "rule_id", "section", "parent")]
-        op = F.split_part(F.first(label), F.lit("|"), F.lit(1))
-        false, true, unknown = F.max(~F.col("truth")), F.max("truth"), F.max(F.col("truth").isNull())
-        truth = F.when(op == "not", F.first(~F.col("truth"))).when(op == "all", F.when(F.coalesce(false, F.lit(False)), False).when(~unknown, True)).otherwise(F.when(F.coalesce(true, F.lit(False)), True).when(~unknown, False))
-        parents = below.groupBy(case, "rule_id", "section", F.col("parent").alias("path")).agg(
-            F.nullif(F.split_part(F.first(label), F.lit("|"), F.lit(2)), F.lit("")).alias("parent"), F.lit(depth - 1).alias("depth"), op.alias("op"), truth.alias("truth"),
-            F.lit("EVALUATED").alias("reason"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"),
-        )
-        done = done.unionByName(parents)
-        level = level.where(F.col("depth") < depth).unionByName(parents)
-    return done
-
-
-def _array_of(ddl: str) -> str:
-    return "array<struct<" + ",".join(":".join(f.split(None, 1)) for f in re.split(r",\s*(?![^<]*>)", ddl)) + ">>"
-
-
-def findings(traces: DataFrame, case: str = "case_id") -> DataFrame:
-    """One row for each case and rule from its root traces: applies, exception, satisfied,
-    outcome, whether its last section was reached, override truths and evidence.
+    t = Nodes(cases, rules, case)
+    rows = [F.struct(*[F.lit(n[k]).cast("int" if k == "depth" else "string").alias(k) for k in ("rule_id", "section", "path", "parent", "depth", "op")], t.truth(n).alias("truth"), t.reason(n).alias("reason"), t.evidence(n).alias("evidence_ids")) for n in t.nodes]
+    return t.rows.select(case, F.explode(F.array(*rows)).alias("t")).select(case, "t.*")
+
+
+def evaluate_rules(cases: DataFrame, rules: list[dict], case: str = "case_id") -> DataFrame:
+    """``(case, found)``: a map from rule id to applies, exception, satisfied, whether the last section
+    was reached, outcome, override truths and evidence, in the row of the case.
 
     Exceptions count only where the rule applies; the last section and overrides
     only where, besides, no exception holds or may hold.
     """
-    roots = traces.where("path = '$'")
-    pick = lambda section: F.max(F.when(F.col("section") == section, F.col("truth")))
-    is_exception = F.col("section").startswith("exception:")
-    some = F.max(F.when(is_exception, F.col("truth")))
-    unknown = F.max(F.when(is_exception, F.col("truth").isNull()))
-    rows = roots.groupBy(case, "rule_id").agg(
-        pick("applies_when").alias("applies"), F.when(F.coalesce(some, F.lit(False)), True).when(F.coalesce(unknown, F.lit(False)), None).otherwise(False).alias("any_exception"), pick("satisfied_when").alias("holds"),
-        F.map_from_entries(F.collect_list(F.when(F.col("section").startswith("override:"), F.struct(F.substring("section", 10, 1000), "truth")))).alias("override_truths"),
-        F.collect_list(F.struct("section", "evidence_ids")).alias("used"),
-    )
-    exception = F.when(F.col("applies"), F.col("any_exception"))
-    reached = F.coalesce(F.col("applies") & ~F.col("any_exception"), F.lit(False))
-    outcome = logic.derive_outcome(F.col("applies"), F.col("any_exception"), F.col("holds"))
-    seen = F.filter("used", lambda u: (u["section"] == "applies_when") | (u["section"].startswith("exception:") & F.coalesce(F.col("applies"), F.lit(False))) | reached)
-    return rows.select(
-        case, "rule_id", "applies", exception.alias("exception"), F.when(reached, F.col("holds")).alias("satisfied"), reached.alias("reached"), outcome.alias("outcome"),
-        F.when(reached, F.col("override_truths")).alias("override_truths"), F.array_sort(F.array_distinct(F.flatten(F.transform(seen, lambda u: u["evidence_ids"])))).alias("evidence_ids"),
-    )
+    t = Nodes(cases, rules, case)
+    ids = list(dict.fromkeys(r["rule_id"] for r in rules))
+    truths, entries = [], []
+    for i, rule in enumerate(ids):
+        roots = t.roots(rule)
+        exceptions = [n for s, n in roots.items() if s.startswith("exception:")]
+        overrides = {s.removeprefix("override:"): n for s, n in roots.items() if s.startswith("override:")}
+        some = some_of([t.truth(n) for n in exceptions]) if exceptions else F.lit(False)
+        truths.append(F.struct(t.truth(roots["applies_when"]).alias("a"), some.alias("e"), t.truth(roots["satisfied_when"]).alias("s"), F.coalesce(t.truth(roots["applies_when"]) & ~some, F.lit(False)).alias("reached")))
+        applies, some, holds, reached = (F.col("_truths")[i][c] for c in ("a", "e", "s", "reached"))
+        seen = F.when(reached, t.evidence(*roots.values())).when(F.coalesce(applies, F.lit(False)), t.evidence(roots["applies_when"], *exceptions)).otherwise(t.evidence(roots["applies_when"]))
+        own = F.map_from_arrays(F.array(*[F.lit(o) for o in overrides]), F.array(*[t.truth(n) for n in overrides.values()])) if overrides else F.from_json(F.lit("{}"), "map<string,boolean>")
+        entries.append(F.struct(applies.alias("applies"), F.when(applies, some).alias("exception"), F.when(reached, holds).alias("satisfied"), reached.alias("reached"), logic.derive_outcome(applies, some, holds).alias("outcome"), F.when(reached, own).alias("override_truths"), seen.alias("evidence_ids")))
+    return once(t.rows.withColumn("_truths", F.array(*truths))).select(case, F.map_from_arrays(F.array(*[F.lit(r) for r in ids]), F.array(*entries)).alias("found"))
+
+
+def findings(found: DataFrame, case: str = "case_id") -> DataFrame:
+    """One row for each case and rule of ``evaluate_rules``."""
+    return found.select(case, F.explode("found").alias("rule_id", "x")).select(case, "rule_id", "x.*")
+
+
+def outcomes(found: Column, field: str = "outcome") -> Column:
+    """The gravest outcome of a map of findings: FAIL, REVIEW, PASS, NOT_APPLICABLE."""
+    order = F.array(*[F.lit(o) for o in ("NOT_APPLICABLE", "PASS", "REVIEW", "FAIL")])
+    return F.element_at(order, F.array_max(F.transform(F.map_values(found), lambda x: F.array_position(order, x[field]))).cast("int"))
 
 
 def aggregate_outcomes(rows: DataFrame, outcome: str, *by: str) -> DataFrame:

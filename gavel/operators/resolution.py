@@ -1,83 +1,160 @@
 """Effects of rules on each other: overrides, declared and deontic conflicts.
 
-The override graph belongs to the pack, not to a case: its cycles, components
-and levels are worked out once, on tables of the pack's size.  Cases then pass
-through in joins by case and rule.
+The override graph belongs to the pack, not to a case.  ``Pack`` works out its
+components, cycles and levels once, from the rules' metadata, which is bounded
+by the size of a pack.  A case then is one row with an array of its findings:
+overrides and conflicts are expressions on that array, level by level, so a case
+is shuffled once, whatever the number of levels.
+
+``override_components``, ``override_cycles`` and ``override_levels`` do the same
+for tables of graphs too many or too large for the driver, a graph for each pack.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAVITY = ["NOT_APPLICABLE", "PASS", "REVIEW", "FAIL"]
+from .evaluate import once
+
+
+def _state(df: DataFrame) -> tuple:
+    """Tells whether a table has changed, without its rows."""
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """The table without its lineage: in the shared folder where there is one, else in memory."""
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.sparkContext.getCheckpointDir():
+        if not df.sparkSession.sparkContext.getCheckpointDir():
+            df.sparkSession.sparkContext.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+        return df.checkpoint()
+    return df.persist()
 
 
-def override_components(edges: DataFrame) -> DataFrame:
-    """``(rule_id, component)``: least rule id of the undirected component; ``edges`` has source and target."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.select(F.col("a").alias("rule_id"), F.col("a").alias("component")).distinct()
+def override_components(edges: DataFrame, *pack: str) -> DataFrame:
+    """``(*pack, rule_id, component)``: least rule id of the undirected component; ``edges`` has source and target."""
+    p = list(pack)
+    both = edges.select(*p, F.col("source").alias("a"), F.col("target").alias("b"))
+    both = _cut(both.unionByName(both.select(*p, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = both.select(*p, F.col("a").alias("rule_id"), F.col("a").alias("component")).distinct()
     before = None
     while True:
-        near = both.join(labels, both.b == labels.rule_id).groupBy("a").agg(F.min("component").alias("m"))
-        labels = labels.join(near, labels.rule_id == near.a).select("rule_id", F.least("component", "m").alias("component"))
-        labels = _cut(labels)
-        state = sorted(map(tuple, labels.collect()))  # rules of a pack
+        near = both.join(labels.withColumnRenamed("rule_id", "b"), [*p, "b"]).groupBy(*p, F.col("a").alias("rule_id")).agg(F.min("component").alias("m"))
+        labels = _cut(labels.join(near, [*p, "rule_id"]).select(*p, "rule_id", F.least("component", "m").alias("component")))
+        state = _state(labels)
         if state == before:
             return labels
         before = state
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A pack-sized table without its lineage."""
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
-def override_cycles(edges: DataFrame) -> DataFrame:
-    """``rule_id`` of nodes on directed cycles, by closing paths; edges are pack-sized."""
-    step = edges.select("source", "target").distinct()
-    paths, n = _cut(step), -1
-    while (count := paths.count()) != n:
-        n = count
-        longer = paths.alias("p").join(step.alias("s"), F.col("p.target") == F.col("s.source")).select("p.source", "s.target")
-        paths = _cut(paths.union(longer).distinct())
-    return paths.where("source = target").select(F.col("source").alias("rule_id")).distinct()
-
-
-def override_levels(edges: DataFrame) -> DataFrame:
-    """``(rule_id, level)``: longest path from a rule that nothing overrides; rules of components with cycles are left out."""
-    parts = override_components(edges)
-    bad = override_cycles(edges).join(parts, "rule_id").select("component").distinct()
-    levels = parts.join(bad, "component", "left_anti").select("rule_id", F.lit(0).alias("level"))
-    fine = edges.join(levels.select(F.col("rule_id").alias("source")), "source", "left_semi").select("source", "target").distinct()
-    while True:
-        up = fine.join(levels, fine.source == levels.rule_id).groupBy("target").agg((F.max("level") + 1).alias("up"))
-        new = _cut(levels.join(up, levels.rule_id == up.target, "left").select("rule_id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        if not new.exceptAll(levels).limit(1).count():
-            return new
-        levels = new
-
-
-def invalid_rules(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """Rules in a component with a cycle."""
-    parts = override_components(edges)
-    bad = override_cycles(edges).join(parts, "rule_id").select("component").distinct()
-    return parts.join(bad, "component", "left_semi").select("rule_id")
-
-
-def check_finding_map(findings: DataFrame, rules: DataFrame, case: str = "case_id") -> DataFrame:
-    """``(case, valid)``: whether a case has exactly one finding for each rule of the pack."""
-    n = rules.select("rule_id").distinct().agg(F.count("*").alias("rules"))
-    known = rules.select(F.col("rule_id").alias("known")).distinct()
-    seen = findings.join(F.broadcast(known), findings.rule_id == known.known, "left").groupBy(case).agg(F.count("*").alias("rows"), F.countDistinct("rule_id").alias("ids"), F.count("known").alias("matched"))
-    total = n.first()[0]
+def _leftovers(edges: DataFrame, inner: str, outer: str, p: list[str]) -> DataFrame:
+    """Edges that stay when those are taken away whose ``inner`` end is no other edge's ``outer`` end."""
+    left, before = _cut(edges.select(*p, "source", "target").distinct()), None
+    while (state := _state(left)) != before:
+        before = state
+        left = _cut(left.join(left.select(*p, F.col(outer).alias(inner)).distinct(), [*p, inner], "left_semi").select(*p, "source", "target"))
+    return left
+
+
+def override_cycles(edges: DataFrame, *pack: str) -> DataFrame:
+    """``(*pack, rule_id)`` of nodes on directed cycles.
+
+    Edges that nothing leads to, or that lead nowhere, are peeled off in turn.
+    What is left are cycles and the ways between them; a node is on a cycle if
+    it reaches itself, which is looked up within what is left.
+    """
+    p = list(pack)
+    core = _leftovers(_leftovers(edges, "source", "target", p), "target", "source", p)
+    paths, before = core, None
+    while (state := _state(paths)) != before:
+        before = state
+        longer = paths.withColumnRenamed("target", "via").join(core.withColumnRenamed("source", "via"), [*p, "via"]).select(*p, "source", "target")
+        paths = _cut(paths.unionByName(longer).distinct())
+    return paths.where("source = target").select(*p, F.col("source").alias("rule_id")).distinct()
+
+
+def override_levels(edges: DataFrame, *pack: str) -> DataFrame:
+    """``(*pack, rule_id, level)``: longest path from a rule that nothing overrides; rules of components with cycles are left out."""
+    p = list(pack)
+    parts = override_components(edges, *p)
+    bad = override_cycles(edges, *p).join(parts, [*p, "rule_id"]).select(*p, "component").distinct()
+    levels = _cut(parts.join(bad, [*p, "component"], "left_anti").select(*p, "rule_id", F.lit(0).alias("level")))
+    fine = _cut(edges.join(levels.select(*p, F.col("rule_id").alias("source")), [*p, "source"], "left_semi").select(*p, "source", "target").distinct())
+    before = None
+    while (state := _state(levels)) != before:
+        before = state
+        up = fine.join(levels.withColumnRenamed("rule_id", "source"), [*p, "source"]).groupBy(*p, F.col("target").alias("rule_id")).agg((F.max("level") + 1).alias("up"))
+        levels = _cut(levels.join(up, [*p, "rule_id"], "left").select(*p, "rule_id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
+    return levels
+
+
+@dataclass
+class Pack:
+    """A pack's relations between rules: ``edges`` (source, target), ``declared`` pairs, and ``norms``
+    (rule id to norm and category)."""
+
+    rules: list[str]
+    edges: list[tuple[str, str]] = field(default_factory=list)
+    declared: list[tuple[str, str]] = field(default_factory=list)
+    norms: dict[str, tuple[str, str]] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, rules: list[dict], declared: list[tuple[str, str]] = (), norms: dict[str, tuple[str, str]] | None = None) -> Pack:
+        return cls([r["rule_id"] for r in rules], [(r["rule_id"], t) for r in rules for t in (r.get("overrides") or {})], list(declared), dict(norms or {}))
+
+    @functools.cached_property
+    def invalid(self) -> set[str]:
+        """Rules of components that hold a cycle: what peeling in both directions leaves, spread over the component."""
+        left = set(self.edges)
+        while True:
+            sources, targets = {s for s, _ in left}, {t for _, t in left}
+            stay = {(s, t) for s, t in left if s in targets and t in sources}
+            if stay == left:
+                break
+            left = stay
+        bad = {x for e in left for x in e}
+        while more := {x for e in self.edges if bad & set(e) for x in e} - bad:
+            bad |= more
+        return bad
+
+    @functools.cached_property
+    def levels(self) -> dict[str, int]:
+        """Longest path from a rule that nothing overrides, by valid rule."""
+        out = {r: 0 for e in self.edges for r in e if r not in self.invalid}
+        fine = [(s, t) for s, t in self.edges if s in out]
+        changed = True
+        while changed:
+            changed = False
+            for s, t in fine:
+                if out[t] < out[s] + 1:
+                    out[t], changed = out[s] + 1, True
+        return out
+
+    def neighbours(self, rule: str) -> list[str]:
+        return sorted({s if t == rule else t for s, t in self.edges if rule in (s, t)} - {rule})
+
+
+def check_finding_map(findings: DataFrame, rules: DataFrame, case: str = "case_id", finding_hash: str | None = None) -> DataFrame:
+    """``(case, valid)``: whether a case has exactly one finding for each rule of the pack.
+
+    With ``finding_hash``, a column of the findings, each must equal ``rule_hash`` of its rule.
+    """
+    hashed = [F.col("rule_hash").alias("known_hash")] if finding_hash else []
+    known = rules.select(F.col("rule_id").alias("known"), *hashed).distinct()
+    total = rules.select("rule_id").distinct().count()
+    matches = F.col("known").isNotNull() & (F.col(finding_hash).eqNullSafe(F.col("known_hash")) if finding_hash else F.lit(True))
+    seen = findings.join(known, findings.rule_id == known.known, "left").groupBy(case).agg(F.count("*").alias("rows"), F.countDistinct("rule_id").alias("ids"), F.count_if(matches).alias("matched"))
     return seen.select(case, ((F.col("rows") == total) & (F.col("ids") == total) & (F.col("matched") == total)).alias("valid"))
 
 
-def validate_override_edges(edges: DataFrame, findings: DataFrame, rules: DataFrame, case: str = "case_id") -> DataFrame:
+def validate_override_edges(edges: DataFrame, findings: DataFrame, rules: DataFrame, case: str = "case_id", declared: DataFrame | None = None) -> DataFrame:
     """Violations of override edges in a case: a missing end, no common validity, a trace where
-    there must be none, or none where there must be one.
+    there must be none, or none where there must be one, an edge traced twice; with ``declared``
+    conflicts (a, b), those of a rule that the pack lacks.
 
     ``edges``: case, source, target, traced; ``rules``: rule_id, valid_from, valid_to.
     """
@@ -86,81 +163,154 @@ def validate_override_edges(edges: DataFrame, findings: DataFrame, rules: DataFr
     s = rules.select(F.col("rule_id").alias("source"), F.col("valid_from").alias("sf"), F.col("valid_to").alias("st"))
     t = rules.select(F.col("rule_id").alias("target"), F.col("valid_from").alias("tf"), F.col("valid_to").alias("tt"), F.lit(True).alias("has_target"))
     f = findings.select(case, F.col("rule_id").alias("source"), "reached")
-    rows = edges.join(F.broadcast(s), "source", "left").join(F.broadcast(t), "target", "left").join(f, [case, "source"], "left")
+    once = edges.groupBy(case, "source", "target").agg(F.max("traced").alias("traced"), F.count_if("traced").alias("times"))
+    rows = once.join(s, "source", "left").join(t, "target", "left").join(f, [case, "source"], "left")
     code = (
         F.when(F.col("has_target").isNull() | F.col("reached").isNull(), "MISSING_ENDPOINT")
-        .when(~overlap(F.col("sf"), F.col("st"), F.col("tf"), F.col("tt")), "VALIDITY_MISMATCH")
+        .when(~overlap(F.col("sf"), F.col("st"), F.col("tf"), F.col("tt")), "VALIDITY_MISMATCH").when(F.col("times") > 1, "DUPLICATE_TRACE")
         .when(F.col("reached") & ~F.col("traced"), "TRACE_REQUIRED").when(~F.col("reached") & F.col("traced"), "TRACE_UNEXPECTED")
     )
-    return rows.select(case, "source", "target", code.alias("code")).where("code is not null")
+    out = rows.select(case, "source", "target", code.alias("code")).where("code is not null")
+    if declared is None:
+        return out
+    ids = rules.select(F.col("rule_id").alias("id")).distinct()
+    dangling = declared.join(ids, declared.a == ids.id, "left").withColumnRenamed("id", "a_id").join(ids, declared.b == ids.id, "left").where("a_id is null or id is null")
+    return out.unionByName(dangling.select(F.lit(None).cast(out.schema[case].dataType).alias(case), F.col("a").alias("source"), F.col("b").alias("target"), F.lit("DANGLING_CONFLICT").alias("code")))
+
+
+def by_case(findings: DataFrame, case: str = "case_id") -> DataFrame:
+    """One row for each case with ``found``, a map from rule id to its finding."""
+    entry = F.struct("rule_id", F.struct("applies", "outcome", "reached", "override_truths"))
+    return findings.groupBy(case).agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def apply_overrides(cases: DataFrame, pack: Pack) -> DataFrame:
+    """Adds ``resolved`` to rows of ``by_case``: a map from rule id to ``resolution``, ``effective``, ``related``
+    and what the finding said.
+
+    Level by level: an active source (it applies, and its effect is not NOT_APPLICABLE)
+    whose edge is unknown makes both ends uncertain; one whose edge is true takes
+    its target out.  Rules of invalid components get INVALID and REVIEW.
+    """
+    one = lambda r: F.try_element_at("found", F.lit(r))
+    edges = [(s, t) for s, t in pack.edges if s not in pack.invalid]
+    into = {t: [s for s, x in edges if x == t] for _, t in edges}
+    rows = once(cases)
+
+    def acts(s: str, t: str, seen: Column) -> Column:
+        """Null where the edge does not act, else whether it is unknown."""
+        truth = F.try_element_at(one(s)["override_truths"], F.lit(t))
+        active = one(s)["reached"] & one(s)["applies"] & (seen != "NOT_APPLICABLE") & F.coalesce(truth, F.lit(True))
+        return F.when(F.coalesce(active, F.lit(False)), truth.isNull())
+
+    top = max((pack.levels[t] for t in into), default=0)
+    for level in range(top + 1):
+        # The effects of a level are columns of the row; those above refer to them by name.
+        new = {}
+        for i, rule in enumerate(pack.rules):
+            if pack.levels.get(rule, 0) == level:
+                base = one(rule)["outcome"]
+                hits = [F.col(f"_acts_{pack.rules.index(s)}_{i}") for s in into.get(rule, [])]
+                if hits:
+                    unsure, some = F.coalesce(F.greatest(*hits, F.lit(None).cast("boolean")), F.lit(False)), functools.reduce(lambda a, b: a | b, [h.isNotNull() for h in hits])
+                    base = F.when(unsure, "REVIEW").when(some, "NOT_APPLICABLE").otherwise(base)
+                new[f"_eff_{i}"] = base
+        rows = once(rows.withColumns(new))
+        rows = once(rows.withColumns({f"_acts_{pack.rules.index(s)}_{pack.rules.index(t)}": acts(s, t, F.col(f"_eff_{pack.rules.index(s)}")) for s, t in edges if pack.levels[s] == level}))
+
+    entries = []
+    for rule in pack.rules:
+        i = pack.rules.index(rule)
+        f = one(rule)
+        ends = [(F.col(f"_acts_{pack.rules.index(s)}_{pack.rules.index(t)}"), t if s == rule else s, t == rule) for s, t in edges if rule in (s, t)]
+        unsure_of = F.array_compact(F.array(*[F.when(a, F.lit(o)) for a, o, _ in ends])) if ends else _none()
+        taken_by = F.array_compact(F.array(*[F.when(~a, F.lit(o)) for a, o, inward in ends if inward] or [F.lit(None).cast("string")]))
+        invalid = F.lit(rule in pack.invalid)
+        resolution = F.when(invalid, "INVALID").when(F.size(unsure_of) > 0, "UNCERTAIN_OVERRIDE").when(F.size(taken_by) > 0, "OVERRIDDEN").otherwise("UNCHANGED")
+        effective = F.when(invalid | (F.size(unsure_of) > 0), "REVIEW").when(F.size(taken_by) > 0, "NOT_APPLICABLE").otherwise(f["outcome"])
+        others = F.filter(F.array(*[F.lit(n) for n in pack.neighbours(rule)]) if pack.neighbours(rule) else _none(), lambda n: F.map_contains_key("found", n))
+        related = F.when(invalid, others).when(F.size(unsure_of) > 0, F.array_sort(F.array_distinct(unsure_of))).otherwise(F.array_sort(F.array_distinct(taken_by)))
+        entries.append(F.when(f.isNotNull(), F.struct(F.lit(rule).alias("key"), F.struct(f["applies"].alias("applies"), f["outcome"].alias("outcome"), resolution.alias("resolution"), effective.alias("effective"), related.alias("related")).alias("value"))))
+    return rows.select(*cases.columns, F.map_from_entries(F.array_compact(F.array(*entries))).alias("resolved"))
+
 
+def declared_links(resolved: Column, pack: Pack) -> dict[str, list[Column]]:
+    """For each rule the rules of its declared conflicts that hold in a case, each null or its id."""
+    fine = lambda r: _takes_part(F.try_element_at(resolved, F.lit(r)))
+    out: dict[str, list[Column]] = {}
+    for a, b in {(min(p), max(p)) for p in pack.declared if p[0] != p[1]}:
+        both = fine(a) & fine(b)
+        out.setdefault(a, []).append(F.when(both, F.lit(b)))
+        out.setdefault(b, []).append(F.when(both, F.lit(a)))
+    return out
 
-def apply_overrides(findings: DataFrame, edges: DataFrame, pack_edges: DataFrame, case: str = "case_id") -> DataFrame:
-    """Adds ``resolution``, ``effective`` and ``related`` after overrides.
 
-    ``edges`` (case, source, target, truth) are those whose source reached its last
-    section.  Rules of invalid components get INVALID and REVIEW.  Level by level:
-    an active source (it applies, and its effect is not NOT_APPLICABLE) whose edge
-    is unknown makes both ends uncertain; one whose edge is true takes its target out.
+def _takes_part(x: Column) -> Column:
+    """Rules that apply and are neither invalid nor uncertain."""
+    return F.coalesce((x["effective"] != "NOT_APPLICABLE") & ~x["resolution"].isin("INVALID", "UNCERTAIN_OVERRIDE"), F.lit(False))
+
+
+def deontic_links(resolved: Column, pack: Pack) -> dict[str, list[Column]]:
+    """The same for norms: stars between prohibitions and the least obligation or permission of a norm, and back.
+
+    The star's centre is the least of all that apply, also if it then turns out uncertain.
     """
-    spark = findings.sparkSession
-    invalid = invalid_rules(spark, pack_edges).withColumn("invalid", F.lit(True))
-    levels = override_levels(pack_edges)
-    rows = findings.join(F.broadcast(invalid), "rule_id", "left").join(F.broadcast(levels), "rule_id", "left").select(case, "rule_id", "applies", "outcome", F.coalesce("invalid", F.lit(False)).alias("invalid"), F.coalesce("level", F.lit(0)).alias("level"))
-    rows = rows.withColumn("effective", F.col("outcome"))
-    good = edges.join(F.broadcast(invalid.select(F.col("rule_id").alias("source"))), "source", "left_anti").where("truth is null or truth")
-    top = levels.agg(F.max("level")).first()[0] or 0
-    active = F.col("applies") & (F.col("effective") != "NOT_APPLICABLE")
-    for level in range(1, top + 1):
-        acting = good.join(rows.where(active).select(case, F.col("rule_id").alias("source")), [case, "source"])
-        into = acting.groupBy(case, F.col("target").alias("rule_id")).agg(F.max(F.col("truth").isNull()).alias("unsure"), F.lit(True).alias("hit"))
-        joined = rows.join(into, [case, "rule_id"], "left")
-        at = (F.col("level") == level) & F.col("hit")
-        rows = joined.withColumn("effective", F.when(at & F.col("unsure"), "REVIEW").when(at, "NOT_APPLICABLE").otherwise(F.col("effective"))).drop("unsure", "hit")
-    acting = good.join(rows.where(active).select(case, F.col("rule_id").alias("source")), [case, "source"])
-    ends = acting.select(case, F.col("target").alias("rule_id"), F.col("source").alias("other"), F.col("truth").isNull().alias("unsure"), F.lit(True).alias("inward")).unionByName(acting.where("truth is null").select(case, F.col("source").alias("rule_id"), F.col("target").alias("other"), F.lit(True).alias("unsure"), F.lit(False).alias("inward")))
-    met = ends.groupBy(case, "rule_id").agg(F.collect_set(F.when(F.col("unsure"), F.col("other"))).alias("unsure_of"), F.collect_set(F.when(F.col("inward") & ~F.col("unsure"), F.col("other"))).alias("taken_by"))
-    none = F.array().cast("array<string>")
-    out = rows.join(met, [case, "rule_id"], "left").withColumns({"unsure_of": F.coalesce("unsure_of", none), "taken_by": F.coalesce("taken_by", none)})
-    resolution = F.when(F.col("invalid"), "INVALID").when(F.size("unsure_of") > 0, "UNCERTAIN_OVERRIDE").when(F.size("taken_by") > 0, "OVERRIDDEN").otherwise("UNCHANGED")
-    effective = F.when(F.col("invalid") | (F.size("unsure_of") > 0), "REVIEW").when(F.size("taken_by") > 0, "NOT_APPLICABLE").otherwise(F.col("outcome"))
-    pack = pack_edges.select("source", "target")
-    neighbours = pack.select(F.col("source").alias("rule_id"), F.col("target").alias("n")).union(pack.select("target", "source")).groupBy("rule_id").agg(F.collect_set("n").alias("neighbours"))
-    out = out.join(F.broadcast(neighbours), "rule_id", "left")
-    related = F.array_sort(F.when(F.col("invalid"), F.coalesce("neighbours", none)).when(F.size("unsure_of") > 0, F.col("unsure_of")).otherwise(F.col("taken_by")))
-    return out.select(case, "rule_id", "applies", "outcome", resolution.alias("resolution"), effective.alias("effective"), related.alias("related"))
-
-
-def conflict_links(resolved: DataFrame, declared: DataFrame, norms: DataFrame, case: str = "case_id") -> tuple[DataFrame, DataFrame]:
-    """Links ``(case, rule_id, other)`` in both directions: declared pairs, and stars between
-    prohibitions and the least obligation or permission of a norm, and back.
-
-    Only rules that apply and are neither invalid nor uncertain take part.
+    one = lambda r: F.try_element_at(resolved, F.lit(r))
+    sides: dict[str, tuple[list[str], list[str]]] = {}
+    for rule, (norm, category) in sorted(pack.norms.items()):
+        if category in ("PROHIBITION", "OBLIGATION", "PERMISSION"):
+            sides.setdefault(norm, ([], []))[category != "PROHIBITION"].append(rule)
+    out: dict[str, list[Column]] = {}
+    for pair in sides.values():
+        for own, other in (pair, pair[::-1]):
+            here = [F.when(F.coalesce(one(r)["applies"] & (one(r)["effective"] != "NOT_APPLICABLE") & (one(r)["resolution"] != "INVALID"), F.lit(False)), F.lit(r)) for r in other]
+            if not here or not own:
+                continue
+            centre = F.coalesce(*here)  # ids ascend
+            for r in own:
+                linked = _takes_part(one(r)) & F.coalesce(one(r)["applies"], F.lit(False)) & _takes_part(F.try_element_at(resolved, centre))
+                out.setdefault(r, []).append(F.when(linked, centre))
+                for c in other:
+                    out.setdefault(c, []).append(F.when(linked & (centre == c), F.lit(r)))
+    return out
+
+
+def apply_conflicts(cases: DataFrame, pack: Pack, *kinds) -> DataFrame:
+    """Rules with a link become CONFLICT_REVIEW; the others of the link are related.
+
+    ``kinds``: ``declared_links``, ``deontic_links`` or both; links of all kinds are found before any counts.
     """
-    rows = resolved.where("effective <> 'NOT_APPLICABLE' and resolution not in ('INVALID', 'UNCERTAIN_OVERRIDE')").select(case, "rule_id")
-    pairs = declared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    said = rows.join(F.broadcast(pairs), rows.rule_id == pairs.a).select(case, "a", "b").join(rows.withColumnRenamed("rule_id", "b"), [case, "b"]).select(case, "a", "b")
-    # The star's centre is the least of all that apply, also if it then turns out uncertain.
-    all_rows = resolved.where("applies and effective <> 'NOT_APPLICABLE' and resolution <> 'INVALID'").join(F.broadcast(norms), "rule_id")
-    sided = all_rows.withColumn("side", F.when(F.col("category") == "PROHIBITION", "P").when(F.col("category").isin("OBLIGATION", "PERMISSION"), "O")).where("side is not null")
-    least = sided.groupBy(case, "norm", "side").agg(F.min("rule_id").alias("centre")).select(case, "norm", F.when(F.col("side") == "P", "O").otherwise("P").alias("side"), "centre")
-    star = sided.join(least, [case, "norm", "side"]).select(case, F.col("rule_id").alias("a"), F.col("centre").alias("b"))
-    fine = rows
-    star = star.join(fine.withColumnRenamed("rule_id", "a"), [case, "a"], "left_semi").join(fine.withColumnRenamed("rule_id", "b"), [case, "b"], "left_semi").select(case, "a", "b")
-    both = lambda x: x.select(case, F.col("a").alias("rule_id"), F.col("b").alias("other")).union(x.select(case, "b", "a")).distinct()
-    return both(said), both(star)
-
-
-def apply_conflicts(resolved: DataFrame, links: DataFrame, case: str = "case_id") -> DataFrame:
-    """Rules with a link become CONFLICT_REVIEW; the others of the link are related."""
-    met = links.groupBy(case, "rule_id").agg(F.collect_set("other").alias("others"))
-    out = resolved.join(met, [case, "rule_id"], "left")
-    hit = F.col("others").isNotNull()
-    return out.select(case, "rule_id", "applies", "outcome", F.when(hit, "CONFLICT_REVIEW").otherwise(F.col("resolution")).alias("resolution"), F.when(hit, "REVIEW").otherwise(F.col("effective")).alias("effective"), F.when(hit, F.array_sort(F.array_union("related", "others"))).otherwise(F.col("related")).alias("related"))
-
-
-def resolve_findings(findings: DataFrame, edges: DataFrame, pack_edges: DataFrame, declared: DataFrame, norms: DataFrame, case: str = "case_id") -> DataFrame:
-    """Overrides, then declared and deontic conflicts."""
-    base = apply_overrides(findings, edges, pack_edges, case)
-    said, star = conflict_links(base, declared, norms, case)
-    return apply_conflicts(base, said.union(star).distinct(), case)
+    links: dict[str, list[Column]] = {}
+    for kind in kinds:
+        for rule, found in kind(F.col("resolved"), pack).items():
+            links.setdefault(rule, []).extend(found)
+    # The links are made once, as a map of arrays; then each finding looks itself up.
+    others = F.map_from_entries(F.array(*[F.struct(F.lit(r), F.array_distinct(F.array_compact(F.array(*x)))) for r, x in sorted(links.items())])) if links else F.lit(None).cast("map<string,array<string>>")
+    rows = once(once(cases).withColumn("_links", others))
+
+    def changed(rule: Column, x: Column) -> Column:
+        met = F.coalesce(F.try_element_at("_links", rule), _none())
+        hit = F.size(met) > 0
+        return F.struct(x["applies"].alias("applies"), x["outcome"].alias("outcome"), F.when(hit, "CONFLICT_REVIEW").otherwise(x["resolution"]).alias("resolution"), F.when(hit, "REVIEW").otherwise(x["effective"]).alias("effective"), F.when(hit, F.array_sort(F.array_union(x["related"], met))).otherwise(x["related"]).alias("related"))
+
+    return rows.withColumn("resolved", F.transform_values("resolved", changed)).drop("_links")
+
+
+def resolve_findings(cases: DataFrame, pack: Pack) -> DataFrame:
+    """Overrides, then declared and deontic conflicts, on rows of ``by_case``."""
+    return apply_conflicts(apply_overrides(cases, pack), pack, declared_links, deontic_links)
+
+
+def exploded(cases: DataFrame, case: str = "case_id") -> DataFrame:
+    """A row for each case and rule of ``resolved``."""
+    rows = cases.select(case, F.explode("resolved").alias("rule_id", "x"))
+    return rows.select(case, "rule_id", *[F.col(f"x.{c}").alias(c) for c in ("applies", "outcome", "resolution", "effective", "related")])
+
+
+def common_date(findings: DataFrame, case: str = "case_id", date: str = "evaluation_date") -> DataFrame:
+    """``(case, valid)``: whether all findings of a case have one evaluation date."""
+    return findings.groupBy(case).agg((F.count_distinct(F.coalesce(F.col(date).cast("string"), F.lit(""))) == 1).alias("valid"))

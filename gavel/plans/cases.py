@@ -12,7 +12,7 @@ from .registry import query
 
 
 def cases(t):
-    return evaluate.by_case(facts(t), evidence(t))
+    return evaluate.by_case(facts(t), evidence(t), cases=t.orders.select(F.col("o_orderkey").alias("case_id")))
 
 
 def traces(t, rules=None):
@@ -75,8 +75,12 @@ def ev1(t):
     return traces(t).select("case_id", "rule_id", "section", "path", "op", "truth", "reason")
 
 
+def judged(t, rules=None):
+    return evaluate.evaluate_rules(cases(t), rules or demo.RULES)
+
+
 def found(t):
-    return evaluate.findings(traces(t))
+    return evaluate.findings(judged(t))
 
 
 @query("ev2_evaluate_rules", demo.findings_sql() + " SELECT case_id, rule_id, applies, exception, satisfied, outcome FROM findings")
@@ -94,11 +98,6 @@ def pack_edges(t):
     return t.spark.createDataFrame([(r["rule_id"], target) for r in demo.RULES for target in (r.get("overrides") or {})], "source string, target string")
 
 
-def edges(t, findings):
-    """Override edges of rules whose last section was reached."""
-    return findings.where("reached").select("case_id", F.col("rule_id").alias("source"), F.explode("override_truths").alias("target", "truth"))
-
-
 @query("gr1_override_cycles", """WITH RECURSIVE e AS (SELECT DISTINCT n_regionkey % 4 AS a, n_nationkey % 7 + 2 AS b FROM nation UNION SELECT DISTINCT n_nationkey % 7 + 2, n_nationkey % 3 FROM nation WHERE n_nationkey > 10), p AS (SELECT a, b FROM e UNION SELECT p.a, e.b FROM p JOIN e ON p.b = e.a) SELECT DISTINCT CAST(a AS VARCHAR) AS rule_id FROM p WHERE a = b""")
 def gr1(t):
     return resolution.override_cycles(nation_edges(t))
@@ -148,15 +147,11 @@ def shown(df):
     return df.select("case_id", "rule_id", "resolution", "effective", F.concat_ws(",", "related").alias("related"))
 
 
-def tables(t):
-    declared = t.spark.createDataFrame(demo.CONFLICTS, "a string, b string")
-    norms = t.spark.createDataFrame([(r, n, c) for r, (n, c) in demo.NORMS.items()], "rule_id string, norm string, category string")
-    return declared, norms
+PACK = resolution.Pack.of(demo.RULES, demo.CONFLICTS, demo.NORMS)
 
 
 def overridden(t):
-    f = found(t).persist()  # read once for the findings and for every level of overrides
-    return resolution.apply_overrides(f, edges(t, f), pack_edges(t))
+    return resolution.apply_overrides(judged(t), PACK)
 
 
 @query("rs1_check_finding_map", "SELECT l_orderkey AS case_id, count(*) = 7 AND count(DISTINCT l_linenumber) = 7 AND min(l_linenumber) = 1 AND max(l_linenumber) = 7 AS valid FROM lineitem GROUP BY l_orderkey")
@@ -176,24 +171,21 @@ def rs2(t):
 
 @query("rs3_apply_overrides", RS_SQL + " SELECT case_id, rule_id, resolution, effective, related FROM rs3")
 def rs3(t):
-    return shown(overridden(t))
+    return shown(resolution.exploded(overridden(t)))
 
 
 @query("rs4_apply_declared_conflicts", _conflicts_sql("SELECT * FROM said") + " SELECT case_id, rule_id, resolution, effective, related FROM rs")
 def rs4(t):
-    base = overridden(t)
-    return shown(resolution.apply_conflicts(base, resolution.conflict_links(base, *tables(t))[0]))
+    return shown(resolution.exploded(resolution.apply_conflicts(overridden(t), PACK, resolution.declared_links)))
 
 
 @query("rs5_apply_deontic_conflicts", _conflicts_sql("SELECT * FROM norm") + " SELECT case_id, rule_id, resolution, effective, related FROM rs")
 def rs5(t):
-    base = overridden(t)
-    return shown(resolution.apply_conflicts(base, resolution.conflict_links(base, *tables(t))[1]))
+    return shown(resolution.exploded(resolution.apply_conflicts(overridden(t), PACK, resolution.deontic_links)))
 
 
 def resolved(t):
-    f = found(t).persist()
-    return resolution.resolve_findings(f, edges(t, f), pack_edges(t), *tables(t))
+    return resolution.resolve_findings(judged(t), PACK)
 
 
 ALL_LINKS = "SELECT * FROM said UNION SELECT * FROM norm"
@@ -201,7 +193,7 @@ ALL_LINKS = "SELECT * FROM said UNION SELECT * FROM norm"
 
 @query("rs6_resolve_findings", _conflicts_sql(ALL_LINKS) + " SELECT case_id, rule_id, resolution, effective, related FROM rs")
 def rs6(t):
-    return shown(resolved(t))
+    return shown(resolution.exploded(resolved(t)))
 
 
 RANKED = "max_by({0}, CASE {0} WHEN 'FAIL' THEN 3 WHEN 'REVIEW' THEN 2 WHEN 'PASS' THEN 1 ELSE 0 END)"
@@ -214,7 +206,7 @@ def rs7(t):
 
 @query("ev7_evaluate_pack", _conflicts_sql(ALL_LINKS) + f" SELECT case_id, {RANKED.format('effective')} AS outcome FROM rs GROUP BY case_id")
 def ev7(t):
-    return evaluate.aggregate_outcomes(resolved(t), "effective", "case_id")
+    return resolved(t).select("case_id", evaluate.outcomes(F.col("resolved"), "effective").alias("outcome"))
 
 
 ENTRY_RULES = demo.RULES[:6]
@@ -222,7 +214,7 @@ ENTRY_RULES = demo.RULES[:6]
 
 @query("entry_order_compliance", demo.findings_sql() + f" SELECT case_id, {RANKED.format('outcome')} AS outcome FROM findings WHERE rule_id < 'R7' GROUP BY case_id")
 def entry(t):
-    return evaluate.aggregate_outcomes(evaluate.findings(traces(t, ENTRY_RULES)), "outcome", "case_id")
+    return judged(t, ENTRY_RULES).select("case_id", evaluate.outcomes(F.col("found")).alias("outcome"))
 
 
 @query("ev11_check_facts", f"""WITH {SQL_FACTS} SELECT case_id, fact_id, code FROM (SELECT case_id, fact_id, CASE WHEN status = 'RESOLVED' AND v_json IS NULL AND v_string IS NULL AND v_number IS NULL AND v_boolean IS NULL AND v_date IS NULL THEN 'VALUE_MISSING' WHEN status = 'CONFLICT' AND len(evidence_ids) < 2 THEN 'EVIDENCE_TOO_FEW' WHEN status IN ('RESOLVED', 'NULL', 'NOT_READABLE') AND len(evidence_ids) < 1 THEN 'EVIDENCE_MISSING' WHEN status = 'CONFLICT' AND case_id % 10 = 0 THEN 'CONFIDENCE_UNEXPECTED' WHEN case_id % 10 = 0 THEN 'CONFIDENCE_RANGE' END AS code FROM facts) WHERE code IS NOT NULL""")
