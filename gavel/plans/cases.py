@@ -160,11 +160,11 @@ def rs1(t):
     return resolution.check_finding_map(t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").cast("string").alias("rule_id")), rules)
 
 
-@query("rs2_validate_override_edges", demo.findings_sql() + """, e AS (SELECT case_id, source, target, case_id % 5 <> 0 AS traced FROM edges WHERE case_id % 3 = 0)
+@query("rs2_validate_override_edges", demo.findings_sql() + """, e AS (SELECT case_id, source, target, case_id % 5 <> 0 AS traced FROM edges)
 SELECT case_id, source, target, CASE WHEN target = 'R4' THEN 'VALIDITY_MISMATCH' WHEN reached AND NOT traced THEN 'TRACE_REQUIRED' WHEN NOT reached AND traced THEN 'TRACE_UNEXPECTED' END AS code FROM e JOIN findings f ON f.case_id = e.case_id AND f.rule_id = e.source WHERE target = 'R4' OR reached <> traced""".replace("SELECT case_id, source, target, CASE", "SELECT e.case_id, source, target, CASE"))
 def rs2(t):
     f = found(t)
-    e = f.where("case_id % 3 = 0").join(F.broadcast(pack_edges(t)), F.col("rule_id") == F.col("source")).select("case_id", "source", "target", (F.col("case_id") % 5 != 0).alias("traced"))
+    e = f.join(F.broadcast(pack_edges(t)), F.col("rule_id") == F.col("source")).select("case_id", "source", "target", (F.col("case_id") % 5 != 0).alias("traced"))
     rules = t.spark.createDataFrame([(r["rule_id"], "2020-01-01", "2021-01-01" if r["rule_id"] == "R5" else None) if r["rule_id"] != "R4" else ("R4", "2022-01-01", None) for r in demo.RULES], "rule_id string, valid_from string, valid_to string")
     return resolution.validate_override_edges(e, f, rules)
 
