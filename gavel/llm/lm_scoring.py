@@ -420,8 +420,26 @@ def _answer(n: int, v: int, short: dict, buckets: int):
                 zero = np.zeros(len(own))
                 yield from out(own, zero, zero, np.bincount(row, contexts.costs(codes), len(own)), zero, zero)
 
-        def out(rows: np.ndarray, copies: np.ndarray, base: np.ndarray, score: np.ndarray, tokens: np.ndarray, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-            # Back by row, so that a text's answers meet again.
+        pending: list[tuple[np.ndarray, ...]] = []
+        waiting = 0
+
+        def out(*answers: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            pending.append(answers)
+            waiting += len(answers[0])
+            if waiting >= HELD // 4:
+                yield from send()
+
+        def send() -> Iterator[pa.RecordBatch]:
+            """Answers go back by row, so that those of a text meet again; first they are added up here."""
+            nonlocal waiting
+            if not pending:
+                return
+            rows, *sums = (np.concatenate(x) for x in zip(*pending))
+            pending.clear()
+            waiting = 0
+            rows, own = np.unique(rows, return_inverse=True)
+            copies, base, score, tokens, known = (np.bincount(own, x, len(rows)) for x in sums)
             group = (rows % buckets).astype(np.int32)
             order = np.argsort(group, kind="stable")
             used, first = np.unique(group[order], return_index=True)
@@ -460,6 +478,7 @@ def _answer(n: int, v: int, short: dict, buckets: int):
                 zero = np.zeros(len(own))
                 yield from out(own, zero, base, zero, zero, np.bincount(row[count > 0], minlength=len(own)))
         yield from bytes_asked()
+        yield from send()
 
     return run
 
