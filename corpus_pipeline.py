@@ -74,7 +74,7 @@ STAGES = [
     ("benchmark decontamination", contaminated),
     ("byte-level BPE", tokens),
 ]
-#: Byte-level BPE is not expressible in SQL; the tests hold run() against a brute-force version.
+#: Byte-level BPE is not expressible in SQL.
 ORACLE_SQL = None
 
 
