@@ -268,6 +268,7 @@ def leaf_result(leaf: dict) -> Column:
     reason = reason.otherwise("EVALUATED")
     none = F.array().cast("array<string>")
     ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(f["evidence_ids"], none) for f in facts]))))
+    ids = F.when(reason.isin("MISSING_FACT", "MISSING_EVIDENCE"), none).otherwise(ids)
     return F.struct(F.when(reason == "EVALUATED", truth).alias("truth"), reason.alias("reason"), ids.alias("evidence_ids"))
 
 
