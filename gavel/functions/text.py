@@ -65,9 +65,14 @@ def citation(c: Column, longest: int = 280) -> Column:
 
 
 def bounded_text(c: Column, longest: int = 20_000) -> Column:
-    """Texts over the limit are cut, with the hash and length of the whole."""
-    tail = F.concat(F.lit(" [sha256="), F.sha2(c, 256), F.lit(" length="), F.length(c).cast("string"), F.lit("]"))
-    return F.when(F.length(c) <= longest, c).otherwise(F.concat(F.substring(c, 1, longest), tail))
+    """Texts over the limit are cut so that they reach it together with a note of the hash and length of
+    the whole.  Lengths are in UTF-16 units; no surrogate pair is cut in two."""
+    units = utf16_length(c).cast("long")
+    note = F.concat(F.lit("\n...[truncated; sha256="), F.sha2(c, 256), F.lit("; originalCharacters="), units.cast("string"), F.lit("]"))
+    room = (longest - F.length(note)).cast("int")
+    coded = F.encode(c, "UTF-16BE")
+    split = F.hex(F.substring(coded, 2 * room - 1, 1)).between("D8", "DB")
+    return F.when(units <= longest, c).otherwise(F.concat(F.decode(F.substring(coded, F.lit(1), 2 * F.when(split, room - 1).otherwise(room)), "UTF-16BE"), note))
 
 
 def language_matches(a: Column, b: Column, mode: str = "EXACT") -> Column:

@@ -57,6 +57,78 @@ def latency_summary(rows: DataFrame, value: str) -> DataFrame:
     return rows.agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {value})").alias("p95"), F.max(value).alias("max"))
 
 
+#: The generator that draws cases: multiplier, increment and seeds; fixed values.
+LCG, SEED, SEED_STEP = (1_664_525, 1_013_904_223), 42, 2_654_435_761
+WORD = 2**32
+
+
+def _times(a: Column, b: Column) -> Column:
+    """a * b modulo 2^32 without leaving 64 bits."""
+    high, low = F.floor(b / 65_536).cast("long"), b % 65_536
+    return ((a * high) % 65_536 * 65_536 + a * low) % WORD
+
+
+def drawn_case(iteration: Column, draw: Column, cases: int) -> Column:
+    """The place of the case that a draw (from 0) of an iteration takes.  The generator is run ahead by the binary
+    digits of the draw, so every draw is an expression of its own."""
+    jumps, (a, c) = [], LCG
+    for bit in range(max(1, cases.bit_length())):
+        jumps.append(F.struct(F.lit(2**bit).cast("long").alias("steps"), F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")))
+        a, c = a * a % WORD, (c * a + c) % WORD
+    first = ((F.lit(SEED) + iteration * SEED_STEP) % WORD).cast("long")
+    state = F.aggregate(F.array(*jumps), first, lambda s, x: F.when(F.floor((draw + 1) / x["steps"]) % 2 == 1, (_times(s, x["a"]) + x["c"]) % WORD).otherwise(s))
+    return state % cases
+
+
+def bootstrap_ci(cases: DataFrame, metrics: dict[str, Column], iterations: int = 200, ordinal: str = "ordinal") -> DataFrame:
+    """``(metric, value, ci_low, ci_high)``: the metric over all cases, and the 2.5 and 97.5 percentiles (the lower
+    nearest one) over samples of as many cases with replacement, widened to hold the value.
+
+    ``cases``: a row each with its place from 0 and whole-number columns; ``metrics`` are expressions over their sums.
+    A sample is a number of times for each case, so that draws are counted before they meet the cases.
+    """
+    sums = [c for c in cases.columns if c != ordinal]
+    n = cases.count()
+    spark = cases.sparkSession
+    total = cases.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).select(F.lit(-1).cast("long").alias("_i"), *sums)
+    if n:
+        it = F.floor(F.col("id") / n).cast("long")
+        draws = spark.range(iterations * n).select(it.alias("_i"), drawn_case(it, F.col("id") - it * n, n).alias(ordinal))
+        weights = draws.groupBy("_i", ordinal).agg(F.count("*").alias("_w"))
+        sampled = weights.join(cases.withColumn(ordinal, F.col(ordinal).cast("long")), ordinal).groupBy("_i").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in sums])
+        total = total.unionByName(sampled)
+    rows = total.select("_i", *[m.alias(name) for name, m in metrics.items()]).unpivot(["_i"], list(metrics), "metric", "_v")
+    own = rows.groupBy("metric").agg(F.max(F.when(F.col("_i") < 0, F.col("_v"))).alias("value"), F.array_sort(F.collect_list(F.when(F.col("_i") >= 0, F.col("_v")))).alias("_s"))
+    at = lambda p: F.get("_s", F.floor(F.lit(p) * (F.size("_s") - 1)).cast("int"))
+    return own.select("metric", "value", F.least("value", at(0.025)).alias("ci_low"), F.greatest("value", at(0.975)).alias("ci_high"))
+
+
+def benchmark_metrics() -> dict[str, Column]:
+    """The metrics of extraction and findings over sums of tp, fp, fn, missing, hallucinated, expected, predicted,
+    and for each outcome tp_, fp_ and fn_ (in small letters)."""
+    c = F.col
+    f1 = lambda tp, fp, fn: ratio(2 * tp, 2 * tp + fp + fn)
+    rest = [o.lower() for o in OUTCOMES if o != "FAIL"]
+    negatives = sum((c(f"tp_{o}") + c(f"fn_{o}") for o in rest), F.lit(0))
+    return {
+        "precision": ratio(c("tp"), c("tp") + c("fp")), "recall": ratio(c("tp"), c("tp") + c("fn")), "f1": f1(c("tp"), c("fp"), c("fn")),
+        "missing_rate": ratio(c("missing"), c("expected")), "hallucination_rate": ratio(c("hallucinated"), c("predicted")),
+        "sensitivity": ratio(c("tp_fail"), c("tp_fail") + c("fn_fail")), "specificity": ratio(negatives - c("fp_fail"), negatives), "false_negative_rate": ratio(c("fn_fail"), c("tp_fail") + c("fn_fail")),
+        "macro_f1": sum((f1(c(f"tp_{o.lower()}"), c(f"fp_{o.lower()}"), c(f"fn_{o.lower()}")) for o in OUTCOMES), F.lit(0.0)) / len(OUTCOMES),
+    }
+
+
+def benchmark_counts(outcomes: DataFrame, expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """A row of counts for each case of ``outcomes`` (case_id, ordinal, expected, predicted; no prediction is REVIEW),
+    as ``benchmark_metrics`` sums them."""
+    got = F.coalesce("predicted", F.lit("REVIEW"))
+    labels = [x for o in OUTCOMES for x in (
+        ((F.col("expected") == o) & (got == o)).cast("int").alias(f"tp_{o.lower()}"), ((F.col("expected") != o) & (got == o)).cast("int").alias(f"fp_{o.lower()}"), ((F.col("expected") == o) & (got != o)).cast("int").alias(f"fn_{o.lower()}"))]
+    counts = extraction_counts(expected, predicted, "case_id")
+    rows = outcomes.select("case_id", "ordinal", *labels).join(counts, "case_id", "left").drop("case_id")
+    return rows.fillna(0)
+
+
 def pipeline_report(cases: DataFrame) -> DataFrame:
     return cases.agg(*[F.count_if(F.col("predicted") == o).alias(o.lower()) for o in OUTCOMES], F.count_if(F.col("expected") == F.col("predicted")).alias("matched"), ratio(F.count_if(F.col("predicted") == "REVIEW"), F.count("*")).alias("review_rate"))
 

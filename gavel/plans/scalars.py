@@ -221,7 +221,7 @@ def sc28(t):
     return t.documents.select("doc_id", text.citation(F.col("text")).alias("citation"))
 
 
-@query("sc29_bounded_text", "SELECT doc_id, sha256(CASE WHEN length(text) <= 20000 THEN text ELSE substr(text, 1, 20000) || ' [sha256=' || sha256(text) || ' length=' || length(text) || ']' END) AS h FROM documents")
+@query("sc29_bounded_text", "SELECT doc_id, sha256(CASE WHEN units <= 20000 THEN text ELSE substr(text, 1, 20000 - length(note)) || note END) AS h FROM (SELECT *, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS units, chr(10) || '...[truncated; sha256=' || sha256(text) || '; originalCharacters=' || (length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) || ']' AS note FROM documents)")
 def sc29(t):
     return t.documents.select("doc_id", F.sha2(text.bounded_text(F.col("text")), 256).alias("h"))
 
