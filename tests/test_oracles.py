@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["sc1_normalize_text", "sc8_compare_utc", "sc21_json_pointer", "sc23_compare_semver", "p10_between", "ev2_evaluate_rules", "lg2_state_as_of", "lg5_resolve_pack", "bm1_extraction_counts", "ca3_risk_coverage", "dq4_relationship_check", "rg4_retrieve_topk", "gr1_override_cycles"]
+NAMES = ["sc1_normalize_text", "sc8_compare_utc", "sc21_json_pointer", "sc23_compare_semver", "p10_between", "ev2_evaluate_rules", "lg2_state_as_of", "lg5_resolve_pack", "bm1_extraction_counts", "ca3_risk_coverage", "dq4_relationship_check", "rg4_retrieve_topk", "gr1_override_cycles", "lg4_validate_activations", "lg9_validate_card_ledger", "lg11_card_eligibility", "ev5_check_rule_binding", "rt6_check_fixtures", "src3_artifact_inventory", "src4_read_json_collection", "au2_check_run_graph", "snk4_snapshot_export"]
 
 
 @pytest.mark.parametrize("name", NAMES)
