@@ -36,6 +36,7 @@ MAX_LABELLED = 20_000
 SHARES = (50, 30, 20)
 #: Stems of insults in four languages.
 SEEDS = "idiot moron stupid dumb scum loser trash worthless pathetic disgusting clown jerk bastard arschloch dummkopf trottel depp abschaum connard imbécile crétin ordure débile idiota imbécil estúpido basura tonto gilipollas".split()
+STEMS = tuple(SEEDS)
 SECOND_PERSON = set("you your yours yourself u ur du dich dir dein deine euch ihr ihre sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros tus su sus".split())
 #: Letters that digits and signs stand for.
 LEET = str.maketrans("013457@$!|", "oieastasil")
@@ -49,11 +50,13 @@ _EDGE = re.compile(r"^\W+|\W+$")
 
 def plain(word: str) -> tuple[str, bool]:
     """A word without signs, look-alikes resolved; whether that changed its inside."""
-    inner = _EDGE.sub("", word.lower())
-    bare = "".join(c for c in inner if c.isalpha())
-    if len(bare) == len(inner):
+    inner = word.lower()
+    if inner.isalpha():
         return inner, False
-    if not bare:
+    inner = _EDGE.sub("", inner)
+    if not inner or inner.isalpha():
+        return inner, False
+    if not any(map(str.isalpha, inner)):
         return "", False
     told = "".join(c for c in inner.translate(LEET) if c.isalpha())
     return told, True
@@ -64,32 +67,47 @@ def terms(word: str) -> list[str]:
     return [f"={word}"] + [word[:n] for n in PREFIXES if len(word) > n]
 
 
+class _Numbers(dict):
+    """Numbers keys as they come; ``new`` lists those that have not been taken yet."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self.new.append(key)
+        self[key] = n = len(self)
+        return n
+
+
 class Words:
     """Features of words, kept by word."""
 
     COLUMNS = 7  # seed, learned weight, learned, second person, capitals, hidden, drawn
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.lexicon, self.index, self.rows = lexicon, {}, []
+        self.lexicon, self.index, self.rows = lexicon, _Numbers(), []
         self.table = np.zeros((0, self.COLUMNS), np.float32)
 
     def _features(self, raw_word: bytes) -> tuple[float, ...]:
         word = raw_word.decode("utf-8", "replace")
         told, hidden = plain(word)
-        weight = max((self.lexicon.get(t, 0.0) for t in terms(told)), default=0.0) if told else 0.0
-        seed = any(told.startswith(s) for s in SEEDS)
-        return (seed, weight, weight > 0, told in SECOND_PERSON, len(told) > 1 and word.isupper(), hidden and any(c.isdigit() or c in "@$*" for c in word), bool(_DRAWN.search(told)))
+        weight = max(map(self.weight, terms(told))) if told else 0.0
+        return (told.startswith(STEMS), weight, weight > 0, told in SECOND_PERSON, len(told) > 1 and word.isupper(), hidden and any(c.isdigit() or c in "@$*" for c in word), _DRAWN.search(told) is not None)
+
+    def weight(self, term: str) -> float:
+        return self.lexicon.get(term, 0.0)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         if len(self.index) > 400_000:
-            self.index, self.rows = {}, []
+            self.index, self.rows = _Numbers(), []
             self.table = self.table[:0]
-        for word in set(words).difference(self.index) if len(words) > len(self.index) else [w for w in dict.fromkeys(words) if w not in self.index]:
-            self.index[word] = len(self.rows)
-            self.rows.append(self._features(word))
-        if len(self.rows) > len(self.table):
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if self.index.new:
+            self.rows.extend(map(self._features, self.index.new))
+            self.index.new.clear()
             self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], np.float32)])
-        return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
+        return self.table[at]
 
 
 def _bytes_by_class() -> np.ndarray:
