@@ -264,7 +264,7 @@ def test_url_rules_of_four_tokens(spark):
 
 
 def test_pipeline(spark):
-    """run() against the stages' brute-force versions at the smallest scale."""
+    """What is left are least ids of near-duplicate classes; test_brute_force holds every stage against a plain version."""
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
