@@ -23,7 +23,7 @@ def utc_key(c: Column) -> Column:
     without zeros at the end.  Any number of digits counts; seconds may be missing."""
     part = lambda i: F.regexp_extract(c, INSTANT, i)
     second = F.when(part(4) == "", "00").otherwise(part(4))
-    moment = F.try_to_timestamp(F.concat(part(1), F.lit(" "), part(2), F.lit(":"), part(3), F.lit(":"), second), F.lit("yyyy-MM-dd HH:mm:ss"))
+    moment = F.try_to_timestamp(F.concat(part(1), F.lit(" "), part(2), F.lit(":"), part(3), F.lit(":"), second, F.lit("+00:00")), F.lit("yyyy-MM-dd HH:mm:ssXXX"))
     return F.when(c.rlike(INSTANT) & moment.isNotNull(), F.struct(F.unix_timestamp(moment).alias("second"), F.regexp_replace(part(5), "0+$", "").alias("fraction")))
 
 
@@ -47,6 +47,8 @@ def normalize_iso_date(c: Column) -> Column:
 
 
 def normalize_utc_datetime(c: Column) -> Column:
-    """An instant with an offset as UTC with milliseconds; null for other forms."""
+    """An instant with an offset as UTC with milliseconds, whatever the session's zone; null for other forms."""
     form = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
-    return F.when(c.rlike(form), F.date_format(F.try_to_timestamp(F.regexp_replace(c, r"(\.\d{3})\d+", "$1")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    millis = F.unix_millis(F.try_to_timestamp(F.regexp_replace(c, r"(\.\d{3})\d+", "$1")))
+    second = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.floor(millis / 1000).cast("decimal(18,6)"))
+    return F.when(c.rlike(form), F.concat(F.replace(second.cast("string"), F.lit(" "), F.lit("T")), F.lit("."), F.lpad(F.pmod(millis, F.lit(1000)).cast("string"), 3, "0"), F.lit("Z")))

@@ -62,18 +62,39 @@ def check_citations(drafts: DataFrame, retrieved: DataFrame, lists: list[str], k
     return cited.join(retrieved.select(key, "chunk_id"), [key, "chunk_id"], "left_anti")
 
 
-def scan_sensitive(docs: DataFrame, path: str = "path", content: str = "content", patterns: dict[str, str] | None = None, forbidden: list[str] | None = None) -> DataFrame:
-    """``(path, kind, rule, line, fingerprint)`` of secrets by pattern and of forbidden tokens by hash, in order of lines."""
-    from ..functions.hashing import finding_fingerprint, token_hash
+def scan_sensitive(docs: DataFrame, path: str = "path", content: str = "content", patterns: dict[str, str] | None = None, forbidden: list[str] | None = None, segments: list[str] | None = None, allowed: list[str] | None = None) -> DataFrame:
+    """``(path, kind, rule, line, column, fingerprint)`` of every secret by pattern, every token whose hash is
+    forbidden, and every forbidden path segment of a path that is not allowed.
 
-    lines = docs.select(F.col(path).alias("path"), F.posexplode(F.split(content, r"\r?\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
-    rules = SECRETS | (patterns or {})
-    hit = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(name)) for name, p in rules.items()]))
-    secrets = lines.select("path", "line", F.lit("SECRET").alias("kind"), F.explode(hit).alias("rule"))
-    words = lines.select("path", "line", F.explode(F.array_distinct(F.filter(F.split("text", r"[^\p{L}\p{N}_-]+"), lambda x: x != ""))).alias("word"))
-    banned = words.where(token_hash(F.col("word")).isin(forbidden or [])).select("path", "line", F.lit("FORBIDDEN_TOKEN").alias("kind"), F.substring(token_hash(F.col("word")), 1, 12).alias("rule")).distinct()
-    rows = secrets.unionByName(banned)
-    return rows.withColumn("fingerprint", finding_fingerprint(F.col("kind"), F.col("rule"), F.col("path"), F.col("line")))
+    Columns count UTF-16 units from 1.  Patterns match within a line.  Findings of paths are at 1, 1.
+    """
+    from ..functions.hashing import finding_fingerprint, token_hash
+    from ..functions.text import utf16_length
+
+    where = F.replace(F.col(path), F.lit("\\"), F.lit("/"))
+    banned = F.array(*[F.when(where.contains(s) & ~where.isin(allowed or []), F.concat(F.lit("path:"), token_hash(F.lit(s)))) for s in segments or []]).cast("array<string>")
+    paths = docs.select(F.col(path).alias("path"), F.lit("PRIVATE_PATH").alias("kind"), F.explode(F.array_compact(banned)).alias("rule"), F.lit(1).alias("line"), F.lit(1).alias("column"))
+
+    column = lambda before: (utf16_length(F.array_join(before, "")) + 1).cast("int")
+    hit = lambda kind, rule, at: F.struct(F.lit(kind).alias("kind"), rule.alias("rule"), at.alias("column"))
+    none = F.array().cast("array<struct<kind:string,rule:string,column:int>>")
+    line = F.col("text")
+
+    def secrets(name: str, pattern: str):
+        between, found = F.split(line, pattern), F.regexp_extract_all(line, F.lit(f"({pattern})"), F.lit(1))
+        ahead = lambda i: F.concat(F.slice(between, 1, i + 1), F.slice(found, 1, i))
+        return F.when(line.rlike(pattern), F.transform(found, lambda _, i: hit("POTENTIAL_SECRET", F.lit(f"secret:{name}"), column(ahead(i))))).otherwise(none)
+
+    hits = [secrets(*rule) for rule in (SECRETS | (patterns or {})).items()]
+    if forbidden:
+        # Tokens and what is between them, in turn.
+        parts = F.regexp_extract_all(line, F.lit(r"([\p{L}\p{N}_-]+|[^\p{L}\p{N}_-]+)"), F.lit(1))
+        places = F.transform(parts, lambda x, i: F.struct(token_hash(x).alias("hash"), i.alias("i")))
+        places = F.filter(places, lambda x: x["hash"].isin(forbidden))
+        hits.append(F.transform(places, lambda x: hit("FORBIDDEN_TOKEN", F.concat(F.lit("token:"), x["hash"]), column(F.slice(parts, 1, x["i"])))))
+    lines = docs.select(F.col(path).alias("path"), F.posexplode(F.split(content, "\n")).alias("n", "text"))
+    found = lines.select("path", (F.col("n") + 1).alias("line"), F.explode(F.concat(*hits)).alias("hit")).select("path", "hit.kind", "hit.rule", "line", "hit.column")
+    return found.unionByName(paths).withColumn("fingerprint", finding_fingerprint(F.col("kind"), F.col("rule"), F.col("path"), F.col("line")))
 
 
 def safe_retrieve(queries: DataFrame, retrieved: DataFrame, violations: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def check_chain(events: DataFrame, key: str, order: str = "sequence", content: l
     rows = events.withColumns({"_n": F.row_number().over(w), "_before": F.lag(own).over(w)})
     code = F.when(F.col(order) != F.col("_n"), "SEQUENCE_GAP").when(~F.col(previous).eqNullSafe(F.col("_before")), "PREVIOUS_HASH_MISMATCH")
     if content:
-        code = code.when(F.col(own) != content_hash(*map(F.col, content)), "CONTENT_HASH_MISMATCH")
+        code = code.when(F.col(own) != content_hash(*content), "CONTENT_HASH_MISMATCH")
     return rows.select(key, order, code.alias("code")).where("code is not null")
 
 
@@ -99,12 +99,29 @@ def card_state(audit: DataFrame, needed: Column | int = 1, key: str = "revision_
 
 
 def validate_versions(versions: DataFrame, series: str = "pack_id") -> DataFrame:
-    """``(series, version_id, code)``: a SemVer used twice, or not above the one published before."""
+    """``(series, version_id, code)``, in the order of publication: another domain or jurisdiction than the first
+    version's, a publisher among the contributors, a SemVer used before or not above the last one, a time that is
+    not later, or another predecessor superseded than the last version.
+
+    ``versions``: series, version_id, semver, published_at, and, where they are to be checked, domain,
+    jurisdiction, publisher with contributors (an array), and supersedes.
+    """
     from ..functions.rules import semver_sort_key
 
     w = Window.partitionBy(series).orderBy("published_at", "version_id")
-    rows = versions.withColumns({"_n": F.count("*").over(Window.partitionBy(series, "semver")), "_key": semver_sort_key(F.col("semver"))}).withColumn("_before", F.lag("_key").over(w))
-    code = F.when(F.col("_n") > 1, "DUPLICATE_SEMVER").when(F.col("_key") <= F.col("_before"), "SEMVER_NOT_INCREASING")
+    again = F.row_number().over(Window.partitionBy(series, "semver").orderBy("published_at", "version_id"))
+    rows = versions.withColumns({"_n": again, "_key": semver_sort_key(F.col("semver"))})
+    rows = rows.withColumns({"_before": F.lag("_key").over(w), "_at": F.lag("published_at").over(w), "_last": F.lag("version_id").over(w)})
+    code = F.when(F.lit(False), "")
+    if {"domain", "jurisdiction"} <= set(versions.columns):
+        scope = F.struct("domain", "jurisdiction")
+        rows = rows.withColumn("_scope", F.first(scope).over(w))
+        code = code.when(~F.col("_scope").eqNullSafe(scope), "SCOPE_MISMATCH")
+    if {"publisher", "contributors"} <= set(versions.columns):
+        code = code.when(F.coalesce(F.array_contains("contributors", F.col("publisher")), F.lit(False)), "PUBLISHER_NOT_INDEPENDENT")
+    code = code.when(F.col("_n") > 1, "DUPLICATE_SEMVER").when(F.col("_key") <= F.col("_before"), "SEMVER_NOT_INCREASING").when(F.col("published_at") <= F.col("_at"), "PUBLISH_TIME_INVALID")
+    if "supersedes" in versions.columns:
+        code = code.when(~F.col("supersedes").eqNullSafe(F.col("_last")), "SUPERSESSION_INVALID")
     return rows.select(series, "version_id", code.alias("code")).where("code is not null")
 
 

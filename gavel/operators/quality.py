@@ -185,10 +185,19 @@ def impact_summary(impacts: DataFrame) -> DataFrame:
     return impacts.agg(F.count("*").alias("total"), has("OUTCOME_CHANGED").alias("changed"), has("NEW_REVIEW").alias("new_review"), has("POSSIBLE_FALSE_CONFORMITY").alias("possible_false_conformity"), has("UNCHANGED").alias("unchanged"))
 
 
-def collection_counts(items: DataFrame, expected: DataFrame, collection: str) -> DataFrame:
-    """Items found against the number expected, for each collection."""
+def collection_counts(items: DataFrame, expected: DataFrame, collection: str, declared: DataFrame | None = None) -> DataFrame:
+    """Items found against the number expected, for each collection; no expectation always matches.
+
+    ``declared`` has the number that each source row of a collection declares.  Their sum must match, too; it is
+    null, and does not match, where a source declares none or a negative number, or no source is there.
+    """
     n = items.groupBy(collection).agg(F.count("*").alias("found"))
-    return expected.join(n, collection, "left").select(collection, "expected", F.coalesce("found", F.lit(0)).alias("found"), (F.coalesce("found", F.lit(0)) == F.col("expected")).alias("matches"))
+    found = F.coalesce("found", F.lit(0))
+    rows = expected.join(n, collection, "left").select(collection, "expected", found.alias("found"), F.coalesce(found == F.col("expected"), F.lit(True)).alias("matches"))
+    if declared is None:
+        return rows
+    sums = declared.groupBy(collection).agg(F.when(F.min(F.coalesce("declared", F.lit(-1))) >= 0, F.sum("declared")).alias("declared"))
+    return rows.join(sums, collection, "left").withColumn("declared_matches", F.coalesce(F.col("declared") == F.col("found"), F.lit(False)))
 
 
 def duplicate_ids(items: DataFrame, *by: str) -> DataFrame:

@@ -58,12 +58,21 @@ def rg6(t):
     return corpus.check_citations(d, r, ["a", "b"])
 
 
-@query("sca_scan_sensitive", f"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(string_split_regex(text, '\\r?\\n')) AS text, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS line FROM documents), h AS (SELECT path, line, 'SECRET' AS kind, 'token' AS rule FROM l WHERE regexp_matches(text, 'token = "[0-9a-f]+"')
-UNION ALL SELECT DISTINCT path, line, 'FORBIDDEN_TOKEN', '{TOKEN[:12]}' FROM l WHERE list_contains(list_transform(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_-]+'), lambda x: lower(x)), 'license'))
-SELECT path, CAST(line AS INTEGER) AS line, kind, rule, substr(sha256(kind || chr(0) || rule || chr(0) || path || chr(0) || line), 1, 16) AS fingerprint FROM h""")
+UNITS = "CAST(length({0}) + length(regexp_replace({0}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS INTEGER)"
+SECRET = 'token = "[0-9a-f]+"'
+
+
+@query("sca_scan_sensitive", f"""WITH d AS (SELECT 'data/' || doc_id || CASE WHEN doc_id % 10 = 3 THEN '\\private/x' ELSE '' END AS path, text FROM documents), l AS (SELECT path, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM d),
+t AS (SELECT path, line, parts, unnest(list_filter(range(1, len(parts) + 1), lambda i: lower(parts[i]) = 'license')) AS i FROM (SELECT path, line, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_-]+|[^\\p{{L}}\\p{{N}}_-]+') AS parts FROM l)),
+s AS (SELECT path, line, pieces, found, unnest(range(1, len(found) + 1)) AS i FROM (SELECT path, line, string_split_regex(text, '{SECRET}') AS pieces, regexp_extract_all(text, '{SECRET}') AS found FROM l)),
+h AS (SELECT path, line, {UNITS.format("array_to_string(parts[:i - 1], '')")} + 1 AS "column", 'FORBIDDEN_TOKEN' AS kind, 'token:{TOKEN}' AS rule FROM t
+UNION ALL SELECT path, line, {UNITS.format("array_to_string(pieces[:i], '') || array_to_string(found[:i - 1], '')")} + 1, 'POTENTIAL_SECRET', 'secret:token' FROM s
+UNION ALL SELECT path, 1, 1, 'PRIVATE_PATH', 'path:' || sha256('/private/') FROM d WHERE contains(replace(path, chr(92), '/'), '/private/') AND path <> 'data/13' || chr(92) || 'private/x')
+SELECT path, CAST(line AS INTEGER) AS line, "column", kind, rule, substr(sha256(kind || chr(0) || rule || chr(0) || path || chr(0) || line), 1, 16) AS fingerprint FROM h""")
 def sca(t):
-    docs = t.documents.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
-    return corpus.scan_sensitive(docs, patterns={"token": 'token = "[0-9a-f]+"'}, forbidden=[TOKEN])
+    path = F.concat(F.lit("data/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 10 == 3, "\\private/x").otherwise(""))
+    docs = t.documents.select(path.alias("path"), F.col("text").alias("content"))
+    return corpus.scan_sensitive(docs, patterns={"token": SECRET}, forbidden=[TOKEN], segments=["/private/"], allowed=["data/13/private/x"])
 
 
 @query("rg7_safe_retrieve", "SELECT o_orderkey AS query_id, CASE WHEN o_orderkey % 9 = 0 THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS status, o_orderkey % 9 = 0 AS requires_review, CASE WHEN o_orderkey % 9 = 0 THEN 0 ELSE coalesce(n, 0) END AS n FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey")

@@ -16,7 +16,7 @@ MOVES = f"""SELECT user_id AS version_id, n + CASE WHEN event_id % 17 = 0 THEN 1
 ACTIVATIONS = """SELECT user_id AS pack_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS sequence, CASE event_type WHEN 'signup' THEN 'ACTIVATE' WHEN 'purchase' THEN 'ROLLBACK' ELSE 'DEACTIVATE' END AS type, event_id % 25 AS version_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) * 10 + user_id % 7 AS effective_at FROM events WHERE event_type IN ('signup', 'purchase', 'error')"""
 VERSIONS = """SELECT n_nationkey AS version_id, r_name AS domain, n_name AS jurisdiction, CAST(n_nationkey % 4 * 10 AS INT) AS valid_from, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE CAST(n_nationkey % 4 * 10 + 60 AS INT) END AS valid_to FROM nation JOIN region ON n_regionkey = r_regionkey"""
 REQUESTS = """SELECT c_custkey AS request_id, r_name AS domain, n_name AS jurisdiction, CAST(c_custkey % 50 AS INT) AS evaluation_date FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
-CHAIN = """SELECT user_id AS run_id, sequence, CASE WHEN event_id % 29 = 0 THEN 'broken' ELSE lag(h) OVER (PARTITION BY user_id ORDER BY sequence) END AS previous_hash, h AS content_hash, event_id, event_type FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS sequence, sha2(concat(CAST(event_id AS STRING), '|', event_type), 256) AS h FROM events) q"""
+CHAIN = """SELECT user_id AS run_id, sequence, CASE WHEN event_id % 29 = 0 THEN 'broken' ELSE lag(h) OVER (PARTITION BY user_id ORDER BY sequence) END AS previous_hash, h AS content_hash, event_id, event_type FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS sequence, sha2(concat('{"event_id":', CAST(event_id AS STRING), ',"event_type":"', event_type, '"}'), 256) AS h FROM events) q"""
 CHAIN_SQL = CHAIN.replace("sha2(", "sha256(").replace(", 256)", ")")
 
 
@@ -69,9 +69,15 @@ def lg8(t):
     return ledgers.card_state(rows, 2).where("state is not null")
 
 
-@query("lg13_validate_versions", "SELECT pack_id, version_id, code FROM (SELECT pack_id, version_id, CASE WHEN n > 1 THEN 'DUPLICATE_SEMVER' WHEN v <= before THEN 'SEMVER_NOT_INCREASING' END AS code FROM (SELECT *, count(*) OVER (PARTITION BY pack_id, v) AS n, lag(v) OVER (PARTITION BY pack_id ORDER BY published_at, version_id) AS before FROM (SELECT user_id AS pack_id, event_id AS version_id, event_id % 40 AS v, ts AS published_at FROM events))) WHERE code IS NOT NULL")
+#: Versions by user; some are published together, in another scope, by a contributor, or supersede the wrong one.
+SERIES = """SELECT user_id AS pack_id, event_id AS version_id, event_id % 40 AS v, n - CASE WHEN event_id % 9 = 4 THEN 1 ELSE 0 END AS published_at, CASE WHEN event_id % 37 = 1 THEN 'other' ELSE 'demo' END AS domain, 'XX' AS jurisdiction,
+ event_id % 6 AS publisher, event_id % 11 AS contributor, CASE WHEN event_id % 5 = 2 THEN -1 ELSE lag(event_id) OVER (PARTITION BY user_id ORDER BY n) END AS supersedes FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS n FROM events) q"""
+
+
+@query("lg13_validate_versions", f"""SELECT pack_id, version_id, code FROM (SELECT pack_id, version_id, CASE WHEN domain <> first_domain THEN 'SCOPE_MISMATCH' WHEN publisher = contributor THEN 'PUBLISHER_NOT_INDEPENDENT' WHEN used > 1 THEN 'DUPLICATE_SEMVER' WHEN v <= before THEN 'SEMVER_NOT_INCREASING' WHEN published_at = at_before THEN 'PUBLISH_TIME_INVALID' WHEN supersedes IS DISTINCT FROM last THEN 'SUPERSESSION_INVALID' END AS code
+FROM (SELECT *, row_number() OVER (PARTITION BY pack_id, v ORDER BY published_at, version_id) AS used, first(domain) OVER w AS first_domain, lag(v) OVER w AS before, lag(published_at) OVER w AS at_before, lag(version_id) OVER w AS last FROM ({SERIES}) WINDOW w AS (PARTITION BY pack_id ORDER BY published_at, version_id))) WHERE code IS NOT NULL""")
 def lg13(t):
-    v = t.events.select(F.col("user_id").alias("pack_id"), F.col("event_id").alias("version_id"), F.concat(F.lit("1."), (F.col("event_id") % 40).cast("string"), F.lit(".0")).alias("semver"), F.col("ts").alias("published_at"))
+    v = t.sql(SERIES).withColumns({"semver": F.concat(F.lit("1."), F.col("v").cast("string"), F.lit(".0")), "contributors": F.array("contributor")})
     return ledgers.validate_versions(v)
 
 

@@ -99,9 +99,13 @@ def rt5(t):
     return quality.impact_summary(impacts(t))
 
 
-@query("dq1_collection_counts", "SELECT o_orderkey AS id, o_orderkey % 8 AS expected, coalesce(n, 0) AS found, coalesce(n, 0) = o_orderkey % 8 AS matches FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey")
+@query("dq1_collection_counts", """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 8 END AS expected, coalesce(n, 0) AS found, o_orderkey % 7 = 0 OR coalesce(n, 0) = o_orderkey % 8 AS matches, CAST(d AS BIGINT) AS declared, coalesce(d = n, false) AS declared_matches FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL) ON l_orderkey = o_orderkey
+LEFT JOIN (SELECT l_orderkey AS k, CASE WHEN count(*) FILTER (l_partkey % 50 IN (0, 1)) = 0 THEN sum(CASE WHEN l_partkey % 50 = 2 THEN 2 ELSE 1 END) END AS d FROM lineitem GROUP BY ALL) ON k = o_orderkey""")
 def dq1(t):
-    return quality.collection_counts(t.lineitem.select(F.col("l_orderkey").alias("id")), t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 8).alias("expected")), "id")
+    part = F.col("l_partkey") % 50
+    declared = t.lineitem.select(F.col("l_orderkey").alias("id"), F.when(part == 0, -1).when(part == 2, 2).when(part != 1, 1).alias("declared"))
+    expected = t.orders.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderkey") % 8).alias("expected"))
+    return quality.collection_counts(t.lineitem.select(F.col("l_orderkey").alias("id")), expected, "id", declared)
 
 
 @query("dq2_duplicate_ids", "SELECT l_orderkey, l_linenumber, count(*) - 1 AS issues FROM lineitem GROUP BY ALL HAVING count(*) > 1")

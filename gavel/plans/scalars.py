@@ -146,9 +146,10 @@ def sc18(t):
     return t.events.select("event_id", hashing.canonical_json(j).alias("canonical"))
 
 
-@query("sc19_content_hash", "SELECT event_id, sha256(CAST(event_id AS VARCHAR) || '|' || CAST(user_id AS VARCHAR) || '|' || event_type || '|null') AS h FROM events")
+@query("sc19_content_hash", """SELECT event_id, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","nothing":null,"tags":["a|b","null"],"user_id":' || user_id || '}') AS h FROM events""")
 def sc19(t):
-    return t.events.select("event_id", hashing.content_hash(F.col("event_id"), F.col("user_id"), F.col("event_type"), F.lit(None)).alias("h"))
+    rows = t.events.withColumns({"nothing": F.lit(None).cast("string"), "tags": F.array(F.lit("a|b"), F.lit("null"))})
+    return rows.select("event_id", hashing.content_hash("event_id", "user_id", "event_type", "nothing", "tags").alias("h"))
 
 
 @query("sc20_bounded_value", "SELECT doc_id, CASE WHEN strlen(text) <= 512 THEN text END AS value, CASE WHEN strlen(text) > 512 THEN sha256(text) END AS sha256, CASE WHEN strlen(text) > 512 THEN CAST(strlen(text) AS BIGINT) END AS bytes, CASE WHEN strlen(text) > 512 THEN CAST(length(text) AS BIGINT) END AS units FROM documents")
