@@ -40,16 +40,19 @@ def check_chain(events: DataFrame, key: str, order: str = "sequence", content: l
 
 def validate_transitions(events: DataFrame, moves: list[tuple], key: str = "version_id") -> DataFrame:
     """``(key, sequence, code)``: sequence from 1 without gaps, the state moved from is the last one,
-    times do not fall, the move is allowed for the role, and no actor acts twice."""
+    times do not fall, the move is allowed for the role, and no actor acts twice.
+
+    Where events have ``content_hash`` and ``version_hash``, the hash of what was judged must be the version's.
+    """
     w = Window.partitionBy(key).orderBy("sequence", "moved_at")
-    rows = events.withColumns({"_n": F.row_number().over(w), "_state": F.lag("to_state").over(w), "_at": F.lag("moved_at").over(w), "_actors": F.collect_set("actor_id").over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = events.withColumns({"_n": F.row_number().over(w), "_state": F.lag("to_state").over(w), "_at": F.lag("moved_at").over(w), "_acts": F.row_number().over(Window.partitionBy(key, "actor_id").orderBy("sequence", "moved_at"))})
     allowed = F.lit(False)
     for a, b, role in moves:
         allowed = allowed | ((F.col("from_state").isNull() if a is None else F.col("from_state").eqNullSafe(F.lit(a))) & (F.col("to_state") == b) & (F.col("role") == role))
-    code = (
-        F.when(F.col("sequence") != F.col("_n"), "SEQUENCE_GAP").when(~F.col("from_state").eqNullSafe(F.col("_state")), "STATE_MISMATCH")
-        .when(F.col("moved_at") < F.col("_at"), "TIME_REVERSED").when(~allowed, "MOVE_NOT_ALLOWED").when(F.array_contains("_actors", F.col("actor_id")), "ACTOR_NOT_INDEPENDENT")
-    )
+    code = F.when(F.col("sequence") != F.col("_n"), "SEQUENCE_GAP").when(~F.col("from_state").eqNullSafe(F.col("_state")), "STATE_MISMATCH")
+    if {"content_hash", "version_hash"} <= set(events.columns):
+        code = code.when(~F.col("content_hash").eqNullSafe(F.col("version_hash")), "HASH_MISMATCH")
+    code = code.when(F.col("moved_at") < F.col("_at"), "TIME_REVERSED").when(~allowed, "MOVE_NOT_ALLOWED").when(F.col("actor_id").isNotNull() & (F.col("_acts") > 1), "ACTOR_NOT_INDEPENDENT")
     return rows.select(key, "sequence", code.alias("code")).where("code is not null")
 
 
@@ -184,6 +187,11 @@ def review_queue(findings: DataFrame, decisions: DataFrame, by: list[str]) -> Da
     return rows.select(*findings.columns, F.when(F.col("d").isNull(), "PENDING").otherwise("REVIEWED").alias("status"), F.coalesce((F.col("risk") == "CRITICAL") & (F.col("d.decision") != "CONFIRM") & (F.coalesce(F.trim("d.rationale"), F.lit("")) == ""), F.lit(False)).alias("rationale_missing"))
 
 
+def exportable(queue: DataFrame, *by: str) -> DataFrame:
+    """``(*by, exportable)``: whether all findings of a queue are reviewed and none lacks its rationale."""
+    return queue.groupBy(*by).agg(F.bool_and((F.col("status") == "REVIEWED") & ~F.col("rationale_missing")).alias("exportable"))
+
+
 def claimable_jobs(jobs: DataFrame, claims: DataFrame) -> DataFrame:
     """REPLAY for claims of finished jobs, CLAIMED for the first claim on the expected version, else LOST."""
     w = Window.partitionBy("job_id", "expected_version").orderBy("at", "claim_id")

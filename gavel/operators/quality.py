@@ -145,12 +145,17 @@ def reliability_bins(observations: DataFrame, n: int, *by: str) -> DataFrame:
 
 def risk_coverage(observations: DataFrame, *by: str) -> DataFrame:
     """For each distinct score, from the top: the share of observations at or above it, their error
-    rate and number.  Scores are summed up first, so windows see one row for each."""
+    rate and number.  Scores are summed up first, so windows see one row for each.  No observations at
+    all give one point without coverage, at threshold 1 and risk 1, unless there are groups."""
     per = observations.groupBy(*by, "score").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("wrong"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     run = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = per.withColumns({"count": F.sum("n").over(run), "bad": F.sum("wrong").over(run), "all": F.sum("n").over(w)})
-    return rows.select(*by, F.col("score").alias("threshold"), (F.col("count") / F.col("all")).alias("coverage"), (F.col("bad") / F.col("count")).alias("risk"), "count")
+    curve = rows.select(*by, F.col("score").alias("threshold"), (F.col("count") / F.col("all")).alias("coverage"), (F.col("bad") / F.col("count")).alias("risk"), "count")
+    if by:
+        return curve
+    nothing = per.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(1.0).alias("threshold"), F.lit(0.0).alias("coverage"), F.lit(1.0).alias("risk"), F.col("n").alias("count"))
+    return curve.unionByName(nothing)
 
 
 def choose_threshold(curve: DataFrame, max_risk: float, min_samples: int, *by: str) -> DataFrame:

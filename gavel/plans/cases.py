@@ -154,10 +154,12 @@ def overridden(t):
     return resolution.apply_overrides(judged(t), PACK)
 
 
-@query("rs1_check_finding_map", "SELECT l_orderkey AS case_id, count(*) = 7 AND count(DISTINCT l_linenumber) = 7 AND min(l_linenumber) = 1 AND max(l_linenumber) = 7 AS valid FROM lineitem GROUP BY l_orderkey")
+@query("rs1_check_finding_map", "SELECT l_orderkey AS case_id, count(*) = 7 AND count(DISTINCT l_linenumber) = 7 AND min(l_linenumber) = 1 AND max(l_linenumber) = 7 AND bool_and(l_partkey % 31 > 0) AS valid FROM lineitem GROUP BY l_orderkey")
 def rs1(t):
-    rules = t.spark.createDataFrame([(str(i),) for i in range(1, 8)], "rule_id string")
-    return resolution.check_finding_map(t.lineitem.select(F.col("l_orderkey").alias("case_id"), F.col("l_linenumber").cast("string").alias("rule_id")), rules)
+    rules = t.spark.createDataFrame([(str(i), f"hash{i}") for i in range(1, 8)], "rule_id string, rule_hash string")
+    number = F.col("l_linenumber").cast("string")
+    own = F.when(F.col("l_partkey") % 31 > 0, F.concat(F.lit("hash"), number)).otherwise("other").alias("own_hash")
+    return resolution.check_finding_map(t.lineitem.select(F.col("l_orderkey").alias("case_id"), number.alias("rule_id"), own), rules, finding_hash="own_hash")
 
 
 @query("rs2_validate_override_edges", demo.findings_sql() + """, e AS (SELECT case_id, source, target, case_id % 5 <> 0 AS traced FROM edges)

@@ -35,10 +35,12 @@ def lg2(t):
 ALLOWED = "((from_state IS NULL AND to_state = 'UPLOADED' AND role = 'AUTHOR') OR (from_state = 'UPLOADED' AND to_state = 'REVIEWED' AND role = 'REVIEWER') OR (from_state = 'REVIEWED' AND to_state = 'APPROVED' AND role = 'APPROVER') OR (from_state = 'APPROVED' AND to_state = 'RETIRED' AND role = 'APPROVER'))"
 
 
-@query("lg3_validate_transitions", f"""SELECT version_id, sequence, code FROM (SELECT version_id, sequence, CASE WHEN sequence <> n THEN 'SEQUENCE_GAP' WHEN from_state IS DISTINCT FROM before THEN 'STATE_MISMATCH' WHEN moved_at < at_before THEN 'TIME_REVERSED' WHEN NOT coalesce({ALLOWED}, false) THEN 'MOVE_NOT_ALLOWED' WHEN seen > 0 THEN 'ACTOR_NOT_INDEPENDENT' END AS code
- FROM (SELECT *, row_number() OVER w AS n, lag(to_state) OVER w AS before, lag(moved_at) OVER w AS at_before, count(*) OVER (PARTITION BY version_id, actor_id ORDER BY sequence, moved_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ({MOVES}) WINDOW w AS (PARTITION BY version_id ORDER BY sequence, moved_at))) WHERE code IS NOT NULL""")
+@query("lg3_validate_transitions", f"""SELECT version_id, sequence, code FROM (SELECT version_id, sequence, CASE WHEN sequence <> n THEN 'SEQUENCE_GAP' WHEN from_state IS DISTINCT FROM before THEN 'STATE_MISMATCH' WHEN hash_ok = 0 THEN 'HASH_MISMATCH' WHEN moved_at < at_before THEN 'TIME_REVERSED' WHEN NOT coalesce({ALLOWED}, false) THEN 'MOVE_NOT_ALLOWED' WHEN seen > 0 THEN 'ACTOR_NOT_INDEPENDENT' END AS code
+ FROM (SELECT *, CASE WHEN (version_id + sequence) % 23 = 0 THEN 0 ELSE 1 END AS hash_ok, row_number() OVER w AS n, lag(to_state) OVER w AS before, lag(moved_at) OVER w AS at_before, count(*) OVER (PARTITION BY version_id, actor_id ORDER BY sequence, moved_at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM ({MOVES}) WINDOW w AS (PARTITION BY version_id ORDER BY sequence, moved_at))) WHERE code IS NOT NULL""")
 def lg3(t):
-    return ledgers.validate_transitions(t.sql(MOVES), SOURCE_MOVES)
+    hash_ = F.sha2(F.col("version_id").cast("string"), 256)
+    moves = t.sql(MOVES).withColumns({"version_hash": hash_, "content_hash": F.when((F.col("version_id") + F.col("sequence")) % 23 == 0, "other").otherwise(hash_)})
+    return ledgers.validate_transitions(moves, SOURCE_MOVES)
 
 
 @query("lg5_resolve_pack", f"""WITH s AS (SELECT * FROM (SELECT *, lead(effective_at) OVER (PARTITION BY pack_id ORDER BY sequence) AS until FROM ({ACTIVATIONS})) WHERE type <> 'DEACTIVATE'), h AS (SELECT r.request_id, s.version_id FROM ({REQUESTS}) r JOIN ({VERSIONS}) v USING (domain, jurisdiction) JOIN s USING (version_id) WHERE effective_at <= evaluation_date AND (until IS NULL OR evaluation_date < until) AND valid_from <= evaluation_date AND (valid_to IS NULL OR evaluation_date < valid_to))
@@ -108,10 +110,11 @@ def au6(t):
     return ledgers.completeness(t.lineitem.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("int").alias("field_code")), list(range(1, 8)))
 
 
-@query("snk2_append_idempotent", "SELECT event_id, CASE WHEN n = 1 THEN 'CREATED' WHEN event_type = f THEN 'REPLAYED' ELSE 'CONFLICT' END AS status FROM (SELECT event_id, event_type, row_number() OVER w AS n, first(event_type) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY ts, event_id))")
+@query("snk2_append_idempotent", "SELECT event_id, CASE WHEN n = 1 THEN 'CREATED' WHEN event_type = f THEN 'REPLAYED' ELSE 'CONFLICT' END AS status FROM (SELECT event_id, event_type, row_number() OVER w AS n, first(event_type) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id, json_extract_string(props, '$.k') ORDER BY event_id % 4 > 0, ts, event_id)) WHERE event_id % 4 > 0")
 def snk2(t):
     r = t.events.select("event_id", F.col("user_id").alias("scope"), F.get_json_object("props", "$.k").alias("key"), F.sha2("event_type", 256).alias("request_hash"), "ts")
-    return ledgers.append_idempotent(r.limit(0), r, ["scope", "key"], ["ts", "event_id"]).select("event_id", "status")
+    stored = F.col("event_id") % 4 == 0
+    return ledgers.append_idempotent(r.where(stored), r.where(~stored), ["scope", "key"], ["ts", "event_id"]).select("event_id", "status")
 
 
 @query("snk1_upsert_chunks", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS content, CASE WHEN doc_id % 3 = 0 THEN 20 ELSE 1 END AS written FROM documents UNION ALL SELECT doc_id + 1000000000, 'new', 20 FROM documents WHERE doc_id % 3 = 0")
@@ -134,12 +137,21 @@ def snk3(t):
 
 @query("au5_review_queue", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'CRITICAL' ELSE 'LOW' END AS risk, CASE WHEN o_orderkey % 4 = 0 THEN 'PENDING' ELSE 'REVIEWED' END AS status, o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 AS rationale_missing FROM orders")
 def au5(t):
+    return reviews(t)
+
+
+def reviews(t):
     k = F.col("o_orderkey")
     f = t.orders.select("o_orderkey", F.when(k % 3 == 0, "CRITICAL").otherwise("LOW").alias("risk"))
     d = t.orders.where("o_orderkey % 4 <> 0").select("o_orderkey", F.lit(2).alias("sequence"), F.when(k % 5 == 0, "CONFIRM").otherwise("OVERRIDE").alias("decision"), F.when(k % 2 == 0, " ").otherwise("why").alias("rationale"))
     return ledgers.review_queue(f, d.unionByName(d.withColumns({"sequence": F.lit(1), "decision": F.lit("CONFIRM")})), ["o_orderkey"])
 
 
+@query("au5_exportable", "SELECT o_custkey, bool_and(o_orderkey % 4 <> 0 AND NOT (o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0)) AS exportable FROM orders GROUP BY o_custkey")
+def au5_exportable(t):
+    return ledgers.exportable(reviews(t).join(t.orders.select("o_orderkey", "o_custkey"), "o_orderkey"), "o_custkey")
+
+
 @query("au7_claimable_jobs", "SELECT event_id AS claim_id, user_id AS job_id, CASE WHEN user_id % 4 = 0 THEN 'REPLAY' WHEN event_id % 3 = user_id % 3 AND n = 1 THEN 'CLAIMED' ELSE 'LOST' END AS status FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) AS n FROM events)")
 def au7(t):
     claims = t.events.select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("job_id"), (F.col("event_id") % 3).alias("expected_version"), F.col("ts").alias("at"))

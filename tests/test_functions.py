@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
-from gavel.functions import hashing, rules
-from gavel.operators import evaluate
+import pytest
+
+from gavel.functions import dates, hashing, rules
+from gavel.operators import corpus, evaluate, quality
 
 
 def test_decision_ladder(spark):
@@ -31,3 +33,37 @@ def test_canonical_json(spark):
     df = spark.createDataFrame([('{"b": 1.0, "a": [1e21, 0.000001, 1e-7, true, null, "é"]}',), ("nope",), (None,)], "j string")
     got = [r[0] for r in df.select(hashing.canonical_json(F.col("j"))).collect()]
     assert got == ['{"a":[1e+21,0.000001,1e-7,true,null,"é"],"b":1}', None, None]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Pacific/Apia"])
+def test_instants_do_not_depend_on_the_zone(spark, zone):
+    """Also around a gap and an overlap of New York's clocks."""
+    rows = [("2021-03-14T02:30:00Z", "2021-03-14T03:10:00Z", -1), ("2021-11-07T01:30:00.5Z", "2021-11-07T01:30:00.50Z", 0), ("2021-11-07T06:30Z", "2021-11-07T05:30:59Z", 1), ("1965-01-01T00:00:00Z", "no", None)]
+    texts = [("2021-03-14T02:30:00.1239+00:00", "2021-03-14T02:30:00.123Z"), ("2021-11-07T01:30:00-05:00", "2021-11-07T06:30:00.000Z"), ("1965-01-01T00:00:00.001Z", "1965-01-01T00:00:00.001Z"), ("2021-13-01T00:00:00Z", None), (None, None)]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        got = spark.createDataFrame(rows, "a string, b string, want int").select(dates.compare_utc(F.col("a"), F.col("b")), "want").collect()
+        assert all(x == want for x, want in got)
+        got = spark.createDataFrame(texts, "t string, want string").select(dates.normalize_utc_datetime(F.col("t")), "want").collect()
+        assert all(x == want for x, want in got)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_risk_coverage_of_nothing(spark):
+    none = spark.createDataFrame([], "score double, correct boolean, kind string")
+    assert [tuple(r) for r in quality.risk_coverage(none).collect()] == [(1.0, 0.0, 1.0, 0)]
+    assert quality.risk_coverage(none, "kind").count() == 0
+
+
+def test_content_hashes_tell_rows_apart(spark):
+    rows = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), (None, "null"), ("null", None)], "x string, y string")
+    assert rows.select(hashing.content_hash("x", "y").alias("h")).distinct().count() == 4
+
+
+def test_every_match_of_a_line_has_its_column(spark):
+    key = "AKIA" + "Z" * 16
+    docs = spark.createDataFrame([("a\\secret\\b", f"\U0001f600 {key} x {key}\r\nFoo foo-bar\n  FOO"), ("ok/secret", "none"), (None, None)], "path string, content string")
+    banned = docs.sparkSession.range(1).select(hashing.token_hash(F.lit("foo"))).first()[0]
+    got = corpus.scan_sensitive(docs, forbidden=[banned], segments=["/secret"], allowed=["ok/secret"])
+    assert sorted((r.kind, r.line, r.column) for r in got.collect()) == [("FORBIDDEN_TOKEN", 2, 1), ("FORBIDDEN_TOKEN", 3, 3), ("POTENTIAL_SECRET", 1, 4), ("POTENTIAL_SECRET", 1, 27), ("PRIVATE_PATH", 1, 1)]
