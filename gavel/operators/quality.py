@@ -143,14 +143,24 @@ def reliability_bins(observations: DataFrame, n: int, *by: str) -> DataFrame:
     return every.join(used, [*by, "bin"], "left").select(*by, "bin", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "mean_score", "accuracy")])
 
 
+#: Blocks of scores between 0 and 1 whose sums are carried forward.
+SCORE_BLOCKS = 4096
+
+
 def risk_coverage(observations: DataFrame, *by: str) -> DataFrame:
     """For each distinct score, from the top: the share of observations at or above it, their error
     rate and number.  Scores are summed up first, so windows see one row for each.  No observations at
     all give one point without coverage, at threshold 1 and risk 1, unless there are groups."""
-    per = observations.groupBy(*by, "score").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("wrong"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    run = w.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = per.withColumns({"count": F.sum("n").over(run), "bad": F.sum("wrong").over(run), "all": F.sum("n").over(w)})
+    per = observations.groupBy(*by, "score").agg(F.count("*").alias("n"), F.count_if(~F.col("correct")).alias("wrong")).withColumn("_block", F.floor(F.col("score") * SCORE_BLOCKS))
+    # Sums of blocks of scores are carried forward, so that no task orders all scores.
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    ahead = group.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = per.groupBy(*by, "_block").agg(F.sum("n").alias("_n"), F.sum("wrong").alias("_wrong"))
+    carried = lambda c: F.coalesce(F.sum(c).over(ahead), F.lit(0))
+    blocks = blocks.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], F.col("_block").alias("_same"), carried("_n").alias("_count"), carried("_wrong").alias("_bad"), F.sum("_n").over(group).alias("all"))
+    same = [F.col("_block").eqNullSafe(F.col("_same")), *[F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(by)]]
+    run = Window.partitionBy(*by, "_block").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = per.join(blocks, same).withColumns({"count": F.col("_count") + F.sum("n").over(run), "bad": F.col("_bad") + F.sum("wrong").over(run)})
     curve = rows.select(*by, F.col("score").alias("threshold"), (F.col("count") / F.col("all")).alias("coverage"), (F.col("bad") / F.col("count")).alias("risk"), "count")
     if by:
         return curve

@@ -67,3 +67,20 @@ def test_every_match_of_a_line_has_its_column(spark):
     banned = docs.sparkSession.range(1).select(hashing.token_hash(F.lit("foo"))).first()[0]
     got = corpus.scan_sensitive(docs, forbidden=[banned], segments=["/secret"], allowed=["ok/secret"])
     assert sorted((r.kind, r.line, r.column) for r in got.collect()) == [("FORBIDDEN_TOKEN", 2, 1), ("FORBIDDEN_TOKEN", 3, 3), ("POTENTIAL_SECRET", 1, 4), ("POTENTIAL_SECRET", 1, 27), ("PRIVATE_PATH", 1, 1)]
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 4096])
+def test_risk_coverage_carries_sums(spark, monkeypatch, blocks):
+    monkeypatch.setattr(quality, "SCORE_BLOCKS", blocks)
+    rows = [(i * i % 17 / 16, i % 3 > 0, "b" if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "score double, correct boolean, kind string")
+
+    def plain(rows):
+        for t in {r[0] for r in rows}:
+            above = [ok for score, ok, _ in rows if score >= t]
+            yield t, len(above) / len(rows), above.count(False) / len(above), len(above)
+
+    assert sorted(tuple(r) for r in quality.risk_coverage(df).collect()) == sorted(plain(rows))
+    got = quality.risk_coverage(df, "kind").collect()
+    for kind in ("b", None):
+        assert sorted(tuple(r)[1:] for r in got if r.kind == kind) == sorted(plain([r for r in rows if r[2] == kind]))
