@@ -135,5 +135,21 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
 FROM d LEFT JOIN lists USING (doc_id)
 """
 
-QUERIES = {"op4_token_counts": op4_token_counts, "op5_lm_scoring": op5_lm_scoring, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup, "op8_decontamination": op8_decontamination, "op6_toxicity": op6_toxicity, "op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as whole numbers, whitened by their eight leading components."""
+    from . import whitening
+
+    bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null").where(~F.exists("embedding", bad))
+    # A number beyond a long becomes null, and its row goes as one with a null entry.
+    whole = vectors.withColumn("embedding", F.transform("embedding", lambda c: F.try_add(F.floor(c * 1024), F.lit(100_000))))
+    model = whitening.fit(whole)
+    error, explained = model.identity_error(whole), F.array(*[F.lit(x) for x in model.explained]).cast("array<double>")
+    rows = model.project(whole).select("vec_id", "deviation", F.posexplode("whitened").alias("i", "whitened"))
+    return rows.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, "i").alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
+QUERIES = {"op11_whitening": op11_whitening, "op4_token_counts": op4_token_counts, "op5_lm_scoring": op5_lm_scoring, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup, "op8_decontamination": op8_decontamination, "op6_toxicity": op6_toxicity, "op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
 ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL, "op8_decontamination": OP8_SQL}
