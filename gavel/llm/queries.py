@@ -151,5 +151,24 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", (F.col("i") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, "i").alias("explained"), F.lit(error).cast("double").alias("identity_error"))
 
 
-QUERIES = {"op11_whitening": op11_whitening, "op4_token_counts": op4_token_counts, "op5_lm_scoring": op5_lm_scoring, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup, "op8_decontamination": op8_decontamination, "op6_toxicity": op6_toxicity, "op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth text (by a hash of its id) first gets a periodic end, as the query's contract has it."""
+    from . import periodic_runs
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("w"))
+    n, g = F.size("w"), F.col("g")
+    docs = docs.withColumn("a", F.when(n > 0, g % n)).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    head, root, rest = F.slice("w", F.lit(1), F.col("a").cast("int")), F.slice("w", (F.col("a") + 1).cast("int"), F.col("p")), (n - F.col("a")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(root, F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    docs = docs.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(F.concat(head, tail), " ")).alias("text"))
+    found = periodic_runs.runs(docs)
+    best = F.get(F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.sign(y["length"] - x["length"])).when(x["start"] != y["start"], F.sign(x["start"] - y["start"])).otherwise(F.sign(x["period"] - y["period"])).cast("int")), F.lit(0))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))))
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {"op13_periodic_runs": op13_periodic_runs, "op11_whitening": op11_whitening, "op4_token_counts": op4_token_counts, "op5_lm_scoring": op5_lm_scoring, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup, "op8_decontamination": op8_decontamination, "op6_toxicity": op6_toxicity, "op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
 ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL, "op8_decontamination": OP8_SQL}
