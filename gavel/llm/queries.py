@@ -170,5 +170,13 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {"op13_periodic_runs": op13_periodic_runs, "op11_whitening": op11_whitening, "op4_token_counts": op4_token_counts, "op5_lm_scoring": op5_lm_scoring, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup, "op8_decontamination": op8_decontamination, "op6_toxicity": op6_toxicity, "op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_index
+
+    docs = suffix_index.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return docs.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op12_suffix_dedup": op12_suffix_dedup, "op13_periodic_runs": op13_periodic_runs, "op11_whitening": op11_whitening, "op4_token_counts": op4_token_counts, "op5_lm_scoring": op5_lm_scoring, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_substring_dedup": op10_substring_dedup, "op8_decontamination": op8_decontamination, "op6_toxicity": op6_toxicity, "op2_fingerprints": op2_fingerprints, "op3_language": op3_language, "op1_url_filters": op1_url_filters, "op7_byte_bpe": op7_byte_bpe}
 ORACLES: dict[str, str] = {"op10_substring_dedup": OP10_SQL, "op8_decontamination": OP8_SQL}
