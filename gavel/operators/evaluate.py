@@ -3,9 +3,8 @@
 A rule is a dict with ``rule_id``, ``applies_when``, ``satisfied_when`` and, if
 it has any, ``exceptions`` (name to expression) and ``overrides`` (rule id to
 expression).  An expression is a dict with ``op``; ``all``, ``any`` and ``not``
-have ``args``, the others are leaves with their parameters.  Rules are metadata
-of bounded size: they become expressions, and every case evaluates each of their
-different leaves once.
+have ``args``, the others are leaves with their parameters.  Rules are data: see ``programs``.
+Every case evaluates each of their different leaves once.
 
 All facts and evidence of a case meet in one row, so one shuffle by case
 serves leaves, inner nodes and findings alike.  Unknown is null.
@@ -13,22 +12,17 @@ serves leaves, inner nodes and findings alike.  Unknown is null.
 
 from __future__ import annotations
 
-import json
 import re
-import unicodedata
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import rules as logic, text as texts
+from .programs import ASKS, INNER, NODES, PROGRAM, REASONS, RULES, Program, folder, parts, table, three, united
 
 #: Comparisons that a search for one region per fact may take.
 MOST_COMPARISONS = 4096
-REASONS = ["MISSING_FACT", "MISSING_EVIDENCE", "UNRESOLVED_FACT", "TYPE_MISMATCH", "RESOURCE_LIMIT", "EVALUATED"]
-INNER = ("all", "any", "not")
 
 
 def translate_pattern(pattern: str, full: bool = False, dot_all: bool = False, multiline: bool = False, fold: bool = False) -> str:
@@ -141,237 +135,198 @@ def by_case(facts: DataFrame, evidence: DataFrame, case: str = "case_id", cases:
     return maps.withColumn("facts", F.transform_values("facts", lambda _, v: v.withField("complete", known(v["evidence_ids"], v["provider_run_id"]))))
 
 
-def _text(leaf: dict, fact: Column) -> Column:
-    """A fact's text as a comparison asks for: Unicode form, then white space, then case."""
-    c = fact["v_nfkc" if leaf["form"] == "NFKC" else "v_nfc" if leaf["form"] else "v_string"]
-    c = texts.collapse(c) if leaf["white"] else c
-    return F.lower(c) if leaf["fold"] else c
+def _text(leaf: Column, c: Column) -> Column:
+    c = F.when(leaf["white"], texts.collapse(c)).otherwise(c)
+    return F.when(leaf["fold"], F.lower(c)).otherwise(c)
 
 
-def _wanted(leaf: dict, text: str) -> Column:
-    """The same of a parameter."""
-    text = unicodedata.normalize(leaf["form"], text) if leaf["form"] else text
-    c = texts.collapse(F.lit(text)) if leaf["white"] else F.lit(text)
-    return F.lower(c) if leaf["fold"] else c
+def _formed_text(leaf: Column, fact: Column) -> Column:
+    """A fact's text as a comparison asks for: Unicode form, then white space, then case."""
+    return _text(leaf, F.when(leaf["form"] == "NFKC", fact["v_nfkc"]).when(leaf["form"] != "", fact["v_nfc"]).otherwise(fact["v_string"]))
 
 
-def _within(value: Column, low: object, high: object, leaf: dict) -> Column:
-    return (value >= F.lit(low) if leaf["with_low"] else value > F.lit(low)) & (value <= F.lit(high) if leaf["with_high"] else value < F.lit(high))
+def _within(leaf: Column, value: Column, low: Column, high: Column) -> Column:
+    return F.when(leaf["with_low"], value >= low).otherwise(value > low) & F.when(leaf["with_high"], value <= high).otherwise(value < high)
 
 
 def _regions(fact: Column) -> Column:
     return F.transform(F.array_sort(F.array_distinct(fact["evidence_ids"])), lambda i: F.try_element_at("evidence", i))
 
 
-def _pair(a: Column, b: Column, gap: float) -> Column:
-    """1, 0 or -1 as ``_clique`` for two facts: the number of comparisons up to the first match is
-    its place among all pairs."""
-    apart = lambda p, q, at, size: F.greatest(F.lit(0.0), p["box"][at] - q["box"][at] - q["box"][size], q["box"][at] - p["box"][at] - p["box"][size])
+def _near(x: Column, y: Column, gap: Column) -> Column:
+    """Whether two regions are of one page and within the gap of each other."""
+    apart = lambda at, size: F.greatest(F.lit(0.0), x["box"][at] - y["box"][at] - y["box"][size], y["box"][at] - x["box"][at] - x["box"][size])
+    close = F.sqrt(F.pow(apart("x", "width"), F.lit(2)) + F.pow(apart("y", "height"), F.lit(2))) / F.sqrt(F.lit(2.0)) <= gap
+    return F.coalesce((x["document_id"] == y["document_id"]) & (x["document_hash"] == y["document_hash"]) & (x["page"] == y["page"]) & close, F.lit(False))
 
-    def matches(x: Column, y: Column) -> Column:
-        near = F.sqrt(F.pow(apart(x, y, "x", "width"), F.lit(2)) + F.pow(apart(x, y, "y", "height"), F.lit(2))) / F.sqrt(F.lit(2.0)) <= gap
-        return (x["document_id"] == y["document_id"]) & (x["document_hash"] == y["document_hash"]) & (x["page"] == y["page"]) & near
 
-    n = F.size(b)
-    first = F.array_min(F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: F.when(matches(x, y), i * n + j + 1)))))
-    return F.when(first <= MOST_COMPARISONS, 1).when(first.isNull() & (F.size(a) * n <= MOST_COMPARISONS), 0).otherwise(-1)
+def _area(sets: Column, gap: Column) -> Column:
+    """1: a region for each fact, all within the gap of each other; 0: none; -1: too many comparisons.
 
+    Comparisons count as those of a depth-first search in the order of evidence ids.  Here
+    all choices grow by one fact at a time, in that order; a choice's path is the places of its regions, and
+    the search has made the comparisons of all paths up to that of the first full
+    choice.  Each attempt takes a comparison, so no more of them are kept for a fact than the limit.
+    """
+    path = lambda p, r: F.struct(p.alias("path"), r.alias("regions"))
+    start = F.struct(F.transform(sets[0], lambda r, i: path(F.array(i), F.array(r))).alias("choices"), F.array().cast("array<struct<path:array<int>,cost:int>>").alias("tried"))
 
-@F.pandas_udf(T.IntegerType())
-def _clique(regions: pd.Series, gap: pd.Series) -> pd.Series:
-    """1: a region for each fact, all within the gap of each other; 0: none; -1: too many comparisons.
-    The search is depth first in the order of evidence ids."""
-    import math
-
-    def apart(a: dict, b: dict) -> float:
-        (p, q) = (a["box"], b["box"])
-        dx = max(0.0, p["x"] - q["x"] - q["width"], q["x"] - p["x"] - p["width"])
-        dy = max(0.0, p["y"] - q["y"] - q["height"], q["y"] - p["y"] - p["height"])
-        return math.hypot(dx, dy) / math.sqrt(2)
-
-    def search(sets: list, most: float) -> int:
-        used = 0
-
-        def go(chosen: list) -> int:
-            nonlocal used
-            if len(chosen) == len(sets):
-                return 1
-            for r in sets[len(chosen)]:
-                fits = True
-                for c in chosen:
-                    used += 1
-                    if used > MOST_COMPARISONS:
-                        return -1
-                    if any(r[k] != c[k] for k in ("document_id", "document_hash", "page")) or apart(r, c) > most:
-                        fits = False
-                if fits and (found := go([*chosen, r])):
-                    return found
-            return 0
-
-        return go([])
-
-    found = (None if t is None else json.loads(t) for t in regions)
-    return pd.Series([None if s is None or any(x is None or any(y is None for y in x) for x in s) else search(s, g) for s, g in zip(found, gap)], dtype="Int32")
-
-
-#: The type of value that an operator asks for.
-ASKS = dict.fromkeys(("contains", "contains_any", "matches"), "STRING") | dict.fromkeys(("greater_than", "less_than", "between"), "NUMBER") | dict.fromkeys(("date_before", "date_after", "date_between"), "DATE")
-
-
-def _fact(key: str) -> Column:
-    return F.try_element_at("facts", F.lit(key))
-
-
-def leaf_result(leaf: dict) -> Column:
-    """``struct(truth, reason, evidence_ids)`` of a leaf (a row of ``flatten``) over a row of ``by_case``."""
-    op = leaf["op"]
-    if op == "truth":
-        return F.struct(F.lit(leaf["b"]).alias("truth"), F.lit("EVALUATED").alias("reason"), F.array().cast("array<string>").alias("evidence_ids"))
-    keys = leaf.get("fact_keys") or [leaf["fact_key"]]
-    facts = [_fact(k) for k in keys]
-    fact = facts[0]
-    some = lambda p: reduce(lambda a, b: a | b, [p(f) for f in facts])
-    reason = F.when(some(lambda f: f.isNull()), "MISSING_FACT").when(some(lambda f: ~f["complete"]), "MISSING_EVIDENCE")
-    if op == "present":
-        reason = reason.when(fact["status"].isin("RESOLVED", "NOT_FOUND") & (F.size(fact["evidence_ids"]) == 0), "MISSING_EVIDENCE").when(fact["status"] == "NOT_FOUND", "EVALUATED")
-    reason = reason.when(some(lambda f: f["status"] != "RESOLVED"), "UNRESOLVED_FACT")
-    if asked := leaf["value_type"] if op in ("eq", "not_eq") else ASKS.get(op):
-        reason = reason.when(fact["value_type"] != asked, "TYPE_MISMATCH")
-    if op == "present":
-        truth = fact["status"] == "RESOLVED"
-    elif op in ("eq", "not_eq"):
-        truth = {"STRING": lambda: _text(leaf, fact) == _wanted(leaf, leaf["s"]), "NUMBER": lambda: fact["v_number"] == leaf["n"], "BOOLEAN": lambda: fact["v_boolean"] == leaf["b"], "DATE": lambda: fact["v_date"] == leaf["s"]}[asked]()
-        truth = ~truth if op == "not_eq" else truth
-    elif op == "contains":
-        truth = _text(leaf, fact).contains(_wanted(leaf, leaf["s"]))
-    elif op == "contains_any":
-        truth = some_of([_text(leaf, fact).contains(_wanted(leaf, m)) for m in leaf["many"]])
-    elif op == "matches":
-        reason = reason.when(texts.utf16_length(_text(leaf, fact)) > leaf["longest"], "RESOURCE_LIMIT")
-        truth = F.regexp_like(_text(leaf, fact), F.lit(leaf["pattern"]))
-    elif op in ("greater_than", "less_than"):
-        truth = fact["v_number"] > leaf["n"] if op == "greater_than" else fact["v_number"] < leaf["n"]
-    elif op in ("date_before", "date_after"):
-        truth = fact["v_date"] < leaf["s"] if op == "date_before" else fact["v_date"] > leaf["s"]
-    elif op == "between":
-        truth = _within(fact["v_number"], leaf["low"], leaf["high"], leaf)
-    elif op == "date_between":
-        truth = _within(fact["v_date"], leaf["date_low"], leaf["date_high"], leaf)
-    elif op == "language_present":
-        truth = F.exists(fact["evidence_ids"], lambda i: texts.language_matches(F.try_element_at("evidence", i)["language"], F.lit(leaf["s"]), leaf["mode"]))
-    elif op == "same_visual_area":
-        found = _pair(*[_regions(f) for f in facts], leaf["gap"]) if len(facts) == 2 else _clique(F.to_json(F.array(*[_regions(f) for f in facts]), {"ignoreNullFields": "false"}), F.lit(leaf["gap"]))
-        reason = reason.when(found < 0, "RESOURCE_LIMIT")
-        truth = found == 1
-    else:
-        raise ValueError(f"unknown operator {op}")
-    reason = reason.otherwise("EVALUATED")
-    none = F.array().cast("array<string>")
-    ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(f["evidence_ids"], none) for f in facts]))))
-    ids = F.when(reason.isin("MISSING_FACT", "MISSING_EVIDENCE"), none).otherwise(ids)
-    return F.struct(F.when(reason == "EVALUATED", truth).alias("truth"), reason.alias("reason"), ids.alias("evidence_ids"))
+    def widened(state: Column, regions: Column) -> Column:
+        def extended(choice: Column) -> Column:
+            def attempt(r: Column, j: Column) -> Column:
+                failed = F.array_position(F.transform(choice["regions"], lambda c: ~_near(r, c, gap)), F.lit(True)).cast("int")
+                return F.struct(F.array_append(choice["path"], j).alias("path"), F.array_append(choice["regions"], r).alias("regions"), F.when(failed == 0, F.size(choice["regions"])).otherwise(failed).alias("cost"), (failed == 0).alias("fits"))
+
+            return F.transform(F.slice(regions, 1, MOST_COMPARISONS + 1), attempt)
+
+        enough = F.ceil(F.lit(MOST_COMPARISONS + 1.0) / F.greatest(F.size(regions), F.lit(1))).cast("int")
+        tried = F.flatten(F.transform(F.slice(state["choices"], F.lit(1), enough), extended))
+        both = F.transform(F.array(tried), lambda t: F.struct(F.transform(F.filter(t, lambda x: x["fits"]), lambda x: path(x["path"], x["regions"])).alias("choices"), F.concat(state["tried"], F.transform(t, lambda x: F.struct(x["path"].alias("path"), x["cost"].alias("cost")))).alias("tried")))
+        return both[0]
 
+    def judged(state: Column) -> Column:
+        first = F.get(state["choices"], F.lit(0))["path"]
+        used = F.aggregate(F.filter(state["tried"], lambda x: first.isNull() | (x["path"] <= first)), F.lit(0), lambda n, x: n + x["cost"])
+        return F.when(used > MOST_COMPARISONS, -1).when(first.isNull(), 0).otherwise(1)
 
-def some_of(cs: list[Column]) -> Column:
-    """Kleene disjunction, which is SQL's."""
-    return reduce(lambda a, b: a | b, cs)
+    return F.aggregate(F.slice(sets, F.lit(2), F.greatest(F.size(sets) - 1, F.lit(0))), start, widened, judged)
 
 
-def once(df: DataFrame) -> DataFrame:
-    """The same rows.  An explode of one element keeps Catalyst from writing the columns' expressions
-    out again wherever later ones refer to them."""
-    return df.select(F.explode(F.array(F.struct("*"))).alias("_row")).select("_row.*")
+def _place(name: str) -> Column:
+    return F.lit(REASONS.index(name)).cast("tinyint")
 
 
-class Nodes:
-    """The nodes of rules as expressions: each different leaf is a column of a case's row, and
-    inner nodes are Kleene expressions over those."""
+def _entry(key: Column, fact: Column, others: Column | None, languages: bool, found: Column | None) -> Column:
+    """What leaves under a key are judged by: the fact, or the first of several, and the reason that holds for all of them."""
+    some = lambda p: F.coalesce(F.exists(others, p), F.lit(False)) if others is not None else p(fact)
+    reason = F.when(some(lambda f: f.isNull()), _place("MISSING_FACT")).when(some(lambda f: ~f["complete"]), _place("MISSING_EVIDENCE")).when(some(lambda f: f["status"] != "RESOLVED"), _place("UNRESOLVED_FACT")).otherwise(_place("EVALUATED"))
+    seen = F.transform(fact["evidence_ids"], lambda i: F.try_element_at("evidence", i)["language"]) if languages else F.array().cast("array<string>")
+    return F.struct(key.alias("key"), fact.alias("fact"), reason.alias("reason"), seen.alias("languages"), (F.lit(None).cast("int") if found is None else found).alias("found"))
 
-    def __init__(self, cases: DataFrame, rules: list[dict], case: str) -> None:
-        self.nodes = flatten(rules)
-        at = ("rule_id", "section", "path")
-        self.children: dict[tuple, list[dict]] = {}
-        for n in self.nodes:
-            self.children.setdefault((n["rule_id"], n["section"], n["parent"]), []).append(n)
-        unique: dict[str, tuple[int, dict]] = {}
-        self.column: dict[tuple, int] = {}
-        for n in self.nodes:
-            if n["op"] not in INNER:
-                key = json.dumps({k: v for k, v in n.items() if k not in (*at, "parent", "depth")}, sort_keys=True, default=str)
-                self.column[tuple(n[k] for k in at)] = unique.setdefault(key, (len(unique), n))[0]
-        self.rows = once(once(cases).select(case, F.array(*[leaf_result(n) for _, n in unique.values()]).alias("_leaves")))
 
-    def leaf(self, i: int) -> Column:
-        return F.col("_leaves")[i]
+def _judged(op: str, leaf: Column, e: Column) -> Column:
+    """``struct(leaf, truth, reason)`` of an operator's leaf over an entry: truth as 0, 1 (unknown) or 2, reason
+    as its place in ``REASONS``."""
+    f = e["fact"]
+    text = lambda: _formed_text(leaf, f)
+    evaluated, reason = _place("EVALUATED"), e["reason"]
+    if op == "present":
+        known = f["status"].isin("RESOLVED", "NOT_FOUND")
+        reason = F.when(reason.isin(REASONS.index("MISSING_FACT"), REASONS.index("MISSING_EVIDENCE")), reason).when(known & (F.size(f["evidence_ids"]) == 0), _place("MISSING_EVIDENCE")).when(known, evaluated).otherwise(reason)
+    elif op in ASKS or op in ("eq", "not_eq"):
+        reason = F.when((reason == evaluated) & (f["value_type"] != leaf["asked"]), _place("TYPE_MISMATCH")).otherwise(reason)
+    if op == "matches":
+        reason = F.when((reason == evaluated) & (texts.utf16_length(text()) > leaf["longest"]), _place("RESOURCE_LIMIT")).otherwise(reason)
+    if op == "same_visual_area":
+        reason = F.when((reason == evaluated) & (e["found"] < 0), _place("RESOURCE_LIMIT")).otherwise(reason)
+    equal = lambda: F.when(leaf["asked"] == "STRING", text() == _text(leaf, leaf["s"])).when(leaf["asked"] == "NUMBER", f["v_number"] == leaf["n"]).when(leaf["asked"] == "BOOLEAN", f["v_boolean"] == leaf["b"]).when(leaf["asked"] == "DATE", f["v_date"] == leaf["s"])
+    truth = {
+        "present": lambda: f["status"] == "RESOLVED", "eq": equal, "not_eq": lambda: ~equal(),
+        "contains": lambda: text().contains(_text(leaf, leaf["s"])), "contains_any": lambda: F.exists(leaf["many"], lambda m: text().contains(_text(leaf, m))), "matches": lambda: F.regexp_like(text(), leaf["pattern"]),
+        "greater_than": lambda: f["v_number"] > leaf["n"], "less_than": lambda: f["v_number"] < leaf["n"], "date_before": lambda: f["v_date"] < leaf["s"], "date_after": lambda: f["v_date"] > leaf["s"],
+        "between": lambda: _within(leaf, f["v_number"], leaf["low"], leaf["high"]), "date_between": lambda: _within(leaf, f["v_date"], leaf["date_low"], leaf["date_high"]),
+        "language_present": lambda: F.exists(e["languages"], lambda x: F.when(leaf["mode"] == "EXACT", texts.language_matches(x, leaf["s"], "EXACT")).otherwise(texts.language_matches(x, leaf["s"], "PRIMARY"))),
+        "same_visual_area": lambda: e["found"] == 1,
+    }
+    if op not in truth:
+        raise ValueError(f"unknown operator {op}")
+    one = F.transform(F.array(reason), lambda r: F.struct(leaf["leaf"].alias("leaf"), F.when(r == evaluated, F.coalesce(truth[op]().cast("tinyint") * 2, F.lit(1))).otherwise(1).cast("tinyint").alias("truth"), r.alias("reason")))
+    return one[0]
+
+
+#: One pack's rules, or a dict from pack to rules with the cases' column that names the pack.
+Rules = list[dict] | dict[str, list[dict]]
+
+
+def compiled(rules: Rules) -> dict[str, Program]:
+    return {name: Program(flatten(r)) for name, r in (rules.items() if isinstance(rules, dict) else [("", rules)])}
 
-    def below(self, n: dict) -> list[dict]:
-        return self.children.get((n["rule_id"], n["section"], n["path"]), [])
 
-    def truth(self, n: dict) -> Column:
-        if n["op"] not in INNER:
-            return self.leaf(self.column[n["rule_id"], n["section"], n["path"]])["truth"]
-        parts = [self.truth(c) for c in self.below(n)]
-        return ~parts[0] if n["op"] == "not" else reduce(lambda a, b: a & b, parts) if n["op"] == "all" else some_of(parts)
+def _folded(cases: DataFrame, programs: dict[str, Program], case: str, pack: str | None) -> DataFrame:
+    """``(case, pack, facts, nodes)``: truths and reasons of all nodes of a case's pack, in its row.  Cases of
+    other packs are left out."""
+    ops = {leaf["op"] for p in programs.values() for leaf in p.leaves}
+    tables = table(cases.sparkSession, [p.program_row(name) for name, p in programs.items()], PROGRAM)
+    rows = cases.select(case, (F.col(pack).cast("string") if pack else F.lit("")).alias("pack"), "facts", "evidence").join(tables, "pack")
+    languages = "language_present" in ops
+    entries = F.transform(F.map_entries("facts"), lambda e: _entry(e["key"], e["value"], None, languages, None))
+    if "same_visual_area" in ops:
+        fact = lambda k: F.try_element_at("facts", k)
+        entries = F.concat(entries, F.transform("areas", lambda a: _entry(a["key"], fact(a["keys"][0]), F.transform(a["keys"], fact), languages, _area(F.transform(a["keys"], lambda k: _regions(fact(k))), a["gap"]))))
+    # An expression for each operator, over that operator's leaves of each fact.
+    kind = tables.schema["leaves"].dataType.valueType
+    own = lambda op, e: F.coalesce(F.try_element_at("leaves", F.concat(F.lit(f"{op}\0"), e["key"])), F.array().cast(kind))
 
-    def reason(self, n: dict) -> Column:
-        return F.lit("EVALUATED") if n["op"] in INNER else self.leaf(self.column[n["rule_id"], n["section"], n["path"]])["reason"]
+    def judged(op: str) -> Column:
+        return F.flatten(F.transform("_entries", lambda e: F.transform(own(op, e), lambda leaf: _judged(op, leaf, e))))
 
-    def leaves(self, n: dict) -> list[int]:
-        if n["op"] not in INNER:
-            return [self.column[n["rule_id"], n["section"], n["path"]]]
-        return list(dict.fromkeys(x for c in self.below(n) for x in self.leaves(c)))
+    none = F.array().cast("array<struct<leaf:int,truth:tinyint,reason:tinyint>>")
+    rows = rows.withColumn("_entries", entries).select(case, "pack", "facts", F.concat(none, *[judged(op) for op in sorted(ops - {"truth"})]).alias("_results"))
+    run = folder({name: p.arrays() for name, p in programs.items()})
+    return rows.select(case, "pack", "facts", run(F.col("pack"), F.col("_results.leaf"), F.col("_results.truth"), F.col("_results.reason")).alias("nodes"))
 
-    def evidence(self, *ns: dict) -> Column:
-        names = list(dict.fromkeys(x for n in ns for x in self.leaves(n)))
-        return F.array_sort(F.array_distinct(F.flatten(F.array(*[self.leaf(x)["evidence_ids"] for x in names]))))
 
-    def roots(self, rule_id: str) -> dict[str, dict]:
-        return {n["section"]: n for n in self.nodes if n["rule_id"] == rule_id and n["parent"] is None}
+def _evidence(groups: Column) -> Column:
+    """The evidence of facts; of a group of facts only if all are there and complete."""
+    fact = lambda k: F.try_element_at("facts", k)
+    whole = F.filter(groups, lambda g: F.forall(g, lambda k: F.coalesce(fact(k)["complete"], F.lit(False))))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.flatten(whole), lambda k: fact(k)["evidence_ids"]))))
 
 
-def evaluate_expressions(cases: DataFrame, rules: list[dict], case: str = "case_id") -> DataFrame:
+def evaluate_expressions(cases: DataFrame, rules: Rules, case: str = "case_id", pack: str | None = None) -> DataFrame:
     """A row for each case and node: truth (null: unknown), reason, and the evidence it rests on.
 
-    ``cases`` comes from ``by_case``.  All nodes are worked out in a case's row, without
-    a shuffle, and then exploded.
+    ``cases`` comes from ``by_case``; with rules of several packs, its column ``pack`` names each case's.
+    All nodes are worked out in a case's row, without a shuffle, and then exploded.
     """
-    t = Nodes(cases, rules, case)
-    rows = [F.struct(*[F.lit(n[k]).cast("int" if k == "depth" else "string").alias(k) for k in ("rule_id", "section", "path", "parent", "depth", "op")], t.truth(n).alias("truth"), t.reason(n).alias("reason"), t.evidence(n).alias("evidence_ids")) for n in t.nodes]
-    return t.rows.select(case, F.explode(F.array(*rows)).alias("t")).select(case, "t.*")
+    out = []
+    for programs in parts(compiled(rules)):
+        rows = _folded(cases, programs, case, pack).select(case, "pack", "facts", F.posexplode(F.arrays_zip("nodes.truth", "nodes.reason")).alias("node", "_n"))
+        nodes = table(cases.sparkSession, [r for name, p in programs.items() for r in p.node_rows(name)], NODES)
+        names = F.array(*[F.lit(r) for r in REASONS])
+        out.append(rows.join(nodes, ["pack", "node"]).select(case, *([F.col("pack").alias(pack)] if pack else []), "rule_id", "section", "path", "parent", "depth", "op", three(F.col("_n.truth")).alias("truth"), F.get(names, F.col("_n.reason").cast("int")).alias("reason"), _evidence(F.col("groups")).alias("evidence_ids")))
+    return united(out)
 
 
-def evaluate_rules(cases: DataFrame, rules: list[dict], case: str = "case_id") -> DataFrame:
-    """``(case, found)``: a map from rule id to applies, exception, satisfied, whether the last section
+def evaluate_rules(cases: DataFrame, rules: Rules, case: str = "case_id", pack: str | None = None, with_evidence: bool = True) -> DataFrame:
+    """``(case, found)``: an array with each rule's id, applies, exception, satisfied, whether the last section
     was reached, outcome, override truths and evidence, in the row of the case.
 
     Exceptions count only where the rule applies; the last section and overrides
-    only where, besides, no exception holds or may hold.
+    only where, besides, no exception holds or may hold.  ``with_evidence=False`` leaves the evidence
+    empty, for outcomes and resolution alone.
     """
-    t = Nodes(cases, rules, case)
-    ids = list(dict.fromkeys(r["rule_id"] for r in rules))
-    truths, entries = [], []
-    for i, rule in enumerate(ids):
-        roots = t.roots(rule)
-        exceptions = [n for s, n in roots.items() if s.startswith("exception:")]
-        overrides = {s.removeprefix("override:"): n for s, n in roots.items() if s.startswith("override:")}
-        some = some_of([t.truth(n) for n in exceptions]) if exceptions else F.lit(False)
-        truths.append(F.struct(t.truth(roots["applies_when"]).alias("a"), some.alias("e"), t.truth(roots["satisfied_when"]).alias("s"), F.coalesce(t.truth(roots["applies_when"]) & ~some, F.lit(False)).alias("reached")))
-        applies, some, holds, reached = (F.col("_truths")[i][c] for c in ("a", "e", "s", "reached"))
-        seen = F.when(reached, t.evidence(*roots.values())).when(F.coalesce(applies, F.lit(False)), t.evidence(roots["applies_when"], *exceptions)).otherwise(t.evidence(roots["applies_when"]))
-        own = F.map_from_arrays(F.array(*[F.lit(o) for o in overrides]), F.array(*[t.truth(n) for n in overrides.values()])) if overrides else F.from_json(F.lit("{}"), "map<string,boolean>")
-        entries.append(F.struct(applies.alias("applies"), F.when(applies, some).alias("exception"), F.when(reached, holds).alias("satisfied"), reached.alias("reached"), logic.derive_outcome(applies, some, holds).alias("outcome"), F.when(reached, own).alias("override_truths"), seen.alias("evidence_ids")))
-    return once(t.rows.withColumn("_truths", F.array(*truths))).select(case, F.map_from_arrays(F.array(*[F.lit(r) for r in ids]), F.array(*entries)).alias("found"))
+    none = F.array().cast("array<string>")
+    out = []
+    for programs in parts(compiled(rules)):
+        rows = _folded(cases, programs, case, pack).join(table(cases.sparkSession, [p.rules_row(name) for name, p in programs.items()], RULES), "pack")
+        truth = lambda i: three(F.get("nodes.truth", i))
+
+        def found(r: Column) -> Column:
+            said = F.struct(truth(r["applies"]).alias("a"), F.exists(r["exceptions"], truth).alias("e"), truth(r["satisfied"]).alias("s"))
+
+            def finding(x: Column) -> Column:
+                applies, some, holds = x["a"], x["e"], x["s"]
+                reached = F.coalesce(applies & ~some, F.lit(False))
+                groups = F.when(reached, r["third"]).when(applies, r["second"]).otherwise(r["first"])
+                own = F.map_from_entries(F.transform(r["overrides"], lambda o: F.struct(o["target"], truth(o["node"]))))
+                return F.struct(r["rule_id"].alias("rule_id"), applies.alias("applies"), F.when(applies, some).alias("exception"), F.when(reached, holds).alias("satisfied"), reached.alias("reached"), logic.derive_outcome(applies, some, holds).alias("outcome"), F.when(reached, own).alias("override_truths"), (_evidence(groups) if with_evidence else none).alias("evidence_ids"))
+
+            return F.transform(F.array(said), finding)[0]
+
+        out.append(rows.select(case, *([F.col("pack").alias(pack)] if pack else []), F.transform("rules", found).alias("found")))
+    return united(out)
 
 
 def findings(found: DataFrame, case: str = "case_id") -> DataFrame:
     """One row for each case and rule of ``evaluate_rules``."""
-    return found.select(case, F.explode("found").alias("rule_id", "x")).select(case, "rule_id", "x.*")
+    return found.select(case, F.explode("found").alias("x")).select(case, "x.*")
 
 
 def outcomes(found: Column, field: str = "outcome") -> Column:
-    """The gravest outcome of a map of findings: FAIL, REVIEW, PASS, NOT_APPLICABLE."""
+    """The gravest outcome of an array of findings: FAIL, REVIEW, PASS, NOT_APPLICABLE."""
     order = F.array(*[F.lit(o) for o in ("NOT_APPLICABLE", "PASS", "REVIEW", "FAIL")])
-    return F.element_at(order, F.array_max(F.transform(F.map_values(found), lambda x: F.array_position(order, x[field]))).cast("int"))
+    return F.element_at(order, F.array_max(F.transform(found, lambda x: F.array_position(order, x[field]))).cast("int"))
 
 
 def aggregate_outcomes(rows: DataFrame, outcome: str, *by: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 The override graph belongs to the pack, not to a case.  ``Pack`` works out its
 components, cycles and levels once, from the rules' metadata, which is bounded
-by the size of a pack.  A case then is one row with an array of its findings:
-overrides and conflicts are expressions on that array, level by level, so a case
-is shuffled once, whatever the number of levels.
+by the size of a pack, as arrays of edges and links.  A case then is one row with an array of its findings,
+and many cases are resolved at a time, level by level of the graph, as matrices of rules and
+cases; a case is not shuffled again, and a plan has one size whatever the number of rules.
 
 ``override_components``, ``override_cycles`` and ``override_levels`` do the same
 for tables of graphs too many or too large for the driver, a graph for each pack.
@@ -15,10 +15,14 @@ from __future__ import annotations
 import functools
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .evaluate import once
+from ..functions import rules as logic
 
 
 def _state(df: DataFrame) -> tuple:
@@ -107,35 +111,82 @@ class Pack:
         return cls([r["rule_id"] for r in rules], [(r["rule_id"], t) for r in rules for t in (r.get("overrides") or {})], list(declared), dict(norms or {}))
 
     @functools.cached_property
-    def invalid(self) -> set[str]:
-        """Rules of components that hold a cycle: what peeling in both directions leaves, spread over the component."""
-        left = set(self.edges)
-        while True:
-            sources, targets = {s for s, _ in left}, {t for _, t in left}
-            stay = {(s, t) for s, t in left if s in targets and t in sources}
-            if stay == left:
-                break
-            left = stay
-        bad = {x for e in left for x in e}
-        while more := {x for e in self.edges if bad & set(e) for x in e} - bad:
-            bad |= more
-        return bad
+    def near(self) -> dict[str, set[str]]:
+        """Rules that share an edge, by rule."""
+        out: dict[str, set[str]] = {}
+        for s, t in self.edges:
+            out.setdefault(s, set()).add(t)
+            out.setdefault(t, set()).add(s)
+        return out
 
     @functools.cached_property
     def levels(self) -> dict[str, int]:
-        """Longest path from a rule that nothing overrides, by valid rule."""
-        out = {r: 0 for e in self.edges for r in e if r not in self.invalid}
-        fine = [(s, t) for s, t in self.edges if s in out]
-        changed = True
-        while changed:
-            changed = False
-            for s, t in fine:
-                if out[t] < out[s] + 1:
-                    out[t], changed = out[s] + 1, True
-        return out
+        """Longest path from a rule that nothing overrides, by rule; those on or behind cycles are left out.
+        Each edge is looked at once, when its source is done."""
+        targets: dict[str, list[str]] = {}
+        waits: dict[str, int] = dict.fromkeys(self.near, 0)
+        for s, t in set(self.edges):
+            targets.setdefault(s, []).append(t)
+            waits[t] += 1
+        out, ready = {}, [r for r, n in waits.items() if not n]
+        level = dict.fromkeys(waits, 0)
+        while ready:
+            r = ready.pop()
+            out[r] = level[r]
+            for t in targets.get(r, ()):
+                level[t] = max(level[t], level[r] + 1)
+                waits[t] -= 1
+                if not waits[t]:
+                    ready.append(t)
+        return {r: n for r, n in out.items() if r not in self._spread(set(waits) - set(out))}
+
+    def _spread(self, bad: set[str]) -> set[str]:
+        """The components that have one of ``bad``."""
+        seen, queue = set(bad), list(bad)
+        while queue:
+            for x in self.near[queue.pop()]:
+                if x not in seen:
+                    seen.add(x)
+                    queue.append(x)
+        return seen
 
-    def neighbours(self, rule: str) -> list[str]:
-        return sorted({s if t == rule else t for s, t in self.edges if rule in (s, t)} - {rule})
+    @functools.cached_property
+    def invalid(self) -> set[str]:
+        """Rules of components that hold a cycle."""
+        return set(self.near) - set(self.levels)
+
+    @functools.cached_property
+    def arrays(self) -> Relations:
+        return Relations.of(self)
+
+
+@dataclass
+class Relations:
+    """A pack's relations as numbers: rules in the order of their ids, edges of valid components by the
+    level of their source, links of conflicts."""
+
+    names: pa.Array
+    source: np.ndarray
+    target: np.ndarray
+    level: np.ndarray
+    invalid: np.ndarray
+    around: tuple[np.ndarray, np.ndarray]
+    declared: tuple[np.ndarray, np.ndarray]
+    norms: list[tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, pack: Pack) -> Relations:
+        names = sorted(set(pack.rules))
+        at = {r: i for i, r in enumerate(names)}
+        pairs = lambda xs: tuple(np.array([at[x[i]] for x in xs], np.int64) for i in range(2))
+        edges = sorted({e for e in pack.edges if e[0] in pack.levels and e[0] in at and e[1] in at}, key=lambda e: (pack.levels[e[0]], e[1], e[0]))
+        bad = sorted(pack.invalid & set(at))
+        sides: dict[str, tuple[list[int], list[int]]] = {}
+        for rule, (norm, category) in pack.norms.items():
+            if category in ("PROHIBITION", "OBLIGATION", "PERMISSION") and rule in at:
+                sides.setdefault(norm, ([], []))[category != "PROHIBITION"].append(at[rule])
+        norms = [(np.sort(p), np.sort(o)) for p, o in sides.values() if p and o]
+        return cls(pa.array(names, pa.string()), *pairs(edges), np.array([pack.levels[s] for s, _ in edges], np.int64), np.isin(names, bad), pairs([(r, n) for r in bad for n in sorted(pack.near[r] - {r}) if n in at]), pairs(sorted({(min(p), max(p)) for p in pack.declared if p[0] != p[1] and set(p) <= set(at)})), norms)
 
 
 def check_finding_map(findings: DataFrame, rules: DataFrame, case: str = "case_id", finding_hash: str | None = None) -> DataFrame:
@@ -179,136 +230,225 @@ def validate_override_edges(edges: DataFrame, findings: DataFrame, rules: DataFr
 
 
 def by_case(findings: DataFrame, case: str = "case_id") -> DataFrame:
-    """One row for each case with ``found``, a map from rule id to its finding."""
-    entry = F.struct("rule_id", F.struct("applies", "outcome", "reached", "override_truths"))
-    return findings.groupBy(case).agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
+    """One row for each case with ``found``, an array of its findings."""
+    return findings.groupBy(case).agg(F.array_sort(F.collect_list(F.struct("rule_id", "applies", "outcome", "reached", F.map_entries("override_truths").alias("o")))).alias("found")).select(case, F.transform("found", lambda x: F.struct(x["rule_id"].alias("rule_id"), x["applies"].alias("applies"), x["outcome"].alias("outcome"), x["reached"].alias("reached"), F.map_from_entries(x["o"]).alias("override_truths"))).alias("found"))
 
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
+RESOLUTIONS = ["UNCHANGED", "OVERRIDDEN", "UNCERTAIN_OVERRIDE", "INVALID", "CONFLICT_REVIEW"]
+UNCHANGED, OVERRIDDEN, UNCERTAIN, INVALID, CONFLICT = range(5)
+NOT_APPLICABLE, REVIEW = logic.OUTCOMES.index("NOT_APPLICABLE"), logic.OUTCOMES.index("REVIEW")
+RESOLVED = T.StructType([T.StructField("resolution", T.ArrayType(T.StringType())), T.StructField("effective", T.ArrayType(T.StringType())), T.StructField("related", T.ArrayType(T.ArrayType(T.StringType())))])
+#: Rules times cases that are resolved at a time.
+CELLS = 1 << 22
 
 
-def apply_overrides(cases: DataFrame, pack: Pack) -> DataFrame:
-    """Adds ``resolved`` to rows of ``by_case``: a map from rule id to ``resolution``, ``effective``, ``related``
-    and what the finding said.
+def _lists(flat: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), flat)
 
-    Level by level: an active source (it applies, and its effect is not NOT_APPLICABLE)
-    whose edge is unknown makes both ends uncertain; one whose edge is true takes
-    its target out.  Rules of invalid components get INVALID and REVIEW.
-    """
-    one = lambda r: F.try_element_at("found", F.lit(r))
-    edges = [(s, t) for s, t in pack.edges if s not in pack.invalid]
-    into = {t: [s for s, x in edges if x == t] for _, t in edges}
-    rows = once(cases)
-
-    def acts(s: str, t: str, seen: Column) -> Column:
-        """Null where the edge does not act, else whether it is unknown."""
-        truth = F.try_element_at(one(s)["override_truths"], F.lit(t))
-        active = one(s)["reached"] & one(s)["applies"] & (seen != "NOT_APPLICABLE") & F.coalesce(truth, F.lit(True))
-        return F.when(F.coalesce(active, F.lit(False)), truth.isNull())
-
-    top = max((pack.levels[t] for t in into), default=0)
-    for level in range(top + 1):
-        # The effects of a level are columns of the row; those above refer to them by name.
-        new = {}
-        for i, rule in enumerate(pack.rules):
-            if pack.levels.get(rule, 0) == level:
-                base = one(rule)["outcome"]
-                hits = [F.col(f"_acts_{pack.rules.index(s)}_{i}") for s in into.get(rule, [])]
-                if hits:
-                    unsure, some = F.coalesce(F.greatest(*hits, F.lit(None).cast("boolean")), F.lit(False)), functools.reduce(lambda a, b: a | b, [h.isNotNull() for h in hits])
-                    base = F.when(unsure, "REVIEW").when(some, "NOT_APPLICABLE").otherwise(base)
-                new[f"_eff_{i}"] = base
-        rows = once(rows.withColumns(new))
-        rows = once(rows.withColumns({f"_acts_{pack.rules.index(s)}_{pack.rules.index(t)}": acts(s, t, F.col(f"_eff_{pack.rules.index(s)}")) for s, t in edges if pack.levels[s] == level}))
-
-    entries = []
-    for rule in pack.rules:
-        i = pack.rules.index(rule)
-        f = one(rule)
-        ends = [(F.col(f"_acts_{pack.rules.index(s)}_{pack.rules.index(t)}"), t if s == rule else s, t == rule) for s, t in edges if rule in (s, t)]
-        unsure_of = F.array_compact(F.array(*[F.when(a, F.lit(o)) for a, o, _ in ends])) if ends else _none()
-        taken_by = F.array_compact(F.array(*[F.when(~a, F.lit(o)) for a, o, inward in ends if inward] or [F.lit(None).cast("string")]))
-        invalid = F.lit(rule in pack.invalid)
-        resolution = F.when(invalid, "INVALID").when(F.size(unsure_of) > 0, "UNCERTAIN_OVERRIDE").when(F.size(taken_by) > 0, "OVERRIDDEN").otherwise("UNCHANGED")
-        effective = F.when(invalid | (F.size(unsure_of) > 0), "REVIEW").when(F.size(taken_by) > 0, "NOT_APPLICABLE").otherwise(f["outcome"])
-        others = F.filter(F.array(*[F.lit(n) for n in pack.neighbours(rule)]) if pack.neighbours(rule) else _none(), lambda n: F.map_contains_key("found", n))
-        related = F.when(invalid, others).when(F.size(unsure_of) > 0, F.array_sort(F.array_distinct(unsure_of))).otherwise(F.array_sort(F.array_distinct(taken_by)))
-        entries.append(F.when(f.isNotNull(), F.struct(F.lit(rule).alias("key"), F.struct(f["applies"].alias("applies"), f["outcome"].alias("outcome"), resolution.alias("resolution"), effective.alias("effective"), related.alias("related")).alias("value"))))
-    return rows.select(*cases.columns, F.map_from_entries(F.array_compact(F.array(*entries))).alias("resolved"))
-
-
-def declared_links(resolved: Column, pack: Pack) -> dict[str, list[Column]]:
-    """For each rule the rules of its declared conflicts that hold in a case, each null or its id."""
-    fine = lambda r: _takes_part(F.try_element_at(resolved, F.lit(r)))
-    out: dict[str, list[Column]] = {}
-    for a, b in {(min(p), max(p)) for p in pack.declared if p[0] != p[1]}:
-        both = fine(a) & fine(b)
-        out.setdefault(a, []).append(F.when(both, F.lit(b)))
-        out.setdefault(b, []).append(F.when(both, F.lit(a)))
-    return out
 
+class _Cases:
+    """Findings of some cases against a pack: matrices of rules (rows) and cases (columns)."""
 
-def _takes_part(x: Column) -> Column:
-    """Rules that apply and are neither invalid nor uncertain."""
-    return F.coalesce((x["effective"] != "NOT_APPLICABLE") & ~x["resolution"].isin("INVALID", "UNCERTAIN_OVERRIDE"), F.lit(False))
+    def __init__(self, pack: Relations, rule: pa.Array) -> None:
+        self.pack, self.n = pack, len(rule)
+        self.sizes = rule.value_lengths().fill_null(0).to_numpy()
+        at = pc.index_in(rule.flatten(), pack.names)
+        self.known = np.flatnonzero(~np.asarray(at.is_null()))
+        self.rule = at.take(pa.array(self.known)).to_numpy().astype(np.int64)
+        self.case = np.repeat(np.arange(self.n), self.sizes)[self.known]
+        self.place = np.full((len(pack.names), self.n), -1, np.int64)
+        self.place[self.rule, self.case] = np.arange(len(self.known))
 
+    def matrix(self, values: np.ndarray, missing: int = 0) -> np.ndarray:
+        out = np.full(self.place.shape, missing, np.int8)
+        out[self.rule, self.case] = values[self.known]
+        return out
 
-def deontic_links(resolved: Column, pack: Pack) -> dict[str, list[Column]]:
+    def lists(self, resolution: np.ndarray, effective: np.ndarray, triples: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
+        """The answer for each finding, null for rules that the pack lacks; ``triples``: rule, case and related
+        rule, in any order and repeated."""
+        rule, case, other = (np.concatenate(x) for x in zip((np.zeros(0, np.int64),) * 3, *triples))
+        r, total = max(1, len(self.pack.names)), int(self.sizes.sum())
+        key = np.unique(self.known[self.place[rule, case]] * r + other)
+        names = _lists(self.pack.names.take(pa.array(key % r)), np.bincount(key // r, minlength=total))
+        unknown = np.ones(total, bool)
+        unknown[self.known] = False
+
+        def said(m: np.ndarray, words: list[str]) -> pa.Array:
+            at = np.zeros(total, np.int64)
+            at[self.known] = m[self.rule, self.case]
+            return pa.array(words, pa.string()).take(pa.array(at, mask=unknown))
+
+        return pa.StructArray.from_arrays([_lists(x, self.sizes) for x in (said(resolution, RESOLUTIONS), said(effective, logic.OUTCOMES), names)], names=RESOLVED.names)
+
+
+def _flags(x: pa.Array) -> np.ndarray:
+    """Truths of all findings as 0, 1 (unknown) and 2."""
+    return np.where(np.asarray(x.is_null()), 1, 2 * np.asarray(x.fill_null(False).cast(pa.int8()))).astype(np.int8)
+
+
+def _outcomes(x: pa.Array) -> np.ndarray:
+    return np.asarray(pc.index_in(x, pa.array(logic.OUTCOMES)).fill_null(REVIEW)).astype(np.int8)
+
+
+def _in_parts(pack: Relations, one, columns: list[pa.Array]) -> pa.Array:
+    step = max(1, CELLS // max(1, len(pack.names) + len(pack.source)))
+    made = [one(_Cases(pack, columns[0].slice(i, step)), *[c.slice(i, step) for c in columns[1:]]) for i in range(0, len(columns[0]), step)]
+    return pa.concat_arrays(made) if made else pa.array([], pa.struct([("resolution", pa.list_(pa.string())), ("effective", pa.list_(pa.string())), ("related", pa.list_(pa.list_(pa.string())))]))
+
+
+def _overrides(c: _Cases, applies: pa.Array, reached: pa.Array, outcome: pa.Array, targets: pa.Array, truths: pa.Array) -> pa.Array:
+    p = c.pack
+    acts_if = c.matrix((_flags(applies.flatten()) == 2) & (_flags(reached.flatten()) == 2)) > 0
+    effective = c.matrix(_outcomes(outcome.flatten()))
+    # Truths of the edges: the finding's map at the edge's target; what is not there is unknown.
+    entries = targets.flatten()
+    owner = np.repeat(np.arange(len(entries)), entries.value_lengths().fill_null(0).to_numpy())
+    target, values = pc.index_in(entries.flatten(), p.names), _flags(truths.flatten().flatten())
+    back = np.full(int(c.sizes.sum()), -1, np.int64)
+    back[c.known] = np.arange(len(c.known))
+    good = ~np.asarray(target.is_null()) & (back[owner] >= 0)
+    r = max(1, len(p.names))
+    edge_key = p.source * r + p.target
+    order = np.argsort(edge_key)
+    finding = back[owner[good]]
+    asked = c.rule[finding] * r + np.asarray(target.filter(pa.array(good))).astype(np.int64)
+    spot = np.minimum(np.searchsorted(edge_key[order], asked), max(0, len(order) - 1))
+    hit = edge_key[order][spot] == asked if len(order) else np.zeros(len(asked), bool)
+    edge = np.ones((len(p.source), c.n), np.int8)
+    if hit.any():
+        edge[order[spot[hit]], c.case[finding[hit]]] = values[good][hit]
+    unsure, taken = np.zeros(edge.shape, bool), np.zeros(edge.shape, bool)
+    into_unsure, into_taken = np.zeros(effective.shape, bool), np.zeros(effective.shape, bool)
+    starts = np.flatnonzero(np.diff(p.level, prepend=-1))
+    for low, high in zip(starts, np.append(starts[1:], len(p.level))):
+        e = slice(low, high)
+        s, t = p.source[e], p.target[e]
+        # Sources of this level have met all that overrides them.
+        now = np.where(into_unsure[s], REVIEW, np.where(into_taken[s], NOT_APPLICABLE, effective[s]))
+        active = acts_if[s] & (now != NOT_APPLICABLE) & (edge[e] > 0)
+        unsure[e], taken[e] = active & (edge[e] == 1), active & (edge[e] == 2)
+        first = np.flatnonzero(np.diff(t, prepend=-1))
+        into_unsure[t[first]] |= np.logical_or.reduceat(unsure[e], first, axis=0)
+        into_taken[t[first]] |= np.logical_or.reduceat(taken[e] | unsure[e], first, axis=0)
+    uncertain = into_unsure.copy()
+    np.logical_or.at(uncertain, p.source, unsure)
+    overridden = np.zeros(effective.shape, bool)
+    np.logical_or.at(overridden, p.target, taken)
+    bad = np.broadcast_to(p.invalid[:, None], effective.shape)
+    resolution = np.where(bad, INVALID, np.where(uncertain, UNCERTAIN, np.where(overridden, OVERRIDDEN, UNCHANGED)))
+    effective = np.where(bad | uncertain, REVIEW, np.where(overridden, NOT_APPLICABLE, effective))
+    e, k = np.nonzero(unsure)
+    triples = [(p.source[e], k, p.target[e]), (p.target[e], k, p.source[e])]
+    e, k = np.nonzero(taken)
+    alone = ~uncertain[p.target[e], k]
+    triples.append((p.target[e][alone], k[alone], p.source[e][alone]))
+    e, k = np.nonzero((c.place[p.around[0]] >= 0) & (c.place[p.around[1]] >= 0))
+    triples.append((p.around[0][e], k, p.around[1][e]))
+    return c.lists(resolution, effective, [tuple(x[c.place[t[0], t[1]] >= 0] for x in t) for t in triples])
+
+
+def declared_links(p: Relations, applies: np.ndarray, there: np.ndarray, fine: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rule, case and other rule of the declared conflicts that hold."""
+    a, b = p.declared
+    e, k = np.nonzero(fine[a] & fine[b])
+    return [(a[e], k, b[e]), (b[e], k, a[e])]
+
+
+def deontic_links(p: Relations, applies: np.ndarray, there: np.ndarray, fine: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The same for norms: stars between prohibitions and the least obligation or permission of a norm, and back.
 
     The star's centre is the least of all that apply, also if it then turns out uncertain.
     """
-    one = lambda r: F.try_element_at(resolved, F.lit(r))
-    sides: dict[str, tuple[list[str], list[str]]] = {}
-    for rule, (norm, category) in sorted(pack.norms.items()):
-        if category in ("PROHIBITION", "OBLIGATION", "PERMISSION"):
-            sides.setdefault(norm, ([], []))[category != "PROHIBITION"].append(rule)
-    out: dict[str, list[Column]] = {}
-    for pair in sides.values():
+    out = []
+    for pair in p.norms:
         for own, other in (pair, pair[::-1]):
-            here = [F.when(F.coalesce(one(r)["applies"] & (one(r)["effective"] != "NOT_APPLICABLE") & (one(r)["resolution"] != "INVALID"), F.lit(False)), F.lit(r)) for r in other]
-            if not here or not own:
-                continue
-            centre = F.coalesce(*here)  # ids ascend
-            for r in own:
-                linked = _takes_part(one(r)) & F.coalesce(one(r)["applies"], F.lit(False)) & _takes_part(F.try_element_at(resolved, centre))
-                out.setdefault(r, []).append(F.when(linked, centre))
-                for c in other:
-                    out.setdefault(c, []).append(F.when(linked & (centre == c), F.lit(r)))
+            here = applies[other] & there[other]
+            centre = other[here.argmax(axis=0)]
+            linked = fine[own] & applies[own] & (here.any(axis=0) & fine[centre, np.arange(fine.shape[1])])
+            e, k = np.nonzero(linked)
+            out += [(own[e], k, centre[k]), (centre[k], k, own[e])]
     return out
 
 
-def apply_conflicts(cases: DataFrame, pack: Pack, *kinds) -> DataFrame:
-    """Rules with a link become CONFLICT_REVIEW; the others of the link are related.
+def _conflicts(kinds, c: _Cases, applies: pa.Array, resolution: pa.Array, effective: pa.Array, related: pa.Array) -> pa.Array:
+    how = np.asarray(pc.index_in(resolution.flatten(), pa.array(RESOLUTIONS)).fill_null(0)).astype(np.int8)
+    how, now = c.matrix(how, INVALID), c.matrix(_outcomes(effective.flatten()))
+    there = (now != NOT_APPLICABLE) & (how != INVALID)
+    links = [x for kind in kinds for x in kind(c.pack, c.matrix(_flags(applies.flatten())) == 2, there, there & (how != UNCERTAIN))]
+    hit = np.zeros(now.shape, bool)
+    for rule, case, _ in links:
+        hit[rule, case] = True
+    # What a finding was related to stays.
+    old = related.flatten()
+    owner = np.repeat(np.arange(len(old)), old.value_lengths().fill_null(0).to_numpy())
+    back = np.full(len(old), -1, np.int64)
+    back[c.known] = np.arange(len(c.known))
+    other = pc.index_in(old.flatten(), c.pack.names)
+    good = ~np.asarray(other.is_null()) & (back[owner] >= 0)
+    finding = back[owner[good]]
+    links.append((c.rule[finding], c.case[finding], np.asarray(other.filter(pa.array(good))).astype(np.int64)))
+    return c.lists(np.where(hit, CONFLICT, how), np.where(hit, REVIEW, now), links)
+
+
+#: One pack, or a dict from pack to packs with the cases' column that names it.
+Packs = Pack | dict[str, Pack]
+
+
+def _resolver(packs: dict[str, Relations], one):
+    @F.arrow_udf(RESOLVED)
+    def run(*columns: pa.Array) -> pa.Array:
+        names = columns[0].to_numpy(zero_copy_only=False)
+        made, order = [], []
+        for name in np.unique(names):
+            rows = np.flatnonzero(names == name)
+            made.append(_in_parts(packs[name], one, [x.take(pa.array(rows)) for x in columns[1:]]))
+            order.append(rows)
+        return pa.concat_arrays(made).take(pa.array(np.argsort(np.concatenate(order)))) if made else _in_parts(next(iter(packs.values())), one, list(columns[1:]))
+
+    return run.asNondeterministic()  # a barrier: else it would be written out wherever its answers are used
+
+
+def _resolved(cases: DataFrame, source: str, pack: Packs, by: str | None, one, columns: list[Column]) -> DataFrame:
+    """``cases`` with ``resolved``, made of the findings of ``source`` and the answers of ``one``."""
+    packs = {k: p.arrays for k, p in (pack.items() if isinstance(pack, dict) else [("", pack)])}
+    rows = cases.withColumn("_answer", _resolver(packs, one)(F.col(by).cast("string") if by else F.lit(""), *columns))
+    entry = lambda x, i: F.struct(*[x[c].alias(c) for c in ("rule_id", "applies", "outcome")], *[F.get(f"_answer.{c}", i).alias(c) for c in RESOLVED.names])
+    return rows.withColumn("resolved", F.filter(F.transform(source, entry), lambda x: x["resolution"].isNotNull())).drop("_answer")
+
+
+def apply_overrides(cases: DataFrame, pack: Packs, by: str | None = None) -> DataFrame:
+    """Adds ``resolved`` to rows of ``by_case`` or ``evaluate_rules``: an array with ``rule_id``, ``resolution``,
+    ``effective``, ``related`` and what the finding said.
 
-    ``kinds``: ``declared_links``, ``deontic_links`` or both; links of all kinds are found before any counts.
+    Level by level: an active source (it applies, and its effect is not NOT_APPLICABLE)
+    whose edge is unknown makes both ends uncertain; one whose edge is true takes
+    its target out.  Rules of invalid components get INVALID and REVIEW.  Findings of rules that the
+    pack lacks are left out.
     """
-    links: dict[str, list[Column]] = {}
-    for kind in kinds:
-        for rule, found in kind(F.col("resolved"), pack).items():
-            links.setdefault(rule, []).extend(found)
-    # The links are made once, as a map of arrays; then each finding looks itself up.
-    others = F.map_from_entries(F.array(*[F.struct(F.lit(r), F.array_distinct(F.array_compact(F.array(*x)))) for r, x in sorted(links.items())])) if links else F.lit(None).cast("map<string,array<string>>")
-    rows = once(once(cases).withColumn("_links", others))
+    columns = [F.col(f"found.{c}") for c in ("rule_id", "applies", "reached", "outcome")]
+    maps = [F.transform("found", lambda x: F.map_keys(x["override_truths"])), F.transform("found", lambda x: F.map_values(x["override_truths"]))]
+    return _resolved(cases, "found", pack, by, _overrides, [*columns, *maps])
+
 
-    def changed(rule: Column, x: Column) -> Column:
-        met = F.coalesce(F.try_element_at("_links", rule), _none())
-        hit = F.size(met) > 0
-        return F.struct(x["applies"].alias("applies"), x["outcome"].alias("outcome"), F.when(hit, "CONFLICT_REVIEW").otherwise(x["resolution"]).alias("resolution"), F.when(hit, "REVIEW").otherwise(x["effective"]).alias("effective"), F.when(hit, F.array_sort(F.array_union(x["related"], met))).otherwise(x["related"]).alias("related"))
+def apply_conflicts(cases: DataFrame, pack: Packs, *kinds, by: str | None = None) -> DataFrame:
+    """Rules with a link become CONFLICT_REVIEW; the others of the link are related.
 
-    return rows.withColumn("resolved", F.transform_values("resolved", changed)).drop("_links")
+    ``kinds``: ``declared_links``, ``deontic_links`` or both; links of all kinds are found before any counts.
+    """
+    columns = [F.col(f"resolved.{c}") for c in ("rule_id", "applies", "resolution", "effective", "related")]
+    return _resolved(cases, "resolved", pack, by, functools.partial(_conflicts, kinds), columns)
 
 
-def resolve_findings(cases: DataFrame, pack: Pack) -> DataFrame:
-    """Overrides, then declared and deontic conflicts, on rows of ``by_case``."""
-    return apply_conflicts(apply_overrides(cases, pack), pack, declared_links, deontic_links)
+def resolve_findings(cases: DataFrame, pack: Packs, by: str | None = None) -> DataFrame:
+    """Overrides, then declared and deontic conflicts, on rows of ``by_case`` or ``evaluate_rules``."""
+    return apply_conflicts(apply_overrides(cases, pack, by), pack, declared_links, deontic_links, by=by)
 
 
 def exploded(cases: DataFrame, case: str = "case_id") -> DataFrame:
     """A row for each case and rule of ``resolved``."""
-    rows = cases.select(case, F.explode("resolved").alias("rule_id", "x"))
-    return rows.select(case, "rule_id", *[F.col(f"x.{c}").alias(c) for c in ("applies", "outcome", "resolution", "effective", "related")])
+    rows = cases.select(case, F.explode("resolved").alias("x"))
+    return rows.select(case, *[F.col(f"x.{c}").alias(c) for c in ("rule_id", "applies", "outcome", "resolution", "effective", "related")])
 
 
 def common_date(findings: DataFrame, case: str = "case_id", date: str = "evaluation_date") -> DataFrame:

@@ -76,7 +76,7 @@ def ev1(t):
 
 
 def judged(t, rules=None):
-    return evaluate.evaluate_rules(cases(t), rules or demo.RULES)
+    return evaluate.evaluate_rules(cases(t), rules or demo.RULES, with_evidence=False)
 
 
 def found(t):
