@@ -242,12 +242,12 @@ def compiled(rules: Rules) -> dict[str, Program]:
     return {name: Program(flatten(r)) for name, r in (rules.items() if isinstance(rules, dict) else [("", rules)])}
 
 
-def _folded(cases: DataFrame, programs: dict[str, Program], case: str, pack: str | None) -> DataFrame:
-    """``(case, pack, facts, nodes)``: truths and reasons of all nodes of a case's pack, in its row.  Cases of
+def _folded(cases: DataFrame, programs: dict[str, Program], case: str, pack: str | None, keep: list[str] = ()) -> DataFrame:
+    """``(case, pack, facts, nodes)`` and ``keep``: truths and reasons of all nodes of a case's pack, in its row.  Cases of
     other packs are left out."""
     ops = {leaf["op"] for p in programs.values() for leaf in p.leaves}
     tables = table(cases.sparkSession, [p.program_row(name) for name, p in programs.items()], PROGRAM)
-    rows = cases.select(case, (F.col(pack).cast("string") if pack else F.lit("")).alias("pack"), "facts", "evidence").join(tables, "pack")
+    rows = cases.select(case, (F.col(pack).cast("string") if pack else F.lit("")).alias("pack"), "facts", "evidence", *keep).join(tables, "pack")
     languages = "language_present" in ops
     entries = F.transform(F.map_entries("facts"), lambda e: _entry(e["key"], e["value"], None, languages, None))
     if "same_visual_area" in ops:
@@ -261,9 +261,9 @@ def _folded(cases: DataFrame, programs: dict[str, Program], case: str, pack: str
         return F.flatten(F.transform("_entries", lambda e: F.transform(own(op, e), lambda leaf: _judged(op, leaf, e))))
 
     none = F.array().cast("array<struct<leaf:int,truth:tinyint,reason:tinyint>>")
-    rows = rows.withColumn("_entries", entries).select(case, "pack", "facts", F.concat(none, *[judged(op) for op in sorted(ops - {"truth"})]).alias("_results"))
+    rows = rows.withColumn("_entries", entries).select(case, "pack", "facts", *keep, F.concat(none, *[judged(op) for op in sorted(ops - {"truth"})]).alias("_results"))
     run = folder({name: p.arrays() for name, p in programs.items()})
-    return rows.select(case, "pack", "facts", run(F.col("pack"), F.col("_results.leaf"), F.col("_results.truth"), F.col("_results.reason")).alias("nodes"))
+    return rows.select(case, "pack", "facts", *keep, run(F.col("pack"), F.col("_results.leaf"), F.col("_results.truth"), F.col("_results.reason")).alias("nodes"))
 
 
 def _evidence(groups: Column) -> Column:
@@ -288,8 +288,8 @@ def evaluate_expressions(cases: DataFrame, rules: Rules, case: str = "case_id",
     return united(out)
 
 
-def evaluate_rules(cases: DataFrame, rules: Rules, case: str = "case_id", pack: str | None = None, with_evidence: bool = True) -> DataFrame:
-    """``(case, found)``: an array with each rule's id, applies, exception, satisfied, whether the last section
+def evaluate_rules(cases: DataFrame, rules: Rules, case: str = "case_id", pack: str | None = None, with_evidence: bool = True, keep: list[str] = ()) -> DataFrame:
+    """``(case, found)``, the pack and ``keep``: an array with each rule's id, applies, exception, satisfied, whether the last section
     was reached, outcome, override truths and evidence, in the row of the case.
 
     Exceptions count only where the rule applies; the last section and overrides
@@ -299,7 +299,7 @@ def evaluate_rules(cases: DataFrame, rules: Rules, case: str = "case_id", pack:
     none = F.array().cast("array<string>")
     out = []
     for programs in parts(compiled(rules)):
-        rows = _folded(cases, programs, case, pack).join(table(cases.sparkSession, [p.rules_row(name) for name, p in programs.items()], RULES), "pack")
+        rows = _folded(cases, programs, case, pack, keep).join(table(cases.sparkSession, [p.rules_row(name) for name, p in programs.items()], RULES), "pack")
         truth = lambda i: three(F.get("nodes.truth", i))
 
         def found(r: Column) -> Column:
@@ -314,7 +314,7 @@ def evaluate_rules(cases: DataFrame, rules: Rules, case: str = "case_id", pack:
 
             return F.transform(F.array(said), finding)[0]
 
-        out.append(rows.select(case, *([F.col("pack").alias(pack)] if pack else []), F.transform("rules", found).alias("found")))
+        out.append(rows.select(case, *([F.col("pack").alias(pack)] if pack else []), *keep, F.transform("rules", found).alias("found")))
     return united(out)
 
 

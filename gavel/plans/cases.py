@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules as logic
-from ..operators import evaluate, resolution
+from ..operators import evaluate, packs, resolution
 from . import demo_rules as demo
 from .fixtures import SQL_FACTS, evidence, facts
 from .registry import query
@@ -211,12 +211,36 @@ def ev7(t):
     return resolved(t).select("case_id", evaluate.outcomes(F.col("resolved"), "effective").alias("outcome"))
 
 
+#: Two versions: all rules from 1993 on, and six of them until 1997.
+PACK_VERSIONS = [packs.Version("all", "h-all", demo.RULES, "1993-01-01", None, demo.CONFLICTS, demo.NORMS), packs.Version("six", "h-six", demo.RULES[:6], "1900-01-01", "1997-01-01", demo.CONFLICTS, demo.NORMS)]
+_AT = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
+PACK_REQUESTS = f"SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 17 = 0 THEN 'gone' WHEN o_orderkey % 2 = 0 THEN 'six' ELSE 'all' END AS version_id, {_AT} AS evaluation_date FROM orders"
+
+
+def snapshot_sql(rows, date):
+    """The hash of the rows (rule_id, effective, outcome, related, resolution) of a version, with its outcome."""
+    quoted = lambda x: f"'\"' || {x} || '\"'"
+    related = f"'[' || CASE WHEN related = '' THEN '' ELSE '\"' || replace(related, ',', '\",\"') || '\"' END || ']'"
+    finding = f"'{{\"effective\":' || {quoted('effective')} || ',\"outcome\":' || {quoted('outcome')} || ',\"related\":' || {related} || ',\"resolution\":' || {quoted('resolution')} || ',\"rule_id\":' || {quoted('rule_id')} || '}}'"
+    return f"""SELECT request_id, {RANKED.format('effective')} AS outcome, sha256('{{\"evaluation_date\":\"' || any_value({date}) || '\",\"findings\":[' || string_agg({finding}, ',' ORDER BY rule_id) || '],\"outcome\":\"' || {RANKED.format('effective')} || '\",\"schema_version\":\"1.0.0\",\"scope\":\"TECHNICAL_DEMO\",\"version_hash\":\"' || any_value(version_hash) || '\",\"version_id\":\"' || any_value(version_id) || '\"}}') AS content_hash FROM ({rows}) GROUP BY request_id"""
+
+
+_SAID = "SELECT q.case_id AS request_id, q.version_id, 'h-' || q.version_id AS version_hash, evaluation_date, rs.rule_id, effective, f.outcome, related, resolution FROM q JOIN rs ON rs.case_id = q.case_id AND (q.version_id = 'all' OR rs.rule_id < 'R7') JOIN findings f ON f.case_id = rs.case_id AND f.rule_id = rs.rule_id WHERE code = 'EVALUATED'"
+
+
+@query("ev7_pack_snapshots", _conflicts_sql(ALL_LINKS) + f""", q AS (SELECT *, CASE WHEN version_id = 'gone' THEN 'VERSION_UNKNOWN' WHEN version_id = 'all' AND evaluation_date < '1993-01-01' OR version_id = 'six' AND evaluation_date >= '1997-01-01' THEN 'OUTSIDE_VALIDITY' ELSE 'EVALUATED' END AS code FROM ({PACK_REQUESTS})),
+s AS ({snapshot_sql(_SAID, 'evaluation_date')}) SELECT case_id, version_id, code, outcome, content_hash FROM q LEFT JOIN s ON s.request_id = q.case_id""")
+def ev7_snapshots(t):
+    rows = cases(t).join(t.sql(PACK_REQUESTS), "case_id")
+    return packs.evaluate_pack(rows, PACK_VERSIONS).drop("resolved")
+
+
 ENTRY_RULES = demo.RULES[:6]
 
 
-@query("entry_order_compliance", demo.findings_sql() + f" SELECT case_id, {RANKED.format('outcome')} AS outcome FROM findings WHERE rule_id < 'R7' GROUP BY case_id")
+@query("entry_order_compliance", demo.findings_sql() + f" SELECT case_id, {RANKED.format('outcome')} AS outcome FROM findings GROUP BY case_id")
 def entry(t):
-    return judged(t, ENTRY_RULES).select("case_id", evaluate.outcomes(F.col("found")).alias("outcome"))
+    return judged(t).select("case_id", evaluate.outcomes(F.col("found")).alias("outcome"))
 
 
 @query("ev11_check_facts", f"""WITH {SQL_FACTS} SELECT case_id, fact_id, code FROM (SELECT case_id, fact_id, CASE WHEN status = 'RESOLVED' AND v_json IS NULL AND v_string IS NULL AND v_number IS NULL AND v_boolean IS NULL AND v_date IS NULL THEN 'VALUE_MISSING' WHEN status = 'CONFLICT' AND len(evidence_ids) < 2 THEN 'EVIDENCE_TOO_FEW' WHEN status IN ('RESOLVED', 'NULL', 'NOT_READABLE') AND len(evidence_ids) < 1 THEN 'EVIDENCE_MISSING' WHEN status = 'CONFLICT' AND case_id % 10 = 0 THEN 'CONFIDENCE_UNEXPECTED' WHEN case_id % 10 = 0 THEN 'CONFIDENCE_RANGE' END AS code FROM facts) WHERE code IS NOT NULL""")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, governance
+from ..operators import evaluate, governance, packs
 from . import demo_rules as demo
-from .cases import ENTRY_RULES, RANKED, judged
+from .cases import ALL_LINKS, ENTRY_RULES, RANKED, _conflicts_sql, cases, judged, snapshot_sql
 from .fixtures import _LINES
 from .ledgers import ACTIVATIONS, REQUESTS, VERSIONS
 from .registry import query
@@ -122,3 +122,16 @@ SELECT request_id, CASE n WHEN 1 THEN 'FOUND' WHEN 0 THEN 'NOT_FOUND' ELSE 'AMBI
 def ev8(t):
     outcomes = judged(t, ENTRY_RULES).select("case_id", evaluate.outcomes(F.col("found")).alias("outcome"))
     return governance.evaluate_as_of(t.sql(AS_OF), t.sql(ACTIVATIONS), t.sql(VERSIONS), outcomes)
+
+
+#: Versions of the table with rules of their own: all eight where the id is odd, else six.
+OWN_VERSIONS = [packs.Version(str(i), f"h{i}", demo.RULES if i % 2 else demo.RULES[:6], f"{i % 4 * 10:010d}", None if i % 3 == 0 else f"{i % 4 * 10 + 60:010d}", demo.CONFLICTS, demo.NORMS) for i in range(25)]
+_OWN = "SELECT asked.request_id, CAST(asked.version_id AS VARCHAR) AS version_id, 'h' || asked.version_id AS version_hash, lpad(CAST(evaluation_date AS VARCHAR), 10, '0') AS evaluation_date, rs.rule_id, effective, f.outcome, related, resolution FROM asked JOIN rs ON rs.case_id = asked.case_id AND (asked.version_id % 2 = 1 OR rs.rule_id < 'R7') JOIN findings f ON f.case_id = rs.case_id AND f.rule_id = rs.rule_id WHERE n = 1"
+
+
+@query("ev8_evaluate_versions", _conflicts_sql(ALL_LINKS) + f""", sp AS (SELECT * FROM (SELECT *, lead(effective_at) OVER (PARTITION BY pack_id ORDER BY sequence) AS until FROM ({ACTIVATIONS})) WHERE type <> 'DEACTIVATE'),
+h AS (SELECT q.request_id, sp.version_id FROM ({AS_OF}) q JOIN ({VERSIONS}) v USING (domain, jurisdiction) JOIN sp USING (version_id) WHERE effective_at <= evaluation_date AND (until IS NULL OR evaluation_date < until) AND valid_from <= evaluation_date AND (valid_to IS NULL OR evaluation_date < valid_to)),
+asked AS (SELECT q.request_id, q.case_id, any_value(evaluation_date) AS evaluation_date, count(h.version_id) AS n, max(h.version_id) AS version_id FROM ({AS_OF}) q LEFT JOIN h USING (request_id) GROUP BY ALL), s AS ({snapshot_sql(_OWN, 'evaluation_date')})
+SELECT request_id, CASE n WHEN 1 THEN 'FOUND' WHEN 0 THEN 'NOT_FOUND' ELSE 'AMBIGUOUS' END AS status, CAST(CASE WHEN n = 1 THEN version_id END AS VARCHAR) AS version_id, CASE WHEN n = 1 THEN 'EVALUATED' END AS code, outcome, content_hash FROM asked LEFT JOIN s USING (request_id)""")
+def ev8_versions(t):
+    return packs.evaluate_as_of(t.sql(AS_OF), t.sql(ACTIVATIONS), t.sql(VERSIONS), cases(t), OWN_VERSIONS)
