@@ -7,7 +7,9 @@ and many cases are resolved at a time, level by level of the graph, as matrices
 cases; a case is not shuffled again, and a plan has one size whatever the number of rules.
 
 ``override_components``, ``override_cycles`` and ``override_levels`` do the same
-for tables of graphs too many or too large for the driver, a graph for each pack.
+for tables of graphs, a graph for each pack.  Where no pack has more than ``GRAPH_EDGES`` edges, which
+is counted first, a pack is worked out in one pass by one task, and packs are dealt by their keys;
+larger graphs are peeled and labelled by joins, round by round.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
-def override_components(edges: DataFrame, *pack: str) -> DataFrame:
+def _components_by_rounds(edges: DataFrame, *pack: str) -> DataFrame:
     """``(*pack, rule_id, component)``: least rule id of the undirected component; ``edges`` has source and target."""
     p = list(pack)
     both = edges.select(*p, F.col("source").alias("a"), F.col("target").alias("b"))
@@ -64,7 +66,7 @@ def _leftovers(edges: DataFrame, inner: str, outer: str, p: list[str]) -> DataFr
     return left
 
 
-def override_cycles(edges: DataFrame, *pack: str) -> DataFrame:
+def _cycles_by_rounds(edges: DataFrame, *pack: str) -> DataFrame:
     """``(*pack, rule_id)`` of nodes on directed cycles.
 
     Edges that nothing leads to, or that lead nowhere, are peeled off in turn.
@@ -81,11 +83,11 @@ def override_cycles(edges: DataFrame, *pack: str) -> DataFrame:
     return paths.where("source = target").select(*p, F.col("source").alias("rule_id")).distinct()
 
 
-def override_levels(edges: DataFrame, *pack: str) -> DataFrame:
+def _levels_by_rounds(edges: DataFrame, *pack: str) -> DataFrame:
     """``(*pack, rule_id, level)``: longest path from a rule that nothing overrides; rules of components with cycles are left out."""
     p = list(pack)
-    parts = override_components(edges, *p)
-    bad = override_cycles(edges, *p).join(parts, [*p, "rule_id"]).select(*p, "component").distinct()
+    parts = _components_by_rounds(edges, *p)
+    bad = _cycles_by_rounds(edges, *p).join(parts, [*p, "rule_id"]).select(*p, "component").distinct()
     levels = _cut(parts.join(bad, [*p, "component"], "left_anti").select(*p, "rule_id", F.lit(0).alias("level")))
     fine = _cut(edges.join(levels.select(*p, F.col("rule_id").alias("source")), [*p, "source"], "left_semi").select(*p, "source", "target").distinct())
     before = None
@@ -96,6 +98,116 @@ def override_levels(edges: DataFrame, *pack: str) -> DataFrame:
     return levels
 
 
+#: Edges of a pack up to which one task works out its graph.
+GRAPH_EDGES = 2_000_000
+
+
+def _strong(n: int, starts: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Strongly connected component of each node, by one depth-first search without recursion;
+    ``targets[starts[i]:starts[i + 1]]`` are the targets of node i."""
+    starts, targets = starts.tolist(), targets.tolist()
+    index, low, out, on, stack, count, part = [-1] * n, [0] * n, [-1] * n, [False] * n, [], 0, 0
+    for root in range(n):
+        if index[root] >= 0:
+            continue
+        work = [(root, starts[root])]
+        while work:
+            v, at = work.pop()
+            if index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                on[v] = True
+            elif at > starts[v]:
+                low[v] = min(low[v], low[targets[at - 1]]) if on[targets[at - 1]] else low[v]
+            while at < starts[v + 1] and index[w := targets[at]] >= 0:
+                if on[w]:
+                    low[v] = min(low[v], index[w])
+                at += 1
+            if at < starts[v + 1]:
+                work += [(v, at + 1), (targets[at], starts[targets[at]])]
+            elif low[v] == index[v]:
+                while True:
+                    w = stack.pop()
+                    on[w], out[w] = False, part
+                    if w == v:
+                        break
+                part += 1
+    return np.array(out, np.int64)
+
+
+def graph(source: pa.Array, target: pa.Array) -> pa.Table:
+    """``rule_id, component, on_cycle, level`` of the nodes of one graph; no level where the component has a cycle."""
+    names = sorted(set(pc.unique(source).to_pylist()) | set(pc.unique(target).to_pylist()))
+    n, words = len(names), pa.array(names, pa.string())
+    s, t = (np.asarray(pc.index_in(x, words)).astype(np.int64) for x in (source, target))
+    pairs = np.unique(np.column_stack([s, t]), axis=0)
+    s, t = pairs[:, 0], pairs[:, 1]
+    starts = np.searchsorted(s, np.arange(n + 1))
+    strong = _strong(n, starts, t)
+    size = np.bincount(strong, minlength=n)
+    cycle = size[strong] > 1
+    cycle[s[s == t]] = True
+    # Components by least node: labels halve their chains in each round.
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, s, label[t])
+        np.minimum.at(least, t, label[s])
+        np.minimum.at(least, label, least.copy())
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    bad = np.zeros(n, bool)
+    bad[label[cycle]] = True
+    # Strong components are numbered targets first, so sources come in falling order of their numbers.
+    level = [0] * n
+    for v in np.argsort(-strong, kind="stable").tolist():
+        for w in t[starts[v] : starts[v + 1]].tolist():
+            level[w] = max(level[w], level[v] + 1)
+    return pa.table({"rule_id": words, "component": words.take(pa.array(label)), "on_cycle": pa.array(cycle), "level": pa.array(np.array(level, np.int32), mask=bad[label])})
+
+
+def override_graphs(edges: DataFrame, *pack: str) -> DataFrame | None:
+    """``(*pack, rule_id, component, on_cycle, level)``; None where a pack has more than ``GRAPH_EDGES`` edges.
+
+    Edges with a missing end are none; repeated edges are one.  A pack may be null.
+    """
+    rows = edges.where("source is not null and target is not null").select(*pack, F.col("source").cast("string"), F.col("target").cast("string"))
+    most = rows.groupBy(*pack).count().agg(F.max("count")).first()[0] or 0
+    if most > GRAPH_EDGES:
+        return None
+    key = [rows.schema[c] for c in pack]
+    out = T.StructType([*key, T.StructField("rule_id", T.StringType()), T.StructField("component", T.StringType()), T.StructField("on_cycle", T.BooleanType()), T.StructField("level", T.IntegerType())])
+
+    def one(found: pa.Table) -> pa.Table:
+        made = graph(found.column("source").combine_chunks(), found.column("target").combine_chunks())
+        for i, c in enumerate(pack):
+            made = made.add_column(i, c, pa.chunked_array([pa.repeat(found.column(c)[0], len(made))]))
+        return made
+
+    return (rows.groupBy(*pack) if pack else rows.groupBy(F.lit("").alias("_one"))).applyInArrow(one, out)
+
+
+def override_components(edges: DataFrame, *pack: str) -> DataFrame:
+    """``(*pack, rule_id, component)``: least rule id of the undirected component; ``edges`` has source and target."""
+    made = override_graphs(edges, *pack)
+    return _components_by_rounds(edges, *pack) if made is None else made.select(*pack, "rule_id", "component")
+
+
+def override_cycles(edges: DataFrame, *pack: str) -> DataFrame:
+    """``(*pack, rule_id)`` of nodes on directed cycles."""
+    made = override_graphs(edges, *pack)
+    return _cycles_by_rounds(edges, *pack) if made is None else made.where("on_cycle").select(*pack, "rule_id")
+
+
+def override_levels(edges: DataFrame, *pack: str) -> DataFrame:
+    """``(*pack, rule_id, level)``: longest path from a rule that nothing overrides; rules of components with cycles are left out."""
+    made = override_graphs(edges, *pack)
+    return _levels_by_rounds(edges, *pack) if made is None else made.where("level is not null").select(*pack, "rule_id", "level")
+
+
 @dataclass
 class Pack:
     """A pack's relations between rules: ``edges`` (source, target), ``declared`` pairs, and ``norms``

@@ -123,6 +123,27 @@ def gr3(t):
     return resolution.override_levels(nation_edges(t, acyclic=True))
 
 
+#: A graph for each customer, in three parts; every other customer's edges all lead upwards, so that nothing is on a cycle.
+_ENDS = "SELECT o_custkey AS pack_id, CAST(l_partkey % 15 AS INT) AS x, CAST(l_suppkey % 5 * 3 + l_partkey % 3 AS INT) AS y FROM orders JOIN lineitem ON l_orderkey = o_orderkey"
+PACK_GRAPHS = f"SELECT DISTINCT pack_id, concat('r', CAST(100 + CASE WHEN pack_id % 2 = 0 THEN x ELSE least(x, y) END AS STRING)) AS source, concat('r', CAST(100 + CASE WHEN pack_id % 2 = 0 THEN y ELSE greatest(x, y) END AS STRING)) AS target FROM ({_ENDS}) ends WHERE pack_id % 2 = 0 OR x <> y"
+_GRAPHS = f"WITH RECURSIVE e AS (SELECT pack_id, source AS a, target AS b FROM ({PACK_GRAPHS})), p AS (SELECT pack_id, a, b FROM e UNION SELECT p.pack_id, p.a, e.b FROM p JOIN e ON e.pack_id = p.pack_id AND p.b = e.a), c AS (SELECT DISTINCT pack_id, a AS rule_id FROM p WHERE a = b), d AS (SELECT pack_id, a, b FROM e UNION SELECT pack_id, b, a FROM e), r AS (SELECT pack_id, a, a AS r FROM d UNION SELECT d.pack_id, d.b, r.r FROM r JOIN d ON d.pack_id = r.pack_id AND d.a = r.a), m AS (SELECT pack_id, a AS rule_id, min(r) AS component FROM r GROUP BY pack_id, a)"
+
+
+@query("gr1_pack_cycles", f"{_GRAPHS} SELECT pack_id, rule_id FROM c")
+def gr1_packs(t):
+    return resolution.override_cycles(t.sql(PACK_GRAPHS), "pack_id")
+
+
+@query("gr2_pack_components", f"{_GRAPHS} SELECT pack_id, rule_id, component FROM m")
+def gr2_packs(t):
+    return resolution.override_components(t.sql(PACK_GRAPHS), "pack_id")
+
+
+@query("gr3_pack_levels", f"{_GRAPHS}, ok AS (SELECT pack_id, rule_id FROM m WHERE (pack_id, component) NOT IN (SELECT m.pack_id, m.component FROM m JOIN c USING (pack_id, rule_id))), l AS (SELECT pack_id, rule_id, 0 AS level FROM ok UNION SELECT e.pack_id, e.b, l.level + 1 FROM l JOIN e ON e.pack_id = l.pack_id AND e.a = l.rule_id) SELECT pack_id, rule_id, CAST(max(level) AS INTEGER) AS level FROM l GROUP BY pack_id, rule_id")
+def gr3_packs(t):
+    return resolution.override_levels(t.sql(PACK_GRAPHS), "pack_id")
+
+
 #: Overrides of the demo pack: R3 over R2 over R1, R5 over R4; R7 and R8 are invalid.
 RS_SQL = demo.findings_sql() + """, f AS (SELECT * FROM findings), act3 AS (SELECT f.case_id, truth FROM edges JOIN f ON f.case_id = edges.case_id AND f.rule_id = source WHERE source = 'R3' AND reached AND applies AND outcome <> 'NOT_APPLICABLE' AND (truth IS NULL OR truth)),
 e2 AS (SELECT f.case_id, CASE WHEN a.case_id IS NULL THEN outcome WHEN a.truth IS NULL THEN 'REVIEW' ELSE 'NOT_APPLICABLE' END AS eff FROM f LEFT JOIN act3 a ON a.case_id = f.case_id WHERE f.rule_id = 'R2'),
