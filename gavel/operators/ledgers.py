@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import in_interval, overlap
+from ..functions.dates import in_interval
+from .folds import ordered_fold, overlapping_pairs
 
 
 def latest_state(events: DataFrame, key: str = "version_id", state: str = "to_state", order: str = "sequence") -> DataFrame:
@@ -83,9 +86,8 @@ def activation_intervals(activations: DataFrame, versions: DataFrame) -> DataFra
 
 
 def scope_overlaps(intervals: DataFrame, scope: list[str], key: str = "pack_id") -> DataFrame:
-    """Pairs of different packs of one scope whose intervals overlap."""
-    a, b = (intervals.select(*scope, F.col(key).alias(f"{key}_{s}"), F.col("start").alias(f"start_{s}"), F.col("end").alias(f"end_{s}")) for s in "ab")
-    return a.join(b, scope).where((F.col(f"{key}_a") < F.col(f"{key}_b")) & overlap(F.col("start_a"), F.col("end_a"), F.col("start_b"), F.col("end_b"))).select(*scope, f"{key}_a", f"{key}_b").distinct()
+    """Pairs of different packs of one scope whose intervals overlap; see ``folds.overlapping_pairs``."""
+    return overlapping_pairs(intervals, scope, key)
 
 
 def card_state(audit: DataFrame, needed: Column | int = 1, key: str = "revision_id") -> DataFrame:
@@ -152,15 +154,29 @@ def completeness(controls: DataFrame, codes: list, run: str = "run_id", code: st
     return per.select(run, F.size(F.array_except(wanted, "has")).cast("long").alias("missing"), "repeated", F.size(F.array_except("has", wanted)).cast("long").alias("extra"))
 
 
-def append_idempotent(history_: DataFrame, records: DataFrame, by: list[str], order: list[str], request: str = "request_hash") -> DataFrame:
+def append_idempotent(history_: DataFrame, records: DataFrame, by: list[str], order: list[str], request: str = "request_hash", at: str | None = None, expiry: float | None = None) -> DataFrame:
     """CREATED for the first record of a key, REPLAYED for the same request again, else CONFLICT.
-    Records in ``history_`` come first."""
-    w = Window.partitionBy(*by).orderBy("_new", *order)
+    Records in ``history_`` come first.
+
+    With ``expiry`` (seconds) a key may be used again once its record is that old by the timestamps
+    ``at``: the next one is CREATED and takes its place.  Records without a time never expire a key,
+    and such a key's record is never too old.
+    """
     both = history_.withColumn("_new", F.lit(False)).unionByName(records.withColumn("_new", F.lit(True)))
+    if expiry is not None:
+        rows = ordered_fold(both.withColumn("_at", F.unix_micros(F.col(at).cast("timestamp"))), by, ["_new", *order], [request, "_at"], functools.partial(_request, int(expiry * 1_000_000)), "status")
+        return rows.where("_new").drop("_new", "_at")
+    w = Window.partitionBy(*by).orderBy("_new", *order)
     rows = both.withColumns({"_n": F.row_number().over(w), "_first": F.first(request).over(w)}).where("_new")
     return rows.withColumn("status", F.when(F.col("_n") == 1, "CREATED").when(F.col(request) == F.col("_first"), "REPLAYED").otherwise("CONFLICT")).drop("_n", "_first", "_new")
 
 
+def _request(expiry: int, state: tuple | None, request: str | None, at: int | None) -> tuple[tuple, str]:
+    if state is None or (at is not None and state[1] is not None and at - state[1] >= expiry):
+        return (request, at), "CREATED"
+    return state, "REPLAYED" if request is not None and request == state[0] else "CONFLICT"
+
+
 def upsert(existing: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     """Rows of both, the new one winning for a key; of several new ones the one of the greatest ``written``."""
     both = existing.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
@@ -168,15 +184,37 @@ def upsert(existing: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
-def append_decisions(ledger: DataFrame, new: DataFrame, runs: DataFrame, run: str = "run_id") -> DataFrame:
-    """Adds ``status`` to new decisions: ACCEPTED, or why not.  One new decision for a run at a time."""
+def append_decisions(ledger: DataFrame, new: DataFrame, runs: DataFrame, run: str = "run_id", order: list[str] | None = None, decision: str | None = None) -> DataFrame:
+    """Adds ``status`` to new decisions: ACCEPTED, or why not.
+
+    Decisions of a run are taken in ``order`` (else by sequence); each accepted one is what the next
+    must follow, and a rejected one leaves the run as it was.  With ``decision``, the column of
+    a decision's id, an id that the ledger has, or that an earlier new decision of the run was accepted under,
+    ALREADY_EXISTS.
+    """
     last = ledger.groupBy(run).agg(F.max("sequence").alias("_last"), F.max_by("content_hash", "sequence").alias("_hash"))
     rows = new.join(runs.select(run, F.col("run_hash").alias("_run_hash")), run, "left").join(last, run, "left")
-    status = (
-        F.when(F.col("_run_hash").isNull(), "RUN_NOT_FOUND").when(F.col("run_hash") != F.col("_run_hash"), "RUN_HASH_MISMATCH")
-        .when(F.col("sequence") != F.coalesce("_last", F.lit(0)) + 1, "SEQUENCE_MISMATCH").when(~F.col("previous_hash").eqNullSafe(F.col("_hash")), "PREVIOUS_HASH_MISMATCH").otherwise("ACCEPTED")
+    own = ["content_hash"] if "content_hash" in new.columns else []
+    known = [decision] if decision else []
+    if decision:
+        rows = rows.join(ledger.select(decision).distinct().withColumn("_known", F.lit(True)), decision, "left")
+    else:
+        rows = rows.withColumn("_known", F.lit(False))
+    reads = ["run_hash", "_run_hash", "_known", "sequence", "previous_hash", "_last", "_hash", *known, *own]
+    rows = ordered_fold(rows, [run], order or ["sequence"], reads, functools.partial(_decision, bool(known), bool(own)), "status")
+    return rows.drop("_run_hash", "_last", "_hash", "_known")
+
+
+def _decision(known: bool, own: bool, state: tuple | None, run_hash, expected, exists, sequence, previous, last, digest, *more) -> tuple[tuple, str]:
+    last, digest, taken = state or (last or 0, digest, frozenset())
+    code = (
+        "RUN_NOT_FOUND" if expected is None else "RUN_HASH_MISMATCH" if run_hash != expected else "ALREADY_EXISTS" if exists or (known and more[0] in taken)
+        else "SEQUENCE_MISMATCH" if sequence != last + 1 else "PREVIOUS_HASH_MISMATCH" if previous != digest else "ACCEPTED"
     )
-    return rows.withColumn("status", status).drop("_run_hash", "_last", "_hash")
+    if code == "ACCEPTED":
+        last, digest = sequence, more[-1] if own else None
+        taken = taken | {more[0]} if known else taken
+    return (last, digest, taken), code
 
 
 def review_queue(findings: DataFrame, decisions: DataFrame, by: list[str]) -> DataFrame:

@@ -135,6 +135,43 @@ def snk3(t):
     return ledgers.append_decisions(ledger, new, runs).select("run_id", "status")
 
 
+#: Decisions of each user's run: one in twelve is stale, one in thirteen follows another hash, and the others follow each
+#: other, so that many of a run are accepted in one batch; the first four good ones are in the ledger already.
+_GOOD = "event_id % 12 <> 0 AND event_id % 13 <> 0"
+DECISIONS = f"""SELECT run_id, event_id, n, CAST(CASE WHEN event_id % 12 = 0 THEN good WHEN event_id % 13 = 0 THEN good + 1 ELSE good END AS INT) AS sequence, CASE WHEN {_GOOD} THEN concat('h', CAST(run_id AS STRING), '-', CAST(good AS STRING)) ELSE concat('b', CAST(event_id AS STRING)) END AS content_hash,
+ CASE WHEN event_id % 13 = 0 AND event_id % 12 <> 0 THEN 'x' WHEN good > 1 THEN concat('h', CAST(run_id AS STRING), '-', CAST(good - 1 AS STRING)) END AS previous_hash, CASE WHEN run_id % 9 = 0 THEN 'other' ELSE 'hash' END AS run_hash, CASE WHEN event_id % 17 = 0 AND {_GOOD} AND good > 4 THEN 'd0' ELSE concat('d', CAST(event_id AS STRING)) END AS decision_id, {_GOOD} AND good <= 4 AS stored FROM (
+SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CAST(sum(CASE WHEN {_GOOD} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS good FROM events) q"""
+
+
+@query("snk3_decision_batches", f"""WITH RECURSIVE d AS ({DECISIONS}), led AS (SELECT run_id, max(sequence) AS l, max_by(content_hash, sequence) AS h FROM d WHERE stored GROUP BY run_id), nw AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n) AS i, decision_id IN (SELECT decision_id FROM d WHERE stored) AS known FROM d WHERE NOT stored),
+f AS (SELECT run_id, CAST(0 AS BIGINT) AS i, CAST(coalesce(l, 0) AS INTEGER) AS l, h, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS BIGINT) AS event_id, '' AS status FROM (SELECT DISTINCT run_id FROM nw) LEFT JOIN led USING (run_id) UNION ALL
+ SELECT run_id, i, CASE WHEN status = 'ACCEPTED' THEN sequence ELSE l END, CASE WHEN status = 'ACCEPTED' THEN content_hash ELSE h END, CASE WHEN status = 'ACCEPTED' THEN list_append(taken, decision_id) ELSE taken END, event_id, status FROM (SELECT nw.*, f.l, f.h, f.taken, CASE WHEN nw.run_id % 7 = 0 THEN 'RUN_NOT_FOUND' WHEN run_hash <> 'hash' THEN 'RUN_HASH_MISMATCH' WHEN known OR list_contains(taken, decision_id) THEN 'ALREADY_EXISTS' WHEN sequence <> f.l + 1 THEN 'SEQUENCE_MISMATCH' WHEN previous_hash IS DISTINCT FROM f.h THEN 'PREVIOUS_HASH_MISMATCH' ELSE 'ACCEPTED' END AS status FROM f JOIN nw ON nw.run_id = f.run_id AND nw.i = f.i + 1))
+SELECT event_id, status FROM f WHERE event_id IS NOT NULL""")
+def snk3_batches(t):
+    d = t.sql(DECISIONS)
+    runs = d.where("run_id % 7 <> 0").select("run_id", F.lit("hash").alias("run_hash")).distinct()
+    return ledgers.append_decisions(d.where("stored"), d.where("not stored").drop("stored"), runs, order=["n"], decision="decision_id").select("event_id", "status")
+
+
+@query("snk2_expiring_keys", """WITH RECURSIVE r AS (SELECT event_id, user_id, coalesce(json_extract_string(props, '$.k'), '') AS k, event_type, epoch_us(ts) AS moment, event_id % 4 = 0 AS stored, row_number() OVER (PARTITION BY user_id, coalesce(json_extract_string(props, '$.k'), '') ORDER BY event_id % 4 > 0, ts, event_id) AS i FROM events),
+f AS (SELECT event_id, user_id, k, i, event_type AS held, moment AS since, 'CREATED' AS status, stored FROM r WHERE i = 1 UNION ALL
+ SELECT r.event_id, r.user_id, r.k, r.i, CASE WHEN r.moment - since >= 259200000000 THEN event_type ELSE held END, CASE WHEN r.moment - since >= 259200000000 THEN r.moment ELSE since END, CASE WHEN r.moment - since >= 259200000000 THEN 'CREATED' WHEN event_type = held THEN 'REPLAYED' ELSE 'CONFLICT' END, r.stored FROM f JOIN r ON r.user_id = f.user_id AND r.k = f.k AND r.i = f.i + 1)
+SELECT event_id, status FROM f WHERE NOT stored""")
+def snk2_expiring(t):
+    r = t.events.select("event_id", F.col("user_id").alias("scope"), F.coalesce(F.get_json_object("props", "$.k"), F.lit("")).alias("key"), F.sha2("event_type", 256).alias("request_hash"), "ts")
+    stored = F.col("event_id") % 4 == 0
+    return ledgers.append_idempotent(r.where(stored), r.where(~stored), ["scope", "key"], ["ts", "event_id"], at="ts", expiry=3 * 86_400).select("event_id", "status")
+
+
+#: Intervals of users' events in the scope of an event type, for as long as the type of user says; some are open.
+USER_SPANS = "SELECT event_type AS scope, user_id AS pack_id, ts AS start, CASE WHEN event_id % 97 = 0 THEN NULL ELSE ts + (event_id % 50) * INTERVAL '1' MINUTE END AS {end} FROM events"
+
+
+@query("lg7_span_overlaps", f"SELECT DISTINCT a.scope, a.pack_id AS pack_id_a, b.pack_id AS pack_id_b FROM ({USER_SPANS.format(end='e')}) a JOIN ({USER_SPANS.format(end='e')}) b USING (scope) WHERE a.pack_id < b.pack_id AND (a.e IS NULL OR a.start < a.e) AND (b.e IS NULL OR b.start < b.e) AND (a.e IS NULL OR b.start < a.e) AND (b.e IS NULL OR a.start < b.e)")
+def lg7_spans(t):
+    return ledgers.scope_overlaps(t.sql(USER_SPANS.format(end="end")), ["scope"])
+
+
 @query("au5_review_queue", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'CRITICAL' ELSE 'LOW' END AS risk, CASE WHEN o_orderkey % 4 = 0 THEN 'PENDING' ELSE 'REVIEWED' END AS status, o_orderkey % 3 = 0 AND o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 2 = 0 AS rationale_missing FROM orders")
 def au5(t):
     return reviews(t)
