@@ -36,6 +36,21 @@ def rg4(t):
     return corpus.retrieve_topk(q, c).withColumn("score", F.round("score", 6))
 
 
+#: Every vector twice, the second time at double length, so that each pair is a tie; some are not approved.
+_TWICE = "(SELECT vec_id AS chunk_id, * FROM embeddings UNION ALL SELECT vec_id + 1000000000, * REPLACE (list_transform(embedding, lambda x: x * 2) AS embedding) FROM embeddings)"
+
+
+@query("rg4_scoped_topk", f"""SELECT query_id, chunk_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT q.vec_id AS query_id, chunk_id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS score
+FROM embeddings q JOIN {_TWICE} c ON q.label % 3 = c.label % 3 AND q.vec_id % 100 = 0 AND c.vec_id % 7 > 0 AND CASE WHEN q.vec_id % 200 = 0 THEN 'EU' ELSE 'UK' END = CASE WHEN c.vec_id % 5 < 3 THEN 'EU' ELSE 'UK' END
+AND CASE WHEN c.vec_id % 4 = 0 THEN '2020-06-01' ELSE '2019-01-01' END <= CASE WHEN q.vec_id % 300 = 0 THEN '2020-01-01' ELSE '2021-01-01' END AND (c.vec_id % 4 <> 1 OR CASE WHEN q.vec_id % 300 = 0 THEN '2020-01-01' ELSE '2021-01-01' END < '2021-01-01'))) WHERE rank <= 7""")
+def rg4_scoped(t):
+    e, v, name = t.embeddings, F.col("vec_id"), next(c for c, kind in t.embeddings.dtypes if kind.startswith("array"))
+    c = e.select("vec_id", F.col("label") % 3, F.when(v % 5 < 3, "EU").otherwise("UK"), F.when(v % 7 > 0, "APPROVED").otherwise("DRAFT"), F.when(v % 4 == 0, "2020-06-01").otherwise("2019-01-01"), F.when(v % 4 == 1, "2021-01-01"), F.col(name).cast("array<double>")).toDF("chunk_id", "domain", "jurisdiction", "state", "valid_from", "valid_to", "embedding")
+    c = c.unionByName(c.withColumns({"chunk_id": F.col("chunk_id") + 1_000_000_000, "embedding": F.transform("embedding", lambda x: x * 2)}))
+    q = e.where(v % 100 == 0).select(v.alias("query_id"), (F.col("label") % 3).alias("domain"), F.when(v % 200 == 0, "EU").otherwise("UK").alias("jurisdiction"), F.when(v % 300 == 0, "2020-01-01").otherwise("2021-01-01").alias("evaluation_date"), F.col(name).alias("embedding"))
+    return corpus.retrieve_topk(q, c, 7, ("domain", "jurisdiction")).withColumn("score", F.round("score", 6))
+
+
 @query("rg2_reject_unapproved", "SELECT doc_id, 'NOT_APPROVED' AS code FROM documents WHERE doc_id % 9 = 0")
 def rg2(t):
     s = t.documents.select("doc_id", F.when(F.col("doc_id") % 9 != 0, "APPROVED").otherwise("DRAFT").alias("state"))

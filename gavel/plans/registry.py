@@ -44,7 +44,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    from . import cases, checks, corpus, governance, ledgers, quality, scalars, sources  # noqa: F401
+    from . import cases, checks, corpus, governance, ledgers, quality, scalars, sources, streams  # noqa: F401
 
 
 load()
