@@ -65,10 +65,10 @@ def lg7(t):
 AUDIT = "SELECT conv_id AS revision_id, turn AS sequence, CASE role WHEN 'user' THEN 'TRANSITION' WHEN 'assistant' THEN 'APPROVAL' ELSE 'REVIEW' END AS kind, CASE WHEN role = 'user' THEN CASE WHEN turn % 2 = 0 THEN 'DRAFT' ELSE 'IN_REVIEW' END WHEN conv_id % 5 = 0 THEN 'REJECTED' WHEN conv_id % 7 = 0 THEN 'CHANGES_REQUESTED' ELSE 'APPROVED' END AS decision FROM conversations"
 
 
-@query("lg8_card_state", f"""SELECT revision_id, max_by(s, o) AS state FROM (SELECT revision_id, (sequence) AS o, CASE WHEN kind = 'TRANSITION' THEN decision WHEN decision IN ('CHANGES_REQUESTED', 'REJECTED') THEN 'CHANGES_REQUESTED' WHEN kind = 'APPROVAL' AND sum(CASE WHEN kind = 'APPROVAL' AND decision = 'APPROVED' THEN 1 ELSE 0 END) OVER (PARTITION BY revision_id ORDER BY sequence ROWS UNBOUNDED PRECEDING) >= 2 THEN 'APPROVED' END AS s FROM (SELECT DISTINCT * FROM ({AUDIT}) QUALIFY row_number() OVER (PARTITION BY revision_id, sequence ORDER BY kind, decision) = 1)) WHERE s IS NOT NULL GROUP BY revision_id UNION ALL SELECT DISTINCT conv_id, NULL FROM conversations WHERE false""")
+@query("lg8_card_state", f"""SELECT revision_id, max_by(s, o) FILTER (s IS NOT NULL) AS state FROM (SELECT revision_id, (sequence) AS o, CASE WHEN kind = 'TRANSITION' THEN decision WHEN decision IN ('CHANGES_REQUESTED', 'REJECTED') THEN 'CHANGES_REQUESTED' WHEN kind = 'APPROVAL' AND sum(CASE WHEN kind = 'APPROVAL' AND decision = 'APPROVED' THEN 1 ELSE 0 END) OVER (PARTITION BY revision_id ORDER BY sequence ROWS UNBOUNDED PRECEDING) >= 2 THEN 'APPROVED' END AS s FROM (SELECT DISTINCT * FROM ({AUDIT}) QUALIFY row_number() OVER (PARTITION BY revision_id, sequence ORDER BY kind, decision) = 1)) GROUP BY revision_id""")
 def lg8(t):
     rows = t.sql(AUDIT).groupBy("revision_id", "sequence").agg(F.min(F.struct("kind", "decision")).alias("x")).select("revision_id", "sequence", "x.*")
-    return ledgers.card_state(rows, 2).where("state is not null")
+    return ledgers.card_state(rows, 2)
 
 
 #: Versions by user; some are published together, in another scope, by a contributor, or supersede the wrong one.

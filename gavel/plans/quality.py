@@ -10,7 +10,7 @@ from .registry import query
 EXPECTED = """SELECT o_orderkey AS case_id, 'status' AS key, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 'large', CASE WHEN o_totalprice > 200000 THEN 'y' ELSE 'n' END FROM orders"""
 PREDICTED = f"""SELECT case_id, key, CASE WHEN case_id % 7 = 0 THEN concat(value, '?') ELSE value END AS value FROM ({EXPECTED}) q WHERE NOT (case_id % 5 = 0 AND key = 'status') UNION ALL SELECT o_orderkey, 'extra', 'x' FROM orders WHERE o_orderkey % 6 = 0"""
 CASES = """SELECT o_orderkey AS case_id, CASE o_orderstatus WHEN 'F' THEN 'FAIL' WHEN 'O' THEN 'PASS' ELSE 'NOT_APPLICABLE' END AS expected, CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 9 = 0 THEN 'REVIEW' WHEN o_orderkey % 10 = 3 THEN 'PASS' WHEN o_orderstatus = 'F' THEN 'FAIL' WHEN o_orderstatus = 'O' THEN 'PASS' ELSE 'NOT_APPLICABLE' END AS predicted FROM orders"""
-OBS = """SELECT doc_id, lang, (n_chars % 101) / 100e0 AS score, quality = 1 AS correct, CASE WHEN doc_id % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS proposed_outcome, CASE WHEN toxic = 1 THEN 'HIGH' ELSE 'LOW' END AS risk_level FROM labels JOIN documents USING (doc_id) WHERE lang IS NOT NULL"""
+OBS = """SELECT doc_id, coalesce(lang, '?') AS lang, (n_chars % 101) / 100e0 AS score, quality = 1 AS correct, CASE WHEN doc_id % 2 = 0 THEN 'PASS' ELSE 'FAIL' END AS proposed_outcome, CASE WHEN toxic = 1 THEN 'HIGH' ELSE 'LOW' END AS risk_level FROM labels JOIN documents USING (doc_id)"""
 COUNTS = f"""SELECT count(*) FILTER (e AND p AND want = got) AS tp, count(*) FILTER (p AND NOT coalesce(e AND want = got, false)) AS fp, count(*) FILTER (e AND NOT coalesce(p AND want = got, false)) AS fn, count(*) FILTER (e AND p IS NULL) AS missing, count(*) FILTER (p AND e IS NULL) AS hallucinated, count(*) FILTER (e) AS expected, count(*) FILTER (p) AS predicted
 FROM (SELECT case_id, key, value AS want, true AS e FROM ({EXPECTED})) FULL JOIN (SELECT case_id, key, value AS got, true AS p FROM ({PREDICTED})) USING (case_id, key)"""
 
