@@ -42,7 +42,9 @@ def remainder(doc_id, n):
 def test_token_counts_and_ids(spark, coder, documents):
     ids = {i: coder.encode_ordinary(r.text or "") for i, r in documents.items()}
     assert {r.doc_id: r.n_tokens for r in queries.op4_token_counts(spark, SF).collect()} == {i: len(x) for i, x in ids.items()}
-    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op7_byte_bpe(spark, SF).collect()}
+    rows = queries.op7_byte_bpe(spark, SF).collect()
+    assert all(np.frombuffer(r.token_ends, "<i4").tolist() == np.cumsum([len(coder.decode_single_token_bytes(t)) for t in ids[r.doc_id]], dtype=int).tolist() for r in rows)
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows}
     assert got == {i: (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256((documents[i].text or "").encode()).hexdigest()) for i, x in ids.items()}
 
 
