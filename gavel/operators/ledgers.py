@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import in_interval
-from .folds import ordered_fold, overlapping_pairs
+from .folds import BLOCK, BLOCKS, ordered_fold, overlapping_pairs
 
 
 def latest_state(events: DataFrame, key: str = "version_id", state: str = "to_state", order: str = "sequence") -> DataFrame:
@@ -18,15 +18,25 @@ def latest_state(events: DataFrame, key: str = "version_id", state: str = "to_st
 def state_as_of(events: DataFrame, requests: DataFrame, key: str, at: str, moment: str, order: list[str], values: list[str]) -> DataFrame:
     """For each request the values of the last event of its key at or before its moment.
 
-    Events and requests are sorted together once per key; an event at the moment
-    itself counts.  Requests without an event keep nulls.
+    Events and requests are sorted together; an event at the moment itself counts.  Requests
+    without an event keep nulls.  A key with many events is cut into blocks of time, which are sorted apart: what a
+    block's requests find before their block is the last event of the nearest earlier
+    block that has any.  So one key that holds all events is spread over tasks.
     """
     carried = F.struct(*values)
     e = events.select(F.col(key), F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.struct(*order).alias("_order"), carried.alias("_event"), F.lit(None).cast(requests.select(F.struct("*")).schema[0].dataType).alias("_request"))
     r = requests.select(F.col(key), F.col(moment).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(e.schema["_order"].dataType).alias("_order"), F.lit(None).cast(e.schema["_event"].dataType).alias("_event"), F.struct(*requests.columns).alias("_request"))
-    w = Window.partitionBy(key).orderBy("_at", "_kind", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = e.unionByName(r).withColumn("_last", F.last("_event", ignorenulls=True).over(w))
-    return both.where("_kind = 1").select("_request.*", *[F.col("_last")[v].alias(v) for v in values])
+    every = max(BLOCK, events.count() // BLOCKS)
+    cuts = e.where(F.col(key).isNotNull() & F.col("_at").isNotNull() & (F.pmod(F.xxhash64(key, "_at", "_order"), F.lit(every)) == 0)).groupBy(key).agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
+    block = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_at"))), F.lit(0))
+    both = e.unionByName(r).join(cuts, key, "left").withColumn("_block", F.when(F.col("_cuts").isNull(), 0).otherwise(block)).drop("_cuts")
+    w = Window.partitionBy(key, "_block").orderBy("_at", "_kind", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Of keys with cuts, the last event of each block.
+    ends = e.join(cuts, key).withColumn("_block", block).groupBy(key, "_block").agg(F.max_by("_event", F.struct("_at", "_order")).alias("_end"))
+    ends = ends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("_block").alias("b"), F.col("_end").alias("e")))).alias("_ends"))
+    found = both.withColumn("_last", F.last("_event", ignorenulls=True).over(w)).where("_kind = 1").join(ends, key, "left")
+    earlier = F.try_element_at(F.filter("_ends", lambda x: x["b"] < F.col("_block")), F.lit(-1))["e"]
+    return found.withColumn("_last", F.coalesce("_last", earlier)).select("_request.*", *[F.col("_last")[v].alias(v) for v in values])
 
 
 def check_chain(events: DataFrame, key: str, order: str = "sequence", content: list[str] | None = None, previous: str = "previous_hash", own: str = "content_hash") -> DataFrame:

@@ -48,3 +48,19 @@ def test_keys_expire(spark):
     df = spark.createDataFrame(rows, "n int, key string, request_hash string, t int").withColumn("ts", F.timestamp_seconds("t"))
     got = [r.status for r in ledgers.append_idempotent(df.limit(0), df, ["key"], ["n"], at="ts", expiry=100).orderBy("n").collect()]
     assert got == ["CREATED", "REPLAYED", "CONFLICT", "CREATED", "CONFLICT", "REPLAYED", "CREATED"]
+
+
+def test_states_of_a_key_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ledgers, "BLOCK", 3)
+    rng = random.Random(8)
+    events = [(rng.choice(["hot"] * 9 + ["b", None]), rng.choice([None] + list(range(40)) * 2), i, f"s{i}") for i in range(300)]
+    asked = [(i, rng.choice(["hot", "hot", "b", "c", None]), rng.choice([None, *range(-2, 45)])) for i in range(150)]
+    e = spark.createDataFrame(events, "k string, t int, sequence int, state string")
+    r = spark.createDataFrame(asked, "request_id int, k string, at int")
+    got = {x.request_id: x.state for x in ledgers.state_as_of(e, r, "k", "t", "at", ["sequence"], ["state"]).collect()}
+    assert len(got) == 150
+    for i, k, at in asked:
+        if k is not None and at is not None:
+            before = [(t, s, state) for key, t, s, state in events if key == k and t is not None and t <= at]
+            known = [x for x in events if x[0] == k and x[1] is None]
+            assert got[i] == (max(before)[2] if before else max((s, state) for _, _, s, state in known)[1] if known else None)
