@@ -75,10 +75,22 @@ def resolve_pack(activations: DataFrame, versions: DataFrame, requests: DataFram
     ``activations``: pack_id, sequence, type, version_id, effective_at; ``versions``: version_id, domain,
     jurisdiction, valid_from, valid_to; ``requests``: request_id, domain, jurisdiction, evaluation_date.
     """
-    spans = activation_spans(activations)
-    scoped = spans.join(versions, "version_id")
-    hit = requests.join(scoped, ["domain", "jurisdiction"], "left").withColumn("active", F.coalesce(in_interval(F.col("evaluation_date"), F.col("effective_at"), F.col("until")) & in_interval(F.col("evaluation_date"), F.col("valid_from"), F.col("valid_to")), F.lit(False)))
-    got = hit.groupBy("request_id").agg(F.count_if("active").alias("n"), F.max(F.when(F.col("active"), F.col("version_id"))).alias("version_id"))
+    # A null start counts from the first, as nulls sort first; a request without a date finds nothing.
+    # Spans within their validity open and close at instants, so what is active at one is a running sum over a scope's
+    # instants; the numbers of versions in their scope are summed too, which names the version where only one is active.
+    scope = ["domain", "jurisdiction"]
+    numbered = versions.withColumn("_v", F.row_number().over(Window.partitionBy(*scope).orderBy("version_id")).cast("decimal(38,0)"))
+    spans = activation_spans(activations).join(numbered, "version_id")
+    spans = spans.select(*scope, "_v", F.greatest("effective_at", "valid_from").alias("_s"), F.least("until", "valid_to").alias("_e")).where("_e is null or _s is null or _s < _e")
+    steps = spans.select(*scope, F.col("_s").alias("_at"), F.lit(1).cast("long").alias("_n"), "_v").unionByName(spans.where("_e is not null").select(*scope, F.col("_e").alias("_at"), F.lit(-1).cast("long").alias("_n"), (-F.col("_v")).cast("decimal(38,0)").alias("_v")))
+    steps = steps.groupBy(*scope, "_at").agg(F.sum("_n").alias("_n"), F.sum("_v").cast("decimal(38,0)").alias("_v"))
+    asked = requests.select(*scope, F.col("evaluation_date").alias("_at")).where("_at is not null").distinct()
+    w = Window.partitionBy(*scope).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = steps.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    known = both.select(*scope, "_at", "_asked", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("n"), F.sum("_v").over(w).cast("decimal(38,0)").alias("_v")).where("_asked").drop("_asked")
+    known = known.join(numbered.select(*scope, "_v", "version_id"), [*scope, "_v"], "left").select(*scope, F.col("_at").alias("evaluation_date"), "n", F.when(F.col("n") == 1, F.col("version_id")).alias("version_id"))
+    hit = requests.join(known, [*scope, "evaluation_date"], "left")
+    got = hit.groupBy("request_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.max("version_id").alias("version_id"))
     return got.select("request_id", F.when(F.col("n") == 1, "FOUND").when(F.col("n") == 0, "NOT_FOUND").otherwise("AMBIGUOUS").alias("status"), F.when(F.col("n") == 1, F.col("version_id")).alias("version_id"))
 
 
