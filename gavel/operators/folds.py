@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Intervals of a scope that start in one block, about; and most blocks of all scopes.
 BLOCK, BLOCKS = 4096, 4096
+#: Intervals of one part of a block, about.
+CELL = 1024
 
 
 def ordered_fold(rows: DataFrame, by: list[str], order: list[str], reads: list[str], step: Callable, name: str) -> DataFrame:
@@ -38,30 +41,35 @@ def ordered_fold(rows: DataFrame, by: list[str], order: list[str], reads: list[s
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, out)
 
 
-def _met(start: list, end: list, own: list, key: list) -> set[tuple]:
-    """Pairs of different keys among intervals sorted by start, of which the later one is ``own``
-    to the block; ``end`` None is open."""
-    active: dict[int, object] = {}
-    ends: list[tuple] = []
-    out = set()
-    for i, (s, e, o, k) in enumerate(zip(start, end, own, key)):
-        while ends and ends[0][0] <= s:
-            active.pop(heapq.heappop(ends)[1])
-        if o:
-            out.update((min(k, x), max(k, x)) for x in active.values() if x != k)
-        active[i] = k
-        if e is not None:
-            heapq.heappush(ends, (e, i))
-    return out
+def _met(found: pa.Table, same: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Places of the lesser and the greater key among the keys, of pairs of intervals that overlap, of which the later
+    one is own to the block.  With ``same`` all meet all, else only those of the first part those of the second."""
+    times = pa.chunked_array([*found.column("_s").chunks, *found.column("_e").chunks], found.schema.field("_s").type)
+    place = pc.rank(times, tiebreaker="dense").to_numpy().astype(np.int64)
+    start, end = place[: len(found)], np.where(found.column("_e").is_null().to_numpy(), np.iinfo(np.int64).max, place[len(found) :])
+    keys = pc.unique(found.column("_k")).sort()
+    key = pc.index_in(found.column("_k"), keys).to_numpy().astype(np.int64)
+    own, first = (found.column(c).to_numpy() for c in ("_own", "_left"))
+    left, right = (np.arange(len(found)),) * 2 if same else (np.flatnonzero(first), np.flatnonzero(~first))
+    codes = []
+    for low in range(0, len(left), CELL):
+        a = left[low : low + CELL, None]
+        later = np.where(start[a] > start[right], own[a], own[right])
+        x, y = np.nonzero(later & (key[a] != key[right]) & (start[a] < end[right]) & (start[right] < end[a]))
+        p, q = key[a[x, 0]], key[right[y]]
+        codes.append(np.unique(np.minimum(p, q) * len(keys) + np.maximum(p, q)))
+    code = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+    return code // max(1, len(keys)), code % max(1, len(keys)), keys
 
 
 def overlapping_pairs(intervals: DataFrame, scope: list[str], key: str, start: str = "start", end: str = "end") -> DataFrame:
     """``(*scope, key_a, key_b)``: pairs of different keys of a scope with intervals that overlap, once, the lesser first.
 
     A scope's time is cut into blocks at some of its starts.  An interval goes to every block
-    that it touches; a block sweeps its intervals by start with the set of those still open, and
-    tells the pairs whose later one starts in it.  So disjoint intervals never
-    meet, and an interval that spans a block has a partner in it for nearly each copy of it.
+    that it touches, and a block tells the pairs whose later one starts in it.  So disjoint intervals seldom
+    meet, and an interval that spans a block has a partner in it for nearly each copy of it.  A block's
+    intervals are dealt into parts of about ``CELL``, and any two parts are a group of their own, so that no task holds
+    more than two parts and the pairs between them, also where starts are alike or most intervals overlap.
     Intervals are half open, a null end is open; those with a null start, key or scope, and empty ones, meet nothing.
     """
     rows = intervals.select(*scope, F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e")).dropna(subset=scope).where(F.col("_s").isNotNull() & F.col("_k").isNotNull() & (F.col("_e").isNull() | (F.col("_s") < F.col("_e"))))
@@ -71,16 +79,18 @@ def overlapping_pairs(intervals: DataFrame, scope: list[str], key: str, start: s
     before = lambda p: F.size(F.filter("_cuts", p))
     first, last = before(lambda c: c <= F.col("_s")), F.when(F.col("_e").isNull(), F.size("_cuts")).otherwise(before(lambda c: c < F.col("_e")))
     blocks = placed.withColumn("_first", first).withColumn("_block", F.explode(F.sequence("_first", last))).withColumn("_own", F.col("_first") == F.col("_block")).drop("_cuts", "_first")
+    sizes = blocks.groupBy(*scope, "_block").agg(F.ceil(F.count("*") / CELL).cast("int").alias("_parts"))
+    dealt = blocks.join(sizes, [*scope, "_block"]).withColumn("_part", F.pmod(F.xxhash64("_k", "_s", "_e"), F.col("_parts")).cast("int"))
+    cells = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).withColumns({"_a": F.least("_part", "_other"), "_b": F.greatest("_part", "_other"), "_left": F.col("_part") <= F.col("_other")}).drop("_part", "_other", "_parts")
     fields = [rows.schema[c] for c in scope]
     kind = rows.schema["_k"].dataType
     out = T.StructType([*fields, T.StructField(f"{key}_a", kind), T.StructField(f"{key}_b", kind)])
 
     def one(found: pa.Table) -> pa.Table:
-        found = found.sort_by([("_s", "ascending"), ("_k", "ascending")])
-        pairs = sorted(_met(*[found.column(c).to_pylist() for c in ("_s", "_e", "_own", "_k")]))
-        made = pa.table({f"{key}_{s}": pa.array([p[i] for p in pairs], found.schema.field("_k").type) for i, s in enumerate("ab")})
+        lesser, greater, keys = _met(found, found.column("_a")[0] == found.column("_b")[0])
+        made = pa.table({f"{key}_{s}": keys.take(pa.array(p)) for s, p in (("a", lesser), ("b", greater))})
         for i, c in enumerate(scope):
             made = made.add_column(i, c, pa.chunked_array([pa.repeat(found.column(c)[0], len(made))]))
         return made
 
-    return blocks.groupBy(*scope, "_block").applyInArrow(one, out).distinct()
+    return cells.groupBy(*scope, "_block", "_a", "_b").applyInArrow(one, out).distinct()
