@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,41 +15,71 @@ FULL_PAGE = {"x": 0.0, "y": 0.0, "width": 1.0, "height": 1.0}
 VALUES = {"STRING": "v_string", "NUMBER": "v_number", "BOOLEAN": "v_boolean", "DATE": "v_date", "JSON": "v_json"}
 
 
-def _read(v: Column, kind: str) -> Column:
-    """The value of a type as text in one form; null where it cannot be read as that."""
-    schema, raw = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
-    is_text = schema == "STRING"
+def _read(t: Column, form: Column, kind: str) -> Column:
+    """The value of a type as text in one form, of a value's ``struct(kind, raw, number, json)`` and the NFKC form of a text
+    beyond ASCII; null where it cannot be read as that."""
+    raw, is_text = t["raw"], t["kind"] == "STRING"
     if kind == "STRING":
-        return F.when(is_text, texts.collapse(F.when(raw.rlike(r"^\p{ASCII}*$"), raw).otherwise(texts.unicode_form(F.when(~raw.rlike(r"^\p{ASCII}*$"), raw), "NFKC"))))
+        return F.when(is_text, texts.collapse(F.coalesce(form, raw)))
     if kind == "NUMBER":
-        number = F.when(is_text, numbers.normalize_decimal(raw)).when(schema.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
-        return F.when(numbers.valid_number(number) | (number == 0), number + 0.0).cast("string")
+        number = F.when(is_text, numbers.normalize_decimal(raw)).otherwise(t["number"])
+        return F.transform(F.array(number), lambda n: F.when(numbers.valid_number(n) | (n == 0), n + 0.0).cast("string"))[0]
     if kind == "BOOLEAN":
-        return F.when(schema == "BOOLEAN", raw)
+        return F.when(t["kind"] == "BOOLEAN", raw)
     if kind == "DATE":
         return F.when(is_text, dates.normalize_iso_date(raw))
     if kind == "JSON":
-        return F.to_json(v)
+        return t["json"]
     raise ValueError(f"unknown type {kind}")
 
 
+def _nfkc(listed: Column) -> Column:
+    """NFKC of each of an array of texts."""
+
+    @F.pandas_udf("array<string>")
+    def formed(many: pd.Series) -> pd.Series:
+        return many.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFKC", x) for x in xs])
+
+    return formed(listed)
+
+
 def observations_from_json(docs: DataFrame, mappings: list[dict], body: str = "body") -> DataFrame:
     """One row for each document and mapping, with the other columns of the document: fact_key, value_type, status,
     value (as text), raw_confidence, ``evidence`` and ``candidates``.
 
     A mapping has ``key``, ``type``, ``pointers`` and maybe a ``box``.  Nothing found: NOT_FOUND; only JSON nulls:
     NULL; something unreadable, or nulls beside values: NOT_READABLE; values that differ: CONFLICT with a candidate
-    for each; else RESOLVED.  Documents that are not JSON have nothing.  All mappings are expressions over
-    the document's row; nothing is shuffled.
+    for each; else RESOLVED.  Documents that are not JSON have nothing.  What the pointers find becomes rows
+    first, a mapping each, so that a value is read by one expression of the row, however many mappings there are;
+    nothing is shuffled.
     """
+    kinds = list(dict.fromkeys(m["type"] for m in mappings))
+    if unknown := set(kinds) - set(VALUES):
+        raise ValueError(f"unknown type {min(unknown)}")
     rows = docs.withColumn("_v", json_values.parsed(F.col(body)))
+    keep = [c for c in docs.columns if c != body]
     shown = []
     for m in mappings:
-        at = [json_values.variant_at(F.col("_v"), p) for p in m["pointers"]]
+        at = F.filter(F.array(*[json_values.variant_at(F.col("_v"), p) for p in m["pointers"]]), lambda v: v.isNotNull())
         box = F.struct(*[F.lit(float({**FULL_PAGE, **m.get("box", {})}[k])).alias(k) for k in FULL_PAGE])
-        each = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.is_variant_null(v).alias("empty"), _read(v, m["type"]).alias("value"), F.struct(texts.bounded_text(F.to_json(v)).alias("text"), box.alias("box")).alias("evidence"))) for v in at]))
-        shown.append(F.struct(F.lit(m["key"]).alias("fact_key"), F.lit(m["type"]).alias("value_type"), each.alias("found")))
-    rows = rows.select(*docs.columns, F.explode(F.array(*shown)).alias("_m")).select(*[c for c in docs.columns if c != body], "_m.*")
+        shown.append(F.struct(F.lit(m["key"]).alias("fact_key"), F.lit(m["type"]).alias("value_type"), box.alias("_box"), at.alias("_at")))
+    rows = rows.select(*keep, F.explode(F.array(*shown)).alias("_m")).select(*keep, "_m.*")
+    number = lambda v: F.when(F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double"))
+    told = lambda v: F.struct(F.schema_of_variant(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("raw"), F.when(F.col("value_type") == "NUMBER", number(v)).alias("number"), F.to_json(v).alias("json"), F.is_variant_null(v).alias("empty"))
+    rows = rows.withColumn("_told", F.transform("_at", told)).drop("_at")
+    # Texts beyond ASCII are the only ones that go to Python.
+    beyond = F.transform("_told", lambda t: F.when((F.col("value_type") == "STRING") & (t["kind"] == "STRING") & (F.octet_length(t["raw"]) > F.char_length(t["raw"])), t["raw"]))
+    # None are an empty array: Arrow's size of a batch goes through all its null arrays again for each row.
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("_formed", _nfkc(F.when(F.exists(beyond, lambda x: x.isNotNull()), beyond).otherwise(none)) if "STRING" in kinds else none)
+
+    def one(t: Column, i: Column) -> Column:
+        value = F.lit(None).cast("string")
+        for kind in kinds:
+            value = F.when(F.col("value_type") == kind, _read(t, F.get("_formed", i), kind)).otherwise(value)
+        return F.struct(t["empty"].alias("empty"), value.alias("value"), F.struct(texts.bounded_text(t["json"]).alias("text"), F.col("_box").alias("box")).alias("evidence"))
+
+    rows = rows.select(*keep, "fact_key", "value_type", F.transform("_told", one).alias("found"))
     found = F.col("found")
     full = F.filter(found, lambda x: ~x["empty"])
     unread = F.exists(full, lambda x: x["value"].isNull())
@@ -84,8 +117,9 @@ def materialize_observations(observations: DataFrame, case: str = "case_id", run
 
 
 def facts_from_json(docs: DataFrame, mappings: list[dict], case: str = "case_id", body: str = "body", run: str = "run-A") -> tuple[DataFrame, DataFrame]:
-    """Facts and evidence straight from JSON documents, ready for ``evaluate.by_case``."""
-    return materialize_observations(observations_from_json(docs.select(case, body), mappings, body), case, run)
+    """Facts and evidence straight from JSON documents, ready for ``evaluate.by_case``.  Documents are dealt by case first, so
+    that a few files are read by all tasks, and once for both."""
+    return materialize_observations(observations_from_json(docs.select(case, body).repartition(case), mappings, body), case, run)
 
 
 def read_json_collection(files: DataFrame, pointer: str, aggregate_rows: bool = False, body: str = "body") -> DataFrame:
