@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import OUTCOMES
@@ -80,23 +82,77 @@ def drawn_case(iteration: Column, draw: Column, cases: int) -> Column:
     return state % cases
 
 
+#: Draws that a task makes at a time, and weights of cases (cases times iterations) that it holds at a time.
+BLOCK, WEIGHTS = 1 << 20, 1 << 20
+
+
+def _jumps(steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and increments that run the generator 1 to ``steps`` draws ahead."""
+    a, c = np.array([LCG[0]], np.uint64), np.array([LCG[1]], np.uint64)
+    while len(a) < steps:
+        a, c = np.append(a, a * a[-1] % WORD), np.append(c, (a * c[-1] + c) % WORD)
+    return a[:steps], c[:steps]
+
+
+def _state(iteration: int, draws: int) -> int:
+    """The generator of an iteration after a number of draws, by their binary digits."""
+    (a, c), state = LCG, (SEED + iteration * SEED_STEP) % WORD
+    while draws:
+        if draws & 1:
+            state = (state * a + c) % WORD
+        a, c, draws = a * a % WORD, (c * a + c) % WORD, draws >> 1
+    return state
+
+
+def drawn_cases(spark: SparkSession, iterations: int, cases: int, size: int) -> DataFrame:
+    """``(_part, _i, places)``: the places of cases that all iterations draw, in stretches of ``size`` cases, as places within
+    the stretch.  A task makes a block of draws at a time."""
+    block = BLOCK
+    blocks = -(-cases // block)
+
+    def drawn(batches):
+        a, c = _jumps(min(block, cases))
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                i, first = k // blocks, k % blocks * block
+                n = min(block, cases - first)
+                places = np.sort((a[:n] * np.uint64(_state(i, first)) + c[:n]) % WORD % np.uint64(cases)).astype(np.int64)
+                parts, starts = np.unique(places // size, return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, n).astype(np.int32)), pa.array((places % size).astype(np.int32)))
+                yield pa.record_batch([pa.array(parts), pa.array(np.full(len(parts), i, np.int64)), lists], names=["_part", "_i", "places"])
+
+    return spark.range(iterations * blocks).repartition("id").mapInArrow(drawn, "_part long, _i long, places array<int>")
+
+
 def bootstrap_ci(cases: DataFrame, metrics: dict[str, Column], iterations: int = 200, ordinal: str = "ordinal") -> DataFrame:
     """``(metric, value, ci_low, ci_high)``: the metric over all cases, and the 2.5 and 97.5 percentiles (the lower
     nearest one) over samples of as many cases with replacement, widened to hold the value.
 
     ``cases``: a row each with its place from 0 and whole-number columns; ``metrics`` are expressions over their sums.
-    A sample is a number of times for each case, so that draws are counted before they meet the cases.
+    A sample is a number of times for each case.  Draws and cases are dealt by stretches of places, and a stretch's numbers
+    meet its cases as matrices, so that a draw is four bytes of one shuffle.
     """
     sums = [c for c in cases.columns if c != ordinal]
-    n = cases.count()
     spark = cases.sparkSession
-    total = cases.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).select(F.lit(-1).cast("long").alias("_i"), *sums)
+    n, *whole = cases.agg(F.count("*"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in sums]).first()
+    out = ", ".join(f"`{c}` long" for c in ["_i", *sums])
+    total = spark.createDataFrame([(-1, *whole)], out)
     if n:
-        it = F.floor(F.col("id") / n).cast("long")
-        draws = spark.range(iterations * n).select(it.alias("_i"), drawn_case(it, F.col("id") - it * n, n).alias(ordinal))
-        weights = draws.groupBy("_i", ordinal).agg(F.count("*").alias("_w"))
-        sampled = weights.join(cases.withColumn(ordinal, F.col(ordinal).cast("long")), ordinal).groupBy("_i").agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in sums])
-        total = total.unionByName(sampled)
+        size = max(1, min(n, WEIGHTS // max(1, iterations)))
+
+        def summed(draws: pa.Table, rows: pa.Table) -> pa.Table:
+            made = np.zeros((iterations, len(sums)), np.int64)
+            if len(draws) and len(rows):
+                values = np.zeros((size, len(sums)), np.int64)
+                np.add.at(values, rows.column("_place").to_numpy(), np.column_stack([rows.column(f"_{k}").to_numpy() for k in range(len(sums))]))
+                for i, places in zip(draws.column("_i").to_pylist(), draws.column("places").combine_chunks()):
+                    made[i] += np.bincount(places.values.to_numpy(), minlength=size) @ values
+            return pa.table([pa.array(np.arange(iterations)), *map(pa.array, made.T.copy())], names=["_i", *sums])
+
+        place = F.col(ordinal).cast("long")
+        rows = cases.where(place.between(0, n - 1)).select(F.floor(place / size).cast("long").alias("_part"), (place % size).alias("_place"), *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(f"_{k}") for k, c in enumerate(sums)])
+        sampled = drawn_cases(spark, iterations, n, size).groupBy("_part").cogroup(rows.groupBy("_part")).applyInArrow(summed, out)
+        total = total.unionByName(sampled.groupBy("_i").agg(*[F.sum(c).alias(c) for c in sums]))
     rows = total.select("_i", *[m.alias(name) for name, m in metrics.items()]).unpivot(["_i"], list(metrics), "metric", "_v")
     own = rows.groupBy("metric").agg(F.max(F.when(F.col("_i") < 0, F.col("_v"))).alias("value"), F.array_sort(F.collect_list(F.when(F.col("_i") >= 0, F.col("_v")))).alias("_s"))
     at = lambda p: F.get("_s", F.floor(F.lit(p) * (F.size("_s") - 1)).cast("int"))
