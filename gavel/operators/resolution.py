@@ -136,11 +136,19 @@ def _strong(n: int, starts: np.ndarray, targets: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def graph(source: pa.Array, target: pa.Array) -> pa.Table:
-    """``rule_id, component, on_cycle, level`` of the nodes of one graph; no level where the component has a cycle."""
+def graph(source: pa.Array, target: pa.Array, group: np.ndarray | None = None) -> pa.Table:
+    """``rule_id, component, on_cycle, level`` of the nodes of one graph; no level where the component has a cycle.
+
+    With ``group``, a number for each edge, the graphs of all groups side by side, with a column ``group``.
+    """
     names = sorted(set(pc.unique(source).to_pylist()) | set(pc.unique(target).to_pylist()))
-    n, words = len(names), pa.array(names, pa.string())
+    words = pa.array(names, pa.string())
     s, t = (np.asarray(pc.index_in(x, words)).astype(np.int64) for x in (source, target))
+    if group is not None:
+        s, t = s + group * len(names), t + group * len(names)
+    nodes, codes = np.unique(np.concatenate([s, t]), return_inverse=True)
+    n, s, t = len(nodes), codes[: len(s)], codes[len(s) :]
+    words = words.take(pa.array(nodes % max(1, len(names))))
     pairs = np.unique(np.column_stack([s, t]), axis=0)
     s, t = pairs[:, 0], pairs[:, 1]
     starts = np.searchsorted(s, np.arange(n + 1))
@@ -166,13 +174,31 @@ def graph(source: pa.Array, target: pa.Array) -> pa.Table:
     for v in np.argsort(-strong, kind="stable").tolist():
         for w in t[starts[v] : starts[v + 1]].tolist():
             level[w] = max(level[w], level[v] + 1)
-    return pa.table({"rule_id": words, "component": words.take(pa.array(label)), "on_cycle": pa.array(cycle), "level": pa.array(np.array(level, np.int32), mask=bad[label])})
+    owner = {} if group is None else {"group": pa.array(nodes // max(1, len(names)))}
+    return pa.table({**owner, "rule_id": words, "component": words.take(pa.array(label)), "on_cycle": pa.array(cycle), "level": pa.array(np.array(level, np.int32), mask=bad[label])})
+
+
+#: Edges of many packs whose graphs a task works out at a time.
+GRAPHS_ROWS = 200_000
+
+
+def _begins(found: pa.Table, pack: tuple[str, ...]) -> np.ndarray:
+    """Whether each of sorted rows is the first of its pack."""
+    new = np.zeros(len(found), bool)
+    new[:1] = True
+    for c in pack:
+        column = found.column(c).combine_chunks()
+        null = np.asarray(column.is_null())
+        differs = np.asarray(pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False))
+        new[1:] |= differs | (null[1:] != null[:-1])
+    return new
 
 
 def override_graphs(edges: DataFrame, *pack: str) -> DataFrame | None:
     """``(*pack, rule_id, component, on_cycle, level)``; None where a pack has more than ``GRAPH_EDGES`` edges.
 
-    Edges with a missing end are none; repeated edges are one.  A pack may be null.
+    Edges with a missing end are none; repeated edges are one.  A pack may be null.  A task goes through its packs in their
+    order and works out as many as have ``GRAPHS_ROWS`` edges in one pass, as most packs are small.
     """
     rows = edges.where("source is not null and target is not null").select(*pack, F.col("source").cast("string"), F.col("target").cast("string"))
     most = rows.groupBy(*pack).count().agg(F.max("count")).first()[0] or 0
@@ -181,13 +207,34 @@ def override_graphs(edges: DataFrame, *pack: str) -> DataFrame | None:
     key = [rows.schema[c] for c in pack]
     out = T.StructType([*key, T.StructField("rule_id", T.StringType()), T.StructField("component", T.StringType()), T.StructField("on_cycle", T.BooleanType()), T.StructField("level", T.IntegerType())])
 
-    def one(found: pa.Table) -> pa.Table:
-        made = graph(found.column("source").combine_chunks(), found.column("target").combine_chunks())
-        for i, c in enumerate(pack):
-            made = made.add_column(i, c, pa.chunked_array([pa.repeat(found.column(c)[0], len(made))]))
-        return made
-
-    return (rows.groupBy(*pack) if pack else rows.groupBy(F.lit("").alias("_one"))).applyInArrow(one, out)
+    enough = GRAPHS_ROWS
+
+    def made(found: pa.Table, new: np.ndarray) -> pa.Table:
+        begins = np.flatnonzero(new)
+        of = graph(found.column("source").combine_chunks(), found.column("target").combine_chunks(), np.cumsum(new) - 1)
+        first = pa.array(begins[of.column("group").to_numpy()])
+        return pa.table([*[found.column(c).combine_chunks().take(first) for c in pack], *of.columns[1:]], names=[f.name for f in out])
+
+    def many(batches):
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= enough:
+                found = pa.Table.from_batches(held)
+                new = _begins(found, pack)
+                last = int(np.flatnonzero(new)[-1])
+                if last:
+                    yield from made(found.slice(0, last), new[:last]).to_batches()
+                held = found.slice(last).combine_chunks().to_batches()
+                size = len(found) - last if last else 0
+        if held:
+            found = pa.Table.from_batches(held)
+            if len(found):
+                yield from made(found, _begins(found, pack)).to_batches()
+
+    return (rows.repartition(*pack).sortWithinPartitions(*pack) if pack else rows.repartition(1)).mapInArrow(many, out)
 
 
 def override_components(edges: DataFrame, *pack: str) -> DataFrame:
