@@ -70,6 +70,7 @@ v AS (SELECT *, row_number() OVER c AS n, lag(revision_id) OVER c AS before, lag
 g AS (SELECT revision_id, CAST(NULL AS INT) AS sequence, CASE WHEN revision <> n THEN 'RULE_CARD_REVISION_NOT_MONOTONIC' WHEN replaces_revision_id IS DISTINCT FROM before THEN 'INVALID_RULE_CARD_REVISION_REPLACEMENT' WHEN before IS NOT NULL AND coalesce(b_state, '') NOT IN ('DRAFT', 'CHANGES_REQUESTED', 'APPROVED') THEN 'DECISION_NOT_ALLOWED' WHEN created_at < b_at THEN 'AUDIT_TIME_NOT_MONOTONIC' END AS code FROM v)
 SELECT * FROM e WHERE code IS NOT NULL UNION ALL SELECT * FROM g WHERE code IS NOT NULL""")
 def lg9(t):
+    t = t.dealt(lineitem="l_orderkey")
     revisions, audit = t.sql(REVISIONS), t.sql(CARD_AUDIT)
     entries = governance.validate_card_audit(audit, revisions)
     return entries.unionByName(governance.validate_card_revisions(revisions, audit).withColumn("sequence", F.lit(None).cast("int")))

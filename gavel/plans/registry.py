@@ -11,19 +11,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Rows of one part of a table that is dealt, about.
+PART = 250_000
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 class Tables:
     """The tables below a folder, read when named."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, deal: dict[str, tuple[int, str]] | None = None) -> None:
+        self.spark, self.folder, self.deal = spark, folder, deal or {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        rows = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return rows.repartition(*self.deal[name]) if name in self.deal else rows
+
+    def dealt(self, **keys: str) -> Tables:
+        """The same tables, those named dealt by a column into parts of about ``PART`` rows.
+
+        What sorts or joins by that column takes the parts as they are, so that a task's memory has one size for
+        any input; Spark's own partitions are made by compressed bytes, of which narrow rows need few.
+        """
+        least = self.spark.sparkContext.defaultParallelism
+        return Tables(self.spark, self.folder, {n: (max(least, -(-getattr(self, n).count() // PART)), key) for n, key in keys.items()})
 
     def sql(self, text: str) -> DataFrame:
         """A SELECT over the tables, for inputs that the queries derive from them."""
