@@ -35,6 +35,7 @@ def test_no_task_takes_more_entries_than_a_part(spark, small_parts):
     assert found.agg(F.max("count")).first()[0] < 3 * registry.PART
 
 
-def test_lines_are_shuffled_once(spark):
-    plan = governance.lg9(Tables(spark, SF))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(l_orderkey") == plan.count("REPARTITION_BY_NUM") == 2
+@pytest.mark.parametrize("query, reads", [(governance.lg9, 2), (governance.lg11, 1), (governance.lg12, 1)])
+def test_lines_are_shuffled_by_their_key_alone(spark, query, reads):
+    plan = query(Tables(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == plan.count("REPARTITION_BY_NUM") == reads
