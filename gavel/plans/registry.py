@@ -31,8 +31,9 @@ class Tables:
     def dealt(self, **keys: str) -> Tables:
         """The same tables, those named dealt by a column into parts of about ``PART`` rows.
 
-        What sorts or joins by that column takes the parts as they are, so that a task's memory has one size for
-        any input; Spark's own partitions are made by compressed bytes, of which narrow rows need few.
+        What sorts or joins by that column takes the parts as they are, so that the memory of those tasks has one size for
+        any input; Spark's own partitions are made by compressed bytes, of which narrow rows need few.  The tasks that deal
+        more than 200 parts sort their rows first, as any such shuffle does, and spill what is beyond their share of memory.
         """
         least = self.spark.sparkContext.defaultParallelism
         return Tables(self.spark, self.folder, {n: (max(least, -(-getattr(self, n).count() // PART)), key) for n, key in keys.items()})
