@@ -84,6 +84,8 @@ def drawn_case(iteration: Column, draw: Column, cases: int) -> Column:
 
 #: Draws that a task makes at a time, and weights of cases (cases times iterations) that it holds at a time.
 BLOCK, WEIGHTS = 1 << 20, 1 << 20
+#: Places of cases whose weights a task counts at a time, about.
+COUNTED = 1 << 24
 
 
 def _jumps(steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -124,13 +126,40 @@ def drawn_cases(spark: SparkSession, iterations: int, cases: int, size: int) ->
     return spark.range(iterations * blocks).repartition("id").mapInArrow(drawn, "_part long, _i long, places array<int>")
 
 
+def drawn_weights(spark: SparkSession, iterations: int, cases: int, size: int) -> DataFrame:
+    """``(_part, _i, weights, more)``: how often all iterations draw the cases of a stretch of ``size`` places, a byte for each,
+    and once more the places of what is beyond 255.  A task goes through the draws of an iteration by blocks and counts those of about
+    ``COUNTED`` places, so that a draw takes less than a byte of the shuffle."""
+    stride = max(1, COUNTED // size) * size
+    spans = -(-cases // stride)
+
+    def drawn(batches):
+        a, c = _jumps(min(BLOCK, cases))
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                i, low = k // spans, k % spans * stride
+                counts = np.zeros(min(stride, cases - low), np.uint32)
+                for first in range(0, cases, BLOCK):
+                    n = min(BLOCK, cases - first)
+                    places = ((a[:n] * np.uint64(_state(i, first)) + c[:n]) % WORD % np.uint64(cases)).astype(np.int64) - low
+                    np.add.at(counts, places if spans == 1 else places[(places >= 0) & (places < len(counts))], np.uint32(1))
+                many = max(1, BLOCK // size) * size
+                for start in range(0, len(counts), many):
+                    own = [counts[at : at + size] for at in range(start, min(start + many, len(counts)), size)]
+                    more = [np.repeat(high, x[high] - 255).astype(np.int32) for x in own for high in [np.flatnonzero(x > 255)]]
+                    parts = (low + start) // size + np.arange(len(own))
+                    yield pa.record_batch([pa.array(parts), pa.array(np.full(len(own), i)), pa.array([np.minimum(x, 255).astype(np.uint8).tobytes() for x in own], pa.binary()), pa.array(more, pa.list_(pa.int32()))], names=["_part", "_i", "weights", "more"])
+
+    return spark.range(iterations * spans).repartition("id").mapInArrow(drawn, "_part long, _i long, weights binary, more array<int>")
+
+
 def bootstrap_ci(cases: DataFrame, metrics: dict[str, Column], iterations: int = 200, ordinal: str = "ordinal") -> DataFrame:
     """``(metric, value, ci_low, ci_high)``: the metric over all cases, and the 2.5 and 97.5 percentiles (the lower
     nearest one) over samples of as many cases with replacement, widened to hold the value.
 
     ``cases``: a row each with its place from 0 and whole-number columns; ``metrics`` are expressions over their sums.
-    A sample is a number of times for each case.  Draws and cases are dealt by stretches of places, and a stretch's numbers
-    meet its cases as matrices, so that a draw is four bytes of one shuffle.
+    A sample is a number of times for each case.  These and the cases are dealt by stretches of places, and a stretch's numbers
+    meet its cases as matrices; see ``drawn_weights``.
     """
     sums = [c for c in cases.columns if c != ordinal]
     spark = cases.sparkSession
@@ -145,13 +174,18 @@ def bootstrap_ci(cases: DataFrame, metrics: dict[str, Column], iterations: int =
             if len(draws) and len(rows):
                 values = np.zeros((size, len(sums)), np.int64)
                 np.add.at(values, rows.column("_place").to_numpy(), np.column_stack([rows.column(f"_{k}").to_numpy() for k in range(len(sums))]))
-                for i, places in zip(draws.column("_i").to_pylist(), draws.column("places").combine_chunks()):
-                    made[i] += np.bincount(places.values.to_numpy(), minlength=size) @ values
+                # Doubles are exact below 2^53, and faster.
+                kind = np.float64 if np.abs(values.astype(np.float64)).max() * n < 2**53 else np.int64
+                times = np.zeros((iterations, size), kind)
+                for i, weights, more in zip(*(draws.column(c).to_pylist() for c in ("_i", "weights", "more"))):
+                    times[i, : len(weights)] = np.frombuffer(weights, np.uint8)
+                    np.add.at(times[i], np.array(more, np.int64), 1)
+                made += (times @ values.astype(kind)).astype(np.int64)
             return pa.table([pa.array(np.arange(iterations)), *map(pa.array, made.T.copy())], names=["_i", *sums])
 
         place = F.col(ordinal).cast("long")
         rows = cases.where(place.between(0, n - 1)).select(F.floor(place / size).cast("long").alias("_part"), (place % size).alias("_place"), *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(f"_{k}") for k, c in enumerate(sums)])
-        sampled = drawn_cases(spark, iterations, n, size).groupBy("_part").cogroup(rows.groupBy("_part")).applyInArrow(summed, out)
+        sampled = drawn_weights(spark, iterations, n, size).groupBy("_part").cogroup(rows.groupBy("_part")).applyInArrow(summed, out)
         total = total.unionByName(sampled.groupBy("_i").agg(*[F.sum(c).alias(c) for c in sums]))
     rows = total.select("_i", *[m.alias(name) for name, m in metrics.items()]).unpivot(["_i"], list(metrics), "metric", "_v")
     own = rows.groupBy("metric").agg(F.max(F.when(F.col("_i") < 0, F.col("_v"))).alias("value"), F.array_sort(F.collect_list(F.when(F.col("_i") >= 0, F.col("_v")))).alias("_s"))

@@ -43,3 +43,26 @@ def test_intervals_do_not_depend_on_the_stretch(spark, monkeypatch):
     monkeypatch.setattr(quality, "WEIGHTS", 20 * 33)
     assert quality.bootstrap_ci(cases, metrics, 20).collect() == want
     assert quality.bootstrap_ci(cases.where("false"), metrics, 20).first().value == 0
+
+
+def test_weights_count_the_draws(spark, monkeypatch):
+    for n, size, counted in ((1_000, 64, 1 << 24), (1_000, 64, 200), (2, 1, 1)):
+        monkeypatch.setattr(quality, "COUNTED", counted)
+        monkeypatch.setattr(quality, "BLOCK", 300)
+        draws = quality.drawn_cases(spark, 3, n, size).select("_i", "_part", F.explode("places").alias("p")).groupBy("_i", "_part", "p").count().collect()
+        got = {}
+        for r in quality.drawn_weights(spark, 3, n, size).collect():
+            got |= {(r["_i"], r["_part"], p): w + r["more"].count(p) for p, w in enumerate(r["weights"]) if w}
+        assert got == {(r["_i"], r["_part"], r["p"]): r["count"] for r in draws}
+    one = quality.drawn_weights(spark, 1, 1, 1).first()
+    assert (list(one["weights"]), one["more"]) == ([1], [])
+    # A case that all of many iterations' draws fall on has more than a byte holds.
+    monkeypatch.setattr(quality, "_jumps", lambda steps: (quality.np.zeros(steps, quality.np.uint64),) * 2)
+    most = [r for r in quality.drawn_weights(spark, 1, 1_000, 1_000).collect()][0]
+    assert most["weights"][0] + len(most["more"]) == 1_000 and set(most["more"]) == {0}
+
+
+def test_intervals_take_as_many_samples_as_the_benchmark():
+    from gavel.plans import registry, sources
+
+    assert sources.ITERATIONS == 200 and "range(200)" in registry.ORACLES["bm5_bootstrap_ci"]
