@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, hashing, json_values, numbers
 from ..functions import text as texts
+from .shared import folder
 
 FULL_PAGE = {"x": 0.0, "y": 0.0, "width": 1.0, "height": 1.0}
 VALUES = {"STRING": "v_string", "NUMBER": "v_number", "BOOLEAN": "v_boolean", "DATE": "v_date", "JSON": "v_json"}
@@ -118,8 +119,13 @@ def materialize_observations(observations: DataFrame, case: str = "case_id", run
 
 def facts_from_json(docs: DataFrame, mappings: list[dict], case: str = "case_id", body: str = "body", run: str = "run-A") -> tuple[DataFrame, DataFrame]:
     """Facts and evidence straight from JSON documents, ready for ``evaluate.by_case``.  Documents are dealt by case first, so
-    that a few files are read by all tasks, and once for both."""
-    return materialize_observations(observations_from_json(docs.select(case, body).repartition(case), mappings, body), case, run)
+    that a few files are read by all tasks.  What is observed is written to the shared folder, so that facts and evidence,
+    and all that is made of them, neither read the documents again nor have the reading in their plans, which the driver
+    holds as often as they are used."""
+    path = f"{folder(docs.sparkSession)}/observations"
+    observed = observations_from_json(docs.select(case, body).repartition(case), mappings, body)
+    observed.write.parquet(path)
+    return materialize_observations(docs.sparkSession.read.schema(observed.schema).parquet(path), case, run)
 
 
 def read_json_collection(files: DataFrame, pointer: str, aggregate_rows: bool = False, body: str = "body") -> DataFrame:

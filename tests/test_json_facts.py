@@ -22,3 +22,8 @@ def test_no_filter_reads_the_documents_again(spark):
     plan = registry.QUERIES["src2_materialize_observations"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert max(len(line) for line in plan.split("\n") if "Filter" in line[:40]) < 1_000
     assert len(plan) < 200_000
+
+
+def test_observations_are_read_once_and_stay_off_the_driver(spark):
+    plan = registry.QUERIES["src2_materialize_observations"](spark, SF)._jdf.queryExecution()
+    assert "orders.parquet" not in plan.toString() and "Broadcast" not in plan.executedPlan().toString()
